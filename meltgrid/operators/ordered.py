@@ -93,11 +93,12 @@ def dense_index(df: DataFrame, block: str, order: Sequence[str], name: str = "id
 
 
 def midpoint_quantile(df: DataFrame, col: str, ps: Mapping[str, float], by: Sequence[str] = (),
-                      group_rows: int = GROUP_ROWS) -> DataFrame:
+                      group_rows: int = GROUP_ROWS, pairs: bool = False) -> DataFrame:
     """Quantiles at midpoint positions ``n p + 0.5``, clamped to the ends.
 
     ``ps`` maps output names to probabilities.  Returns one row per group with ``n`` and the
-    named quantiles.  Built-in percentiles use ``(n - 1) p + 1`` and keep every distinct value of
+    named quantiles, with ``pairs`` also the two order statistics ``<name>_lo, <name>_hi`` around
+    each.  Built-in percentiles use ``(n - 1) p + 1`` and keep every distinct value of
     a group in one hash map, hence this form.
     """
     keyed, keys = _keyed(df, by)
@@ -106,11 +107,21 @@ def midpoint_quantile(df: DataFrame, col: str, ps: Mapping[str, float], by: Sequ
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     hot = groups.filter(F.col("n") > group_rows).collect()
     if not hot:
-        return _window_quantile(src, keys, ps).drop(_ONE)
+        return _interpolated(_window_quantile(src, keys, ps), keys, ps, pairs)
     hot_df = src.sparkSession.createDataFrame(hot, groups.schema)
     done = _bracket_quantile(src, keys, ps, hot, group_rows)
     cold = src.join(F.broadcast(hot_df.select(*keys)), keys, "left_anti")
-    return _window_quantile(cold, keys, ps).unionByName(done).drop(_ONE)
+    return _interpolated(_window_quantile(cold, keys, ps).unionByName(done), keys, ps, pairs)
+
+
+def _interpolated(stats: DataFrame, keys: list[str], ps: Mapping[str, float], pairs: bool) -> DataFrame:
+    cols = []
+    for m in ps:
+        a, b = F.col(f"_a_{m}"), F.col(f"_b_{m}")
+        cols.append((a + F.col(f"_f_{m}") * (b - a)).alias(m))
+        if pairs:
+            cols += [a.alias(f"{m}_lo"), b.alias(f"{m}_hi")]
+    return stats.select(*keys, "n", *cols).drop(_ONE)
 
 
 def _window_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float]) -> DataFrame:
@@ -131,9 +142,7 @@ def _window_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float]) -
         k0 = F.floor(pos)
         k1 = F.least(k0 + 1, F.col("_all_n"))
         aggs += [at(k0).alias(f"_a_{name}"), at(k1).alias(f"_b_{name}"), F.max(pos - k0).alias(f"_f_{name}")]
-    out = run.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, "n", *[
-        (F.col(f"_a_{m}") + F.col(f"_f_{m}") * (F.col(f"_b_{m}") - F.col(f"_a_{m}"))).alias(m) for m in ps])
+    return run.groupBy(*keys).agg(*aggs)
 
 
 def _position(n: Column, p: float) -> Column:
@@ -208,11 +217,10 @@ def _bracket_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float],
         vals = []
         for name in ps:
             k0, k1, frac = wanted[gi, name]
-            a, b = found[gi, k0], found[gi, k1]
-            vals.append(a + frac * (b - a))
+            vals += [found[gi, k0], found[gi, k1], frac]
         rows.append((*[row[k] for k in keys], row["n"], *vals))
     schema = T.StructType([*key_schema, T.StructField("n", T.LongType()),
-                           *[T.StructField(m, T.DoubleType()) for m in ps]])
+                           *[T.StructField(f"_{s}_{m}", T.DoubleType()) for m in ps for s in ("a", "b", "f")]])
     return spark.createDataFrame(rows, schema)
 
 

@@ -151,11 +151,14 @@ def depth_check(df: DataFrame, flux: str, steps: int = 200) -> DataFrame:
     src = df.filter(F.col(flux).isNotNull() & (h > 0)).select(
         "cell_id", flux, (ADV_DENSITY * heat_capacity(ts)).alias("_rc"), u_bar.alias("_u"), F.col("dts").alias("_d"),
         (0.5 * g0 * shape).alias("_s"), dz.alias("_dz"))
-    weight = F.aggregate(
-        F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0.0),
-        lambda acc, i: acc + F.when((i == 0) | (i == steps - 1), 0.5).otherwise(1.0)
-        * (F.col("_d") + F.col("_s") * F.col("_dz") * i))
-    out = src.withColumn("err", F.abs(F.col("_rc") * F.col("_u") * F.col("_dz") * weight - F.col(flux)))
+    start = F.struct(F.lit(0.0).alias("t"), F.col("_d").alias("d"), (F.col("_s") * F.col("_dz")).alias("g"))
+
+    def add(acc, i):
+        end = F.when((i == 0) | (i == steps - 1), 0.5).otherwise(1.0)
+        return F.struct((acc["t"] + end * (acc["d"] + acc["g"] * i)).alias("t"), acc["d"].alias("d"), acc["g"].alias("g"))
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), start, add, lambda acc: acc["t"])
+    out = src.withColumn("err", F.abs(F.col("_rc") * F.col("_u") * F.col("_dz") * total - F.col(flux)))
     return error_quantiles(out, "err")
 
 
