@@ -19,8 +19,11 @@ def flat_value(name: Column) -> Column:
 
 
 def valid_name(name: Column) -> Column:
-    """Identifier form of a name: joined words, odd characters to ``_``, a letter first."""
-    joined = F.regexp_replace(name, r"\s+(\S)", "$1")
+    """Identifier form of a name: words joined with a capital, odd characters to ``_``, a letter
+    first."""
+    words = F.split(name, r"\s+")
+    joined = F.array_join(F.transform(words, lambda w, i: F.when(
+        i > 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))).otherwise(w)), "")
     safe = F.regexp_replace(joined, r"[^A-Za-z0-9_]", "_")
     return F.when(safe.rlike("^[A-Za-z]"), safe).otherwise(F.concat(F.lit("x"), safe))
 

@@ -127,8 +127,9 @@ def clamp_exact_mean(df: DataFrame, col: str, mu: float, lo: float, hi: float, t
     f0, f1 = lo, hi
     for _ in range(max_passes):
         offs = [b0 + (b1 - b0) * i / (points - 1) for i in range(points)]
-        row = df.agg(*[F.avg(clamp(F.col(col) + b, lo, hi)).alias(f"f{i}") for i, b in enumerate(offs)]).first()
-        fs = [row[f"f{i}"] for i in range(points)]
+        shifted = df.select(F.col(col).alias("_v"), F.posexplode(F.array(*[F.lit(b) for b in offs])).alias("_i", "_b"))
+        mean = shifted.groupBy("_i").agg(F.avg(clamp(F.col("_v") + F.col("_b"), lo, hi)).alias("f")).collect()
+        fs = [m["f"] for m in sorted(mean, key=lambda m: m["_i"])]
         j = max(i for i in range(points) if fs[i] <= mu or i == 0)
         k = min(j + 1, points - 1)
         b0, b1, f0, f1 = offs[j], offs[k], fs[j], fs[k]

@@ -100,14 +100,18 @@ def moving_median(df: DataFrame, order: str, col: str, width: int | None = None,
         n = df.count()
         width = 1 if n < 5 else max(3, (2 * n + 8) // 16)
     back, ahead = (width // 2, (width - 1) // 2)
-    w = Window.orderBy(order).rowsBetween(-back, ahead)
-    return df.withColumn(name, F.median(col).over(w))
+    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(-back, ahead)
+    near = F.array_sort(F.collect_list(F.when(~F.isnan(F.col(col)), F.col(col))).over(w))
+    out = df.withColumn("_a", near).withColumn("_n", F.size("_a"))
+    low, high = F.floor((F.col("_n") + 1) / 2).cast("int"), F.ceil((F.col("_n") + 1) / 2).cast("int")
+    mid = (F.element_at("_a", low) + F.element_at("_a", high)) / 2.0
+    return out.withColumn(name, F.when(F.col("_n") > 0, mid)).drop("_a", "_n")
 
 
 def rank_compare(a: DataFrame, b: DataFrame, score: str = "g_prod") -> DataFrame:
     """Change of score and rank between two per-model tables (rank 1 is best)."""
     def ranked(df: DataFrame, tag: str) -> DataFrame:
-        w = Window.orderBy(F.col(score).desc(), "model")
+        w = Window.partitionBy(F.lit(0)).orderBy(F.col(score).desc(), "model")
         return df.select("model", F.col(score).alias(f"g_{tag}"), F.row_number().over(w).alias(f"rank_{tag}"))
 
     out = ranked(a, "binary").join(ranked(b, "weighted"), "model")

@@ -51,8 +51,9 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str
     if largest_group(df, by) <= group_rows:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         out = keyed.withColumns({f"cum_{c}": F.sum(c).over(w) for c in cols})
-        return out.drop(_ONE)
-    return _ranged_prefix_sums(cut_lineage(keyed), keys, order, cols).drop(_ONE)
+    else:
+        out = _ranged_prefix_sums(cut_lineage(keyed), keys, order, cols)
+    return out if by else out.drop(_ONE)
 
 
 def _ranged_prefix_sums(df: DataFrame, keys: list[str], order: str, cols: Sequence[str]) -> DataFrame:
@@ -78,16 +79,16 @@ def _ranged_prefix_sums(df: DataFrame, keys: list[str], order: str, cols: Sequen
     return out.drop("_r0", "_r1", *[f"_b_{c}" for c in cols])
 
 
-def dense_index(df: DataFrame, block: str, order: Sequence[str], name: str = "idx",
+def dense_index(df: DataFrame, block: str, order: Sequence[str], by: Sequence[str] = (), name: str = "idx",
                 group_rows: int = GROUP_ROWS) -> DataFrame:
-    """0-based position of each row in (block, order), built from per-block counts so that no
-    task sees more than one block (a grid row, for instance)."""
-    per_block = prefix_sums(df.groupBy(block).agg(F.count(F.lit(1)).alias("_n")), [], block, ["_n"],
-                            group_rows)
-    starts = per_block.select(block, (F.col("cum__n") - F.col("_n")).alias("_start"))
-    w = Window.partitionBy(block).orderBy(*order)
+    """0-based position of each row in (block, order) within its group, built from per-block
+    counts so that no task sees more than one block (a grid row, for instance)."""
+    per_block = df.groupBy(*by, block).agg(F.count(F.lit(1)).alias("_n"))
+    run = prefix_sums(per_block, by, block, ["_n"], group_rows)
+    starts = run.select(*by, block, (F.col("cum__n") - F.col("_n")).alias("_start"))
+    w = Window.partitionBy(*by, block).orderBy(*order)
     return (df.withColumn("_rn", F.row_number().over(w))
-            .join(sized(starts), block)
+            .join(sized(starts), [*by, block])
             .withColumn(name, F.col("_start") + F.col("_rn") - 1)
             .drop("_start", "_rn"))
 

@@ -107,7 +107,7 @@ def _(t):
 
 @query("candidate_scores_topographic", "M1 P9", tables=CC, ctes=FIELD.replace("mu + a * u AS g0, avg(mu + a * u)", "(mu + a * u) * (1 + (custkey % 7 - 3) / 1e2) AS g0, avg((mu + a * u) * (1 + (custkey % 7 - 3) / 1e2))") + f""",
 ev AS (SELECT mu, a, theta, g, q, slow, greatest(least((q - 15e-2) / 25e-2, 1e0), 0e0) + q * 0 AS w, coalesce(g - {gmin_sql()} >= 0, false) AS wet FROM field)""", sql=f"""
-SELECT mu, a, theta, {r('sum(CASE WHEN slow AND wet THEN w END) / sum(CASE WHEN slow THEN w END)')} AS rec, {r('avg(g)')} AS mu_grid,
+SELECT mu, a, theta, {r('sum(CASE WHEN slow AND wet THEN w ELSE 0e0 END) / sum(CASE WHEN slow THEN w END)')} AS rec, {r('avg(g)')} AS mu_grid,
  {r('median(g) FILTER (q IS NOT NULL)')} AS med_spec FROM ev GROUP BY mu, a, theta""")
 def _(t):
     cells = arena(t).withColumn("delta", (F.col("custkey") % 7 - 3) / 100.0)

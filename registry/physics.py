@@ -315,7 +315,7 @@ def _(t):
  UNION SELECT DISTINCT n_name || ' 2-b ' FROM nation UNION SELECT DISTINCT s_suppkey || ' Model' FROM supplier)""", sql="""
 SELECT model, starts_with(model, 'Flat_') AS is_flat, CASE WHEN starts_with(model, 'Flat_') THEN cast(regexp_extract(model, '^Flat_([0-9.]+)', 1) AS double) END AS flat_value,
  CASE WHEN regexp_matches(v, '^[A-Za-z]') THEN v ELSE 'x' || v END AS valid_name, lower(trim(model)) AS name_key
-FROM (SELECT model, regexp_replace(regexp_replace(model, '\\s+(\\S)', '\\1', 'g'), '[^A-Za-z0-9_]', '_', 'g') AS v FROM n)""")
+FROM (SELECT model, regexp_replace(array_to_string(list_transform(string_split_regex(model, '\\s+'), lambda w, i: CASE WHEN i > 1 THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END), ''), '[^A-Za-z0-9_]', '_', 'g') AS v FROM n)""")
 def _(t):
     s, n = t.read("supplier"), t.read("nation")
     names = (s.select(F.col("s_name").alias("model"))
