@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meltgrid.session import sized
 
 KEYS = ("ri", "ci")
+TILE = 512
 
 
 def cell_grid(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, step: float) -> DataFrame:
@@ -154,29 +155,30 @@ def gradient2d(df: DataFrame, cols: Sequence[str], dx: float, dy: float,
                bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Add ``d<col>_dx`` and ``d<col>_dy``: central inside, one-sided on the outer index only.
 
-    A missing neighbour makes the derivative missing.  Windows run along one grid line each, so
-    the largest group is one row or one column of the grid.
+    A missing neighbour makes the derivative missing.  Cells are shuffled once, into square tiles
+    that also receive a one-cell rim; both window directions then run inside the tiles.
     """
     if bounds is None:
         e = extents(df).first()
         bounds = (e["r0"], e["r1"], e["c0"], e["c1"])
     r0, r1, c0, c1 = bounds
+    ri, ci = F.col("ri").cast("long"), F.col("ci").cast("long")
 
-    def slopes(frame: DataFrame, line: str, along: str, lo: int, hi: int, d: float, tag: str) -> DataFrame:
-        w = Window.partitionBy(line).orderBy(along)
+    def tile_of(r: Column, c: Column) -> Column:
+        return F.shiftleft(F.floor(r / TILE), 31) + F.floor(c / TILE)
+
+    around = F.array_distinct(F.array(*[tile_of(ri + a, ci + b) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))]))
+    tiled = df.withColumn("_tile", F.explode(around)).repartition("_tile")
+    new = {}
+    for line, along, lo, hi, d, tag in (("ri", "ci", c0, c1, dx, "dx"), ("ci", "ri", r0, r1, dy, "dy")):
+        w = Window.partitionBy("_tile", line).orderBy(along)
         i = F.col(along)
         prev_ok, next_ok = F.lag(along).over(w) == i - 1, F.lead(along).over(w) == i + 1
-        new = {}
         for c in cols:
-            prev = F.when(prev_ok, F.lag(c).over(w))
-            nxt = F.when(next_ok, F.lead(c).over(w))
-            mid = (nxt - prev) / (2.0 * d)
-            new[f"d{c}_{tag}"] = (F.when(i == lo, (nxt - F.col(c)) / d)
-                                  .when(i == hi, (F.col(c) - prev) / d).otherwise(mid))
-        return frame.withColumns(new)
-
-    out = slopes(df, "ri", "ci", c0, c1, dx, "dx")
-    return slopes(out, "ci", "ri", r0, r1, dy, "dy")
+            prev, nxt = F.when(prev_ok, F.lag(c).over(w)), F.when(next_ok, F.lead(c).over(w))
+            new[f"d{c}_{tag}"] = (F.when(i == lo, (nxt - F.col(c)) / d).when(i == hi, (F.col(c) - prev) / d)
+                                  .otherwise((nxt - prev) / (2.0 * d)))
+    return tiled.withColumns(new).filter(F.col("_tile") == tile_of(ri, ci)).drop("_tile")
 
 
 def along_flow(col: str, ex: Column, ey: Column) -> Column:

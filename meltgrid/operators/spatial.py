@@ -29,36 +29,37 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, band: float, key: Sequence[str]) -> DataFrame:
     """``(key..., region)`` for every point inside or on a region; parts are united.
 
-    Edges are spread over horizontal bands and packed per (band, ring), so points meet only the
-    edges at their own height through an equi-join, and the crossing count is taken inside the
-    row: the large side is neither paired with all edges nor shuffled for a count.
+    Edges are spread over horizontal bands and packed per (band, region), so a point meets only
+    the edges at its own height through an equi-join and the crossings are counted inside the
+    row: the large side is neither paired with all edges nor shuffled for the count.
     """
     edges = polygon_edges(polygons)
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     bands = F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band)))
-    packed = edges.withColumn("_band", bands).groupBy("_band", "region", "part", "ring").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"),
-        F.min(F.least("x1", "x2")).alias("_xlo"), F.max(F.greatest("x1", "x2")).alias("_xhi"))
-    # The ring's own limits bound the points worth testing, whatever band they are in.
+    rings = edges.withColumn("_band", bands).groupBy("_band", "region", "part", "ring").agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
     box = edges.groupBy("region", "part", "ring").agg(
-        F.min(F.least("x1", "x2")).alias("_bx0"), F.max(F.greatest("x1", "x2")).alias("_bx1"))
-    packed = packed.drop("_xlo", "_xhi").join(box, ["region", "part", "ring"])
-    near = points.select(*key, "x_m", "y_m", F.floor(F.col("y_m") / band).alias("_band"))
-    pairs = near.join(sized(packed), "_band").filter(F.col("x_m").between(F.col("_bx0"), F.col("_bx1")))
+        F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"))
+    packed = rings.join(box, ["region", "part", "ring"]).groupBy("_band", "region").agg(
+        F.collect_list(F.struct("edges", "x0", "x9")).alias("_rings"))
     x, y = F.col("x_m"), F.col("y_m")
 
     def crosses(e):
         spans = (e["y1"] > y) != (e["y2"] > y)
-        return spans & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return F.coalesce(spans & (x < at), F.lit(False))
 
     def touches(e):
         side = (x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"])
         return ((side == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                 & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    odd = F.size(F.filter("_edges", lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    inside = pairs.filter(odd | F.exists("_edges", touches)).select(*key, "region")
-    return inside.distinct()
+    def holds(ring):
+        odd = F.size(F.filter(ring["edges"], crosses)) % 2 == 1
+        return x.between(ring["x0"], ring["x9"]) & (odd | F.exists(ring["edges"], touches))
+
+    near = points.select(*key, "x_m", "y_m", F.floor(F.col("y_m") / band).alias("_band"))
+    return near.join(sized(packed), "_band").filter(F.exists("_rings", holds)).select(*key, "region")
 
 
 def region_columns(points: DataFrame, polygons: DataFrame, regions: Sequence[str], band: float,

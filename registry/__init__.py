@@ -3,7 +3,8 @@
 from importlib import import_module
 from importlib.util import find_spec
 
-MODULES = ("layers", "physics", "scores", "sweeps", "spatial", "resampling", "tests_two", "fields", "reports")
+MODULES = ("layers", "physics", "scores", "sweeps", "spatial", "resampling", "tests_two", "fields", "reports",
+           "evaluations")
 
 
 def load():

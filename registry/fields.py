@@ -64,8 +64,8 @@ def _(t):
     return rnd(Y.clamp_exact_mean(df, "g", 33.0, 20.0, 45.0, tol=1e-9), 5)
 
 
-@query("candidate_priors", "P30", tables=("candidates", "cells"), ctes="""wide AS (SELECT mu * k AS mu, a * k AS a, theta * k AS theta FROM candidates, (SELECT DISTINCT 1e0 * (custkey % 5) AS k FROM cells) u),
-pr AS (SELECT DISTINCT mu, a, theta,
+@query("candidate_priors", "P30", tables=("chain",), ctes="""wide AS (SELECT iter, 2 * mu - 40e0 AS mu, 15e-1 * a AS a, 3 * theta_deg AS theta FROM chain),
+pr AS (SELECT iter,
  -(CASE WHEN mu < 20 THEN pow((20 - mu) / 3e0, 2) WHEN mu > 150 THEN pow((mu - 150) / 3e0, 2) ELSE 0e0 END)
  -(CASE WHEN a < -150 THEN pow((-150 - a) / 3e0, 2) WHEN a > 150 THEN pow((a - 150) / 3e0, 2) ELSE 0e0 END)
  -(CASE WHEN theta < -90 THEN pow((-90 - theta) / 3e0, 2) WHEN theta > 90 THEN pow((theta - 90) / 3e0, 2) ELSE 0e0 END)
@@ -73,13 +73,13 @@ pr AS (SELECT DISTINCT mu, a, theta,
    least(greatest(1e0 - greatest((1e2 - mu) / greatest(abs(a), 2.220446049250313e-16), -1e0), 0e0) / 2e0, 1e0)), 2) / 15e-2 AS soft,
  -5e-1 * pow((mu - 85) / 65e0, 2) - 5e-1 * pow(a / 150e0, 2)
  - 5e-1 * pow((CASE WHEN theta > 180 THEN theta - 360 * ceil((theta - 180) / 360e0) WHEN theta < -180 THEN theta + 360 * ceil((-180 - theta) / 360e0) ELSE theta END) / 90e0, 2) AS gauss FROM wide)""",
-       sql=f"SELECT mu + 0e0 AS mu, a + 0e0 AS a, theta + 0e0 AS theta, {r('soft')} AS soft, {r('gauss')} AS gauss FROM pr")
+       sql=f"SELECT iter, {r('soft', 4)} AS soft, {r('gauss')} AS gauss FROM pr")
 def _(t):
-    k = t.cells.select((F.col("custkey") % 5).cast("double").alias("k")).distinct()
-    scale = F.explode(F.array(*[F.lit(float(r["k"])) for r in k.limit(10).collect()]))
-    wide = t.candidates.withColumn("k", scale).select(*[(F.col(c) * F.col("k") + 0.0).alias(c) for c in ("mu", "a", "theta")]).distinct()
+    wide = t.chain.select("iter", (2.0 * F.col("mu") - 40.0).alias("mu"), (1.5 * F.col("a")).alias("a"),
+                          (3.0 * F.col("theta_deg")).alias("theta"))
     out = Y.log_prior(wide, "softbox").withColumnRenamed("log_prior", "soft")
-    return rnd(Y.log_prior(out, "gaussian", clip_k=None).withColumnRenamed("log_prior", "gauss"))
+    out = Y.log_prior(out, "gaussian", clip_k=None).withColumnRenamed("log_prior", "gauss")
+    return out.select("iter", F.round("soft", 4).alias("soft"), F.round("gauss", 6).alias("gauss"))
 
 
 SCORE = FIELD + f""",
