@@ -3,7 +3,7 @@
 Cells are first joined into horizontal runs, which shrinks the graph by the mean run length;
 only runs take part in the iteration.  Each round hooks every region to its smallest
 neighbouring region, flattens the hooks by pointer jumping and contracts the edges, so the edge
-table shrinks geometrically.  Between rounds the lineage is cut by a reliable checkpoint.
+table shrinks geometrically.  Between rounds the lineage is cut by a written table.
 """
 
 from __future__ import annotations
