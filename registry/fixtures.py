@@ -87,47 +87,64 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_FRAMES: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
-    """Lazy access to the derived tables of one data folder."""
+    """Lazy access to the derived tables of one data folder.
+
+    Frames (plans, not rows) are kept per application so that files are listed and schemas read
+    once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _kept(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _FRAMES:
+            _FRAMES[key] = build()
+        return _FRAMES[key]
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._kept(name, lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+
+    def _derived(self, name: str, *sources: str) -> DataFrame:
+        def build() -> DataFrame:
+            frames = {n: getattr(self, n) if n in TEXTS else self.read(n) for n in sources}
+            for n, df in frames.items():
+                df.createOrReplaceTempView(n)
+            return self.spark.sql(TEXTS[name])
 
-    def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
-        for name, df in frames.items():
-            df.createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        return self._kept(name, build)
 
     @property
     def cells(self) -> DataFrame:
-        return self._sql(CELLS, **{n: self.read(n) for n in ("lineitem", "customer", "nation", "orders")})
+        return self._derived("cells", "lineitem", "customer", "nation", "orders")
 
     @property
     def model_cells(self) -> DataFrame:
-        return self._sql(MODEL_CELLS, cells=self.cells)
+        return self._derived("model_cells", "cells")
 
     @property
     def points(self) -> DataFrame:
-        return self._sql(POINTS, customer=self.read("customer"))
+        return self._derived("points", "customer")
 
     @property
     def raster(self) -> DataFrame:
-        return self._sql(RASTER, part=self.read("part"))
+        return self._derived("raster", "part")
 
     @property
     def polygons(self) -> DataFrame:
-        return self.spark.sql(POLYGONS)
+        return self._derived("polygons")
 
     @property
     def chain(self) -> DataFrame:
-        return self._sql(CHAIN, events=self.read("events"))
+        return self._derived("chain", "events")
 
     @property
     def candidates(self) -> DataFrame:
-        return self.spark.sql(CANDIDATES)
+        return self._derived("candidates")
 
 
 def with_tables(*names: str) -> str:
