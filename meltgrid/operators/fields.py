@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from meltgrid.functions.mathx import EPS, clamp
 from meltgrid.functions.nulls import at_least, finite
 from meltgrid.operators.masks import flag
-from meltgrid.operators.ordered import midpoint_quantile
+from meltgrid.operators.ordered import constants, midpoint_quantile
 
 CHUNK = 1000
 
@@ -70,9 +70,8 @@ def ramp_constants(cells: DataFrame, thetas: Sequence[float], delta: str | None
     lines = cells.groupBy("y_m").agg(
         F.min(x).alias("x0"), F.max(x).alias("x1"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"),
         F.sum(known).alias("nf"), F.sum(factor).alias("sf"), F.sum(x * factor).alias("sxf"))
-    angle = F.explode(F.array(*[
-        F.struct(F.lit(float(th)).alias("theta"), F.lit(math.cos(math.radians(th))).alias("nx"),
-                 F.lit(math.sin(math.radians(th))).alias("ny")) for th in thetas]))
+    angle = F.explode(constants([
+        {"theta": float(th), "nx": math.cos(math.radians(th)), "ny": math.sin(math.radians(th))} for th in thetas]))
     wide = lines.withColumn("a", angle)
     ends = [F.col(e) * F.col("a.nx") + y * F.col("a.ny") for e in ("x0", "x1")]
     rows = wide.groupBy("a.theta", "a.nx", "a.ny").agg(
@@ -225,8 +224,8 @@ def _candidate_structs(part, ramps: dict[float, Ramp], extra: dict | None = None
         fields = {"id": i, "mu": mu, "a": a, "nx": r.nx, "ny": r.ny, "mid": r.mid,
                   "span": r.span if r.span else 1.0, "on": 0.0 if r.span == 0.0 else 2.0, "shift": shift}
         fields.update({k: v[i] for k, v in (extra or {}).items()})
-        items.append(F.struct(*[F.lit(v).alias(k) for k, v in fields.items()]))
-    return F.array(*items)
+        items.append({k: v if k == "id" else float(v) for k, v in fields.items()})
+    return constants(items)
 
 
 def _field_rows(cells: DataFrame, part, ramps, cfg: FieldConfig, keep: Sequence[str], delta: str | None,
@@ -250,8 +249,7 @@ def _middle_ramps(cells: DataFrame, ramps: dict[float, Ramp]) -> dict[float, tup
     over cells follows from these for every mean and amplitude at once.
     """
     r0 = next(iter(ramps.values()))
-    dirs = F.explode(F.array(*[F.struct(F.lit(th).alias("theta"), F.lit(r.nx).alias("nx"), F.lit(r.ny).alias("ny"))
-                               for th, r in ramps.items()]))
+    dirs = F.explode(constants([{"theta": float(th), "nx": r.nx, "ny": r.ny} for th, r in ramps.items()]))
     rows = cells.select((F.col("x_m") - r0.xm).alias("_dx"), (F.col("y_m") - r0.ym).alias("_dy"), dirs.alias("d"))
     rows = rows.select(F.col("d.theta").alias("theta"),
                        (F.col("_dx") * F.col("d.nx") + F.col("_dy") * F.col("d.ny")).alias("p"))
@@ -322,7 +320,7 @@ def proxy_score(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = FieldConf
     out = None
     for part in _chunks(cands, cfg):
         ramps = ramp_constants(cells, sorted({p[2] for p in part}), delta)
-        med = [float("inf") if m is None else m for m in _medians(roi, part, ramps, cfg, delta)]
+        med = [1e300 if m is None else m for m in _medians(roi, part, ramps, cfg, delta)]
         rows = _field_rows(roi, part, ramps, cfg, ["y"], delta, {"thr": med})
         wet, y = at_least(F.col("g"), F.col("c.thr")), F.col("y") == 1
         sums = rows.groupBy(F.col("c.mu").alias("mu"), F.col("c.a").alias("a"), F.col("c.id").alias("id")).agg(

@@ -28,6 +28,15 @@ def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(_ONE, F.lit(0)), [_ONE])
 
 
+def constants(rows: Sequence[Mapping[str, int | float]]) -> Column:
+    """Constant array of structs, written as one expression rather than call by call."""
+    def text(v: int | float) -> str:
+        return f"{v!r}D" if isinstance(v, float) else str(v)
+
+    return F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{k}', {text(v)}" for k, v in row.items()) + ")" for row in rows) + ")")
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     keyed, keys = _keyed(df, by)
     top = keyed.groupBy(*keys).count().agg(F.max("count")).first()[0]
@@ -118,11 +127,10 @@ def midpoint_quantile(df: DataFrame, col: str, ps: Mapping[str, float], by: Sequ
 def _interpolated(stats: DataFrame, keys: list[str], ps: Mapping[str, float], pairs: bool) -> DataFrame:
     cols = []
     for m in ps:
-        a, b = F.col(f"_a_{m}"), F.col(f"_b_{m}")
-        cols.append((a + F.col(f"_f_{m}") * (b - a)).alias(m))
+        cols.append(f"`_a_{m}` + `_f_{m}` * (`_b_{m}` - `_a_{m}`) AS `{m}`")
         if pairs:
-            cols += [a.alias(f"{m}_lo"), b.alias(f"{m}_hi")]
-    return stats.select(*keys, "n", *cols).drop(_ONE)
+            cols += [f"`_a_{m}` AS `{m}_lo`", f"`_b_{m}` AS `{m}_hi`"]
+    return stats.selectExpr(*keys, "n", *cols).drop(_ONE)
 
 
 def _window_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float]) -> DataFrame:
@@ -132,22 +140,21 @@ def _window_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float]) -
         "_cum": F.sum("n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)),
         "_all_n": F.sum("n").over(w),
     })
-    prev = F.col("_cum") - F.col("n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((prev < rank) & (rank <= F.col("_cum")), F.col("_v")))
-
-    aggs = [F.max("_all_n").alias("n")]
-    for name, p in ps.items():
-        pos = _position(F.col("_all_n"), p)
-        k0 = F.floor(pos)
-        k1 = F.least(k0 + 1, F.col("_all_n"))
-        aggs += [at(k0).alias(f"_a_{name}"), at(k1).alias(f"_b_{name}"), F.max(pos - k0).alias(f"_f_{name}")]
-    return run.groupBy(*keys).agg(*aggs)
-
-
-def _position(n: Column, p: float) -> Column:
-    return F.least(F.greatest(n * F.lit(float(p)) + 0.5, F.lit(1.0)), n.cast("double"))
+    # Few rows hold a wanted rank; each is kept once per probability it serves.
+    probs = constants([{"i": i, "p": float(p)} for i, p in enumerate(ps.values())])
+    run = run.withColumn("_p", F.explode(probs)).withColumn("_pos", _position(F.col("_all_n"), F.col("_p.p")))
+    k0 = F.floor("_pos")
+    k1 = F.least(k0 + 1, F.col("_all_n"))
+    prev, cum = F.col("_cum") - F.col("n"), F.col("_cum")
+    hits = run.filter((prev < k1) & (cum >= k0)).groupBy(*keys, F.col("_p.i").alias("i")).agg(
+        F.max("_all_n").alias("n"), F.max(F.when(prev < k0, F.col("_v"))).alias("a"),
+        F.max(F.when(cum >= k1, F.col("_v"))).alias("b"), F.max(F.col("_pos") - k0).alias("f"))
+    packed = hits.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "a", "b", "f"))).alias("_h"))
+    return packed.selectExpr(*keys, "n", *[f"_h[{i}].{c} AS `_{c}_{m}`" for i, m in enumerate(ps) for c in ("a", "b", "f")])
+
+
+def _position(n: Column, p: Column) -> Column:
+    return F.least(F.greatest(n * p + 0.5, F.lit(1.0)), n.cast("double"))
 
 
 def _bracket_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float], hot: list,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from meltgrid.functions.mathx import EPS
 from meltgrid.functions.names import FLAT_PREFIX
 from meltgrid.functions.nulls import finite
 from meltgrid.operators.metrics import detector_metrics, with_scores
-from meltgrid.operators.ordered import _keyed, midpoint_quantile, prefix_sums, value_counts
+from meltgrid.operators.ordered import _keyed, constants, midpoint_quantile, prefix_sums, value_counts
 from meltgrid.session import sized
 
 
@@ -50,6 +49,11 @@ def flat_confusion(cells: DataFrame, label: str, lo: int = 20, hi: int = 80, mar
     return with_scores(out)
 
 
+def _passed(col: str, op: str, ts: Sequence[float]) -> Column:
+    """How many of the sorted thresholds a value passes; none when it is missing."""
+    return F.expr("coalesce(" + " + ".join(f"cast(`{col}` {op} {t!r}D AS int)" for t in ts) + ", 0)")
+
+
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("model",),
                     pred: str = "pred", q: str = "q") -> DataFrame:
     """Hard confusion for every truth threshold ``q > t`` in one pass.
@@ -59,12 +63,12 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float], by: Sequence[str
     nothing else is recomputed.
     """
     ts = sorted(float(t) for t in thresholds)
-    above = reduce(lambda a, b: a + b, [F.coalesce((F.col(q) > t).cast("int"), F.lit(0)) for t in ts])
+    above = _passed(q, ">", ts)
     p = F.col(pred)
     tab = df.groupBy(*by, above.alias("_k")).agg(
         F.count_if(p).alias("_p"), F.count_if(~p).alias("_np"))
     # Row k of the count table is wet for the first k thresholds.
-    hit = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(ts)]))
+    hit = F.explode(constants([{"i": i, "threshold": t} for i, t in enumerate(ts)]))
     spread = tab.select(*by, "_k", "_p", "_np", hit.alias("s"))
     wet = F.col("_k") > F.col("s.i")
 
@@ -84,18 +88,21 @@ def detector_thresholds(df: DataFrame, q: str = "q", n: int = 80, lo: float = 0.
     ps = {f"p{i}": lo + i * step for i in range(n)}
     row = midpoint_quantile(df, q, ps).first()
     cuts = sorted({row[k] for k in ps})
-    share = df.agg(*[F.avg((F.col(q) >= c).cast("double")).alias(f"s{i}") for i, c in enumerate(cuts)]).first()
-    return [c for i, c in enumerate(cuts) if min_share <= share[f"s{i}"] <= 1 - min_share]
+    reached = _passed(q, ">=", cuts)
+    tab = df.filter(finite(F.col(q))).groupBy(reached.alias("k")).count().collect()
+    total = sum(r["count"] for r in tab)
+    share = [sum(r["count"] for r in tab if r["k"] > i) / total for i in range(len(cuts))]
+    return [c for c, s in zip(cuts, share) if min_share <= s <= 1 - min_share]
 
 
 def detector_sweep(df: DataFrame, q: str, mask: str, thresholds: Sequence[float]) -> DataFrame:
     """Detector ``q >= t`` against a mask, for all thresholds from one count table."""
     ts = sorted(float(t) for t in thresholds)
     src = df.filter(finite(F.col(q)))
-    reached = reduce(lambda a, b: a + b, [(F.col(q) >= t).cast("int") for t in ts])
+    reached = _passed(q, ">=", ts)
     m = F.coalesce(F.col(mask), F.lit(False))
     tab = src.groupBy(reached.alias("_k")).agg(F.count_if(m).alias("_in"), F.count_if(~m).alias("_out"))
-    hit = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("thr")) for i, t in enumerate(ts)]))
+    hit = F.explode(constants([{"i": i, "thr": t} for i, t in enumerate(ts)]))
     spread = tab.select("_k", "_in", "_out", hit.alias("s"))
     wet = F.col("_k") > F.col("s.i")
     out = spread.groupBy(F.col("s.thr").alias("thr")).agg(
