@@ -253,7 +253,7 @@ def avg_rank(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "avg_r
     src = df.filter(finite(F.col(col)))
     run = prefix_sums(value_counts(src, by, col), by, col, ["n"], group_rows)
     ranks = run.select(*by, col, (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
-    return src.join(ranks, [*by, col])
+    return src.join(sized(ranks), [*by, col])
 
 
 def cum_weight(df: DataFrame, weight: str, order: str, by: Sequence[str] = (), name: str = "cum_w",
@@ -265,7 +265,7 @@ def cum_weight(df: DataFrame, weight: str, order: str, by: Sequence[str] = (), n
 
 def trim_central(df: DataFrame, col: str, keep: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """Drop values outside the central share to NULL; ``trimmed`` marks them."""
-    tail = (1.0 - keep) / 2.0
+    tail = round((1.0 - keep) / 2.0, 12)
     cuts = midpoint_quantile(df, col, {"_lo": tail, "_hi": 1.0 - tail}, by).drop("n")
     keyed, keys = _keyed(df, by)
     keyed_cuts, _ = _keyed(cuts, by)

@@ -21,6 +21,7 @@ from meltgrid.operators.ordered import dense_index, midpoint_quantile, prefix_su
 from meltgrid.session import cut_lineage, sized
 
 METRICS = ("spec", "rec", "prec", "acc", "f1", "g_mean", "rec_in_wet", "rec_out_dry", "g_regional")
+SUMS = ("tp", "fp", "tn", "fn", "_wn", "_wd", "_dn", "_dd")
 REGION_CHUNK = 100_000
 
 
@@ -94,6 +95,69 @@ def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Se
     return _replicate_table(copies, _wet(cfg, F.col("model"), F.col("rep"), *stratum, F.col("draw")))
 
 
+def bootstrap_cells_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",)) -> DataFrame:
+    """N-of-N resampling that never moves a draw.
+
+    N uniform draws fall on the blocks (grid rows) multinomially and uniformly inside each block,
+    so every replicate first splits its N draws over the blocks and each block then draws from its
+    own cells.  Cells are shuffled once by block; only sums per (model, block, replicate) leave it.
+    A block holds at most one grid row of a model, and a model's list of block sizes has one entry
+    per grid row.
+    """
+    base = usable(df)
+    hard = (F.col("y") == 0) | (F.col("y") == 1)
+    if cfg.balance:
+        kinds = base.groupBy("model").agg(
+            ((F.count_if(F.col("y") == 1) > 0) & (F.count_if(F.col("y") == 0) > 0) & F.every(hard)).alias("_split"))
+        base = base.join(sized(kinds), "model").withColumn("_s", F.when(F.col("_split"), F.col("y").cast("int")).otherwise(-1))
+    else:
+        base = base.withColumn("_s", F.lit(-1))
+    noisy, seed, noise, n_boot = cfg.pred == "noisy", cfg.seed, cfg.noise, cfg.n_boot
+    base = base.select("model", "_s", F.col(block).cast("long").alias("_b"), *order, *_needed(base, cfg))
+    sizes = base.groupBy("model", "_s", "_b").agg(F.count(F.lit(1)).alias("n"))
+    lists = sizes.groupBy("model", "_s").agg(F.array_sort(F.collect_list(F.struct("_b", "n"))).alias("l"))
+    slots = lists.select("model", "_s", "l._b", "l.n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+
+    def split(frames: Iterator) -> Iterator:
+        import numpy as np
+
+        for pdf in frames:
+            for model, s, blocks, n, rep in zip(pdf["model"], pdf["_s"], pdf["_b"], pdf["n"], pdf["rep"]):
+                n = np.asarray(n, dtype="int64")
+                rng = np.random.default_rng([seed, zlib.crc32(model.encode()), int(s) + 1, int(rep)])
+                m = rng.multinomial(int(n.sum()), n / n.sum())
+                yield type(pdf)({"model": model, "_s": s, "_b": np.asarray(blocks), "rep": rep, "m": m})[m > 0]
+
+    shares = slots.repartition("model", "_s", "rep").mapInPandas(split, "model string, _s int, _b long, rep int, m long")
+
+    def draw(key, cells, counts):
+        import numpy as np
+
+        model, s, b = key
+        cells = cells.sort_values(list(order))
+        y = np.clip(cells["y"].to_numpy(dtype="float64"), 0.0, 1.0)
+        inner, outer = (cells[c].fillna(False).to_numpy(dtype=bool) for c in ("ispb", "ospb"))
+        out = []
+        for rep, m in zip(counts["rep"], counts["m"]):
+            rng = np.random.default_rng([seed, zlib.crc32(model.encode()), int(s) + 1, int(rep), int(b) & 0xFFFFFFFF])
+            i = rng.integers(0, len(y), int(m))
+            if noisy:
+                spread = np.sqrt(np.maximum(cells["s_total"].to_numpy()[i] ** 2, EPS))
+                wet = cells["gdiff"].to_numpy()[i] + noise * spread * rng.standard_normal(int(m)) >= cells["margin"].to_numpy()[i]
+            else:
+                wet = rng.random(int(m)) < cells["pw"].to_numpy()[i]
+            w, d = y[i], 1.0 - y[i]
+            a, o = inner[i], outer[i]
+            out.append((model, rep, w[wet].sum(), d[wet].sum(), d[~wet].sum(), w[~wet].sum(),
+                        w[wet & a].sum(), w[a].sum(), d[~wet & o].sum(), d[o].sum()))
+        return type(cells)(out, columns=["model", "rep", *SUMS])
+
+    keys = ["model", "_s", "_b"]
+    parts = base.groupBy(*keys).cogroup(shares.groupBy(*keys)).applyInPandas(
+        draw, "model string, rep int, " + ", ".join(f"{c} double" for c in SUMS))
+    return with_regional(with_scores(parts.groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in SUMS])))
+
+
 def pick_by_weight(draws: DataFrame, cdf: DataFrame, by: Sequence[str], u: str = "u") -> DataFrame:
     """First entry whose cumulative share reaches ``u``: ``cdf(by..., item, lo, hi, n)`` holds
     intervals (lo, hi].  Intervals meet draws through as many equal cells as there are entries,
@@ -204,7 +268,8 @@ def bands(reps: DataFrame, main: float = 0.95, inner: float = 0.50, by: Sequence
           metrics: Sequence[str] = METRICS) -> DataFrame:
     """Percentile bands per (model, metric); replicates without a value are left out."""
     long = to_long(reps, [*by, "rep"], metrics)
-    ps = {"lo95": (1 - main) / 2, "hi95": 1 - (1 - main) / 2, "lo50": (1 - inner) / 2, "hi50": 1 - (1 - inner) / 2}
+    outer, middle = round((1 - main) / 2, 12), round((1 - inner) / 2, 12)
+    ps = {"lo95": outer, "hi95": 1 - outer, "lo50": middle, "hi50": 1 - middle}
     return midpoint_quantile(long, "value", ps, [*by, "metric"]).withColumnRenamed("n", "n_rep")
 
 

@@ -36,7 +36,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, band: float, key:
     edges = polygon_edges(polygons)
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     bands = F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band)))
-    rings = edges.withColumn("_band", bands).groupBy("_band", "region", "part", "ring").agg(
+    spread = edges.withColumn("_band", bands)
+    flat = sized(spread)
+    rings = flat.groupBy("_band", "region", "part", "ring").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
     box = edges.groupBy("region", "part", "ring").agg(
         F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"))
@@ -59,7 +61,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, band: float, key:
         return x.between(ring["x0"], ring["x9"]) & (odd | F.exists(ring["edges"], touches))
 
     near = points.select(*key, "x_m", "y_m", F.floor(F.col("y_m") / band).alias("_band"))
-    return near.join(sized(packed), "_band").filter(F.exists("_rings", holds)).select(*key, "region")
+    # Packing keeps the number of edges, so the size proven for the flat edges holds for it.
+    side = packed if flat is spread else F.broadcast(packed)
+    return near.join(side, "_band").filter(F.exists("_rings", holds)).select(*key, "region")
 
 
 def region_columns(points: DataFrame, polygons: DataFrame, regions: Sequence[str], band: float,

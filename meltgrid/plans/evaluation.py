@@ -80,12 +80,17 @@ def with_regions(rows: DataFrame, cells: DataFrame, cfg: EvalConfig) -> DataFram
 
 
 def replicates(rows: DataFrame, cfg: EvalConfig) -> DataFrame:
-    """Bootstrap by the cheapest form that is exact for the labels and the mode in use."""
+    """Bootstrap by the cheapest form that is exact for the labels and the mode in use.
+
+    ``md5`` draws ask for the form any SQL engine can repeat.
+    """
     if cfg.mode == "components":
         return R.bootstrap_components(rows, cfg.boot)
     if cfg.truth == "binary" and cfg.boot.pred == "bernoulli" and not cfg.boot.balance:
         return R.bootstrap_cells_hard(rows, cfg.boot)
-    return R.bootstrap_cells(rows, cfg.boot)
+    if cfg.boot.draws == "md5":
+        return R.bootstrap_cells(rows, cfg.boot)
+    return R.bootstrap_cells_blocked(rows, cfg.boot)
 
 
 def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()) -> dict[str, DataFrame]:

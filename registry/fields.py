@@ -231,11 +231,11 @@ srt AS (SELECT param, x, row_number() OVER (PARTITION BY param ORDER BY x) AS i,
 hp AS (SELECT a.param, arg_min(a.x, (b.x - a.x, a.i)) AS hpd_lo, arg_min(b.x, (b.x - a.x, a.i)) AS hpd_hi FROM srt a JOIN srt b ON b.param = a.param AND b.i = a.i + cast(floor(95e-2 * a.n) AS bigint) GROUP BY a.param),
 rk AS (SELECT param, x, row_number() OVER (PARTITION BY param ORDER BY iter) AS i, count(*) OVER (PARTITION BY param) AS n FROM long),
 used AS (SELECT param, x, greatest(10, floor(sqrt(n))) AS k, floor((i - 1) / floor(n / greatest(10, floor(sqrt(n))))) AS b FROM rk
- WHERE i <= floor(n / greatest(10, floor(sqrt(n)))) * greatest(10, floor(sqrt(n)))),
+ WHERE floor(n / greatest(10, floor(sqrt(n)))) >= 2 AND i <= floor(n / greatest(10, floor(sqrt(n)))) * greatest(10, floor(sqrt(n)))),
 bm AS (SELECT param, b, max(k) AS k, avg(x) AS m FROM used GROUP BY param, b),
 me AS (SELECT param, stddev_pop(m) / sqrt(max(k)) AS mcse FROM bm GROUP BY param), va AS (SELECT param, var_pop(x) AS v FROM used GROUP BY param)""", sql=f"""
 SELECT qs.param, qs.n, {sel('median', 'lo50', 'hi50', 'lo95', 'hi95', 'hpd_lo', 'hpd_hi', 'mcse')}, {r('v / pow(mcse, 2)', 4)} AS ess
-FROM qs JOIN hp ON hp.param = qs.param JOIN me ON me.param = qs.param JOIN va ON va.param = qs.param""")
+FROM qs JOIN hp ON hp.param = qs.param LEFT JOIN me ON me.param = qs.param LEFT JOIN va ON va.param = qs.param""")
 def _(t):
     out = Q.best_region(kept(t), mode="topfrac")
     return rnd(out.drop("ess")).join(out.select("param", F.round("ess", 4).alias("ess")), "param")

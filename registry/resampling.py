@@ -77,6 +77,12 @@ def _(t):
     return rnd(R.bootstrap_cells_hard(weighted_rows(t, "y"), R.BootConfig(n_boot=200)))
 
 
+@query("bootstrap_cells_blocked", "B1")
+def _(t):
+    """Block form for soft labels; random by design, checked against the resampling form."""
+    return rnd(R.bootstrap_cells_blocked(weighted_rows(t), R.BootConfig(n_boot=20)))
+
+
 def _with_components(t, label="w"):
     rows = weighted_rows(t, label)
     comps = members(t).select("cell_id", "comp_id")

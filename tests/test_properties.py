@@ -120,6 +120,27 @@ def test_exact_counts_agree_with_resampling(rows):
             assert 0.7 < x.std() / y.std() < 1.4
 
 
+@pytest.mark.parametrize("kw", [{}, {"pred": "noisy"}, {"balance": True}])
+def test_blocked_form_agrees_with_resampling(rows, kw):
+    n = 120
+    a = R.bootstrap_cells(rows, R.BootConfig(n_boot=n, **kw)).toPandas()
+    b = R.bootstrap_cells_blocked(rows, R.BootConfig(n_boot=400, **kw)).toPandas()
+    assert set(b.tp + b.fp + b.tn + b.fn) == {1500.0} and len(b) == 800
+    for m in ("A", "B"):
+        for c in ("tp", "fp", "tn", "fn", "rec_in_wet", "rec_out_dry"):
+            x, y = a[a.model == m][c], b[b.model == m][c]
+            assert abs(x.mean() - y.mean()) < 5 * y.std() / math.sqrt(n)
+            assert 0.7 < x.std() / y.std() < 1.4
+
+
+def test_blocked_form_does_not_depend_on_partitioning(rows):
+    cfg = R.BootConfig(n_boot=3)
+    a, b = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in
+                   R.bootstrap_cells_blocked(rows.repartition(n), cfg).select("model", "rep", "tp", "rec_in_wet").collect())
+            for n in (1, 9))
+    assert a == b and len(a) == 6
+
+
 def test_models_without_regions_fall_back_to_cells(rows):
     df = rows.withColumn("comp_id", F.when(F.col("model") == "A", F.col("comp_id")).otherwise(0))
     cfg = R.BootConfig(n_boot=2)
