@@ -181,16 +181,10 @@ def component_table(base: DataFrame) -> DataFrame:
                       (F.col("cum_cells") / F.col("_all")).alias("hi"))
 
 
-def bootstrap_components(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",)) -> DataFrame:
-    """Resample ``round(mfrac nC)`` regions with replacement; all cells of a drawn region enter,
-    each copy with its own prediction draw.  Models without any region fall back to cells.
-
-    A region larger than ``REGION_CHUNK`` cells is cut into parts that are joined separately.
-    """
-    place = [c for c in (block, *order) if c in df.columns]
-    base = usable(df)
-    base = cut_lineage(base.select("model", "comp_id", "cell_id", *dict.fromkeys(place), *_needed(base, cfg)))
-    comps = cut_lineage(component_table(base))
+def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig) -> tuple[DataFrame, DataFrame]:
+    """Drawn regions ``(model, rep, draw, comp_id, _part)`` and the cells ``(..., _part)`` they
+    bring.  A region larger than ``REGION_CHUNK`` cells is cut into parts, so no join key or group
+    holds more than that."""
     take = F.greatest(F.lit(1), F.round(F.lit(cfg.mfrac) * F.col("n_comp")))
     slots = comps.filter(F.col("idx") < take).select(
         "model", "n_comp", F.col("idx").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(cfg.n_boot - 1))).alias("rep"))
@@ -206,13 +200,71 @@ def bootstrap_components(df: DataFrame, cfg: BootConfig, block: str = "ri", orde
     members = base.filter("comp_id > 0").join(
         comps.select("model", "comp_id", parts.alias("_parts")), ["model", "comp_id"])
     members = members.withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.col("_parts")).cast("int"))
-    cols = ["model", "comp_id", "_part", "cell_id", *_needed(base, cfg)]
-    copies = drawn.join(members.select(*cols), ["model", "comp_id", "_part"])
+    return drawn, members.select("model", "comp_id", "_part", "cell_id", *_needed(base, cfg))
+
+
+def _component_base(df: DataFrame, cfg: BootConfig, block: str, order: Sequence[str]) -> DataFrame:
+    place = [c for c in (block, *order) if c in df.columns]
+    base = usable(df)
+    return cut_lineage(base.select("model", "comp_id", "cell_id", *dict.fromkeys(place), *_needed(base, cfg)))
+
+
+def bootstrap_components(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",)) -> DataFrame:
+    """Resample ``round(mfrac nC)`` regions with replacement; all cells of a drawn region enter,
+    each copy with its own prediction draw.  Models without any region fall back to cells."""
+    base = _component_base(df, cfg, block, order)
+    comps = cut_lineage(component_table(base))
+    drawn, members = _drawn_components(base, comps, cfg)
+    copies = drawn.join(members, ["model", "comp_id", "_part"])
     out = _replicate_table(copies, _wet(cfg, F.col("model"), F.col("rep"), F.col("draw"), F.col("cell_id")))
     bare = base.join(comps.select("model").distinct(), "model", "left_anti")
     return out if bare.isEmpty() else out.unionByName(bootstrap_cells(bare, cfg, block, order))
 
 
+def bootstrap_components_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri",
+                                 order: Sequence[str] = ("ci",)) -> DataFrame:
+    """The same resampling without a row per drawn copy.
+
+    A region drawn ``k`` times gives every one of its cells ``k`` independent predictions, so each
+    region part meets its draw counts once and only sums per (model, part, replicate) leave it.
+    """
+    base = _component_base(df, cfg, block, order)
+    comps = cut_lineage(component_table(base))
+    drawn, members = _drawn_components(base, comps, cfg)
+    keys = ["model", "comp_id", "_part"]
+    counts = drawn.groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("k"))
+    noisy, seed, noise = cfg.pred == "noisy", cfg.seed, cfg.noise
+
+    def draw(key, cells, times):
+        import numpy as np
+
+        model, comp, part = key
+        if cells.empty or times.empty:
+            return type(cells)(columns=["model", "rep", *SUMS])
+        cells = cells.sort_values("cell_id")
+        y = np.clip(cells["y"].to_numpy(dtype="float64"), 0.0, 1.0)
+        a, o = (cells[c].fillna(False).to_numpy(dtype=bool) for c in ("ispb", "ospb"))
+        out = []
+        for rep, k in zip(times["rep"], times["k"]):
+            rng = np.random.default_rng([seed, zlib.crc32(model.encode()), int(comp), int(part), int(rep)])
+            if noisy:
+                spread = noise * np.sqrt(np.maximum(cells["s_total"].to_numpy() ** 2, EPS))
+                gap = cells["margin"].to_numpy() - cells["gdiff"].to_numpy()
+                wet = sum((spread * rng.standard_normal(len(y)) >= gap).astype("float64") for _ in range(int(k)))
+            else:
+                wet = rng.binomial(int(k), np.clip(cells["pw"].to_numpy(), 0.0, 1.0)).astype("float64")
+            dry = k - wet
+            out.append((model, rep, (wet * y).sum(), (wet * (1 - y)).sum(), (dry * (1 - y)).sum(), (dry * y).sum(),
+                        (wet * y)[a].sum(), (k * y)[a].sum(), (dry * (1 - y))[o].sum(), (k * (1 - y))[o].sum()))
+        return type(cells)(out, columns=["model", "rep", *SUMS])
+
+    sums = members.groupBy(*keys).cogroup(counts.groupBy(*keys)).applyInPandas(
+        draw, "model string, rep int, " + ", ".join(f"{c} double" for c in SUMS))
+    out = with_regional(with_scores(sums.groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in SUMS])))
+    bare = base.join(comps.select("model").distinct(), "model", "left_anti")
+    return out if bare.isEmpty() else out.unionByName(bootstrap_cells_blocked(bare, cfg, block, order))
+
+
 def bootstrap_cells_hard(df: DataFrame, cfg: BootConfig) -> DataFrame:
     """The cell bootstrap for hard labels without resampling a cell.
 

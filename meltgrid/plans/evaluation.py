@@ -85,7 +85,8 @@ def replicates(rows: DataFrame, cfg: EvalConfig) -> DataFrame:
     ``md5`` draws ask for the form any SQL engine can repeat.
     """
     if cfg.mode == "components":
-        return R.bootstrap_components(rows, cfg.boot)
+        form = R.bootstrap_components if cfg.boot.draws == "md5" else R.bootstrap_components_blocked
+        return form(rows, cfg.boot)
     if cfg.truth == "binary" and cfg.boot.pred == "bernoulli" and not cfg.boot.balance:
         return R.bootstrap_cells_hard(rows, cfg.boot)
     if cfg.boot.draws == "md5":

@@ -115,6 +115,12 @@ def _(t):
     return rnd(R.bootstrap_components(_with_components(t), _cfg(by_size=True)))
 
 
+@query("bootstrap_regions_blocked", "B3")
+def _(t):
+    """Block form of the region bootstrap; random by design, checked against the joined form."""
+    return rnd(R.bootstrap_components_blocked(_with_components(t), R.BootConfig(n_boot=20)))
+
+
 BANDS = _cell_ctes("w", BERNOULLI) + f""",
 lg AS (UNPIVOT (SELECT model, rep, {', '.join(R.METRICS)} FROM ({regional_sql('(' + score_sql('c') + ')')})) ON {', '.join(R.METRICS)} INTO NAME metric VALUE value),
 bd AS ({quantile_sql('lg', 'value', {'lo95': 0.025, 'hi95': 0.975, 'lo50': 0.25, 'hi50': 0.75}, 'model, metric')}),

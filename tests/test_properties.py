@@ -133,6 +133,21 @@ def test_blocked_form_agrees_with_resampling(rows, kw):
             assert 0.7 < x.std() / y.std() < 1.4
 
 
+@pytest.mark.parametrize("kw", [{}, {"pred": "noisy"}, {"by_size": True}])
+def test_blocked_regions_agree_with_joined_form(rows, kw, monkeypatch):
+    monkeypatch.setattr(R, "REGION_CHUNK", 40)
+    df = rows.withColumn("comp_id", F.when(F.col("comp_id") % 3 == 0, 0).otherwise(F.col("comp_id")))
+    a = R.bootstrap_components(df, R.BootConfig(n_boot=120, **kw)).toPandas()
+    b = R.bootstrap_components_blocked(df, R.BootConfig(n_boot=120, **kw)).toPandas()
+    # The drawn regions are the same, so sizes agree replicate by replicate.
+    size = [x.set_index(["model", "rep"]).sort_index() for x in (a, b)]
+    total = [(x.tp + x.fp + x.tn + x.fn).round(6).tolist() for x in size]
+    assert total[0] == total[1] and len(a) == 240
+    for c in ("tp", "fp", "tn", "fn", "rec_in_wet", "rec_out_dry"):
+        assert abs(size[0][c] - size[1][c]).mean() < 3 * size[1][c].std()
+        assert abs(size[0][c].mean() - size[1][c].mean()) < 0.6 * size[1][c].std()
+
+
 def test_blocked_form_does_not_depend_on_partitioning(rows):
     cfg = R.BootConfig(n_boot=3)
     a, b = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in

@@ -7,7 +7,7 @@ from check_queries import compare, connect
 
 SF = "/root/testdata/sf0.001"
 ORACLE = entry.oracle_sql()
-RANDOM = {"bootstrap_cells_exact_counts", "bootstrap_cells_blocked", "evaluation_report_table"}
+RANDOM = {"bootstrap_cells_exact_counts", "bootstrap_cells_blocked", "bootstrap_regions_blocked", "evaluation_report_table"}
 MAY_BE_EMPTY = {"connected_regions", "candidate_search"}
 
 
