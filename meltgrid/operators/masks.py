@@ -53,8 +53,12 @@ def region_mask(region: str) -> Column:
 
 
 def with_masks(cells: DataFrame, cfg: MaskConfig = MaskConfig()) -> DataFrame:
-    """Add ``valid, slow, reg, viz, roi``.  ``q`` must already be cleaned."""
-    valid = finite(F.col("q")) & finite(F.col("h")) & finite(F.col("icevel"))
+    """Add ``valid, slow, reg, viz, roi``.  ``q`` must already be cleaned; cells marked
+    ``q_sentinel`` count as observed."""
+    seen = finite(F.col("q"))
+    if "q_sentinel" in cells.columns:
+        seen = seen | flag(F.col("q_sentinel"))
+    valid = seen & finite(F.col("h")) & finite(F.col("icevel"))
     slow = valid & ~flag(F.col("icevel") > cfg.v_keep)
     reg = rect_mask(F.col("x_m"), F.col("y_m"), cfg.rects, cfg.rect_mode) & region_mask(cfg.region)
     for axis, lim in (("x_m", cfg.x_range), ("y_m", cfg.y_range)):

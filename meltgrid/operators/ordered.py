@@ -118,6 +118,8 @@ def midpoint_quantile(df: DataFrame, col: str, ps: Mapping[str, float], by: Sequ
     hot = groups.filter(F.col("n") > group_rows).collect()
     if not hot:
         return _interpolated(_window_quantile(src, keys, ps), keys, ps, pairs)
+    # Several passes follow: keep only the keys and the value, written once.
+    src = cut_lineage(src)
     hot_df = src.sparkSession.createDataFrame(hot, groups.schema)
     done = _bracket_quantile(src, keys, ps, hot, group_rows)
     cold = src.join(F.broadcast(hot_df.select(*keys)), keys, "left_anti")

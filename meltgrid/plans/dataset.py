@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltgrid.functions.nulls import clean
+from meltgrid.functions.nulls import SENTINEL, clean
 from meltgrid.functions.physics import advection_flux, flow_dir, gdiff, gmin, sigma_gmin, topo_correct
 from meltgrid.operators.grid import along_flow, gradient2d
+from meltgrid.operators.masks import flag
 from meltgrid.operators.models import with_flat_fields
 from meltgrid.operators.ordered import trim_central
 
@@ -15,13 +16,12 @@ SENTINEL_LAYERS = ("q", "h", "ts", "mb", "icevel")
 
 
 def clean_layers(cells: DataFrame, sentinel_as_dry: bool = False) -> DataFrame:
-    """Missing values to NULL.  ``sentinel_as_dry`` keeps the sentinel in the observation as a
-    valid zero, for comparison with evaluations that counted it so."""
-    out = cells.withColumns({c: clean(F.col(c)) for c in SENTINEL_LAYERS if c in cells.columns and c != "q"})
-    q = clean(F.col("q"))
+    """Missing values to NULL.  ``sentinel_as_dry`` marks cells whose observation is the sentinel,
+    so that masks keep them as observed; without a value they are labelled dry."""
+    out = cells
     if sentinel_as_dry:
-        q = F.when(F.col("q") == 9999.0, 0.0).otherwise(q)
-    return out.withColumn("q", q)
+        out = out.withColumn("q_sentinel", flag(F.col("q") == SENTINEL))
+    return out.withColumns({c: clean(F.col(c)) for c in SENTINEL_LAYERS if c in cells.columns})
 
 
 def with_advection(cells: DataFrame, step: float, f: float = 0.5, k: float = 0.333, trim: float | None = 0.95) -> DataFrame:

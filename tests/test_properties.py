@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meltgrid.functions import physics as X
 from meltgrid.functions.mathx import erf, uniform
 from meltgrid.functions.nulls import at_least, clean
-from meltgrid.functions.truth import p_wet
+from meltgrid.functions.truth import p_wet, truth_weight
 from meltgrid.operators import fields as Y
 from meltgrid.operators import grid as G
 from meltgrid.operators import metrics as M
@@ -17,6 +17,7 @@ from meltgrid.operators import models as D
 from meltgrid.operators import resample as R
 from meltgrid.operators import spatial as P
 from meltgrid.operators import sweeps as W
+from meltgrid.operators.masks import with_masks
 from meltgrid.plans import dataset
 from meltgrid.sources import files as S
 
@@ -265,10 +266,14 @@ def test_candidates_in_several_chunks(spark, monkeypatch):
     assert [pytest.approx(w, abs=1e-9) for w in want] == got and len(got) == 7
 
 
-def test_sentinel_option(spark):
-    df = spark.createDataFrame([(9999.0, 1.0), (0.3, 1.0)], "q double, h double")
-    assert [r["q"] for r in dataset.clean_layers(df).collect()] == [None, 0.3]
-    assert [r["q"] for r in dataset.clean_layers(df, sentinel_as_dry=True).collect()] == [0.0, 0.3]
+def test_sentinel_cells_are_missing_or_dry(spark):
+    df = spark.createDataFrame([(9999.0,), (0.3,), (None,)], "q double").withColumns({
+        c: F.lit(1.0) for c in ("h", "icevel", "x_m", "y_m")}).withColumn("sink", F.lit(True))
+    valid = lambda **kw: [r["valid"] for r in with_masks(dataset.clean_layers(df, **kw)).collect()]
+    assert valid() == [False, True, False]
+    assert valid(sentinel_as_dry=True) == [True, True, False]
+    kept = dataset.clean_layers(df, sentinel_as_dry=True).select(truth_weight(F.col("q"), "logistic"), "q").collect()
+    assert kept[0][0] == 0.0 and kept[0]["q"] is None
 
 
 def test_advection_of_level_ground_is_zero(spark):
