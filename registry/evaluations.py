@@ -47,11 +47,16 @@ def _(t):
     return rnd(E.evaluate(t.cells, t.model_cells, config())["weighted"])
 
 
-@query("evaluation_report_table", "A29 W5 B6 B7")
+@query("evaluation_report_table", "A29 W5 B6 B7", tables=CM, ctes=EVAL + f""",
+c AS (SELECT model, {SOFT.format(p='pw', y='y')} FROM pr WHERE pw IS NOT NULL GROUP BY model),
+ce AS (SELECT model, median(g) AS center FROM masked k JOIN model_cells m ON m.cell_id = k.cell_id WHERE slow GROUP BY model UNION ALL SELECT 'Flat_' || v, v FROM range(30, 61) AS f(v))""",
+       sql=f"SELECT c.model, {r('center')} AS center, {r('g_mean')} AS exp, c.model LIKE 'Flat%' AS is_flat, true AS good, true AS ordered FROM ({score_sql('c')}) c JOIN ce ON ce.model = c.model")
 def _(t):
-    """Metric table of the exact-count bootstrap; random by design."""
+    """Report table; the bands come from the exact-count bootstrap, so only their order is checked."""
     out = E.evaluate(t.cells, t.model_cells, config(truth="binary"))
-    return rnd(report.metric_table(out["gstats"], out["centers"], "g_mean"))
+    table = report.metric_table(out["gstats"], out["centers"], "g_mean")
+    ordered = (F.col("lo95") <= F.col("lo50")) & (F.col("lo50") <= F.col("hi50")) & (F.col("hi50") <= F.col("hi95"))
+    return rnd(table.select("model", "center", "exp", "is_flat", "good", ordered.alias("ordered")))
 
 
 @query("evaluation_threshold_runs", "B8 B3", tables=CM, ctes=MASKED.replace("WHERE slow AND coalesce(sink, false)", "WHERE slow") + f""",

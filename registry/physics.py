@@ -13,6 +13,7 @@ from meltgrid.operators import masks as K
 from meltgrid.operators import ordered as O
 from meltgrid.operators import summaries as U
 from meltgrid.operators.models import last_meeting
+from meltgrid.session import cut_lineage
 from registry.base import query, r, rnd, sel
 from registry.frames import (CLEAN, LABELLED, MASKED, NCOLS, STEP, clean_cells, erf_sql, gmin_sql, labelled, masked,
                              quantile_sql)
@@ -131,7 +132,7 @@ def _(t):
 cut AS ({quantile_sql('adv', 'dq', {'lo': 0.025, 'hi': 0.975})})""", sql=f"""
 SELECT cell_id, {r('CASE WHEN dq BETWEEN lo AND hi THEN dq END')} AS dq, coalesce(dq < lo OR dq > hi, false) AS trimmed FROM adv, cut""")
 def _(t):
-    return rnd(O.trim_central(advected(t).select("cell_id", "dq"), "dq"))
+    return rnd(O.trim_central(cut_lineage(advected(t).select("cell_id", "dq")), "dq"))
 
 
 @query("advection_summary", "A24", tables=CELLS, ctes=ADV + f""",
@@ -139,7 +140,7 @@ qq AS ({quantile_sql('adv', 'dq', {'p01': 0.01, 'p05': 0.05, 'p25': 0.25, 'p50':
 ag AS (SELECT min(dq) AS min, max(dq) AS max, avg(dq) AS mean, stddev_samp(dq) AS std FROM adv)""", sql=f"""
 SELECT n, {sel('min', 'max', 'mean', 'std', 'p01', 'p05', 'p25', 'p50', 'p75', 'p95', 'p99')} FROM ag, qq""")
 def _(t):
-    return rnd(U.field_summary(advected(t), "dq"))
+    return rnd(U.field_summary(cut_lineage(advected(t).select("cell_id", "dq")), "dq"))
 
 
 @query("advection_sign_flip", "A24", tables=CELLS, ctes=ADV, sql=f"""

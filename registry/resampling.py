@@ -71,16 +71,33 @@ def _(t):
     return rnd(R.bootstrap_cells(weighted_rows(t), _cfg(pred="noisy")))
 
 
-@query("bootstrap_cells_exact_counts", "B1")
+def mean_check(reps, expected):
+    """Replicates per model, cells per replicate, expected wet hits and whether their mean agrees."""
+    both = reps.join(expected.select("model", F.col("tp").alias("tp_exp")), "model")
+    out = both.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rep"), F.min(F.round(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).alias("cells"),
+        F.max("tp_exp").alias("tp_exp"), F.avg("tp").alias("_m"), F.stddev_samp("tp").alias("_s"))
+    near = F.abs(F.col("_m") - F.col("tp_exp")) <= 6.0 * F.col("_s") / F.sqrt("n_rep") + 1e-9
+    return rnd(out.select("model", "n_rep", "cells", "tp_exp", near.alias("mean_agrees")))
+
+
+def _mean_sql(y: str, reps: int) -> str:
+    return (f"SELECT model, cast({reps} AS bigint) AS n_rep, cast(count(*) AS double) AS cells, {r(f'sum(pw * {y})')} AS tp_exp, "
+            "true AS mean_agrees FROM p WHERE pw IS NOT NULL GROUP BY model")
+
+
+@query("bootstrap_cells_exact_counts", "B1", tables=CM, ctes=PW, sql=_mean_sql("y", 200))
 def _(t):
-    """Multinomial form for hard labels; random by design, checked against the resampling form."""
-    return rnd(R.bootstrap_cells_hard(weighted_rows(t, "y"), R.BootConfig(n_boot=200)))
+    """Multinomial form for hard labels; its draws are its own, so their mean is checked."""
+    rows = weighted_rows(t, "y")
+    return mean_check(R.bootstrap_cells_hard(rows, R.BootConfig(n_boot=200)), M.expected_metrics(rows))
 
 
-@query("bootstrap_cells_blocked", "B1")
+@query("bootstrap_cells_blocked", "B1", tables=CM, ctes=PW, sql=_mean_sql("w", 30))
 def _(t):
-    """Block form for soft labels; random by design, checked against the resampling form."""
-    return rnd(R.bootstrap_cells_blocked(weighted_rows(t), R.BootConfig(n_boot=20)))
+    """Block form for soft labels; its draws are its own, so their mean is checked."""
+    rows = weighted_rows(t)
+    return mean_check(R.bootstrap_cells_blocked(rows, R.BootConfig(n_boot=30)), M.expected_metrics(rows))
 
 
 def _with_components(t, label="w"):
@@ -115,10 +132,13 @@ def _(t):
     return rnd(R.bootstrap_components(_with_components(t), _cfg(by_size=True)))
 
 
-@query("bootstrap_regions_blocked", "B3")
+@query("bootstrap_regions_blocked", "B3", tables=CM, ctes=_comp_ctes(f"ct.idx = cast(floor({uniform_sql('sl.k')} * sl.nc) AS bigint)"), sql=f"""
+SELECT model, cast(rep AS int) AS rep, {r('tp + fp + tn + fn')} AS cells, {r('tp + fn')} AS wet_mass FROM c""")
 def _(t):
-    """Block form of the region bootstrap; random by design, checked against the joined form."""
-    return rnd(R.bootstrap_components_blocked(_with_components(t), R.BootConfig(n_boot=20)))
+    """Block form: the drawn regions, and so sizes and label mass, are those of the joined form."""
+    reps = R.bootstrap_components_blocked(_with_components(t), _cfg())
+    return rnd(reps.select("model", "rep", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("cells"),
+                           (F.col("tp") + F.col("fn")).alias("wet_mass")))
 
 
 BANDS = _cell_ctes("w", BERNOULLI) + f""",

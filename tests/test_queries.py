@@ -7,7 +7,6 @@ from check_queries import compare, connect
 
 SF = "/root/testdata/sf0.001"
 ORACLE = entry.oracle_sql()
-RANDOM = {"bootstrap_cells_exact_counts", "bootstrap_cells_blocked", "bootstrap_regions_blocked", "evaluation_report_table"}
 MAY_BE_EMPTY = {"connected_regions", "candidate_search"}
 
 
@@ -19,10 +18,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_sql(name, spark, duck):
     res = compare(entry.queries()[name](spark, SF), duck, ORACLE.get(name))
-    if name in RANDOM:
-        assert res.startswith("rows only")
-    else:
-        assert res == "" or (res == "EMPTY" and name in MAY_BE_EMPTY)
+    assert res == "" or (res == "EMPTY" and name in MAY_BE_EMPTY)
 
 
 def test_every_inventory_id_is_covered():
@@ -33,8 +29,8 @@ def test_every_inventory_id_is_covered():
     assert not ids - have
 
 
-def test_only_random_queries_lack_sql():
-    assert set(entry.queries()) - set(ORACLE) == RANDOM
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(ORACLE)
 
 
 def test_flagship_has_stable_schema(spark):
