@@ -95,7 +95,7 @@ def connected_components(mask: DataFrame, conn: int = 8, min_size: int = 1,
                                        F.min("run").alias("first"))
     kept = sizes.filter(F.col("cells") >= min_size).withColumn("one", F.lit(1))
     ids = prefix_sums(kept, [], "first", ["one"], group_rows).select("root", F.col("cum_one").alias("comp_id"))
-    return tagged.join(ids, "root").select(
+    return tagged.join(sized(ids), "root").select(
         "ri", F.explode(F.sequence("start", "stop")).alias("ci"), F.col("comp_id").cast("long").alias("comp_id"))
 
 
@@ -110,7 +110,7 @@ def component_sizes(members: DataFrame, warn_below: int = 50) -> DataFrame:
 def component_wet(members: DataFrame, label: str = "y") -> DataFrame:
     """Cells of regions holding at least one wet cell are marked wet."""
     wet = members.groupBy("comp_id").agg(F.coalesce(F.bool_or(F.col(label) == 1), F.lit(False)).alias("wet_comp"))
-    return members.join(wet, "comp_id")
+    return members.join(sized(wet), "comp_id")
 
 
 def component_records(members: DataFrame, cell_km2: float, step: float, label: str = "y") -> DataFrame:

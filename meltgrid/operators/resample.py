@@ -198,7 +198,7 @@ def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig) -> tup
     parts = F.ceil(F.col("cells") / REGION_CHUNK).cast("int")
     drawn = drawn.select("model", "rep", "draw", "comp_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
     members = base.filter("comp_id > 0").join(
-        comps.select("model", "comp_id", parts.alias("_parts")), ["model", "comp_id"])
+        sized(comps.select("model", "comp_id", parts.alias("_parts"))), ["model", "comp_id"])
     members = members.withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.col("_parts")).cast("int"))
     return drawn, members.select("model", "comp_id", "_part", "cell_id", *_needed(base, cfg))
 
