@@ -138,7 +138,3 @@ def region_stats(members: DataFrame, regions: dict[str, Column], cell_km2: float
 def members_of(cells: DataFrame, components: DataFrame) -> DataFrame:
     """Scored cells inside a region, with its number."""
     return cells.join(components.filter("comp_id > 0"), ["ri", "ci"])
-
-
-__all__ = ["component_records", "component_sizes", "component_wet", "connected_components", "graph_components",
-           "mask_runs", "members_of", "region_stats", "run_edges", "sized"]

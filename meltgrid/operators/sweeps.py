@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meltgrid.functions.mathx import EPS
 from meltgrid.functions.names import FLAT_PREFIX
 from meltgrid.functions.nulls import finite
 from meltgrid.operators.metrics import detector_metrics, with_scores
@@ -144,7 +143,3 @@ def wet_index(df: DataFrame, q: str, thresholds: Sequence[float], key: str = "ce
     hits = F.array_compact(F.array(*[
         F.when(F.col(q) >= t, F.struct(F.lit(i).alias("thr_no"), F.lit(t).alias("thr"))) for i, t in enumerate(ts)]))
     return df.filter(finite(F.col(q))).select(key, F.explode(hits).alias("h")).select("h.thr_no", "h.thr", key)
-
-
-__all__ = ["EPS", "best_threshold", "detector_sweep", "detector_thresholds", "flat_confusion", "roc_curve",
-           "threshold_sweep", "wet_index"]

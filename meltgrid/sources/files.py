@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.functions.nulls import NODATA, finite
-from meltgrid.session import scratch_path
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

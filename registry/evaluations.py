@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meltgrid.operators import fields as Y
 from meltgrid.operators import resample as R
 from meltgrid.operators.masks import MaskConfig
 from meltgrid.plans import candidates as P
@@ -79,6 +78,3 @@ po AS (SELECT sc.mu, sc.a, sc.theta, 6e0 * sqrt(rec * spec) {PRIOR.replace('mu)'
        sql=f"SELECT mu, a, theta, {r('posterior')} AS posterior, {r('exp(posterior) / sum(exp(posterior)) OVER ()')} AS prob FROM po")
 def _(t):
     return rnd(P.search(arena(t), t.candidates, proxy_gate=0.45).select("mu", "a", "theta", "posterior", "prob"))
-
-
-__all__ = ["Y"]

@@ -8,7 +8,7 @@ from meltgrid.functions.truth import wet_prob
 from meltgrid.operators import fields as Y
 from meltgrid.operators import posterior as Q
 from registry.base import query, r, rnd, sel
-from registry.frames import LABELLED, MASKED, clean_cells, gmin_sql, quantile_sql
+from registry.frames import MASKED, clean_cells, gmin_sql, quantile_sql
 from meltgrid.functions.physics import gmin
 from meltgrid.functions.truth import truth_binary
 from meltgrid.operators.masks import MaskConfig, with_masks
@@ -247,6 +247,3 @@ def _(t):
     from meltgrid.operators.ordered import cum_weight
     w = t.chain.groupBy(F.col("theta_deg").alias("theta")).agg(F.count(F.lit(1)).alias("wt"))
     return cum_weight(w, "wt", "theta")
-
-
-__all__ = ["LABELLED", "arena"]

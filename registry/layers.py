@@ -10,6 +10,7 @@ from meltgrid.operators import grid as G
 from meltgrid.operators import masks as K
 from meltgrid.operators.models import stable_unique
 from meltgrid.operators.summaries import detect_axis_mode
+from meltgrid.session import scratch_path
 from meltgrid.sources import files as S
 from registry.base import query, r, rnd
 from registry.frames import CLEAN, STEP, clean_cells
@@ -58,7 +59,7 @@ def _(t):
 SELECT source, count(*) AS n, {r('sum(x_m)')} AS sx, {r('sum(y_m)')} AS sy, {r('sum(z) * 1e3')} AS sz
 FROM (SELECT *, 'survey' AS source FROM points) GROUP BY source""")
 def _(t):
-    path = S.scratch_path(t.spark, "points")
+    path = scratch_path(t.spark, "points")
     km = t.points.select((F.col("x_m") / 1000).alias("x"), (F.col("y_m") / 1000).alias("y"), "z")
     km.write.csv(path, sep=" ")
     df = S.scan_points(t.spark, path, "x double, y double, z double", xy_unit="km", source="survey")
@@ -93,7 +94,7 @@ def _(t):
 @query("export_xyz_text", "S7", tables=CELLS, ctes=CLEAN, sql="""
 SELECT count(*) AS lines, round(sum(cast(printf('%.5e', q) AS double)), 5) AS sq FROM clean WHERE q IS NOT NULL""")
 def _(t):
-    path = S.scratch_path(t.spark, "xyz")
+    path = scratch_path(t.spark, "xyz")
     S.write_xyz(clean_cells(t), path, ("x_m", "y_m", "q"))
     back = t.spark.read.csv(path, schema="x double, y double, q double", sep=" ")
     return back.agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("q"), 5).alias("sq"))

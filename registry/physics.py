@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from meltgrid.functions import physics as X
 from meltgrid.functions.names import with_name_parts
 from meltgrid.operators import grid as G
-from meltgrid.operators import masks as K
 from meltgrid.operators import ordered as O
 from meltgrid.operators import summaries as U
 from meltgrid.operators.models import last_meeting
@@ -17,7 +16,6 @@ from meltgrid.session import cut_lineage
 from registry.base import query, r, rnd, sel
 from registry.frames import (CLEAN, LABELLED, MASKED, NCOLS, STEP, clean_cells, erf_sql, gmin_sql, labelled, masked,
                              quantile_sql)
-from registry.layers import GRAD
 
 CELLS = ("cells",)
 CM = ("cells", "model_cells")
@@ -324,6 +322,3 @@ def _(t):
              .union(n.select(F.concat("n_name", F.lit(" 2-b "))))
              .union(s.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(" Model"))))).distinct()
     return with_name_parts(names)
-
-
-__all__ = ["GRAD", "K", "advected"]

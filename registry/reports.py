@@ -9,6 +9,7 @@ from meltgrid.operators import models as D
 from meltgrid.operators import resample as R
 from meltgrid.operators.masks import combine, flag
 from meltgrid.operators.sweeps import flat_confusion, threshold_sweep
+from meltgrid.session import scratch_path
 from meltgrid.sources import files as S
 from registry.base import query, r, rnd, sel
 from registry.frames import HARD, LABELLED, SCORE_COLS, SCORED, labelled, score_sql, scored
@@ -21,7 +22,7 @@ P0 = SCORED + ", p AS (SELECT *, coalesce(gdiff >= 0, false) AS pred FROM scored
 @query("run_results_stored", "S6 T5", tables=CM, ctes=P0 + f", c AS (SELECT model, {HARD} FROM p GROUP BY model)", sql=f"""
 SELECT run_id, model, tp, fp, tn, fn, {sel(*SCORE_COLS)} FROM ({score_sql('c')}), (SELECT unnest(['first', 'second']) AS run_id)""")
 def _(t):
-    base = S.scratch_path(t.spark, "results")
+    base = scratch_path(t.spark, "results")
     table = rnd(M.confusion(M.decide(scored(t), 0.0), ["model"]))
     for run in ("first", "second"):
         path = S.write_results(table, base, "results_binary", run)
@@ -46,7 +47,7 @@ def _(t):
 
 @query("artifact_files_listed", "S10", tables=CM, ctes=SWEEP, sql="SELECT threshold, count(*) AS models FROM c GROUP BY threshold")
 def _(t):
-    base = S.scratch_path(t.spark, "sweep")
+    base = scratch_path(t.spark, "sweep")
     sweep = threshold_sweep(M.decide(scored(t), 0.0), THRESHOLDS)
     for thr in THRESHOLDS:
         sweep.filter(F.col("threshold") == thr).drop("threshold").coalesce(1).write.parquet(S.threshold_dir(base, thr))
@@ -60,7 +61,7 @@ def _(t):
 
 @query("margins_cached", "S11 O2", tables=CM, ctes=SCORED, sql=f"SELECT model, cell_id, {r('gdiff')} AS gdiff FROM scored")
 def _(t):
-    path = S.scratch_path(t.spark, "gdiff")
+    path = scratch_path(t.spark, "gdiff")
     rows = scored(t).select("model", "cell_id", "gdiff")
     S.cache_gdiff(rows, path)
     # The second call finds the finished table and does not compute the margins again.

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meltgrid.functions.truth import truth_binary
-from meltgrid.operators import components as C
 from meltgrid.operators import metrics as M
 from meltgrid.operators import models as D
 from meltgrid.operators import resample as R
 from registry.base import query, r, rnd, sel
-from registry.frames import (HARD, MASS_COLS, REG_COLS, REGIONAL_SUMS, SCORE_COLS, SCORED, SOFT, phi_sql,
-                             quantile_sql, regional_sql, score_sql, scored, uniform_sql)
+from registry.frames import (HARD, MASS_COLS, REG_COLS, REGIONAL_SUMS, SCORE_COLS, SCORED, SOFT, quantile_sql,
+                             regional_sql, score_sql, scored, uniform_sql)
 from registry.scores import PW
 from registry.spatial import _labels, members
 from meltgrid.operators.sweeps import threshold_sweep
@@ -216,6 +214,3 @@ SELECT rb.model, {sel('g_binary', 'g_weighted')}, {r('g_weighted - g_binary')} A
 def _(t):
     df = M.decide(scored(t), 0.0)
     return rnd(D.rank_compare(M.point_metrics(df), M.point_metrics(df, "w", soft=True)))
-
-
-__all__ = ["C", "truth_binary", "phi_sql"]

@@ -8,7 +8,7 @@ from meltgrid.functions.truth import truth_binary
 from meltgrid.operators import components as C
 from meltgrid.operators import spatial as P
 from registry.base import query, r, rnd
-from registry.frames import MASKED, STEP, clean_cells, quantile_sql, roi
+from registry.frames import MASKED, STEP, quantile_sql, roi
 
 CELLS = ("cells",)
 
@@ -122,6 +122,3 @@ FROM g GROUP BY region""")
 def _(t):
     areas = {"ALL": F.lit(True), "ISPB": F.col("ispb"), "OSPB": F.col("ospb")}
     return rnd(C.region_stats(members(t), areas, STEP * STEP / 1e6))
-
-
-__all__ = ["clean_cells", "members"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meltgrid.operators import metrics as M
 from meltgrid.operators import ordered as O
 from meltgrid.operators import sweeps as W
 from meltgrid.operators import twosample as T2
@@ -149,6 +148,3 @@ def _(t):
 SELECT cast(i - 1 AS int) AS thr_no, i / 1e1 AS thr, cell_id FROM v, range(1, 5) AS g(i) WHERE q >= i / 1e1""")
 def _(t):
     return W.wet_index(observed(t), "q", [0.1, 0.2, 0.3, 0.4])
-
-
-__all__ = ["M"]
