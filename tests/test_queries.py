@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+import registry
 from check_queries import compare, connect
 
 SF = "/root/testdata/sf0.001"
-ORACLE = entry.oracle_sql()
+QUERIES, ORACLE, _ = registry.load()
 MAY_BE_EMPTY = {"connected_regions", "candidate_search"}
 
 
@@ -15,22 +16,20 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(name, spark, duck):
-    res = compare(entry.queries()[name](spark, SF), duck, ORACLE.get(name))
+    res = compare(QUERIES[name](spark, SF), duck, ORACLE.get(name))
     assert res == "" or (res == "EMPTY" and name in MAY_BE_EMPTY)
 
 
 def test_every_inventory_id_is_covered():
-    import registry
-
     ids = {f"{c}{i}" for c, n in zip("SPJAWTBM", (12, 32, 15, 30, 9, 7, 15, 6)) for i in range(1, n + 1)}
     have = {i for text in registry.load()[2].values() for i in text.split()}
     assert not ids - have
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_flagship_has_stable_schema(spark):
