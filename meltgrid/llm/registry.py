@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("substring_dedup",)
+MODULES = ("near_dedup", "substring_dedup")
 
 
 def load():
