@@ -4,10 +4,13 @@ Each of ``permutations`` hash functions keeps both the smallest and the largest
 shingles: two nearly independent samples for one evaluation.  Bands of four such values are compared; a pair at
 similarity 0.85 meets in none of 32 bands with probability 6e-11.  Every link is confirmed on full shingle sets.
 
-Documents with equal sets form one class first.  Within a band bucket nobody meets everybody: members are compared
-with the bucket's pivot, links are joined to components, and only members of different components of one bucket go
-on, against the next pivot.  When what is left to compare has become no more than the rows of the buckets, it is
-compared at once.  So every pair of one bucket is linked, in one component, or refused on full sets.
+Documents with equal sets form one class first.  Documents that share a band, directly or through others, form a
+family; only its members can be linked.  A family of at most ``BLOCK`` shingles is compared in one task: shared
+shingles of all its pairs are counted at once, exactly, and the links leave the task as a spanning forest, not as
+pairs.  In a larger family each member is first tested against its likeliest partner, which joins most of it to one
+component; the rest is then compared in blocks of bounded size, with itself and with that component.  So no row is
+made for each pair, no task holds more than two blocks, and every pair of a family is linked, joined, or refused on
+full sets.
 
 Defined results: null, empty or blank texts have an empty set and no links; fewer than ``n`` words make one shingle;
 rows with equal ids are one document whose links are joined; a null id is a document that stands before all others
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.llm import kernels as K
@@ -28,6 +31,8 @@ from meltgrid.session import cut_lineage
 
 PERMUTATIONS = 64
 BAND_ROWS = 4
+BLOCK = 150_000
+_RARE = 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -111,35 +116,121 @@ def _confirm(n: int, percent: int):
     return run
 
 
-class _Links:
-    """Confirmed links so far and the components they make."""
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the number of values that every two sets share."""
+    size = len(sets)
+    value = np.concatenate(sets)
+    row = np.repeat(np.arange(size), [len(x) for x in sets])
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    count = np.diff(np.append(head, len(value)))
+    often = np.repeat(count > _RARE, count)
+    out = np.zeros(size * size)
+    rare_value, rare_row = value[~often], row[~often]
+    for shift in range(1, _RARE):
+        hit = np.flatnonzero(rare_value[shift:] == rare_value[:-shift])
+        if not len(hit):
+            break
+        out += np.bincount(rare_row[hit] * size + rare_row[hit + shift], minlength=size * size)
+    out = out.reshape(size, size)
+    out += out.T
+    column = np.repeat(np.cumsum(count > _RARE) - 1, count)[often]
+    row = row[often]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        grid = np.zeros((size, 4096), dtype=np.float32)
+        grid[row[lo:hi], column[lo:hi] - at] = 1
+        out += grid @ grid.T
+    return out
+
+
+def _compare(n: int, percent: int):
+    """A spanning forest of the links within each (_family, _lo, _hi) group of sorted rows (_doc, _text)."""
+    def links(ids: list[int], texts: list[str]):
+        raw = [(t or "").encode() for t in texts]
+        off = np.cumsum([0] + [len(x) for x in raw])
+        sets = row_sets(np.frombuffer(b"".join(raw), dtype=np.uint8), off, n)
+        full = [i for i, x in enumerate(sets) if len(x)]
+        if len(full) < 2:
+            return
+        both = shared_counts([sets[i] for i in full])
+        size = np.array([len(sets[i]) for i in full], dtype=float)
+        near = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+        todo = np.ones(len(full), dtype=bool)
+        for start in range(len(full)):
+            if not todo[start]:
+                continue
+            todo[start] = False
+            stack = [start]
+            while stack:
+                i = stack.pop()
+                new = np.flatnonzero(near[i] & todo)
+                todo[new] = False
+                for j in new.tolist():
+                    yield ids[full[i]], ids[full[j]]
+                    stack.append(j)
+
+    def run(batches):
+        key, ids, texts = None, [], []
+        for batch in batches:
+            out = []
+            for f, lo, hi, d, t in zip(*(batch.column(c).to_pylist()
+                                         for c in ("_family", "_lo", "_hi", "_doc", "_text"))):
+                if (f, lo, hi) != key:
+                    out += links(ids, texts)
+                    key, ids, texts = (f, lo, hi), [], []
+                ids.append(d)
+                texts.append(t)
+            yield _edges(out)
+        yield _edges(list(links(ids, texts)))
+    return run
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    def __init__(self, texts: DataFrame, n: int, percent: int):
-        self.texts, self.n, self.percent, self.links, self.roots = texts, n, percent, None, None
 
-    def test(self, pairs: DataFrame) -> None:
-        ta = self.texts.select(F.col("_doc").alias("a"), F.col("_text").alias("_ta"))
-        tb = self.texts.select(F.col("_doc").alias("b"), F.col("_text").alias("_tb"))
-        found = cut_lineage(pairs.join(ta, "a").join(tb, "b").select("a", "b", "_ta", "_tb")
-                            .mapInArrow(_confirm(self.n, self.percent), "a long, b long"))
-        self.links = found if self.links is None else self.links.unionByName(found)
-        ends = self.links.select(F.col("a").alias("node")).union(self.links.select("b")).distinct()
-        self.roots = cut_lineage(graph_components(ends, self.links))
+def _roots(links: DataFrame) -> DataFrame:
+    """(_doc, _root) of every end of a link."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    return cut_lineage(graph_components(ends, links).select(F.col("node").alias("_doc"), F.col("root").alias("_root")))
+
+
+def _rooted(df: DataFrame, links: DataFrame) -> DataFrame:
+    return df.join(_roots(links), "_doc", "left").withColumn("_root", F.coalesce("_root", "_doc"))
+
+
+def _likeliest(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of documents to the bucket heads with which they share most buckets."""
+    head = members.groupBy("_bucket").agg(F.min("_doc").alias("b"))
+    shared = (members.join(head, "_bucket").where("_doc <> b").groupBy(F.col("_doc").alias("a"), "b")
+              .agg(F.count("*").alias("_c")))
+    best = shared.groupBy("a").agg(F.min(F.struct((-F.col("_c")).alias("_c"), "b")).alias("_x")).select("a", "_x.b")
+    ta = texts.select(F.col("_doc").alias("a"), F.col("_text").alias("_ta"))
+    tb = texts.select(F.col("_doc").alias("b"), F.col("_text").alias("_tb"))
+    return best.join(ta, "a").join(tb, "b").select("a", "b", "_ta", "_tb").mapInArrow(
+        _confirm(n, percent), "a long, b long")
 
-    def label(self, df: DataFrame, col: str, out: str) -> DataFrame:
-        at = self.roots.select(F.col("node").alias(col), F.col("root").alias(out))
-        return df.join(at, col, "left").withColumn(out, F.coalesce(out, col))
 
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """(_family, _lo, _hi, _doc): block pairs to compare, of members (_family, _doc, _n, _main).
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """(a, pivot b, buckets they share) with one pivot for each bucket."""
-    pivot = members.groupBy("_bucket").agg(F.min("_doc").alias("b"))
-    return members.join(pivot, "_bucket").where("_doc <> b").groupBy(F.col("_doc").alias("a"), "b") \
-        .agg(F.count("*").alias("_shared"))
+    Members of the main component are compared with the others only; the others with everybody.
+    """
+    part = lambda main: F.ceil(F.sum(F.when(F.col("_main") == main, F.col("_n"))) / block)
+    many = members.groupBy("_family").agg(F.coalesce(part(False), F.lit(0)).alias("_s"),
+                                          F.coalesce(part(True), F.lit(0)).alias("_g")).where("_s > 0")
+    at = members.join(many, "_family").withColumn(
+        "_b", F.when(F.col("_main"), F.expr("_s + pmod(xxhash64(_doc), greatest(_g, 1))"))
+        .otherwise(F.expr("pmod(xxhash64(_doc), _s)")))
+    other = F.explode(F.expr("sequence(0L, if(_main, _s, _s + _g) - 1)")).alias("_p")
+    return (at.select("_family", "_doc", "_b", "_s", "_g", other).where("_p <> _b OR _s + _g = 1")
+            .select("_family", F.least("_b", "_p").alias("_lo"), F.greatest("_b", "_p").alias("_hi"), "_doc"))
 
 
 def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int = PERMUTATIONS,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(_doc, _n, _root): set size of every row and the smallest id its document reaches."""
     texts = docs.select(id_or_least(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     sketch = cut_lineage(texts.mapInArrow(
@@ -148,61 +239,31 @@ def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int
     same = ["_n", "_h1", "_h2"]
     least = some.groupBy(*same).agg(F.min("_doc").alias("b"))
     copies = some.join(least, same).where("_doc <> b").select(F.col("_doc").alias("a"), "b").distinct()
-    # One row per class: a document may stand for its class only under the class's smallest id.
-    buckets = (some.join(least, same).where("_doc = b").select("_doc", F.explode(F.array_distinct("_bands"))
-                                                               .alias("_bucket")))
-    shared = buckets.groupBy("_bucket").agg(F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi")) \
-        .where("_lo < _hi").select("_bucket")
-    members = cut_lineage(buckets.join(shared, "_bucket").select("_bucket", "_doc").distinct())
-    involved = members.select("_doc").distinct()
-    state = _Links(cut_lineage(texts.join(involved, "_doc")), n, percent)
-    tried = None
-    while True:
-        pairs = _pivots(members)
-        if tried is None:
-            best = Window.partitionBy("a").orderBy(F.desc("_shared"), "b")
-            # The likeliest partner of each document first; most other pairs are then in one component then.
-            pairs = cut_lineage(pairs.withColumn("_rank", F.row_number().over(best)))
-            tried = pairs.where("_rank = 1").select("a", "b")
-            state.test(tried)
-        fresh = cut_lineage(_apart(state, pairs.select("a", "b")).join(tried, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            state.test(fresh)
-            tried = tried.unionByName(fresh)
-        # A pivot has now met its whole bucket; buckets within one component are done.
-        at = state.label(members, "_doc", "_root")
-        rest = at.groupBy("_bucket").agg(F.min("_doc").alias("_pivot"), F.min("_root").alias("_lo"),
-                                         F.max("_root").alias("_hi")).where("_lo < _hi")
-        members = cut_lineage(members.join(rest.select("_bucket", "_pivot"), "_bucket")
-                              .where("_doc <> _pivot").select("_bucket", "_doc"))
-        at = state.label(members, "_doc", "_root")
-        left = cut_lineage(at.groupBy("_bucket", "_root").agg(F.count("*").alias("c"))
-                           .groupBy("_bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-                           .where("m * m > q"))
-        total = left.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)).alias("pairs"),
-                         F.coalesce(F.sum("m"), F.lit(0)).alias("rows")).first()
-        if not total["rows"]:
-            break
-        if total["pairs"] <= 4 * total["rows"] + 100_000:
-            here = cut_lineage(at.join(left.select("_bucket"), "_bucket"))
-            other = here.select("_bucket", F.col("_doc").alias("b"), F.col("_root").alias("_rb"))
-            every = here.withColumnRenamed("_doc", "a").join(other, "_bucket") \
-                .where("a > b AND _root <> _rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-            every = cut_lineage(every)
-            if not every.isEmpty():
-                state.test(every)
-            break
-    links = copies if state.links is None else copies.unionByName(state.links)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    roots = cut_lineage(graph_components(ends, links))
-    at = roots.select(F.col("node").alias("_doc"), F.col("root").alias("_root"))
-    return sketch.select("_doc", "_n").join(at, "_doc", "left").withColumn("_root", F.coalesce("_root", "_doc"))
-
-
-def _apart(state: _Links, pairs: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    both = state.label(state.label(pairs, "a", "_ra"), "b", "_rb")
-    return both.where("_ra <> _rb").select("a", "b")
+    # A class is looked up under its smallest id only.
+    buckets = (some.join(least, same).where("_doc = b")
+               .select("_doc", F.explode(F.array_distinct("_bands")).alias("_bucket")))
+    shared = (buckets.groupBy("_bucket").agg(F.min("_doc").alias("_head"), F.max("_doc").alias("_hi"))
+              .where("_head < _hi").select("_bucket", "_head"))
+    members = cut_lineage(buckets.join(shared, "_bucket").select("_bucket", "_head", "_doc").distinct())
+    family = _roots(members.where("_doc <> _head").select(F.col("_doc").alias("a"), F.col("_head").alias("b")).distinct())
+    sizes = some.groupBy("_doc").agg(F.max("_n").alias("_n"))
+    family = cut_lineage(family.withColumnRenamed("_root", "_family").join(sizes, "_doc"))
+    large = family.groupBy("_family").agg(F.sum("_n").alias("_all")).where(F.col("_all") > block).select("_family")
+    texts = cut_lineage(texts.join(family.select("_doc"), "_doc"))
+    large_docs = cut_lineage(family.join(large, "_family"))
+    first = cut_lineage(_likeliest(members.join(large_docs.select("_doc"), "_doc", "left_semi").select("_bucket", "_doc"),
+                                   texts.join(large_docs.select("_doc"), "_doc", "left_semi"), n, percent))
+    rooted = cut_lineage(_rooted(large_docs, first))
+    main = (rooted.groupBy("_family", "_root").agg(F.sum("_n").alias("_c")).groupBy("_family")
+            .agg(F.max(F.struct("_c", "_root")).alias("_x")).select("_family", F.col("_x._root").alias("_m")))
+    parted = rooted.join(main, "_family").select("_family", "_doc", "_n", (F.col("_root") == F.col("_m")).alias("_main"))
+    small = family.join(large, "_family", "left_anti").select("_family", "_doc", "_n", F.lit(False).alias("_main"))
+    # Small families by their first id, large ones block by block; rows of one group follow each other.
+    group = ["_family", "_lo", "_hi"]
+    found = cut_lineage(_blocks(small.unionByName(parted), block).join(texts, "_doc").repartition(*group)
+                        .sortWithinPartitions(*group).select(*group, "_doc", "_text")
+                        .mapInArrow(_compare(n, percent), "a long, b long"))
+    return _rooted(sketch.select("_doc", "_n"), copies.unionByName(first).unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int = PERMUTATIONS,
