@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("near_dedup", "substring_dedup")
+MODULES = ("binary_output", "decontamination", "quality_rules", "piece_coding", "near_dedup", "substring_dedup")
 
 
 def load():
