@@ -6,25 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meltgrid.llm.common import table
+from meltgrid.llm.decontamination import drop_contaminated
+from meltgrid.llm.near_dedup import drop_near_duplicates
+from meltgrid.llm.piece_coding import encode_pieces
+from meltgrid.llm.quality_rules import keep_quality
 from meltgrid.llm.substring_dedup import dedup_documents
 from meltgrid.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base limits or that the calibrated forest rejects go."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at a similarity of 0.8 on 5-word shingles the document with the smallest id stays."""
+    return drop_near_duplicates(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 13 words and more that an earlier document has are cut out."""
+    """Passages of 13 words and more that a document with a smaller id has are cut out."""
     return dedup_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("substring_dedup", substring_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain 80 % of the 5-word shingles of a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of each text, beside the columns of documents."""
+    return encode_pieces(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination), ("pieces", pieces),
+]
 
 #: Hash signatures, trained scores and piece vocabularies have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return docs
