@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("binary_output", "decontamination", "sharding", "quality_rules", "piece_coding", "chat_format", "near_dedup",
-           "url_filter", "substring_dedup")
+MODULES = ("binary_output", "decontamination", "sharding", "quality_rules", "piece_coding", "suffix_dedup", "chat_format",
+           "near_dedup", "url_filter", "substring_dedup")
 
 
 def load():
