@@ -18,6 +18,7 @@ empty tables give no shards; other columns are not read.
 from __future__ import annotations
 
 import io
+import re
 import zlib
 
 import numpy as np
@@ -32,13 +33,11 @@ from meltgrid.llm.common import keyed, null_again, table
 from meltgrid.session import cut_lineage, scratch_path
 
 END_ID = 2
-KEEP = 300_000
+KEEP = 2_000_000
 INDEX_KEYS = 200_000
 _LEVELS = 64
-# Fixed value: the word pattern of byte-level vocabularies of this family.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Character classes may differ between Unicode versions elsewhere; such texts are encoded as a whole.
-UNUSUAL = "[^\u0000-\u0557\u2000-\u206f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]"
+#: White space beyond the six ASCII characters; a text that has any goes through the library whole.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _coders: dict[str, TokenCoder] = {}
 
 
@@ -49,37 +48,77 @@ def default_tokenizer() -> str:
 
 
 class TokenCoder:
-    """Encodes through the library; words it has seen are kept, at most ``keep`` of them.
+    """Encodes through the library, each distinct unit of a worker once while it is kept.
 
-    A byte-level vocabulary encodes each word of its pattern by itself, so only words new to this worker go
-    through the library.  Texts with characters whose class may differ go through it whole.
+    A unit is a run of white space and the word behind it.  A byte-level vocabulary splits texts by a pattern whose
+    matches hold white space only at their start, so no match crosses the end of a unit and units are encoded by
+    themselves.  At most ``keep`` units are kept, in sorted arrays under their 64-bit hashes.
     """
 
     def __init__(self, path: str, keep: int = KEEP):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.split = regex.compile(WORD_PATTERN).findall
-        self.unusual = regex.compile(UNUSUAL).search
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keep = keep
-        self.words: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.type).tobytes() for e in coded]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [[] if self.unusual(t) else self.split(t) for t in texts]
-        if len(self.words) > self.keep:
-            self.words.clear()
-        new = list(set().union(*words).difference(self.words))
-        for i in range(0, len(new), 10_000):
-            self.words.update(zip(new[i:i + 10_000], self._library(new[i:i + 10_000])))
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) if w or not t else self._library([t])[0] for w, t in zip(words, texts)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.at, self.size = (np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64))
+        self.ids, self.used = np.zeros(1 << 16, dtype=self.type), 0
+
+    def _learn(self, key: np.ndarray, units: list[str]) -> None:
+        """Keep new units under their ascending keys."""
+        if len(self.key) + len(key) > self.keep:
+            self._forget()
+        size = np.zeros(len(key), dtype=np.int64)
+        for i in range(0, len(units), 20_000):
+            coded = self.tokenizer.encode(units[i:i + 20_000], is_pretokenized=True, add_special_tokens=False)
+            size[i:i + 20_000] = np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(units[i:i + 20_000]))
+            new = np.array(coded.ids, dtype=self.type)
+            if self.used + len(new) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(new), dtype=self.type)])
+            self.ids[self.used:self.used + len(new)] = new
+            self.used += len(new)
+        at = self.used - size.sum() + np.cumsum(size) - size
+        place = np.searchsorted(self.key, key)
+        self.key, self.at, self.size = (np.insert(x, place, y) for x, y in
+                                        ((self.key, key), (self.at, at), (self.size, size)))
+
+    def encode(self, texts: list[str], data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each); ``data`` and ``off`` are their bytes."""
+        words = K.Words(data, off)
+        # A unit ends where a word ends; white space at the end of a text is a unit of its own.
+        cut = np.unique(np.concatenate([words.end, off]))
+        start, end = cut[:-1], cut[1:]
+        bounds = np.searchsorted(start, off)
+        key, where, unit = np.unique(K.span_hash(K.prefix(K.byte_symbols(data)), start, end),
+                                     return_index=True, return_inverse=True)
+        place = np.searchsorted(self.key, key)
+        new = np.flatnonzero(self.key[np.minimum(place, len(self.key) - 1)] != key) if len(self.key) \
+            else np.arange(len(key))
+        if len(new) and len(self.key) + len(new) > self.keep:
+            self._forget()
+            new = np.arange(len(key))
+        raw = data.tobytes()
+        if len(new):
+            self._learn(key[new], [raw[a:b].decode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist())])
+        place = np.searchsorted(self.key, key)[unit]
+        size = self.size[place]
+        done = np.cumsum(size) - size
+        ids = self.ids[np.repeat(self.at[place] - done, size) + np.arange(int(size.sum()))] if len(size) \
+            else np.zeros(0, dtype=self.type)
+        total = np.append(np.cumsum(size), 0)[bounds - 1] if len(size) else np.zeros(len(off), dtype=np.int64)
+        total[bounds == 0] = 0
+        count = np.diff(total)
+        odd = [i for i, t in enumerate(texts) if OTHER_SPACE.search(t)]
+        if odd:
+            parts = np.split(ids, total[1:-1])
+            for i in odd:
+                parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=self.type)
+            ids, count = np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+        return ids, count
 
 
 def coder(path: str) -> TokenCoder:
@@ -204,12 +243,10 @@ def _write(root: str, tokenizer: str, end_id: int):
             return
         with _Output(f"{root}/{shard_name(shard)}") as output:
             while first is not None:
-                rows = first[0]
-                code = coder(tokenizer)
-                end = np.array([end_id], dtype=code.type).tobytes()
-                coded = [x + end for x in code.encode([t or "" for t in rows.column("_text").to_pylist()])]
-                output.write(b"".join(coded))
-                count = np.array([len(x) for x in coded], dtype=np.int64) // len(end)
+                rows, data, off = first
+                ids, count = coder(tokenizer).encode([t or "" for t in rows.column("_text").to_pylist()], data, off)
+                output.write(np.insert(ids, np.cumsum(count), end_id).tobytes())
+                count = count + 1
                 place = offset + np.cumsum(count) - count
                 offset += int(count.sum())
                 nth = []
@@ -330,7 +367,7 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer: str | None = None,
         before.append(total)
         total += sizes.get(s, (0, 0))[0]
     parts = max(1, -(-sum(k for _, k in sizes.values()) // index_keys))
-    out = TokenShards(spark, root, parts, before, np.dtype(coder(path).type).itemsize)
+    out = TokenShards(spark, root, parts, before, coder(path).type.itemsize)
     keys = rows.withColumn("_key", key_hash()).withColumn("_part", out.part_of())
     cut_lineage(keys.repartition("_part").sortWithinPartitions("_part").mapInArrow(_build(root), "_part long, keys long"))
     return out
