@@ -23,7 +23,7 @@ def valid_name(name: Column) -> Column:
     first."""
     words = F.split(name, r"\s+")
     joined = F.array_join(F.transform(words, lambda w, i: F.when(
-        i > 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))).otherwise(w)), "")
+        i > 0, F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))).otherwise(w)), "")
     safe = F.regexp_replace(joined, r"[^A-Za-z0-9_]", "_")
     return F.when(safe.rlike("^[A-Za-z]"), safe).otherwise(F.concat(F.lit("x"), safe))
 

@@ -18,17 +18,24 @@ from meltgrid.session import cut_lineage, sized
 
 BLOCK = 64
 _SHIFT = 31
+_AREA_SHIFT = 55
 
 
-def mask_runs(mask: DataFrame) -> DataFrame:
-    """Maximal horizontal runs ``(ri, start, stop, run)`` of the true cells ``(ri, ci)``."""
-    w = Window.partitionBy("ri").orderBy("ci")
-    islands = mask.select("ri", "ci", (F.col("ci") - F.row_number().over(w)).alias("_k"))
-    runs = islands.groupBy("ri", "_k").agg(F.min("ci").alias("start"), F.max("ci").alias("stop")).drop("_k")
-    return runs.withColumn("run", F.shiftleft(F.col("start").cast("long"), _SHIFT) + F.col("ri"))
+def mask_runs(mask: DataFrame, area: str | None = None) -> DataFrame:
+    """Maximal horizontal runs ``(ri, start, stop, run)`` of the true cells ``(ri, ci)``.
+
+    ``area`` names a small whole number that keeps masks of several areas apart; it leads the run
+    ids, so one graph holds them all.
+    """
+    lead = [area] if area else []
+    w = Window.partitionBy(*lead, "ri").orderBy("ci")
+    islands = mask.select(*lead, "ri", "ci", (F.col("ci") - F.row_number().over(w)).alias("_k"))
+    runs = islands.groupBy(*lead, "ri", "_k").agg(F.min("ci").alias("start"), F.max("ci").alias("stop")).drop("_k")
+    run = F.shiftleft(F.col("start").cast("long"), _SHIFT) + F.col("ri")
+    return runs.withColumn("run", run + F.shiftleft(F.col(area).cast("long"), _AREA_SHIFT) if area else run)
 
 
-def run_edges(runs: DataFrame, conn: int = 8) -> DataFrame:
+def run_edges(runs: DataFrame, conn: int = 8, area: str | None = None) -> DataFrame:
     """Touching runs of adjacent rows, each pair once.
 
     Runs meet through the column blocks they cover; a pair is kept in the block where its overlap
@@ -40,15 +47,16 @@ def run_edges(runs: DataFrame, conn: int = 8) -> DataFrame:
         return F.explode(F.sequence(F.floor(lo / BLOCK), F.floor(hi / BLOCK)))
 
     lo, hi = F.col("start") - reach, F.col("stop") + reach
-    upper = runs.select(F.col("run").alias("a"), (F.col("ri") + 1).alias("ri"), lo.alias("_lo"), hi.alias("_hi"),
+    lead = [area] if area else []
+    upper = runs.select(*lead, F.col("run").alias("a"), (F.col("ri") + 1).alias("ri"), lo.alias("_lo"), hi.alias("_hi"),
                         blocks(lo, hi).alias("_b"))
-    lower = runs.select(F.col("run").alias("b"), "ri", "start", "stop", blocks(F.col("start"), F.col("stop")).alias("_b"))
+    lower = runs.select(*lead, F.col("run").alias("b"), "ri", "start", "stop", blocks(F.col("start"), F.col("stop")).alias("_b"))
     begin = F.greatest("_lo", "start")
     meet = (begin <= F.least("_hi", "stop")) & (F.floor(begin / BLOCK) == F.col("_b"))
-    return upper.join(lower, ["ri", "_b"]).filter(meet).select("a", "b")
+    return upper.join(lower, [*lead, "ri", "_b"]).filter(meet).select("a", "b")
 
 
-def graph_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, root)`` with the smallest node of each region as root.  ``edges(a, b)``."""
     def tidy(e: DataFrame) -> DataFrame:
         big, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -56,9 +64,7 @@ def graph_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
 
     e = cut_lineage(tidy(edges))
     maps = []
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():  # every round hooks each region that has a smaller neighbour, so the edges run out
         hook = cut_lineage(e.groupBy("a").agg(F.min("b").alias("p")))
         while True:
             up = hook.select(F.col("a").alias("p"), F.col("p").alias("pp"))
@@ -72,8 +78,6 @@ def graph_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
         e = e.join(ma, "a", "left").join(mb, "b", "left").select(
             F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
         e = cut_lineage(tidy(e))
-    else:
-        raise RuntimeError("regions did not settle")
     out = nodes.select("node", F.col("node").alias("root"))
     for m in maps:
         step = m.select(F.col("a").alias("root"), F.col("p").alias("_p"))
@@ -123,14 +127,29 @@ def component_records(members: DataFrame, cell_km2: float, step: float, label: s
                       (F.col("cells") * cell_km2).alias("area_km2"))
 
 
-def region_stats(members: DataFrame, regions: dict[str, Column], cell_km2: float, label: str = "y") -> DataFrame:
-    """Cells, regions, mean area and wet share per (overlapping) report area."""
-    tags = F.array_compact(F.array(*[F.when(flag(m), F.lit(n)) for n, m in regions.items()]))
-    src = members.filter(finite(F.col(label).cast("double"))).select("comp_id", label, F.explode(tags).alias("region"))
-    comps = src.groupBy("region", "comp_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.bool_or(F.col(label) == 1).alias("_wet"))
-    out = comps.groupBy("region").agg(
-        F.sum("_n").alias("cells"), F.count(F.lit(1)).alias("comps"), (F.avg("_n") * cell_km2).alias("mean_km2"),
+def region_stats(members: DataFrame, regions: dict[str, Column], cell_km2: float, label: str = "y",
+                 conn: int = 8) -> DataFrame:
+    """Cells, regions, mean area and wet share per (overlapping) report area.
+
+    Regions are labelled again inside each area, so one that an area's border cuts in two counts
+    twice there.  All areas share one graph whose keys start with the area.
+    """
+    areas = list(regions)
+    tags = F.array_compact(F.array(*[F.when(flag(m), F.lit(i)) for i, m in enumerate(regions.values())]))
+    cells = members.filter(finite(F.col(label).cast("double"))).select(
+        "ri", "ci", (F.col(label) == 1).alias("_wet"), F.explode(tags).alias("_area"))
+    cells = cut_lineage(cells)
+    runs = cut_lineage(mask_runs(cells, "_area"))
+    roots = graph_components(runs.select(F.col("run").alias("node")), run_edges(runs, conn, "_area"))
+    # Wet cells meet their run through the run's columns; runs carry the counts.
+    spread = runs.select("_area", "ri", "run", F.explode(F.sequence("start", "stop")).alias("ci"))
+    wet = cells.filter("_wet").join(spread, ["_area", "ri", "ci"]).select("run").distinct().withColumn("_wet", F.lit(True))
+    tagged = runs.join(roots.withColumnRenamed("node", "run"), "run").join(wet, "run", "left")
+    comps = tagged.groupBy("_area", "root").agg(
+        F.sum(F.col("stop") - F.col("start") + 1).alias("_n"), F.coalesce(F.bool_or("_wet"), F.lit(False)).alias("_wet"))
+    name = F.element_at(F.array(*[F.lit(a) for a in areas]), F.col("_area") + 1).alias("region")
+    out = comps.groupBy(name).agg(
+        F.sum("_n").cast("long").alias("cells"), F.count(F.lit(1)).alias("comps"), (F.avg("_n") * cell_km2).alias("mean_km2"),
         (100.0 * F.avg(F.col("_wet").cast("double"))).alias("pct_wet"))
     return out.withColumn("pct_dry", 100.0 - F.col("pct_wet"))
 

@@ -171,9 +171,12 @@ def clip_fraction(mu: Column, a: Column, floor: float | None, cap: float | None)
 
 def log_prior(df: DataFrame, kind: str = "softbox", *, mu_range=(20.0, 150.0), a_range=(-150.0, 150.0),
               theta_range=(-90.0, 90.0), soft_k: float = 3.0, floor: float | None = 20.0,
-              cap: float | None = 100.0, clip_k: float | None = 0.15, theta: str = "theta") -> DataFrame:
-    """Add ``log_prior`` to a table of ``mu, a, theta``; ``clip_k=None`` drops the clip penalty."""
-    cols = ((F.col("mu"), mu_range), (F.col("a"), a_range), (F.col(theta), theta_range))
+              cap: float | None = 100.0, clip_k: float | None = 0.15, theta: str = "theta",
+              nonneg: bool = False) -> DataFrame:
+    """Add ``log_prior`` to a table of ``mu, a, theta``; ``clip_k=None`` drops the clip penalty.
+    ``nonneg`` judges a negative amplitude as zero, in the prior and in the clipped share."""
+    a = F.greatest("a", F.lit(0.0)) if nonneg else F.col("a")
+    cols = ((F.col("mu"), mu_range), (a, a_range), (F.col(theta), theta_range))
     if kind == "softbox":
         lp = -reduce(lambda p, q: p + q, [softbox(c, *rg, soft_k) for c, rg in cols])
     elif kind == "gaussian":
@@ -184,7 +187,7 @@ def log_prior(df: DataFrame, kind: str = "softbox", *, mu_range=(20.0, 150.0), a
     else:
         raise ValueError(f"unknown prior: {kind}")
     if clip_k is not None:
-        share = clip_fraction(F.col("mu"), F.col("a"), floor, cap)
+        share = clip_fraction(F.col("mu"), a, floor, cap)
         lp = lp - share * share / max(1e-6, clip_k)
     return df.withColumn("log_prior", lp)
 
@@ -192,8 +195,9 @@ def log_prior(df: DataFrame, kind: str = "softbox", *, mu_range=(20.0, 150.0), a
 # Scoring ---------------------------------------------------------------------------------------
 
 def _chunks(cands: DataFrame, cfg: FieldConfig) -> Iterator[list[tuple[float, float, float]]]:
-    rows = cands.select("mu", "a", "theta").distinct().toLocalIterator()
-    while part := [(r["mu"], max(r["a"], 0.0) if cfg.nonneg else r["a"], r["theta"]) for r in islice(rows, CHUNK)]:
+    a = F.greatest("a", F.lit(0.0)) if cfg.nonneg else F.col("a")
+    rows = cands.select("mu", a.alias("a"), "theta").distinct().toLocalIterator()
+    while part := [tuple(r) for r in islice(rows, CHUNK)]:
         yield part
 
 

@@ -118,10 +118,12 @@ def regrid_bilinear(src: DataFrame, target: DataFrame, *, x0: float, dx: float,
         raise ValueError(f"unknown extrapolation: {extrap}")
     base = target.withColumns({"_fx": fx, "_fy": fy})
     base = base.withColumns({
-        "_i": F.least(F.greatest(F.floor("_fx"), F.lit(0)), F.lit(nx - 2)).cast("int"),
-        "_j": F.least(F.greatest(F.floor("_fy"), F.lit(0)), F.lit(ny - 2)).cast("int"),
         "_ok": F.lit(True) if extrap == "nearest" else inside,
     })
+    # Outside there is no key: such cells meet no block, and no edge block gathers them.
+    base = base.withColumns({
+        "_i": F.when(F.col("_ok"), F.least(F.greatest(F.floor("_fx"), F.lit(0)), F.lit(nx - 2)).cast("int")),
+        "_j": F.when(F.col("_ok"), F.least(F.greatest(F.floor("_fy"), F.lit(0)), F.lit(ny - 2)).cast("int"))})
     u, v = F.col("_fx") - F.col("_i"), F.col("_fy") - F.col("_j")
     low = F.col("_z00") * (1.0 - u) + F.col("_z10") * u
     high = F.col("_z01") * (1.0 - u) + F.col("_z11") * u

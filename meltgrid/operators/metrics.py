@@ -139,10 +139,14 @@ def sigma_summary(df: DataFrame, by: Sequence[str] = ("model",), s_gmin: str | N
 
 
 def suggested_margin(sigma: DataFrame) -> DataFrame:
-    """Median over the non-flat models (a report table with one row per model)."""
-    varied = sigma.filter(~is_flat(F.col("model")))
-    return varied.agg(F.median("sigma_mean").alias("suggested_mean"),
-                      F.median("sigma_median").alias("suggested_median"))
+    """Median over the non-flat models, over all models where every one is flat (a report table
+    with one row per model)."""
+    varied = ~is_flat(F.col("model"))
+
+    def median(c: str) -> Column:
+        return F.coalesce(F.median(F.when(varied, F.col(c))), F.median(c))
+
+    return sigma.agg(median("sigma_mean").alias("suggested_mean"), median("sigma_median").alias("suggested_median"))
 
 
 MARGIN_MODES = ("fixed", "auto_mean", "auto_median", "auto_per_model_mean", "auto_per_model_median")

@@ -141,10 +141,11 @@ def stable_unique(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(first).select(*keys, "_f.*").select(*df.columns)
 
 
-def closest(df: DataFrame, col: str, value: float) -> DataFrame:
-    """The row whose ``col`` lies nearest to a reference value (the smaller one on a tie)."""
+def closest(df: DataFrame, col: str, value: float, by: Sequence[str] = ()) -> DataFrame:
+    """The row of each group whose ``col`` lies nearest to a reference value (the smaller one on a
+    tie)."""
     pick = F.min_by(F.struct(*df.columns), F.struct(F.abs(F.col(col) - value), F.col(col)))
-    return df.agg(pick.alias("r")).select("r.*")
+    return df.groupBy(*by).agg(pick.alias("r")).select("r.*")
 
 
 def last_meeting(df: DataFrame, value: str, target: float, at: str, by: Sequence[str]) -> DataFrame:

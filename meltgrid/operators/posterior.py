@@ -13,6 +13,7 @@ from meltgrid.operators.ordered import GROUP_ROWS, RANGES, _keyed, largest_group
 from meltgrid.session import cut_lineage, sized
 
 PARAMS = ("mu", "a", "theta_deg")
+RANK_BLOCK = 64
 
 
 def chain_table(chain: DataFrame, beta: float = 6.0) -> DataFrame:
@@ -112,15 +113,16 @@ def mcse(chain: DataFrame, col: str, order: str = "iter", by: Sequence[str] = ()
 def hpd(chain: DataFrame, col: str, alpha: float = 0.05, by: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
     """Shortest interval holding ``1 - alpha`` of the draws.
 
-    Works on distinct values with their rank ranges; start and end meet through blocks of ranks,
-    so the sorted draws are never gathered.
+    Works on distinct values with their rank ranges; start and end meet through blocks of
+    ``RANK_BLOCK`` ranks, so the pairs grow with the draws and the sorted draws are never gathered.
+    A long run of ties is looked up by its whole blocks, one row for each, like any other value.
     """
     keyed, keys = _keyed(chain.filter(finite(F.col(col))), by)
     counts = keyed.groupBy(*keys, F.col(col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy(*keys).agg(F.sum("n").alias("_n"))
     runs = prefix_sums(counts, keys, "_x", ["n"], group_rows).join(sized(total), keys)
     runs = runs.withColumns({"_m": F.floor(F.col("_n") * (1.0 - alpha)), "_first": F.col("cum_n") - F.col("n") + 1,
-                             "_size": F.floor(F.col("_n") / 4096) + 1}).filter("_m >= 1")
+                             "_size": F.lit(RANK_BLOCK)}).filter("_m >= 1")
     starts = runs.withColumn("_want", F.col("_first") + F.col("_m")).filter(F.col("_want") <= F.col("_n"))
     starts = starts.select(*keys, F.col("_x").alias("lo"), "_want", F.floor(F.col("_want") / F.col("_size")).alias("_blk"))
     blocks = F.explode(F.sequence(F.floor(F.col("_first") / F.col("_size")), F.floor(F.col("cum_n") / F.col("_size"))))

@@ -27,7 +27,8 @@ REGION_CHUNK = 100_000
 
 @dataclass(frozen=True)
 class BootConfig:
-    """``pred`` is ``bernoulli`` or ``noisy``; ``draws`` is the uniform kind (md5 or fast)."""
+    """``pred`` is ``bernoulli`` or ``noisy``; ``draws`` is the uniform kind (md5 or fast);
+    ``joined`` asks for the forms that make a row of every drawn copy, whatever the kind."""
 
     n_boot: int = 1000
     seed: int = 42
@@ -37,12 +38,25 @@ class BootConfig:
     pred: str = "bernoulli"
     noise: float = 1.0
     draws: str = "fast"
+    joined: bool = False
 
 
 def usable(df: DataFrame) -> DataFrame:
     return df.filter(F.col("pw").isNotNull() & F.col("y").isNotNull())
 
 
+def _cell_uniform(key: Sequence[int], ids, copy: int, which: int = 0):
+    """Uniform number of each cell id for one drawn copy; a cell's number depends on nothing else
+    that shares its task."""
+    import numpy as np
+
+    k = int(np.random.SeedSequence([*key, copy, which]).generate_state(1, np.uint64)[0])
+    x = ids.astype(np.uint64) ^ np.uint64(k)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 9007199254740992.0
+
+
 def _wet(cfg: BootConfig, *key: Column | str) -> Column:
     """Predicted wet state of one drawn copy."""
     if cfg.pred == "noisy":
@@ -95,14 +109,37 @@ def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Se
     return _replicate_table(copies, _wet(cfg, F.col("model"), F.col("rep"), *stratum, F.col("draw")))
 
 
+def _block_shares(key: Sequence[int], start: int, size: int, total: int, n_boot: int) -> Iterator:
+    """Rank ranges ``(lo, hi)`` that make up one block, with the draws every replicate puts there.
+
+    ``total`` draws of a replicate fall on ``total`` ranks.  A binary tree over the ranks halves
+    them: each node gives its left half a binomial share, keyed by the node, so every block finds
+    its own share by walking the few nodes its ends cut, and no list of blocks exists anywhere.
+    """
+    import numpy as np
+
+    width = 1 << max(0, (total - 1).bit_length())
+    todo = [(0, width, np.full(n_boot, total, dtype="int64"))]
+    while todo:
+        lo, hi, k = todo.pop()
+        end = min(hi, total)
+        if lo >= start + size or end <= start:
+            continue
+        if start <= lo and end <= start + size:
+            yield lo, end, k
+            continue
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([*key, lo, hi, 0]).binomial(k, (min(mid, end) - lo) / (end - lo))
+        todo += [(lo, mid, left), (mid, hi, k - left)]
+
+
 def bootstrap_cells_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",)) -> DataFrame:
     """N-of-N resampling that never moves a draw.
 
-    N uniform draws fall on the blocks (grid rows) multinomially and uniformly inside each block,
-    so every replicate first splits its N draws over the blocks and each block then draws from its
-    own cells.  Cells are shuffled once by block; only sums per (model, block, replicate) leave it.
-    A block holds at most one grid row of a model, and a model's list of block sizes has one entry
-    per grid row.
+    Cells are ranked by block (a grid row, say) and place.  The draws of a replicate are uniform
+    over ranks, so a block knows from its first rank, its size and the total how many fall on it
+    (``_block_shares``) and draws from its own cells.  Cells are shuffled once by block; only sums
+    per (model, block, replicate) leave it.
     """
     base = usable(df)
     hard = (F.col("y") == 0) | (F.col("y") == 1)
@@ -113,47 +150,44 @@ def bootstrap_cells_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri", o
     else:
         base = base.withColumn("_s", F.lit(-1))
     noisy, seed, noise, n_boot = cfg.pred == "noisy", cfg.seed, cfg.noise, cfg.n_boot
+    keys = ["model", "_s", "_b"]
     base = base.select("model", "_s", F.col(block).cast("long").alias("_b"), *order, *_needed(base, cfg))
-    sizes = base.groupBy("model", "_s", "_b").agg(F.count(F.lit(1)).alias("n"))
-    lists = sizes.groupBy("model", "_s").agg(F.array_sort(F.collect_list(F.struct("_b", "n"))).alias("l"))
-    slots = lists.select("model", "_s", "l._b", "l.n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.groupBy("model", "_s").agg(F.sum("n").alias("_total"))
+    first = prefix_sums(sizes, ["model", "_s"], "_b", ["n"]).join(total, ["model", "_s"]).select(
+        *keys, (F.col("cum_n") - F.col("n")).alias("_first"), "_total")
 
-    def split(frames: Iterator) -> Iterator:
+    def draw(key, cells):
         import numpy as np
 
-        for pdf in frames:
-            for model, s, blocks, n, rep in zip(pdf["model"], pdf["_s"], pdf["_b"], pdf["n"], pdf["rep"]):
-                n = np.asarray(n, dtype="int64")
-                rng = np.random.default_rng([seed, zlib.crc32(model.encode()), int(s) + 1, int(rep)])
-                m = rng.multinomial(int(n.sum()), n / n.sum())
-                yield type(pdf)({"model": model, "_s": s, "_b": np.asarray(blocks), "rep": rep, "m": m})[m > 0]
-
-    shares = slots.repartition("model", "_s", "rep").mapInPandas(split, "model string, _s int, _b long, rep int, m long")
-
-    def draw(key, cells, counts):
-        import numpy as np
-
-        model, s, b = key
+        model, s, _ = key
         cells = cells.sort_values(list(order))
         y = np.clip(cells["y"].to_numpy(dtype="float64"), 0.0, 1.0)
         inner, outer = (cells[c].fillna(False).to_numpy(dtype=bool) for c in ("ispb", "ospb"))
-        out = []
-        for rep, m in zip(counts["rep"], counts["m"]):
-            rng = np.random.default_rng([seed, zlib.crc32(model.encode()), int(s) + 1, int(rep), int(b) & 0xFFFFFFFF])
-            i = rng.integers(0, len(y), int(m))
-            if noisy:
-                spread = np.sqrt(np.maximum(cells["s_total"].to_numpy()[i] ** 2, EPS))
-                wet = cells["gdiff"].to_numpy()[i] + noise * spread * rng.standard_normal(int(m)) >= cells["margin"].to_numpy()[i]
-            else:
-                wet = rng.random(int(m)) < cells["pw"].to_numpy()[i]
-            w, d = y[i], 1.0 - y[i]
-            a, o = inner[i], outer[i]
-            out.append((model, rep, w[wet].sum(), d[wet].sum(), d[~wet].sum(), w[~wet].sum(),
-                        w[wet & a].sum(), w[a].sum(), d[~wet & o].sum(), d[o].sum()))
-        return type(cells)(out, columns=["model", "rep", *SUMS])
-
-    keys = ["model", "_s", "_b"]
-    parts = base.groupBy(*keys).cogroup(shares.groupBy(*keys)).applyInPandas(
+        mass = np.stack([y, 1.0 - y, 1.0 - y, y, y * inner, y * inner, (1.0 - y) * outer, (1.0 - y) * outer])
+        on_wet = np.array([True, True, False, False, True, True, False, False])
+        both = np.array([False, False, False, False, False, True, False, True])
+        if noisy:
+            gap = cells["margin"].to_numpy(dtype="float64") - cells["gdiff"].to_numpy(dtype="float64")
+            spread = noise * np.sqrt(np.maximum(cells["s_total"].to_numpy(dtype="float64") ** 2, EPS))
+        else:
+            pw = cells["pw"].to_numpy(dtype="float64")
+        start, total = int(cells["_first"].iloc[0]), int(cells["_total"].iloc[0])
+        sums = np.zeros((n_boot, len(SUMS)))
+        seeds = [seed, zlib.crc32(model.encode()), int(s) + 1]
+        for lo, hi, k in _block_shares(seeds, start, len(y), total, n_boot):
+            rng = np.random.default_rng([*seeds, lo, hi, 1])
+            step = max(1, 1_000_000 // (hi - lo))
+            for at in range(0, n_boot, step):
+                rep = np.repeat(np.arange(at, min(at + step, n_boot)), k[at:at + step])
+                i = rng.integers(lo - start, hi - start, len(rep))
+                wet = spread[i] * rng.standard_normal(len(i)) >= gap[i] if noisy else rng.random(len(i)) < pw[i]
+                for c in range(len(SUMS)):
+                    here = mass[c][i] if both[c] else mass[c][i] * (wet == on_wet[c])
+                    sums[:, c] += np.bincount(rep, here, minlength=n_boot)
+        return type(cells)({"model": model, "rep": np.arange(n_boot), **dict(zip(SUMS, sums.T))})
+
+    parts = base.join(first, keys).groupBy(*keys).applyInPandas(
         draw, "model string, rep int, " + ", ".join(f"{c} double" for c in SUMS))
     return with_regional(with_scores(parts.groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in SUMS])))
 
@@ -181,9 +215,10 @@ def component_table(base: DataFrame) -> DataFrame:
                       (F.col("cum_cells") / F.col("_all")).alias("hi"))
 
 
-def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig) -> tuple[DataFrame, DataFrame]:
+def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig,
+                      chunk: int = REGION_CHUNK) -> tuple[DataFrame, DataFrame]:
     """Drawn regions ``(model, rep, draw, comp_id, _part)`` and the cells ``(..., _part)`` they
-    bring.  A region larger than ``REGION_CHUNK`` cells is cut into parts, so no join key or group
+    bring.  A region larger than ``chunk`` cells is cut into parts, so no join key or group
     holds more than that."""
     take = F.greatest(F.lit(1), F.round(F.lit(cfg.mfrac) * F.col("n_comp")))
     slots = comps.filter(F.col("idx") < take).select(
@@ -195,12 +230,12 @@ def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig) -> tup
     else:
         pick = slots.withColumn("idx", F.least(F.floor(F.col("u") * F.col("n_comp")), F.col("n_comp") - 1))
         drawn = pick.drop("n_comp").join(comps.select("model", "idx", "comp_id", "cells"), ["model", "idx"])
-    parts = F.ceil(F.col("cells") / REGION_CHUNK).cast("int")
+    parts = F.ceil(F.col("cells") / chunk).cast("int")
     drawn = drawn.select("model", "rep", "draw", "comp_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
     members = base.filter("comp_id > 0").join(
         sized(comps.select("model", "comp_id", parts.alias("_parts"))), ["model", "comp_id"])
     members = members.withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.col("_parts")).cast("int"))
-    return drawn, members.select("model", "comp_id", "_part", "cell_id", *_needed(base, cfg))
+    return drawn, members.select("model", "comp_id", "_part", "cell_id", F.xxhash64("cell_id").alias("_id"), *_needed(base, cfg))
 
 
 def _component_base(df: DataFrame, cfg: BootConfig, block: str, order: Sequence[str]) -> DataFrame:
@@ -222,41 +257,61 @@ def bootstrap_components(df: DataFrame, cfg: BootConfig, block: str = "ri", orde
 
 
 def bootstrap_components_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri",
-                                 order: Sequence[str] = ("ci",)) -> DataFrame:
+                                 order: Sequence[str] = ("ci",), chunk: int = REGION_CHUNK) -> DataFrame:
     """The same resampling without a row per drawn copy.
 
-    A region drawn ``k`` times gives every one of its cells ``k`` independent predictions, so each
-    region part meets its draw counts once and only sums per (model, part, replicate) leave it.
+    A region drawn ``k`` times gives every one of its cells ``k`` independent predictions.  Region
+    parts are gathered into bundles of about ``chunk`` cells; a bundle meets the draw counts of its
+    parts once and only sums per (model, bundle, replicate) leave it.  A prediction is a hash of
+    (seed, model, replicate, copy, cell), so it does not depend on parts or bundles.
     """
     base = _component_base(df, cfg, block, order)
     comps = cut_lineage(component_table(base))
-    drawn, members = _drawn_components(base, comps, cfg)
-    keys = ["model", "comp_id", "_part"]
-    counts = drawn.groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("k"))
+    drawn, members = _drawn_components(base, comps, cfg, chunk)
+    bundles = comps.groupBy("model").agg(F.ceil(F.sum("cells") / chunk).alias("_n"))
+    bundle = F.pmod(F.xxhash64("comp_id", "_part"), F.col("_n")).alias("_bundle")
+    keys = ["model", "_bundle"]
+    counts = (drawn.groupBy("model", "comp_id", "_part", "rep").agg(F.count(F.lit(1)).alias("k"))
+              .join(sized(bundles), "model").select("model", bundle, "comp_id", "_part", "rep", "k"))
+    members = members.join(sized(bundles), "model").select(*members.columns, bundle)
     noisy, seed, noise = cfg.pred == "noisy", cfg.seed, cfg.noise
 
     def draw(key, cells, times):
         import numpy as np
+        import pandas as pd
 
-        model, comp, part = key
+        model = key[0]
         if cells.empty or times.empty:
-            return type(cells)(columns=["model", "rep", *SUMS])
-        cells = cells.sort_values("cell_id")
+            return pd.DataFrame(columns=["model", "rep", *SUMS])
         y = np.clip(cells["y"].to_numpy(dtype="float64"), 0.0, 1.0)
         a, o = (cells[c].fillna(False).to_numpy(dtype=bool) for c in ("ispb", "ospb"))
+        ids = cells["_id"].to_numpy(dtype="int64").view("uint64")
+        parts = pd.MultiIndex.from_frame(cells[["comp_id", "_part"]])
+        code, known = parts.factorize()
+        of = known.get_indexer(pd.MultiIndex.from_frame(times[["comp_id", "_part"]]))
+        if noisy:
+            spread = noise * np.sqrt(np.maximum(cells["s_total"].to_numpy(dtype="float64") ** 2, EPS))
+            gap = cells["margin"].to_numpy(dtype="float64") - cells["gdiff"].to_numpy(dtype="float64")
+        else:
+            pw = cells["pw"].to_numpy(dtype="float64")
         out = []
-        for rep, k in zip(times["rep"], times["k"]):
-            rng = np.random.default_rng([seed, zlib.crc32(model.encode()), int(comp), int(part), int(rep)])
-            if noisy:
-                spread = noise * np.sqrt(np.maximum(cells["s_total"].to_numpy() ** 2, EPS))
-                gap = cells["margin"].to_numpy() - cells["gdiff"].to_numpy()
-                wet = sum((spread * rng.standard_normal(len(y)) >= gap).astype("float64") for _ in range(int(k)))
-            else:
-                wet = rng.binomial(int(k), np.clip(cells["pw"].to_numpy(), 0.0, 1.0)).astype("float64")
+        for rep, at in times.groupby("rep").indices.items():
+            per_part = np.zeros(len(known))
+            per_part[of[at]] = times["k"].to_numpy()[at]
+            k = per_part[code]
+            seeds, wet = [seed, zlib.crc32(model.encode()), int(rep)], np.zeros(len(y))
+            for copy in range(int(k.max())):
+                u = _cell_uniform(seeds, ids, copy)
+                if noisy:
+                    radius = np.sqrt(-2.0 * np.log(np.maximum(u, 2.0**-53)))
+                    hit = spread * radius * np.cos(2.0 * np.pi * _cell_uniform(seeds, ids, copy, 1)) >= gap
+                else:
+                    hit = u < pw
+                wet += hit & (k > copy)
             dry = k - wet
             out.append((model, rep, (wet * y).sum(), (wet * (1 - y)).sum(), (dry * (1 - y)).sum(), (dry * y).sum(),
                         (wet * y)[a].sum(), (k * y)[a].sum(), (dry * (1 - y))[o].sum(), (k * (1 - y))[o].sum()))
-        return type(cells)(out, columns=["model", "rep", *SUMS])
+        return pd.DataFrame(out, columns=["model", "rep", *SUMS])
 
     sums = members.groupBy(*keys).cogroup(counts.groupBy(*keys)).applyInPandas(
         draw, "model string, rep int, " + ", ".join(f"{c} double" for c in SUMS))

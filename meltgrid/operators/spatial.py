@@ -26,24 +26,28 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
                      F.coalesce(F.lead("y_m").over(ring), F.first("y_m").over(whole)).alias("y2"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, band: float, key: Sequence[str]) -> DataFrame:
-    """``(key..., region)`` for every point inside or on a region; parts are united.
+def _packed_bands(polygons: DataFrame, band: float, rings: str) -> DataFrame:
+    """``(_band, _shapes)``: per height band every shape's region, edges and x range in one row.
 
-    Edges are spread over horizontal bands and packed per (band, region), so a point meets only
-    the edges at its own height through an equi-join and the crossings are counted inside the
-    row: the large side is neither paired with all edges nor shuffled for the count.
+    ``rings="union"`` makes a shape of every ring; ``"parity"`` makes one of all rings of a part,
+    so a ring inside another is a hole.
     """
+    shape = {"union": ["region", "part", "ring"], "parity": ["region", "part"]}[rings]
     edges = polygon_edges(polygons)
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    bands = F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band)))
-    spread = edges.withColumn("_band", bands)
+    spread = edges.withColumn("_band", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
     flat = sized(spread)
-    rings = flat.groupBy("_band", "region", "part", "ring").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    box = edges.groupBy("region", "part", "ring").agg(
+    shapes = flat.groupBy("_band", *shape).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    box = edges.groupBy(*shape).agg(
         F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"))
-    packed = rings.join(box, ["region", "part", "ring"]).groupBy("_band", "region").agg(
-        F.collect_list(F.struct("edges", "x0", "x9")).alias("_rings"))
+    packed = shapes.join(box, shape).groupBy("_band").agg(
+        F.collect_list(F.struct("region", "edges", "x0", "x9")).alias("_shapes"))
+    # Packing keeps the number of edges, so the size proven for the flat edges holds for it.
+    return packed if flat is spread else F.broadcast(packed)
+
+
+def _regions_at(points: DataFrame, polygons: DataFrame, band: float, rings: str) -> DataFrame:
+    """Points with ``_regions``, the regions they are inside or on; nothing is multiplied."""
     x, y = F.col("x_m"), F.col("y_m")
 
     def crosses(e):
@@ -56,23 +60,34 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, band: float, key:
         return ((side == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                 & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    def holds(ring):
-        odd = F.size(F.filter(ring["edges"], crosses)) % 2 == 1
-        return x.between(ring["x0"], ring["x9"]) & (odd | F.exists(ring["edges"], touches))
+    def holds(shape):
+        odd = F.size(F.filter(shape["edges"], crosses)) % 2 == 1
+        return x.between(shape["x0"], shape["x9"]) & (odd | F.exists(shape["edges"], touches))
 
-    near = points.select(*key, "x_m", "y_m", F.floor(F.col("y_m") / band).alias("_band"))
-    # Packing keeps the number of edges, so the size proven for the flat edges holds for it.
-    side = packed if flat is spread else F.broadcast(packed)
-    return near.join(side, "_band").filter(F.exists("_rings", holds)).select(*key, "region")
+    near = points.withColumn("_band", F.floor(F.col("y_m") / band))
+    out = near.join(_packed_bands(polygons, band, rings), "_band", "left")
+    hit = F.array_distinct(F.transform(F.filter("_shapes", holds), lambda s: s["region"]))
+    return out.withColumn("_regions", F.coalesce(hit, F.array())).drop("_band", "_shapes")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, band: float, key: Sequence[str],
+                       rings: str = "union") -> DataFrame:
+    """``(key..., region)`` for every point inside or on a region; parts are united.
+
+    Rings of one part are united as well, or count by parity (``rings``), so that inner rings are
+    holes.  Edges are packed per height band, so a point meets only the edges at its own height
+    through an equi-join and the crossings are counted inside the row: the large side is neither
+    paired with all edges nor shuffled for the count.
+    """
+    at = _regions_at(points.select(*key, "x_m", "y_m"), polygons, band, rings)
+    return at.select(*key, F.explode("_regions").alias("region"))
 
 
 def region_columns(points: DataFrame, polygons: DataFrame, regions: Sequence[str], band: float,
-                   key: Sequence[str]) -> DataFrame:
-    """One boolean column per region on the points."""
-    hits = points_in_polygons(points, polygons, band, key)
-    wide = hits.groupBy(*key).agg(*[F.bool_or(F.col("region") == r).alias(f"in_{r.lower()}") for r in regions])
-    out = points.join(wide, list(key), "left")
-    return out.withColumns({f"in_{r.lower()}": F.coalesce(f"in_{r.lower()}", F.lit(False)) for r in regions})
+                   key: Sequence[str], rings: str = "union") -> DataFrame:
+    """One boolean column per region on the points, computed inside each row."""
+    out = _regions_at(points, polygons, band, rings)
+    return out.withColumns({f"in_{r.lower()}": F.array_contains("_regions", r) for r in regions}).drop("_regions")
 
 
 def coverage(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:

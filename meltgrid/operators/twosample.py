@@ -6,6 +6,7 @@ there, and running totals give ranks and distribution functions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -128,8 +129,15 @@ def stride_sample(df: DataFrame, k: int) -> DataFrame:
     return df if k <= 1 else downsample(df, k)
 
 
-def robustness(df: DataFrame, value: str, mask: str, k: int, least: int = 1000) -> DataFrame:
-    """The tests on a spatial subsample; skipped when a side has fewer than ``least`` cells."""
+def stride_for(share: float = 0.02, most: int = 25) -> int:
+    """Row and column stride keeping about ``share`` of the cells."""
+    return min(max(1, math.floor(math.sqrt(1.0 / share) + 0.5)), most)
+
+
+def robustness(df: DataFrame, value: str, mask: str, k: int | None = None, least: int = 1000) -> DataFrame:
+    """The tests on a spatial subsample, by default of about 2 %; skipped when a side has fewer
+    than ``least`` cells."""
+    k = stride_for() if k is None else k
     sub = stride_sample(df, k)
     rs = ranksum(sub, value, mask).withColumn("_k", F.lit(0))
     ks = ks_2samp(sub, value, mask).select(F.lit(0).alias("_k"), "d", F.col("p").alias("p_ks"))

@@ -1,4 +1,4 @@
-"""Search over candidate fields and summaries of a finished chain."""
+"""Search over candidate fields."""
 
 from __future__ import annotations
 
@@ -6,16 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltgrid.operators import fields as Y
-from meltgrid.operators.posterior import best_region, chain_summary, keep_draws
-
-
-def lattice(spark, mu: tuple[int, int, int], a: tuple[int, int, int], theta: tuple[int, int, int]) -> DataFrame:
-    """Candidate lattice from (first, last, step) triples."""
-    def axis(t):
-        return F.explode(F.sequence(*[F.lit(int(v)) for v in t])).cast("double")
-
-    return (spark.range(1).select(axis(mu).alias("mu")).select("mu", axis(a).alias("a"))
-            .select("mu", "a", axis(theta).alias("theta")))
 
 
 def search(cells: DataFrame, cands: DataFrame, cfg: Y.FieldConfig = Y.FieldConfig(), *, rounding=(0.25, 0.5, 2.0),
@@ -26,9 +16,4 @@ def search(cells: DataFrame, cands: DataFrame, cfg: Y.FieldConfig = Y.FieldConfi
         gate = Y.proxy_score(cells, unique, cfg, delta).filter(F.col("proxy") >= proxy_gate)
         unique = gate.select("mu", "a", "theta")
     scores = Y.score_candidates(cells, unique, cfg, delta)
-    return Y.posterior_grid(Y.log_prior(scores, prior, floor=cfg.floor, cap=cfg.cap), cfg.beta)
-
-
-def summarise_chain(chain: DataFrame, burn: float = 0.25, thin: int = 1, mode: str = "topfrac") -> dict[str, DataFrame]:
-    kept = keep_draws(chain, burn, thin)
-    return {"summary": chain_summary(chain), "kept": kept, "region": best_region(kept, mode)}
+    return Y.posterior_grid(Y.log_prior(scores, prior, floor=cfg.floor, cap=cfg.cap, nonneg=cfg.nonneg), cfg.beta)

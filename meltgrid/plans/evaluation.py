@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from meltgrid.operators import metrics as M
 from meltgrid.operators import resample as R
 from meltgrid.operators.components import connected_components
 from meltgrid.operators.masks import MaskConfig, with_masks
-from meltgrid.operators.models import model_center, rank_compare, union_runs
+from meltgrid.operators.models import flat_models, model_center, rank_compare, union_runs
 from meltgrid.operators.summaries import calibrate_logistic, coverage_report, summarize, weight_diagnostics
 from meltgrid.plans.dataset import clean_layers, model_rows, with_minimum
 from meltgrid.session import cut_lineage
@@ -64,7 +64,7 @@ def label_cells(cells: DataFrame, cfg: EvalConfig) -> DataFrame:
                               "w": truth_weight(F.col("q"), mode, t0=cfg.t0, tmid=tmid, k=k, p=cfg.p)})
 
 
-ROW_COLUMNS = ("model", "cell_id", "ri", "ci", "q", "ispb", "ospb", "sink", "y", "w", "gdiff", "s_model", "s_gmin")
+ROW_COLUMNS = ("model", "cell_id", "ri", "ci", "q", "ispb", "ospb", "sink", "comp_id", "y", "w", "gdiff", "s_model", "s_gmin")
 
 
 def scored_rows(cells: DataFrame, models: DataFrame, cfg: EvalConfig) -> DataFrame:
@@ -75,55 +75,82 @@ def scored_rows(cells: DataFrame, models: DataFrame, cfg: EvalConfig) -> DataFra
 
 
 def with_regions(rows: DataFrame, cells: DataFrame, cfg: EvalConfig) -> DataFrame:
+    """Region numbers on the cells, before these are multiplied by the models."""
     comps = connected_components(cells.filter(F.coalesce("sink", F.lit(False))).select("ri", "ci"), cfg.conn, cfg.min_size)
     return rows.join(comps, ["ri", "ci"], "left").withColumn("comp_id", F.coalesce("comp_id", F.lit(0)))
 
 
 def replicates(rows: DataFrame, cfg: EvalConfig) -> DataFrame:
-    """Bootstrap by the cheapest form that is exact for the labels and the mode in use.
-
-    ``md5`` draws ask for the form any SQL engine can repeat.
-    """
+    """Bootstrap by the cheapest form that is exact for the labels and the mode in use, or by the
+    joined form that any SQL engine can repeat where ``cfg.boot.joined`` asks for it."""
     if cfg.mode == "components":
-        form = R.bootstrap_components if cfg.boot.draws == "md5" else R.bootstrap_components_blocked
-        return form(rows, cfg.boot)
+        return (R.bootstrap_components if cfg.boot.joined else R.bootstrap_components_blocked)(rows, cfg.boot)
+    if cfg.boot.joined:
+        return R.bootstrap_cells(rows, cfg.boot)
     if cfg.truth == "binary" and cfg.boot.pred == "bernoulli" and not cfg.boot.balance:
         return R.bootstrap_cells_hard(rows, cfg.boot)
-    if cfg.boot.draws == "md5":
-        return R.bootstrap_cells(rows, cfg.boot)
     return R.bootstrap_cells_blocked(rows, cfg.boot)
 
 
-def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()) -> dict[str, DataFrame]:
-    """All result tables of one evaluation, keyed by name.  Nothing but the label calibration, the
-    margins and the shared rows is computed before a table is read."""
+class Results(Mapping):
+    """Result tables by name; a table is planned when it is first asked for, and tables that build
+    on each other share their parts."""
+
+    def __init__(self, plans: dict[str, Callable[["Results"], DataFrame]]):
+        self._plans, self._made = plans, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._plans[name](self)
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
+def _centers(cells: DataFrame, base: DataFrame, models: DataFrame, cfg: EvalConfig) -> DataFrame:
+    viz = base.filter("viz").select("cell_id").join(models.select("cell_id", "model", "g"), "cell_id")
+    centers = model_center(viz)
+    if cfg.flats is None:
+        return centers
+    flats = flat_models(cells.sparkSession, *cfg.flats)
+    return centers.unionByName(flats.select("model", F.lit(0).cast("long").alias("n"), F.col("flat_value").alias("center")))
+
+
+def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()) -> Results:
+    """All result tables of one evaluation, keyed by name.
+
+    The label calibration, the margins and the shared rows are computed at once; every other table
+    only when it is asked for, the replicates among them.
+    """
     base = label_cells(static_cells(cells, cfg), cfg)
+    if cfg.mode == "components":
+        base = with_regions(base, base, cfg)
     rows = scored_rows(base, models, cfg)
     sigma = M.sigma_summary(rows)
     decided = M.decide(rows, M.margin_table(sigma, cfg.margin_mode, cfg.margin))
-    binary = M.point_metrics(decided, "y")
-    weighted = M.point_metrics(decided, "w", soft=True)
     used = M.with_p_wet(decided).withColumns({
         "y": F.col("w") if cfg.truth == "weighted" else F.col("y").cast("double"),
         "s_total": M.margin_sigma(F.col("s_model"), F.col("s_gmin"))})
-    if cfg.mode == "components":
-        used = with_regions(used, base, cfg)
-    expected = M.expected_metrics(used)
-    reps = replicates(used, cfg)
-    stats = R.gstats(expected, reps)
-    viz = base.filter("viz").select("cell_id").join(models.select("cell_id", "model", "g"), "cell_id")
-    centers = model_center(viz)
-    if cfg.flats is not None:
-        from meltgrid.operators.models import flat_models
-        flats = flat_models(cells.sparkSession, *cfg.flats)
-        centers = centers.unionByName(flats.select("model", F.lit(0).cast("long").alias("n"), F.col("flat_value").alias("center")))
-    return {
-        "spec_stats": summarize(base, "q", {"ROI": F.col("roi"), "VIZ": F.col("viz"), "REG": F.col("reg") & F.col("valid")}),
-        "coverage": coverage_report(base), "sigma": sigma, "suggested_margin": M.suggested_margin(sigma),
-        "binary": binary, "weighted": weighted, "expected": expected, "replicates": reps, "gstats": stats,
-        "ci_summary": R.ci_summary(stats), "centers": centers,
-        "weights": weight_diagnostics(base.filter("roi")), "rank_compare": rank_compare(binary, weighted),
-    }
+    return Results({
+        "spec_stats": lambda r: summarize(base, "q", {
+            "ROI": F.col("roi"), "VIZ": F.col("viz"), "REG": F.col("reg") & F.col("valid")}),
+        "coverage": lambda r: coverage_report(base),
+        "sigma": lambda r: sigma,
+        "suggested_margin": lambda r: M.suggested_margin(sigma),
+        "binary": lambda r: M.point_metrics(decided, "y"),
+        "weighted": lambda r: M.point_metrics(decided, "w", soft=True),
+        "expected": lambda r: M.expected_metrics(used),
+        "replicates": lambda r: replicates(used, cfg),
+        "gstats": lambda r: R.gstats(r["expected"], r["replicates"]),
+        "ci_summary": lambda r: R.ci_summary(r["gstats"]),
+        "centers": lambda r: _centers(cells, base, models, cfg),
+        "weights": lambda r: weight_diagnostics(base.filter("roi")),
+        "rank_compare": lambda r: rank_compare(r["binary"], r["weighted"]),
+    })
 
 
 def sweep(cells: DataFrame, models: DataFrame, thresholds: Sequence[float] = (0.10, 0.15, 0.20, 0.25, 0.30),
@@ -134,15 +161,18 @@ def sweep(cells: DataFrame, models: DataFrame, thresholds: Sequence[float] = (0.
                          boot=R.BootConfig(n_boot=10))
     cfg = replace(cfg, truth="binary", calibrate=False)
     base = label_cells(static_cells(cells, cfg), cfg)
-    rows = scored_rows(base, models, cfg)
     if cfg.mode == "components":
-        rows = cut_lineage(with_regions(rows, base, cfg))
+        base = with_regions(base, base, cfg)
+    rows = scored_rows(base, models, cfg)
     sigma = M.sigma_summary(rows)
     used = M.with_p_wet(M.decide(rows, M.margin_table(sigma, cfg.margin_mode, cfg.margin)))
     used = used.withColumn("s_total", M.margin_sigma(F.col("s_model"), F.col("s_gmin")))
-    out = []
-    for thr in thresholds:
-        run = used.withColumn("y", truth_binary(F.col("q"), float(thr)))
-        stats = R.gstats(M.expected_metrics(run), replicates(run, cfg))
-        out.append(stats.withColumn("threshold", F.lit(float(thr))))
-    return union_runs(out)
+    # One pass for all thresholds: the threshold is part of the model's key, so metrics, draws and
+    # bands of every run come from the same jobs.
+    runs = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    used = used.withColumn("threshold", runs).withColumns({
+        "y": truth_binary(F.col("q"), F.col("threshold")),
+        "model": F.concat_ws("@", F.col("threshold").cast("string"), "model")})
+    stats = R.gstats(M.expected_metrics(used), replicates(used, cfg))
+    return stats.withColumns({"threshold": F.split("model", "@", 2)[0].cast("double"),
+                              "model": F.split("model", "@", 2)[1]})

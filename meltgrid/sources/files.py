@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.functions.nulls import NODATA, finite
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or nothing where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 def scan_points(spark: SparkSession, path: str, schema: str, sep: str = " ", xy_unit: str = "m",
@@ -30,9 +36,11 @@ def scan_points(spark: SparkSession, path: str, schema: str, sep: str = " ", xy_
 
 
 def write_results(df: DataFrame, base: str, kind: str, run_id: str, fmt: str = "parquet") -> str:
-    """Append one run to the result table of its kind; runs are partitions."""
+    """Write one run to the result table of its kind.  Runs are partitions; a run that is written
+    again replaces itself and leaves the others."""
     path = f"{base}/{kind}"
-    writer = df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id")
+    writer = (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("run_id"))
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
@@ -76,9 +84,17 @@ def threshold_dir(base: str, threshold: float) -> str:
     return f"{base}/spec_{threshold:.2f}"
 
 
-def cache_gdiff(df: DataFrame, path: str, model: str = "model") -> DataFrame:
-    """Per-model heat-flow margins, written once and reused while the table is complete."""
+def cache_gdiff(df: DataFrame, path: str, config: Mapping[str, object] | None = None, model: str = "model") -> DataFrame:
+    """Per-model heat-flow margins, written once and reused while complete.
+
+    The folder's name holds a digest of ``config``, the columns and the input files, so other
+    inputs never meet a stale table.  A one-row table written last marks it as complete, whatever
+    the committer in use leaves behind.
+    """
     spark = df.sparkSession
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        df.write.mode("overwrite").partitionBy(model).parquet(path)
-    return spark.read.parquet(path)
+    what = json.dumps([dict(config or {}), df.dtypes, sorted(df.inputFiles())], sort_keys=True, default=str)
+    place = f"{path}/{hashlib.md5(what.encode()).hexdigest()}"
+    if table_or_none(spark, f"{place}-complete") is None:
+        df.write.mode("overwrite").partitionBy(model).parquet(place)
+        spark.range(1).write.mode("overwrite").parquet(f"{place}-complete")
+    return spark.read.parquet(place)

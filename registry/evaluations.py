@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meltgrid.operators import resample as R
-from meltgrid.operators.masks import MaskConfig
 from meltgrid.plans import candidates as P
 from meltgrid.plans import evaluation as E
 from meltgrid.plans import report
@@ -18,15 +17,15 @@ CM = ("cells", "model_cells")
 
 
 def config(**kw):
-    return E.EvalConfig(margin_mode="auto_median", boot=R.BootConfig(n_boot=4, draws="md5"), flats=(30, 60), **kw)
+    return E.EvalConfig(margin_mode="auto_median", boot=R.BootConfig(n_boot=10), **kw)
 
 
 EVAL = MASKED + f""",
 an AS ({quantile_sql('roi', 'q', {'lo': 0.5, 'hi': 0.95})}),
 cal AS (SELECT k, lo - ln(6e-1 / 4e-1) / k AS tmid FROM (SELECT *, (ln(95e-2 / 5e-2) - ln(6e-1 / 4e-1)) / (hi - lo) AS k FROM an)),
 lb AS (SELECT *, CASE WHEN q > 2e-1 THEN 1 ELSE 0 END AS y, 1e0 / (1e0 + exp(-(k * (q - tmid)))) AS w, {gmin_sql()} AS gmin FROM roi, cal),
-mr AS (SELECT lb.*, model, g - gmin AS gdiff, coalesce(sigma, abs(bmax - bmin) / 392e-2, 0e0) AS s FROM lb JOIN model_cells m ON m.cell_id = lb.cell_id
- UNION ALL SELECT lb.*, 'Flat_' || v, v - gmin, 0e0 FROM lb, range(30, 61) AS f(v)),
+mr AS (SELECT lb.*, model, g - gmin AS gdiff, coalesce(sigma, abs(bmax - bmin) / 3.92e0, 0e0) AS s FROM lb JOIN model_cells m ON m.cell_id = lb.cell_id
+ UNION ALL SELECT lb.*, 'Flat_' || v, v - gmin, 0e0 FROM lb, range(20, 81) AS f(v)),
 sm AS ({quantile_sql('mr', 's', {'med': 0.5}, 'model')}),
 mg AS (SELECT median(med) AS margin FROM sm WHERE model NOT LIKE 'Flat%'),
 pr AS (SELECT *, coalesce(gdiff >= margin, false) AS pred, CASE WHEN s = 0 THEN CASE WHEN gdiff >= margin THEN 1e0 ELSE 0e0 END ELSE {phi_sql('(gdiff - margin) / sqrt(greatest(s * s, 2.220446049250313e-16))')} END AS pw FROM mr, mg)"""
@@ -48,7 +47,7 @@ def _(t):
 
 @query("evaluation_report_table", "A29 W5 B6 B7", tables=CM, ctes=EVAL + f""",
 c AS (SELECT model, {SOFT.format(p='pw', y='y')} FROM pr WHERE pw IS NOT NULL GROUP BY model),
-ce AS (SELECT model, median(g) AS center FROM masked k JOIN model_cells m ON m.cell_id = k.cell_id WHERE slow GROUP BY model UNION ALL SELECT 'Flat_' || v, v FROM range(30, 61) AS f(v))""",
+ce AS (SELECT model, median(g) AS center FROM masked k JOIN model_cells m ON m.cell_id = k.cell_id WHERE slow GROUP BY model UNION ALL SELECT 'Flat_' || v, v FROM range(20, 81) AS f(v))""",
        sql=f"SELECT c.model, {r('center')} AS center, {r('g_mean')} AS exp, c.model LIKE 'Flat%' AS is_flat, true AS good, true AS ordered FROM ({score_sql('c')}) c JOIN ce ON ce.model = c.model")
 def _(t):
     """Report table; the bands come from the exact-count bootstrap, so only their order is checked."""
@@ -59,14 +58,13 @@ def _(t):
 
 
 @query("evaluation_threshold_runs", "B8 B3", tables=CM, ctes=MASKED.replace("WHERE slow AND coalesce(sink, false)", "WHERE slow") + f""",
-mr AS (SELECT c.*, model, g - {gmin_sql()} AS gdiff, coalesce(sigma, abs(bmax - bmin) / 392e-2, 0e0) AS s FROM roi c JOIN model_cells m ON m.cell_id = c.cell_id),
+mr AS (SELECT c.*, model, g - {gmin_sql()} AS gdiff, coalesce(sigma, abs(bmax - bmin) / 3.92e0, 0e0) AS s FROM roi c JOIN model_cells m ON m.cell_id = c.cell_id
+ UNION ALL SELECT c.*, 'Flat_' || v, v - {gmin_sql()}, 0e0 FROM roi c, range(20, 81) AS f(v)),
 pr AS (SELECT *, CASE WHEN s = 0 THEN CASE WHEN gdiff >= 0 THEN 1e0 ELSE 0e0 END ELSE {phi_sql('gdiff / sqrt(greatest(s * s, 2.220446049250313e-16))')} END AS pw FROM mr),
-c AS (SELECT model, threshold, {SOFT.format(p='pw', y='(CASE WHEN q > threshold THEN 1e0 ELSE 0e0 END)')} FROM pr, (SELECT unnest([15e-2, 25e-2]) AS threshold) WHERE pw IS NOT NULL GROUP BY model, threshold)""",
+c AS (SELECT model, threshold, {SOFT.format(p='pw', y='(CASE WHEN q > threshold THEN 1e0 ELSE 0e0 END)')} FROM pr, (SELECT unnest([1e-1, 15e-2, 2e-1, 25e-2, 3e-1]) AS threshold) WHERE pw IS NOT NULL GROUP BY model, threshold)""",
        sql=f"SELECT model, threshold, {r('g_mean')} AS exp, true AS ordered FROM ({score_sql('c')})")
 def _(t):
-    cfg = E.EvalConfig(truth="binary", mode="components", calibrate=False, flats=None, masks=MaskConfig(gate_sinks=False),
-                       boot=R.BootConfig(n_boot=5))
-    out = E.sweep(t.cells, t.model_cells, (0.15, 0.25), cfg).filter("metric = 'g_mean'")
+    out = E.sweep(t.cells, t.model_cells).filter("metric = 'g_mean'")
     ordered = (F.col("lo95") <= F.col("lo50")) & (F.col("lo50") <= F.col("hi50")) & (F.col("hi50") <= F.col("hi95"))
     return rnd(out.select("model", "threshold", "exp", ordered.alias("ordered")))
 

@@ -38,11 +38,11 @@ field AS (SELECT *, least(greatest(least(greatest(g0, {lo}), {hi}) - before + mu
 FIELD = MASKED.replace("roi AS (SELECT * FROM masked WHERE slow AND coalesce(sink, false))", "roi AS (SELECT * FROM masked WHERE slow)") + ",\n" + _field()
 
 
-@query("gradient_field", "P27", tables=CELLS, ctes="""cen AS (SELECT cell_id, (x_m - avg(x_m) OVER ()) * cos(radians(-2529e-2 + 90)) + (y_m - avg(y_m) OVER ()) * sin(radians(-2529e-2 + 90)) AS p FROM cells)""",
-       sql=f"SELECT cell_id, {r('4287e-2 + 2e1 * 2e0 * (p - (min(p) OVER () + max(p) OVER ()) / 2e0) / (max(p) OVER () - min(p) OVER ())')} AS g_syn FROM cen")
+@query("gradient_field", "P27", tables=CELLS, ctes="""cen AS (SELECT cell_id, (x_m - avg(x_m) OVER ()) * cos(radians(-27.5e0 + 90)) + (y_m - avg(y_m) OVER ()) * sin(radians(-27.5e0 + 90)) AS p FROM cells)""",
+       sql=f"SELECT cell_id, {r('44.5e0 + 2e1 * 2e0 * (p - (min(p) OVER () + max(p) OVER ()) / 2e0) / (max(p) OVER () - min(p) OVER ())')} AS g_syn FROM cen")
 def _(t):
     # Angle given across the gradient; the negative amplitude turns the direction round.
-    return rnd(Y.gradient_field(t.cells, 42.87, -20.0, -25.29, perpendicular=True).select("cell_id", "g_syn"))
+    return rnd(Y.gradient_field(t.cells, 44.5, -20.0, -27.5, perpendicular=True).select("cell_id", "g_syn"))
 
 
 @query("field_gated", "P28 P27", tables=CC, ctes=FIELD, sql=f"""
@@ -156,13 +156,16 @@ def _(t):
 
 
 @query("chain_full_table", "M5 P30", tables=CH, sql=f"""
-SELECT iter, mu, a, theta_deg, gmean, accepted, {r(PRIOR.strip().lstrip('-') .join(['-(', ')']))} AS log_prior FROM chain""")
+SELECT iter, mu, a, theta_deg, gmean, accepted, log_prior, {r('6e0 * least(greatest(gmean, 0e0), 1e0) + log_prior')} AS posterior
+FROM (SELECT *, {r(PRIOR.strip().lstrip('-') .join(['-(', ')']))} AS log_prior FROM chain)""")
 def _(t):
     df = Q.chain_table(t.chain)
     wide = F.col("mu").between(20, 150) & F.col("a").between(-150, 150) & F.col("theta_deg").between(-90, 90)
     soft = Y.softbox(F.col("a"), -150.0, 150.0, 3.0)
-    return df.select("iter", "mu", "a", "theta_deg", "gmean", "accepted",
-                     F.round(F.when(wide, F.col("log_prior")).otherwise(F.col("log_prior") + soft), 6).alias("log_prior"))
+    prior = F.round(F.when(wide, F.col("log_prior")).otherwise(F.col("log_prior") + soft), 6)
+    shift = prior - F.col("log_prior")
+    return df.select("iter", "mu", "a", "theta_deg", "gmean", "accepted", prior.alias("log_prior"),
+                     F.round(F.col("posterior") + shift, 6).alias("posterior"))
 
 
 @query("chain_acceptance_best", "A28", tables=CH, sql=f"""

@@ -63,9 +63,12 @@ FROM part
 
 POLYGONS = """
 SELECT * FROM (VALUES
-  ('ISPB', 0, 1000e0, 1000e0), ('ISPB', 1, 6000e0, 1500e0), ('ISPB', 2, 5500e0, 9000e0), ('ISPB', 3, 1500e0, 8000e0),
-  ('OSPB', 0, 5000e0, 500e0), ('OSPB', 1, 12000e0, 1000e0), ('OSPB', 2, 11500e0, 11000e0), ('OSPB', 3, 6500e0, 11500e0)
-) AS t(region, seq, x_m, y_m)
+  ('ISPB', 0, 0, 1000e0, 1000e0), ('ISPB', 0, 1, 6000e0, 1500e0), ('ISPB', 0, 2, 5500e0, 9000e0), ('ISPB', 0, 3, 1500e0, 8000e0),
+  ('ISPB', 0, 4, cast(NULL AS double), cast(NULL AS double)),
+  ('ISPB', 0, 5, 2500e0, 2500e0), ('ISPB', 0, 6, 4000e0, 2500e0), ('ISPB', 0, 7, 4000e0, 5000e0), ('ISPB', 0, 8, 2500e0, 5000e0),
+  ('ISPB', 1, 0, 3000e0, 200e0), ('ISPB', 1, 1, 4500e0, 200e0), ('ISPB', 1, 2, 4500e0, 3000e0), ('ISPB', 1, 3, 3000e0, 3000e0),
+  ('OSPB', 0, 0, 5000e0, 500e0), ('OSPB', 0, 1, 12000e0, 1000e0), ('OSPB', 0, 2, 11500e0, 11000e0), ('OSPB', 0, 3, 6500e0, 11500e0)
+) AS t(region, part, seq, x_m, y_m)
 """
 
 CHAIN = """

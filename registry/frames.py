@@ -58,9 +58,9 @@ def gmin_sql(h: str = "h", ts: str = "ts", mb: str = "mb") -> str:
         return f"((pow({z}, 6) - 1e0) / 4e0 / 6e0 - 5e0 * (pow({z}, 2) - 1e0) / 2e0 / 4e0 + {z} - 1e0)"
 
     terms = (f"list_sum(list_transform(range(1, 21), lambda i: 5e-2 * exp(5e-1 * ({lam('i')} + {lam('i - 1')})"
-             f" * {h} * {mb} * (910e0 * 2009e0 / (21e-1 * 31556926e0)))))")
+             f" * {h} * {mb} * (910e0 * 2009e0 / (2.1e0 * 31556926e0)))))")
     den = f"({h} * {terms})"
-    return (f"CASE WHEN abs({den}) >= 1e-8 THEN 21e-1 * 31556926e0 * (27315e-2 - 87e-5 * {h} - {ts}) / {den}"
+    return (f"CASE WHEN abs({den}) >= 1e-8 THEN 2.1e0 * 31556926e0 * (273.15e0 - 8.7e-4 * {h} - {ts}) / {den}"
             f" / 31556926e0 * 1e3 END")
 
 
@@ -72,7 +72,7 @@ labelled AS (SELECT *, CASE WHEN q > 2e-1 THEN 1 ELSE 0 END AS y,
 
 SCORED = LABELLED + """,
 scored AS (SELECT l.*, model, g, sigma, bmin, bmax, g - gmin AS gdiff,
-  coalesce(sigma, abs(bmax - bmin) / (2e0 * 196e-2), 0e0) AS s_model,
+  coalesce(sigma, abs(bmax - bmin) / (2e0 * 1.96e0), 0e0) AS s_model,
   CASE WHEN sigma IS NOT NULL THEN 'cell' WHEN bmax IS NOT NULL THEN 'bounds' ELSE 'none' END AS sigma_source
   FROM labelled l JOIN model_cells m ON l.cell_id = m.cell_id)"""
 

@@ -9,11 +9,11 @@ from meltgrid.functions.physics import lat_at_most, polar_radius
 from meltgrid.operators import grid as G
 from meltgrid.operators import masks as K
 from meltgrid.operators.models import stable_unique
-from meltgrid.operators.summaries import detect_axis_mode
+from meltgrid.operators.summaries import axis_in_metres, detect_axis_mode
 from meltgrid.session import scratch_path
 from meltgrid.sources import files as S
 from registry.base import query, r, rnd
-from registry.frames import CLEAN, STEP, clean_cells
+from registry.frames import CLEAN, NCOLS, STEP, clean_cells
 
 CELLS = ("cells",)
 
@@ -132,6 +132,21 @@ def _(t):
     return out
 
 
+@query("axes_in_metres", "P3", tables=("raster",), sql="""
+SELECT 'named' AS tag, count(*) AS n, max(x_m) AS last FROM (SELECT DISTINCT ix, x_m FROM raster)
+UNION ALL SELECT 'plain', count(*), max(x_m) FROM (SELECT DISTINCT ix, x_m FROM raster)""")
+def _(t):
+    x = t.raster.groupBy(F.col("ix").alias("i")).agg(F.max("x_m").alias("v"))
+    y = t.raster.groupBy(F.col("iy").alias("i")).agg(F.max("y_m").alias("v"))
+    xk, yk = (a.withColumn("v", F.col("v") / 1000) for a in (x, y))
+    out = None
+    for tag, ax, ay, attrs in (("named", xk, yk, {"x_units": "km"}), ("plain", x, y, None)):
+        mode = detect_axis_mode(ax, ay, attrs).first()["mode"]
+        part = axis_in_metres(ax, mode).agg(F.lit(tag).alias("tag"), F.count(F.lit(1)).alias("n"), F.max("v").alias("last"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("rect_masks", "P22", tables=CELLS, sql="""
 SELECT cell_id, (x_m BETWEEN 1e3 AND 3e3 AND y_m BETWEEN 0 AND 2e3) OR (x_m BETWEEN 5e3 AND 9e3 AND y_m BETWEEN 5e2 AND 4e3) AS inside,
  NOT (x_m BETWEEN 1e3 AND 3e3 AND y_m BETWEEN 0 AND 2e3) AS outside FROM cells""")
@@ -151,11 +166,15 @@ def _(t):
 
 
 @query("mask_resized", "P23", tables=CELLS, sql="""
-SELECT g.cell_id, s.sink AS mask FROM cells g LEFT JOIN cells s
-ON s.ri = cast(floor((g.ri + 5e-1) * 10e0 / 12e0) AS int) AND s.ci = cast(floor((g.ci + 5e-1) * 100e0 / 125e0) AS int)""")
+SELECT g.cell_id, s.mask FROM (SELECT cell_id, ri, ci, max(ri) OVER () + 1 AS nr FROM cells) g LEFT JOIN (
+ SELECT cast(floor(ri / 2) AS int) AS sr, cast(floor(ci / 2) AS int) AS sc, bool_or(sink) AS mask FROM cells GROUP BY 1, 2) s
+ON s.sr = cast(floor((g.ri + 5e-1) * cast(floor((nr + 1) / 2) AS int) / nr) AS int) AND s.sc = cast(floor((g.ci + 5e-1) * 63e0 / 125e0) AS int)""")
 def _(t):
-    mask = t.cells.select("ri", "ci", F.col("sink").alias("mask"))
-    return G.resize_nearest(mask, t.cells.select("cell_id", "ri", "ci"), (10, 100), (12, 125)).select("cell_id", "mask")
+    half = t.cells.groupBy(F.floor(F.col("ri") / 2).cast("int").alias("ri"), F.floor(F.col("ci") / 2).cast("int").alias("ci")).agg(
+        F.bool_or("sink").alias("mask"))
+    rows = G.extents(t.cells).first()["r1"] + 1
+    return G.resize_nearest(half, t.cells.select("cell_id", "ri", "ci"), ((rows + 1) // 2, (NCOLS + 1) // 2),
+                            (rows, NCOLS)).select("cell_id", "mask")
 
 
 @query("layer_replaced", "P24 P4", tables=CELLS, sql=f"""
@@ -169,13 +188,13 @@ def _(t):
 
 
 @query("layer_differences", "P25 P26", tables=CELLS, sql=f"""
-SELECT cell_id, {r('greatest(h - 4e3, 0e0)')} AS thick, {r('h - 1e1 * mean_qty')} AS plain,
- {r('greatest(2e2, 1e1 * mean_qty) - 1e1 * mean_qty')} AS depth, coalesce(greatest(2e2, 1e1 * mean_qty) > 1e1 * mean_qty AND mean_qty IS NOT NULL, false) AS hollow
-FROM (SELECT cell_id, h, mean_qty FROM cells) WHERE mean_qty IS NOT NULL""")
+SELECT cell_id, {r('CASE WHEN h IS NOT NULL THEN greatest(h - 4e3, 0e0) END')} AS thick, {r('h - 1e1 * mean_qty')} AS plain,
+ {r('CASE WHEN mean_qty IS NOT NULL THEN greatest(2e2, 1e1 * mean_qty) - 1e1 * mean_qty END')} AS depth, coalesce(greatest(2e2, 1e1 * mean_qty) > 1e1 * mean_qty AND mean_qty IS NOT NULL, false) AS hollow
+FROM cells""")
 def _(t):
     head = 10.0 * F.col("mean_qty")
     depth, hollow = K.sink_depth(head, F.greatest(F.lit(200.0), head))
-    return rnd(t.cells.filter("mean_qty IS NOT NULL").select(
+    return rnd(t.cells.select(
         "cell_id", K.layer_diff(F.col("h"), F.lit(4000.0), 0.0).alias("thick"),
         K.layer_diff(F.col("h"), head).alias("plain"), depth.alias("depth"), hollow.alias("hollow")))
 

@@ -107,7 +107,7 @@ def _grad(col: str) -> str:
 
 
 def _flux(sign: str, k: str) -> str:
-    return (f"917e0 * (1525e-1 + 7122e-3 * ts) * (5e-1 * speed / 31556926e0) * (h * ({sign} * dts) + {k} * g0 * h * h * "
+    return (f"917e0 * (152.5e0 + 7.122e0 * ts) * (5e-1 * speed / 31556926e0) * (h * ({sign} * dts) + {k} * g0 * h * h * "
             f"(({sign} * dh) / greatest(h, 1e0) - ({sign} * dmb / 31556926e0) / greatest(mb / 31556926e0, 1e-12)))")
 
 
@@ -115,9 +115,9 @@ ADV = f"""bounds AS (SELECT max(ri) AS mr FROM cells),
 flow AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed, vx / greatest(sqrt(vx * vx + vy * vy), 1e-9) AS ex,
  vy / greatest(sqrt(vx * vx + vy * vy), 1e-9) AS ey FROM cells, bounds),
 slopes AS (SELECT cell_id, ri, ci, x_m, y_m, h, ts, mb, custkey, speed, ex, ey, {_grad('ts')} AS dts, {_grad('h')} AS dh, {_grad('mb')} AS dmb,
- greatest((27315e-2 - 742e-10 * 917e0 * 981e-2 * h - ts) / greatest(h, 1e0), 0e0) AS g0
+ greatest((273.15e0 - 7.42e-8 * 917e0 * 9.81e0 * h - ts) / greatest(h, 1e0), 0e0) AS g0
  FROM flow WINDOW x AS (PARTITION BY ri ORDER BY ci), y AS (PARTITION BY ci ORDER BY ri)),
-adv AS (SELECT *, {_flux('1e0', '333e-3')} AS dq, {_flux('-1e0', '25e-2')} AS dq_flip, {_flux('1e0', '5e-1')} AS dq_half FROM slopes)"""
+adv AS (SELECT *, {_flux('1e0', '0.333e0')} AS dq, {_flux('-1e0', '25e-2')} AS dq_flip, {_flux('1e0', '5e-1')} AS dq_half FROM slopes)"""
 
 
 @query("advection_flux", "P12 W1", tables=CELLS, ctes=ADV, sql=f"""
@@ -165,7 +165,7 @@ def _(t):
 
 
 @query("depth_integral_check", "A25", tables=CELLS, ctes=ADV + """,
-er AS (SELECT abs(917e0 * (1525e-1 + 7122e-3 * ts) * 5e-1 * speed / 31556926e0 * h / 199e0 *
+er AS (SELECT abs(917e0 * (152.5e0 + 7.122e0 * ts) * 5e-1 * speed / 31556926e0 * h / 199e0 *
  (199e0 * dts + 5e-1 * g0 * (dh / h - dmb / 31556926e0 / greatest(mb / 31556926e0, 1e-12)) * h / 199e0 * (198e0 * 199e0 / 2e0 + 199e0 / 2e0)) - dq) AS err
  FROM adv WHERE dq IS NOT NULL AND h > 0)""", sql=f"SELECT n, {sel('p50', 'p95')} FROM ({quantile_sql('er', 'err', {'p50': 0.5, 'p95': 0.95})})")
 def _(t):
@@ -241,14 +241,14 @@ def _(t):
     return rnd(U.change_stats(df, "g", "after", ["model"]))
 
 
-@query("histogram_fixed", "A19", tables=CELLS, ctes=CLEAN + """, b AS (SELECT ispb AS inner_part, cast(CASE WHEN q >= 4e-1 THEN 4 ELSE floor(q / 1e-1 + 1e-9) END AS int) AS bin
- FROM clean WHERE q BETWEEN 0 AND 5e-1 AND ispb IS NOT NULL),
+@query("histogram_fixed", "A19", tables=CELLS, ctes=CLEAN + """, b AS (SELECT coalesce(ispb, false) AS inner_part, cast(CASE WHEN q >= 4e-1 THEN 4 ELSE floor(q / 1e-1 + 1e-9) END AS int) AS bin
+ FROM clean WHERE q BETWEEN 0 AND 5e-1),
 g AS (SELECT inner_part, bin FROM (SELECT DISTINCT inner_part FROM b), (SELECT unnest([0, 1, 2, 3, 4]) AS bin))""", sql=f"""
 SELECT g.inner_part, g.bin, {r('g.bin * 1e-1')} AS lo, {r('(g.bin + 1) * 1e-1')} AS hi, count(b.bin) AS n,
  {r('count(b.bin) / sum(count(b.bin)) OVER (PARTITION BY g.inner_part) / 1e-1')} AS value
 FROM g LEFT JOIN b ON b.bin = g.bin AND b.inner_part = g.inner_part GROUP BY g.inner_part, g.bin""")
 def _(t):
-    df = clean_cells(t).filter("ispb IS NOT NULL").withColumnRenamed("ispb", "inner_part")
+    df = clean_cells(t).withColumn("inner_part", F.coalesce("ispb", F.lit(False)))
     edges = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
     return rnd(O.histogram(df, "q", [e - 1e-10 if 0 < e < 0.5 else e for e in edges], "pdf", ["inner_part"]))
 

@@ -69,33 +69,91 @@ def _(t):
     return rnd(R.bootstrap_cells(weighted_rows(t), _cfg(pred="noisy")))
 
 
-def mean_check(reps, expected):
-    """Replicates per model, cells per replicate, expected wet hits and whether their mean agrees."""
-    both = reps.join(expected.select("model", F.col("tp").alias("tp_exp")), "model")
-    out = both.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n_rep"), F.min(F.round(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).alias("cells"),
-        F.max("tp_exp").alias("tp_exp"), F.avg("tp").alias("_m"), F.stddev_samp("tp").alias("_s"))
-    near = F.abs(F.col("_m") - F.col("tp_exp")) <= 6.0 * F.col("_s") / F.sqrt("n_rep") + 1e-9
-    return rnd(out.select("model", "n_rep", "cells", "tp_exp", near.alias("mean_agrees")))
+MASSES = ("tp", "fp", "tn", "fn")
+
+
+def _mass(wet: str, y: str) -> dict[str, str]:
+    """What one drawn cell adds, given a wet (1) or dry (0) prediction."""
+    return {"tp": f"{wet} * {y}", "fp": f"{wet} * (1e0 - {y})", "tn": f"(1e0 - {wet}) * (1e0 - {y})", "fn": f"(1e0 - {wet}) * {y}"}
+
+
+def spread_check(reps, rows, label: str = "y"):
+    """Replicates against the closed form of drawing N of N cells: the mean of every mass is its sum over the cells, its
+    variance N times that of one draw; regional recalls stay near the expected ones."""
+    y, pw = F.col(label).cast("double"), F.col("pw")
+    parts = {"tp": (pw, y), "fp": (pw, 1.0 - y), "tn": (1.0 - pw, 1.0 - y), "fn": (1.0 - pw, y)}
+    kept = rows.filter("pw IS NOT NULL")
+    exact = kept.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *[x for m, (p, v) in parts.items() for x in (
+        F.sum(p * v).alias(f"{m}_mean"), (F.count(F.lit(1)) * (F.avg(p * v * v) - F.avg(p * v) * F.avg(p * v))).alias(f"{m}_var"))])
+    exp = M.expected_metrics(kept).select("model", F.col("rec_in_wet").alias("in_e"), F.col("rec_out_dry").alias("out_e"))
+    seen = reps.groupBy("model").agg(F.count(F.lit(1)).alias("n_rep"), *[x for m in MASSES for x in (
+        F.avg(m).alias(f"{m}_m"), F.var_samp(m).alias(f"{m}_s"))],
+        *[x for c, t in (("rec_in_wet", "in"), ("rec_out_dry", "out")) for x in (F.avg(c).alias(f"{t}_m"), F.stddev_samp(c).alias(f"{t}_s"))])
+    both = exact.join(seen, "model").join(exp, "model")
+    mean_ok = spread_ok = F.lit(True)
+    for m in MASSES:
+        mean_ok = mean_ok & (F.abs(F.col(f"{m}_m") - F.col(f"{m}_mean")) <= 6.0 * F.sqrt(F.col(f"{m}_var") / F.col("n_rep")) + 1e-6)
+        spread_ok = spread_ok & (F.abs(F.col(f"{m}_s") - F.col(f"{m}_var")) <= 6.0 * F.sqrt(2.0 / (F.col("n_rep") - 1)) * F.col(f"{m}_var") + 1e-6)
+    areas_ok = F.lit(True)
+    for t in ("in", "out"):
+        areas_ok = areas_ok & F.coalesce(F.abs(F.col(f"{t}_m") - F.col(f"{t}_e")) <= 6.0 * F.col(f"{t}_s") / F.sqrt("n_rep") + 0.02, F.lit(True))
+    return rnd(both.select("model", "n", "n_rep", *[f"{m}_{k}" for m in MASSES for k in ("mean", "var")],
+                           mean_ok.alias("mean_agrees"), spread_ok.alias("spread_agrees"), areas_ok.alias("areas_agree")), 4)
+
+
+def _spread_sql(y: str, reps: int) -> str:
+    one = _mass("pw", y)
+    square = {m: f"{v} * {w}" for (m, v), w in zip(one.items(), (y, f"(1e0 - {y})", f"(1e0 - {y})", y))}
+    cols = ", ".join(f"{r(f'sum({one[m]})', 4)} AS {m}_mean, {r(f'count(*) * (avg({square[m]}) - avg({one[m]}) * avg({one[m]}))', 4)} AS {m}_var"
+                     for m in MASSES)
+    return (f"SELECT model, count(*) AS n, cast({reps} AS bigint) AS n_rep, {cols}, true AS mean_agrees, true AS spread_agrees, "
+            "true AS areas_agree FROM p WHERE pw IS NOT NULL GROUP BY model")
+
+
+@query("bootstrap_cells_exact_counts", "B1", tables=CM, ctes=PW, sql=_spread_sql("y", 400))
+def _(t):
+    """Multinomial form for hard labels; its draws are its own, so mean and spread are checked."""
+    rows = weighted_rows(t, "y")
+    return spread_check(R.bootstrap_cells_hard(rows, R.BootConfig(n_boot=400)), rows)
 
 
-def _mean_sql(y: str, reps: int) -> str:
-    return (f"SELECT model, cast({reps} AS bigint) AS n_rep, cast(count(*) AS double) AS cells, {r(f'sum(pw * {y})')} AS tp_exp, "
-            "true AS mean_agrees FROM p WHERE pw IS NOT NULL GROUP BY model")
+@query("bootstrap_cells_blocked", "B1", tables=CM, ctes=PW, sql=_spread_sql("w", 400))
+def _(t):
+    """Block form for soft labels."""
+    rows = weighted_rows(t)
+    return spread_check(R.bootstrap_cells_blocked(rows, R.BootConfig(n_boot=400)), rows)
 
 
-@query("bootstrap_cells_exact_counts", "B1", tables=CM, ctes=PW, sql=_mean_sql("y", 200))
+@query("bootstrap_cells_blocked_noisy", "B5", tables=CM, ctes=PW, sql=_spread_sql("w", 400))
 def _(t):
-    """Multinomial form for hard labels; its draws are its own, so their mean is checked."""
-    rows = weighted_rows(t, "y")
-    return mean_check(R.bootstrap_cells_hard(rows, R.BootConfig(n_boot=200)), M.expected_metrics(rows))
+    """Block form with jittered thresholds: a jitter of the margin's own spread is the wet probability."""
+    rows = weighted_rows(t)
+    return spread_check(R.bootstrap_cells_blocked(rows, R.BootConfig(n_boot=400, pred="noisy")), rows)
 
 
-@query("bootstrap_cells_blocked", "B1", tables=CM, ctes=PW, sql=_mean_sql("w", 30))
+@query("bootstrap_cells_blocked_balanced", "B2", tables=CM, ctes=PW, sql=f"""
+SELECT model, cast(200 AS bigint) AS n_rep, cast(count(*) FILTER (y = 1) AS double) AS wet_cells, cast(count(*) FILTER (y = 0) AS double) AS dry_cells,
+ {r('sum(pw) FILTER (y = 1)', 4)} AS tp_mean, {r('sum(1e0 - pw) FILTER (y = 0)', 4)} AS tn_mean, true AS held, true AS mean_agrees, true AS spread_agrees
+FROM p WHERE pw IS NOT NULL GROUP BY model""")
 def _(t):
-    """Block form for soft labels; its draws are its own, so their mean is checked."""
-    rows = weighted_rows(t)
-    return mean_check(R.bootstrap_cells_blocked(rows, R.BootConfig(n_boot=30)), M.expected_metrics(rows))
+    """Each class is resampled within itself: its size never moves, and hits are spread as N draws of one class."""
+    rows = weighted_rows(t, "y").filter("pw IS NOT NULL")
+    reps = R.bootstrap_cells_blocked(rows, R.BootConfig(n_boot=200, balance=True))
+    pw = F.col("pw")
+    wet, dry = (F.when(F.col("y") == v, pw) for v in (1, 0))
+    exact = rows.groupBy("model").agg(
+        F.count(wet).cast("double").alias("wet_cells"), F.count(dry).cast("double").alias("dry_cells"), F.sum(wet).alias("tp_mean"),
+        F.sum(1.0 - dry).alias("tn_mean"), (F.count(wet) * F.avg(wet) * (1.0 - F.avg(wet))).alias("_tv"),
+        (F.count(dry) * F.avg(dry) * (1.0 - F.avg(dry))).alias("_nv"))
+    both = exact.join(reps.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rep"), *[f(c).alias(f"{c}_{k}") for c in ("tp", "tn") for k, f in (("m", F.avg), ("s", F.var_samp))],
+        F.min(F.col("tp") + F.col("fn")).alias("_w0"), F.max(F.col("tp") + F.col("fn")).alias("_w1")), "model")
+    near = lambda m, e, v: F.abs(F.col(m) - F.col(e)) <= 6.0 * F.sqrt(F.col(v) / F.col("n_rep")) + 1e-6
+    like = lambda s, v: F.abs(F.col(s) - F.col(v)) <= 6.0 * F.sqrt(2.0 / (F.col("n_rep") - 1)) * F.col(v) + 1e-6
+    held = (F.abs(F.col("_w0") - F.col("wet_cells")) < 1e-6) & (F.abs(F.col("_w1") - F.col("wet_cells")) < 1e-6)
+    return rnd(both.select("model", "n_rep", "wet_cells", "dry_cells", "tp_mean", "tn_mean", held.alias("held"),
+                           (near("tp_m", "tp_mean", "_tv") & near("tn_m", "tn_mean", "_nv")).alias("mean_agrees"),
+                           (like("tp_s", "_tv") & like("tn_s", "_nv")).alias("spread_agrees")), 4)
 
 
 def _with_components(t, label="w"):
@@ -130,13 +188,24 @@ def _(t):
     return rnd(R.bootstrap_components(_with_components(t), _cfg(by_size=True)))
 
 
-@query("bootstrap_regions_blocked", "B3", tables=CM, ctes=_comp_ctes(f"ct.idx = cast(floor({uniform_sql('sl.k')} * sl.nc) AS bigint)"), sql=f"""
-SELECT model, cast(rep AS int) AS rep, {r('tp + fp + tn + fn')} AS cells, {r('tp + fn')} AS wet_mass FROM c""")
+@query("bootstrap_regions_blocked", "B3", tables=CM, ctes=_comp_ctes(f"ct.idx = cast(floor({uniform_sql('sl.k')} * sl.nc) AS bigint)") + """,
+ce AS (SELECT sl.model, rep, sum(b.pw * b.w) AS tp_exp, sum(b.w * b.w * b.pw * (1e0 - b.pw)) AS tp_var FROM sl JOIN ct ON ct.model = sl.model
+ AND ct.idx = cast(floor(UNIFORM * sl.nc) AS bigint) JOIN b ON b.model = ct.model AND b.comp_id = ct.comp_id GROUP BY sl.model, rep)""".replace("UNIFORM", uniform_sql("sl.k")), sql=f"""
+SELECT c.model, cast(c.rep AS int) AS rep, {r('tp + fp + tn + fn')} AS cells, {r('tp + fn')} AS wet_mass, {r('tp_exp', 4)} AS tp_exp, true AS near
+FROM c JOIN ce ON ce.model = c.model AND ce.rep = c.rep""")
 def _(t):
-    """Block form: the drawn regions, and so sizes and label mass, are those of the joined form."""
-    reps = R.bootstrap_components_blocked(_with_components(t), _cfg())
-    return rnd(reps.select("model", "rep", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("cells"),
-                           (F.col("tp") + F.col("fn")).alias("wet_mass")))
+    """Block form: the drawn regions, and so sizes and label mass, are those of the joined form; hits lie within the
+    spread of their predictions."""
+    rows = _with_components(t)
+    reps = R.bootstrap_components_blocked(rows, _cfg())
+    base = R._component_base(rows, _cfg(), "ri", ("ci",))
+    drawn, cells = R._drawn_components(base, R.component_table(base), _cfg())
+    exact = drawn.join(cells, ["model", "comp_id", "_part"]).groupBy("model", "rep").agg(
+        F.sum(F.col("pw") * F.col("y")).alias("tp_exp"), F.sum(F.col("y") * F.col("y") * F.col("pw") * (1.0 - F.col("pw"))).alias("_v"))
+    near = F.abs(F.col("tp") - F.col("tp_exp")) <= 6.0 * F.sqrt("_v") + 1e-6
+    return rnd(reps.join(exact, ["model", "rep"]).select(
+        "model", "rep", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("cells"),
+        (F.col("tp") + F.col("fn")).alias("wet_mass"), F.round("tp_exp", 4).alias("tp_exp"), near.alias("near")))
 
 
 BANDS = _cell_ctes("w", BERNOULLI) + f""",
@@ -170,12 +239,12 @@ CENTER = f"""ctr AS ({quantile_sql("(SELECT model, g FROM masked c JOIN model_ce
 
 
 @query("model_centers", "A9", tables=CM, ctes=SCORED + ", " + CENTER + """, al AS (SELECT model, n, center FROM ctr
- UNION ALL SELECT 'Flat_' || v, (SELECT count(*) FROM masked WHERE slow), v FROM range(20, 81, 20) AS f(v))""", sql=f"SELECT model, n, {r('center')} AS center FROM al")
+ UNION ALL SELECT 'Flat_' || v, (SELECT count(*) FROM masked WHERE slow), v FROM range(20, 81) AS f(v))""", sql=f"SELECT model, n, {r('center')} AS center FROM al")
 def _(t):
     from registry.frames import masked
     viz = masked(t).filter("viz").select("cell_id")
     rows = viz.join(t.model_cells, "cell_id").select("model", "g")
-    flats = D.with_flat_fields(viz, 20, 80, 20).select("model", "g")
+    flats = D.with_flat_fields(viz, 20, 80).select("model", "g")
     return rnd(D.model_center(rows.unionByName(flats)))
 
 
@@ -199,10 +268,10 @@ def _(t):
     return rnd(threshold_sweep(M.decide(scored(t), 0.0), THRESHOLDS))
 
 
-@query("threshold_closest", "J11", tables=CM, ctes=SWEEP, sql=f"SELECT model, threshold, {r('g_mean')} AS g_mean FROM ({score_sql('c')}) WHERE model = 'A' AND threshold = 2e-1")
+@query("threshold_closest", "J11", tables=CM, ctes=SWEEP, sql=f"SELECT model, threshold, {r('g_mean')} AS g_mean FROM ({score_sql('c')}) WHERE threshold = 2e-1")
 def _(t):
-    sweep = threshold_sweep(M.decide(scored(t), 0.0), THRESHOLDS).filter("model = 'A'")
-    return rnd(D.closest(sweep, "threshold", 0.21).select("model", "threshold", "g_mean"))
+    sweep = threshold_sweep(M.decide(scored(t), 0.0), THRESHOLDS)
+    return rnd(D.closest(sweep, "threshold", 0.21, ["model"]).select("model", "threshold", "g_mean"))
 
 
 @query("rank_change", "W2", tables=CM, ctes=P0 + f"""

@@ -110,6 +110,25 @@ def _(t):
     return rnd(M.suggested_margin(M.sigma_summary(scored(t))))
 
 
+@query("suggested_margin_flat_only", "A11 P8", tables=("cells",), ctes=LABELLED, sql=f"""
+SELECT {r('avg(s_gmin)')} AS suggested_mean, {r('median(s_gmin)')} AS suggested_median FROM labelled""")
+def _(t):
+    """Every model is flat: the median runs over these, and all have the same spread."""
+    flats = M.with_sigma(with_flat_fields(labelled(t), 20, 80).withColumns({
+        c: F.lit(None).cast("double") for c in ("bmin", "bmax")}))
+    return rnd(M.suggested_margin(M.sigma_summary(flats)))
+
+
+@query("sigma_scalar", "P14", tables=CM, ctes=LABELLED, sql=f"""
+SELECT model, s_model, sigma_source, count(*) AS n FROM (
+ SELECT model, {r('coalesce(sigma, abs(bmax - bmin) / 3.92e0, 4e0)')} AS s_model,
+  CASE WHEN sigma IS NOT NULL THEN 'cell' WHEN bmax IS NOT NULL THEN 'bounds' ELSE 'scalar' END AS sigma_source
+ FROM labelled l JOIN model_cells m ON m.cell_id = l.cell_id) GROUP BY ALL""")
+def _(t):
+    df = labelled(t).join(t.model_cells, "cell_id").withColumn("one_number", F.lit(4.0))
+    return rnd(M.with_sigma(df, "one_number")).groupBy("model", "s_model", "sigma_source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("margin_modes", "P19", tables=CM, ctes=SIGMA + """
 , m AS (SELECT 'fixed' AS mode, model, 2e0 AS margin FROM sm
  UNION ALL SELECT 'auto_mean', model, (SELECT median(sigma_mean) FROM sm) FROM sm
@@ -140,9 +159,9 @@ def _(t):
 
 @query("flat_family_explode", "P8", tables=("cells",), ctes=LABELLED, sql=f"""
 SELECT 'Flat_' || v AS model, count(*) AS n, count(*) FILTER (v - gmin >= 0) AS n_wet
-FROM labelled, range(20, 81, 10) AS f(v) GROUP BY v""")
+FROM labelled, range(20, 81) AS f(v) GROUP BY v""")
 def _(t):
-    df = with_flat_fields(labelled(t), 20, 80, 10)
+    df = with_flat_fields(labelled(t), 20, 80)
     df = M.decide(df.withColumn("gdiff", F.col("g") - F.col("gmin")), 0.0)
     return df.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("pred").alias("n_wet"))
 

@@ -12,26 +12,34 @@ from registry.frames import MASKED, STEP, quantile_sql, roi
 
 CELLS = ("cells",)
 
-RINGS = """edges AS (SELECT region, x_m AS x1, y_m AS y1,
+def _rings(shape: str) -> str:
+    """Cells inside or on a region: crossings are counted over the rings of one shape."""
+    return f"""vx AS (SELECT *, sum(CASE WHEN x_m IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY region, part ORDER BY seq) AS ring FROM polygons),
+edges AS (SELECT region, part, ring, x_m AS x1, y_m AS y1,
  coalesce(lead(x_m) OVER w, first_value(x_m) OVER w) AS x2, coalesce(lead(y_m) OVER w, first_value(y_m) OVER w) AS y2
- FROM polygons WINDOW w AS (PARTITION BY region ORDER BY seq)),
-inside AS (SELECT cell_id, region FROM cells, edges GROUP BY cell_id, region
+ FROM vx WHERE x_m IS NOT NULL WINDOW w AS (PARTITION BY region, part, ring ORDER BY seq)),
+inside AS (SELECT DISTINCT cell_id, region FROM (SELECT cell_id, region, {shape} FROM cells, edges GROUP BY cell_id, region, {shape}
  HAVING sum(CASE WHEN (y1 > y_m) <> (y2 > y_m) AND x_m < (x2 - x1) * (y_m - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1
  OR bool_or((x_m - x1) * (y2 - y1) - (y_m - y1) * (x2 - x1) = 0 AND x_m BETWEEN least(x1, x2) AND greatest(x1, x2)
-  AND y_m BETWEEN least(y1, y2) AND greatest(y1, y2)))"""
+  AND y_m BETWEEN least(y1, y2) AND greatest(y1, y2))))"""
 
 
-@query("cells_in_polygons", "J5 T5", tables=("cells", "polygons"), ctes=RINGS, sql="SELECT cell_id, region FROM inside")
+@query("cells_in_polygons", "J5 T5", tables=("cells", "polygons"), ctes=_rings("part, ring"), sql="SELECT cell_id, region FROM inside")
 def _(t):
     return P.points_in_polygons(t.cells, t.polygons, 500.0, ["cell_id"])
 
 
-@query("polygon_region_columns", "J5 T7", tables=("cells", "polygons"), ctes=RINGS, sql="""
+@query("cells_in_polygons_with_holes", "J5", tables=("cells", "polygons"), ctes=_rings("part"), sql="SELECT cell_id, region FROM inside")
+def _(t):
+    return P.points_in_polygons(t.cells, t.polygons, 500.0, ["cell_id"], rings="parity")
+
+
+@query("polygon_region_columns", "J5 T7", tables=("cells", "polygons"), ctes=_rings("part"), sql="""
 SELECT c.cell_id, coalesce(bool_or(region = 'ISPB'), false) AS in_ispb, coalesce(bool_or(region = 'OSPB'), false) AS in_ospb
 FROM cells c LEFT JOIN inside i ON i.cell_id = c.cell_id GROUP BY c.cell_id""")
 def _(t):
     cells = t.cells.select("cell_id", "x_m", "y_m")
-    return P.region_columns(cells, t.polygons, ["ISPB", "OSPB"], 500.0, ["cell_id"]).drop("x_m", "y_m")
+    return P.region_columns(cells, t.polygons, ["ISPB", "OSPB"], 500.0, ["cell_id"], rings="parity").drop("x_m", "y_m")
 
 
 @query("points_coverage", "J6", tables=("points",), sql=f"""
@@ -112,10 +120,19 @@ def _(t):
     return rnd(C.component_records(members(t), STEP * STEP / 1e6, STEP))
 
 
-@query("region_area_stats", "A15", tables=CELLS, ctes=COMP + """, g AS (
- SELECT region, comp_id, count(*) AS n, bool_or(y = 1) AS wet FROM (
-  SELECT 'ALL' AS region, * FROM comp UNION ALL SELECT 'ISPB', * FROM comp WHERE ispb UNION ALL SELECT 'OSPB', * FROM comp WHERE ospb)
- GROUP BY region, comp_id)""", sql=f"""
+AREAS = """, am AS (SELECT region, ri, ci, cast(ci AS bigint) * 1000000 + ri AS n, y FROM (
+  SELECT 'ALL' AS region, * FROM comp UNION ALL SELECT 'ISPB', * FROM comp WHERE ispb UNION ALL SELECT 'OSPB', * FROM comp WHERE ospb)),
+alab AS (WITH RECURSIVE l(region, n, lab, changed) USING KEY (region, n) AS (
+  SELECT region, n, n, true FROM am
+  UNION
+  SELECT x.region, x.n, min(y.lab), true FROM recurring.l x JOIN am c ON c.n = x.n AND c.region = x.region
+   JOIN am d ON d.region = c.region AND d.ri BETWEEN c.ri - 1 AND c.ri + 1 AND d.ci BETWEEN c.ci - 1 AND c.ci + 1
+   JOIN l y ON y.n = d.n AND y.region = d.region GROUP BY x.region, x.n, x.lab HAVING min(y.lab) < x.lab)
+ SELECT region, n, lab FROM l),
+g AS (SELECT am.region, lab, count(*) AS n, bool_or(y = 1) AS wet FROM am JOIN alab ON alab.n = am.n AND alab.region = am.region GROUP BY am.region, lab)"""
+
+
+@query("region_area_stats", "A15", tables=CELLS, ctes=COMP + AREAS, sql=f"""
 SELECT region, cast(sum(n) AS bigint) AS cells, count(*) AS comps, {r('avg(n) * 1e-2')} AS mean_km2,
  {r('1e2 * avg(CASE WHEN wet THEN 1e0 ELSE 0e0 END)')} AS pct_wet, {r('1e2 - 1e2 * avg(CASE WHEN wet THEN 1e0 ELSE 0e0 END)')} AS pct_dry
 FROM g GROUP BY region""")

@@ -90,6 +90,13 @@ def _(t):
     return rnd(T2.robustness(observed(t), "q", "sink", 2))
 
 
+@query("stride_share_tests", "B14", tables=CELLS, ctes=OBS + ", sb AS (SELECT * FROM v WHERE ri % 7 = 0 AND ci % 7 = 0)," + _tests("sb"), sql=f"""
+SELECT 7 AS stride, rs.n1 AS n_in, rs.n2 AS n_out, true AS did_run, {r('rs.p')} AS p_rank, {r('ks.p')} AS p_ks, {sel('d', 'ps')} FROM rs, ks""")
+def _(t):
+    """The stride follows from the share; a low limit lets the tests run on small grids as well."""
+    return rnd(T2.robustness(observed(t), "q", "sink", least=10))
+
+
 @query("ranks_tie_averaged", "W3", tables=CELLS, ctes=OBS, sql="""
 SELECT cell_id, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2e0 AS avg_rank FROM v""")
 def _(t):
