@@ -17,6 +17,7 @@ from meltgrid.operators.masks import flag
 from meltgrid.operators.ordered import constants, midpoint_quantile
 
 CHUNK = 1000
+RANK_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -201,6 +202,13 @@ def _chunks(cands: DataFrame, cfg: FieldConfig) -> Iterator[list[tuple[float, fl
         yield part
 
 
+def _add_ramps(known: dict[float, Ramp], cells: DataFrame, part, delta: str | None) -> None:
+    """Constants of the azimuths that no earlier chunk had."""
+    fresh = sorted({p[2] for p in part} - known.keys())
+    if fresh:
+        known.update(ramp_constants(cells, fresh, delta))
+
+
 def _gated(mu, a, u, shift, cfg: FieldConfig, factor: Column | None):
     """Field value as a column; the same arithmetic serves single numbers in ``_gated_value``."""
     raw = mu + a * u
@@ -257,17 +265,24 @@ def _middle_ramps(cells: DataFrame, ramps: dict[float, Ramp]) -> dict[float, tup
     rows = cells.select((F.col("x_m") - r0.xm).alias("_dx"), (F.col("y_m") - r0.ym).alias("_dy"), dirs.alias("d"))
     rows = rows.select(F.col("d.theta").alias("theta"),
                        (F.col("_dx") * F.col("d.nx") + F.col("_dy") * F.col("d.ny")).alias("p"))
-    mid = midpoint_quantile(rows, "p", {"m": 0.5}, ["theta"], pairs=True).collect()
+    mid = midpoint_quantile(rows, "p", {"m": 0.5}, ["theta"], RANK_ROWS, pairs=True, store=False).collect()
     return {r["theta"]: (r["n"], r["m_lo"], r["m_hi"] if r["n"] % 2 == 0 else r["m_lo"]) for r in mid}
 
 
-def _medians(cells: DataFrame, part, ramps, cfg: FieldConfig, delta: str | None) -> list[float | None]:
-    """Median of each candidate's field over the given cells."""
+def _medians(cells: DataFrame, part, ramps, cfg: FieldConfig, delta: str | None,
+             middle: dict[float, tuple[int, float, float]]) -> list[float | None]:
+    """Median of each candidate's field over the given cells.
+
+    Values exist in map tasks only: ranks are narrowed by counts, and the passes compute the field
+    again.  ``middle`` keeps the azimuths that an earlier chunk has looked up.
+    """
     if delta is not None:
         rows = _field_rows(cells, part, ramps, cfg, [], delta).select(F.col("c.id").alias("id"), "g")
-        found = {r["id"]: r["m"] for r in midpoint_quantile(rows, "g", {"m": 0.5}, ["id"]).collect()}
+        found = {r["id"]: r["m"] for r in midpoint_quantile(rows, "g", {"m": 0.5}, ["id"], RANK_ROWS, store=False).collect()}
         return [found.get(i) for i in range(len(part))]
-    middle = _middle_ramps(cells, {th: ramps[th] for th in {p[2] for p in part}})
+    fresh = {th: ramps[th] for th in {p[2] for p in part} if th not in middle}
+    if fresh:
+        middle.update(_middle_ramps(cells, fresh))
     out = []
     for mu, a, th in part:
         if th not in middle:
@@ -290,10 +305,10 @@ def score_candidates(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = Fiel
     and their ramp constants come from one small aggregate.
     """
     label = {"binary": "y", "weighted": "w"}[cfg.truth]
-    out = None
+    out, ramps, middle = None, {}, {}
     for part in _chunks(cands, cfg):
-        ramps = ramp_constants(cells, sorted({p[2] for p in part}), delta)
-        med = _medians(cells.filter(flag(F.col("spec_valid"))), part, ramps, cfg, delta)
+        _add_ramps(ramps, cells, part, delta)
+        med = _medians(cells.filter(flag(F.col("spec_valid"))), part, ramps, cfg, delta, middle)
         rows = _field_rows(cells, part, ramps, cfg, ["gmin", "roi", label], delta)
         used = flag(F.col("roi")) & F.col("g").isNotNull() & finite(F.col("gmin")) & F.col(label).isNotNull()
         wet = at_least(F.col("g") - F.col("gmin"), cfg.margin)
@@ -321,10 +336,10 @@ def proxy_score(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = FieldConf
     """Cheap gate: each field is split at its own median over the scored cells and compared with
     the hard label, ignoring the melt minimum."""
     roi = cells.filter(flag(F.col("roi")))
-    out = None
+    out, ramps, middle = None, {}, {}
     for part in _chunks(cands, cfg):
-        ramps = ramp_constants(cells, sorted({p[2] for p in part}), delta)
-        med = [1e300 if m is None else m for m in _medians(roi, part, ramps, cfg, delta)]
+        _add_ramps(ramps, cells, part, delta)
+        med = [1e300 if m is None else m for m in _medians(roi, part, ramps, cfg, delta, middle)]
         rows = _field_rows(roi, part, ramps, cfg, ["y"], delta, {"thr": med})
         wet, y = at_least(F.col("g"), F.col("c.thr")), F.col("y") == 1
         sums = rows.groupBy(F.col("c.mu").alias("mu"), F.col("c.a").alias("a"), F.col("c.id").alias("id")).agg(

@@ -103,13 +103,17 @@ def dense_index(df: DataFrame, block: str, order: Sequence[str], by: Sequence[st
 
 
 def midpoint_quantile(df: DataFrame, col: str, ps: Mapping[str, float], by: Sequence[str] = (),
-                      group_rows: int = GROUP_ROWS, pairs: bool = False) -> DataFrame:
+                      group_rows: int = GROUP_ROWS, pairs: bool = False, store: bool = True) -> DataFrame:
     """Quantiles at midpoint positions ``n p + 0.5``, clamped to the ends.
 
     ``ps`` maps output names to probabilities.  Returns one row per group with ``n`` and the
     named quantiles, with ``pairs`` also the two order statistics ``<name>_lo, <name>_hi`` around
     each.  Built-in percentiles use ``(n - 1) p + 1`` and keep every distinct value of
     a group in one hash map, hence this form.
+
+    Large groups take several passes over keys and values, which are written once.  ``store=False``
+    computes them again in every pass instead: right for rows that a map task multiplies, where
+    only counts should leave the task.
     """
     keyed, keys = _keyed(df, by)
     src = keyed.select(*keys, F.col(col).cast("double").alias("_v")).filter(finite(F.col("_v")))
@@ -119,7 +123,7 @@ def midpoint_quantile(df: DataFrame, col: str, ps: Mapping[str, float], by: Sequ
     if not hot:
         return _interpolated(_window_quantile(src, keys, ps), keys, ps, pairs)
     # Several passes follow: keep only the keys and the value, written once.
-    src = cut_lineage(src)
+    src = cut_lineage(src) if store else src
     hot_df = src.sparkSession.createDataFrame(hot, groups.schema)
     done = _bracket_quantile(src, keys, ps, hot, group_rows)
     cold = src.join(F.broadcast(hot_df.select(*keys)), keys, "left_anti")
@@ -163,8 +167,8 @@ def _bracket_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float],
                       group_rows: int) -> DataFrame:
     """Narrow each wanted rank to a value range by repeated histograms.
 
-    A round reads the data once and returns at most ``RANGES`` counts per open range; the driver
-    keeps ranges and counts, never rows.  The last ranges hold few enough rows to be sorted.
+    A round reads the data once; the counts of a range are cumulated in Spark and one row for each
+    wanted rank comes back.  The last ranges hold few enough rows to be sorted.
     """
     spark = src.sparkSession
     wanted, open_ranges, found = {}, [], {}
@@ -202,17 +206,17 @@ def _bracket_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float],
         cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES),
                        F.lit(RANGES - 1))
         hist = (ranged(open_ranges).groupBy("_id", cell.alias("_cell"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-                .orderBy("_id", "_cell").collect())
-        narrowed = []
-        for i, r in enumerate(open_ranges):
-            before = r[3]
-            for h in (h for h in hist if h["_id"] == i):
-                ranks = [k for k in r[5] if before < k <= before + h["n"]]
-                if ranks:
-                    narrowed.append((r[0], h["lo"], h["hi"], before, h["n"], ranks))
-                before += h["n"]
-        open_ranges = narrowed
+                .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+        upto = Window.partitionBy("_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        asked = spark.createDataFrame([(i, k - r[3], k) for i, r in enumerate(open_ranges) for k in r[5]],
+                                      "_id int, _rank long, _k long")
+        runs = hist.withColumn("_cum", F.sum("n").over(upto)).join(F.broadcast(asked), "_id")
+        hits = runs.filter((F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("n"))).collect()
+        cells = {}
+        for h in hits:
+            cells.setdefault((h["_id"], h["lo"], h["hi"], h["_cum"] - h["n"], h["n"]), []).append(h["_k"])
+        open_ranges = [(open_ranges[i][0], lo, hi, open_ranges[i][3] + before, n, ranks)
+                       for (i, lo, hi, before, n), ranks in cells.items()]
     if small:
         w = Window.partitionBy("_id").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
         runs = value_counts(ranged(small), ["_id"], "_v").withColumn("_cum", F.sum("n").over(w))

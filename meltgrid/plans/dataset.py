@@ -25,14 +25,20 @@ def clean_layers(cells: DataFrame, sentinel_as_dry: bool = False) -> DataFrame:
     return out.withColumns({c: clean(F.col(c)) for c in SENTINEL_LAYERS if c in cells.columns})
 
 
-def with_advection(cells: DataFrame, step: float, f: float = 0.5, k: float = 0.333, trim: float | None = 0.95) -> DataFrame:
-    """Add the advected flux ``adv`` (mW/m2) from ``vx, vy`` and the gradients of the layers."""
+def with_flow(cells: DataFrame, step: float) -> DataFrame:
+    """Add ``speed, ex, ey`` from ``vx, vy`` and the slopes ``dts, dh, dmb`` along the flow."""
     df = gradient2d(cells, ["ts", "h", "mb"], step, step)
     speed, ex, ey = flow_dir(F.col("vx"), F.col("vy"))
-    df = df.withColumns({"_speed": speed, "_ex": ex, "_ey": ey})
-    slopes = [along_flow(c, F.col("_ex"), F.col("_ey")) for c in ("ts", "h", "mb")]
-    df = df.withColumn("adv", 1000.0 * advection_flux(F.col("h"), F.col("ts"), F.col("mb"), F.col("_speed"), *slopes, f=f, k=k))
-    df = df.drop("_speed", "_ex", "_ey", *[f"d{c}_{a}" for c in ("ts", "h", "mb") for a in ("dx", "dy")])
+    df = df.withColumns({"speed": speed, "ex": ex, "ey": ey})
+    df = df.withColumns({f"d{c}": along_flow(c, F.col("ex"), F.col("ey")) for c in ("ts", "h", "mb")})
+    return df.drop(*[f"d{c}_{a}" for c in ("ts", "h", "mb") for a in ("dx", "dy")])
+
+
+def with_advection(cells: DataFrame, step: float, f: float = 0.5, k: float = 0.333, trim: float | None = 0.95) -> DataFrame:
+    """Add the advected flux ``adv`` (mW/m2) from ``vx, vy`` and the gradients of the layers."""
+    df = with_flow(cells, step)
+    flux = advection_flux(F.col("h"), F.col("ts"), F.col("mb"), F.col("speed"), *[F.col(c) for c in ("dts", "dh", "dmb")], f=f, k=k)
+    df = df.withColumn("adv", 1000.0 * flux).drop("speed", "ex", "ey", "dts", "dh", "dmb")
     # Trimming reads the flux three times; the gradients behind it run once.
     return df if trim is None else trim_central(cut_lineage(df), "adv", trim).drop("trimmed")
 

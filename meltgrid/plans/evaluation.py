@@ -15,7 +15,7 @@ from meltgrid.operators.components import connected_components
 from meltgrid.operators.masks import MaskConfig, with_masks
 from meltgrid.operators.models import flat_models, model_center, rank_compare, union_runs
 from meltgrid.operators.summaries import calibrate_logistic, coverage_report, summarize, weight_diagnostics
-from meltgrid.plans.dataset import clean_layers, model_rows, with_minimum
+from meltgrid.plans.dataset import clean_layers, model_rows, with_advection, with_minimum
 from meltgrid.session import cut_lineage
 
 
@@ -45,11 +45,16 @@ class EvalConfig:
     boot: R.BootConfig = field(default_factory=R.BootConfig)
     spread: dict | None = None
     sentinel_as_dry: bool = False
+    advection_step: float | None = None
 
 
 def static_cells(cells: DataFrame, cfg: EvalConfig) -> DataFrame:
-    """Cleaned, masked cells with the melt minimum; independent of thresholds and labels."""
-    return with_minimum(with_masks(clean_layers(cells, cfg.sentinel_as_dry), cfg.masks), cfg.spread)
+    """Cleaned, masked cells with the melt minimum; independent of thresholds and labels.  With a
+    grid spacing in ``advection_step`` the advected flux of the cells enters the margins."""
+    clean = clean_layers(cells, cfg.sentinel_as_dry)
+    if cfg.advection_step is not None:
+        clean = with_advection(clean, cfg.advection_step)
+    return with_minimum(with_masks(clean, cfg.masks), cfg.spread)
 
 
 def label_cells(cells: DataFrame, cfg: EvalConfig) -> DataFrame:

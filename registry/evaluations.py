@@ -10,7 +10,8 @@ from meltgrid.plans import evaluation as E
 from meltgrid.plans import report
 from registry.base import query, r, rnd, sel
 from registry.fields import PRIOR, SCORE, arena
-from registry.frames import (MASKED, MASS_COLS, REG_COLS, REGIONAL_SUMS, SCORE_COLS, SOFT, gmin_sql, phi_sql,
+from registry.physics import ADV
+from registry.frames import (MASKED, STEP, MASS_COLS, REG_COLS, REGIONAL_SUMS, SCORE_COLS, SOFT, gmin_sql, phi_sql,
                              quantile_sql, regional_sql, score_sql)
 
 CM = ("cells", "model_cells")
@@ -38,6 +39,23 @@ def _(t):
     return rnd(E.evaluate(t.cells, t.model_cells, config())["expected"])
 
 
+MOVED = EVAL.replace("SELECT lb.*, model, g - gmin AS gdiff", "SELECT lb.*, model, g * (1e0 + (custkey % 7 - 3) / 1e2) - (gmin - adv) AS gdiff").replace(
+    "m.cell_id = lb.cell_id", "m.cell_id = lb.cell_id JOIN av ON av.cell_id = lb.cell_id").replace(
+    "'Flat_' || v, v - gmin, 0e0 FROM lb,", "'Flat_' || v, v * (1e0 + (custkey % 7 - 3) / 1e2) - (gmin - adv), 0e0 FROM lb JOIN av ON av.cell_id = lb.cell_id,")
+
+
+@query("evaluation_with_advection", "P9 P12 A23", tables=CM, ctes=ADV + f""",
+cut AS ({quantile_sql('adv', 'dq', {'lo': 0.025, 'hi': 0.975})}),
+av AS (SELECT cell_id, CASE WHEN dq BETWEEN cut.lo AND cut.hi THEN 1e3 * dq END AS adv FROM adv, cut),
+""" + MOVED + f""",
+c AS (SELECT model, count(*) AS n_roi, {SOFT.format(p='pw', y='w')}, {REGIONAL_SUMS.format(p='pw', y='w')} FROM pr WHERE pw IS NOT NULL GROUP BY model)""",
+       sql=f"SELECT model, n_roi, {sel(*MASS_COLS, *SCORE_COLS, *REG_COLS)} FROM ({regional_sql('(' + score_sql('c') + ')')})")
+def _(t):
+    """Margins with the advected flux and a topographic factor."""
+    cells = t.cells.withColumn("delta", (F.col("custkey") % 7 - 3) / 100.0)
+    return rnd(E.evaluate(cells, t.model_cells, config(advection_step=STEP))["expected"])
+
+
 @query("evaluation_weighted_points", "A6", tables=CM, ctes=EVAL + f""",
 c AS (SELECT model, count(*) AS n_roi, {SOFT.format(p='(CASE WHEN pred THEN 1e0 ELSE 0e0 END)', y='w')}, {REGIONAL_SUMS.format(p='(CASE WHEN pred THEN 1e0 ELSE 0e0 END)', y='w')} FROM pr GROUP BY model)""",
        sql=f"SELECT model, n_roi, {sel(*MASS_COLS, *SCORE_COLS, *REG_COLS)} FROM ({regional_sql('(' + score_sql('c') + ')')})")

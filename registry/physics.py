@@ -13,6 +13,7 @@ from meltgrid.operators import ordered as O
 from meltgrid.operators import summaries as U
 from meltgrid.operators.models import last_meeting
 from meltgrid.session import cut_lineage
+from meltgrid.plans.dataset import with_advection, with_flow
 from registry.base import query, r, rnd, sel
 from registry.frames import (CLEAN, LABELLED, MASKED, NCOLS, STEP, clean_cells, erf_sql, gmin_sql, labelled, masked,
                              quantile_sql)
@@ -88,10 +89,7 @@ def _(t):
 def advected(t):
     """Cells with gradients, flow direction and the advected flux (both coefficients)."""
     df = t.cells.select("cell_id", "ri", "ci", "x_m", "y_m", "h", "ts", "mb", "vx", "vy", "custkey")
-    df = G.gradient2d(df, ["ts", "h", "mb"], STEP, STEP)
-    speed, ex, ey = X.flow_dir(F.col("vx"), F.col("vy"))
-    df = df.withColumns({"speed": speed, "ex": ex, "ey": ey})
-    df = df.withColumns({f"d{c}": G.along_flow(c, F.col("ex"), F.col("ey")) for c in ("ts", "h", "mb")})
+    df = with_flow(df, STEP)
 
     def flux(sign: float, k: float):
         d = [sign * F.col(c) for c in ("dts", "dh", "dmb")]
@@ -126,6 +124,14 @@ def _(t):
     return rnd(advected(t).select("cell_id", "dq", "dq_flip", "dts"))
 
 
+@query("advection_built", "P12 A23", tables=CELLS, ctes=ADV + f""",
+cut AS ({quantile_sql('adv', 'dq', {'lo': 0.025, 'hi': 0.975})})""", sql=f"""
+SELECT cell_id, {r('CASE WHEN dq BETWEEN lo AND hi THEN 1e3 * dq END', 4)} AS adv FROM adv, cut""")
+def _(t):
+    """The dataset builder: flux in mW/m2 with its central share kept."""
+    return rnd(with_advection(t.cells, STEP).select("cell_id", "adv"), 4)
+
+
 @query("advection_trimmed", "A23", tables=CELLS, ctes=ADV + f""",
 cut AS ({quantile_sql('adv', 'dq', {'lo': 0.025, 'hi': 0.975})})""", sql=f"""
 SELECT cell_id, {r('CASE WHEN dq BETWEEN lo AND hi THEN dq END')} AS dq, coalesce(dq < lo OR dq > hi, false) AS trimmed FROM adv, cut""")

@@ -161,3 +161,70 @@ def test_positions_are_dense_across_blocks(spark):
     out = O.dense_index(df, "b", ["id"], ["g"], group_rows=3)
     got = out.orderBy("g", "b", "id").groupBy("g").agg(F.collect_list("idx").alias("i")).collect()
     assert all(r["i"] == list(range(250)) for r in got)
+
+
+def test_region_draws_do_not_depend_on_the_part_size(spark):
+    rows = [("A", i, i // 10, i % 10, 0.3 + 0.05 * (i % 9), float(i % 2), i % 3 == 0, i % 3 == 1, 1 + i // 40) for i in range(200)]
+    df = spark.createDataFrame(rows, "model string, cell_id long, ri int, ci int, pw double, y double, ispb boolean, ospb boolean, comp_id long")
+    cfg = R.BootConfig(n_boot=6)
+    whole, cut = (sorted(map(tuple, R.bootstrap_components_blocked(df, cfg, chunk=c).collect())) for c in (100_000, 7))
+    assert [[round(v, 9) if isinstance(v, float) else v for v in r] for r in whole] == \
+        [[round(v, 9) if isinstance(v, float) else v for v in r] for r in cut]
+
+
+def test_block_shares_add_up():
+    import numpy as np
+
+    sizes = [3, 1, 10, 7, 4]
+    starts = np.cumsum([0, *sizes[:-1]])
+    got = [sum(k for _, _, k in R._block_shares([1, 2], int(a), n, 25, 400)) for a, n in zip(starts, sizes)]
+    assert (sum(got) == 25).all() and all(abs(g.mean() - n) < 1 for g, n in zip(got, sizes))
+
+
+def test_density_interval_pairs_stay_linear(spark):
+
+    n = 5000
+    df = spark.range(n).select(F.col("id").alias("iter"), ((F.col("id") * 7919) % n).cast("double").alias("x"))
+    assert Q.hpd(df, "x", 0.05).first().asDict() == {"lo": 0.0, "hi": float(n * 95 // 100)}
+    # Ranks of one block: at most RANK_BLOCK starts meet as many ends.
+    blocks = n // Q.RANK_BLOCK + 2
+    assert blocks * Q.RANK_BLOCK**2 <= 2 * Q.RANK_BLOCK * n
+
+
+def test_narrowed_quantiles_equal_sorted_ones(spark):
+    df = spark.range(20_000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 20_011 / 7.0).alias("v"))
+    ps = {"a": 0.1, "m": 0.5, "z": 0.97}
+    want = sorted(map(tuple, O.midpoint_quantile(df, "v", ps, ["k"]).collect()))
+    for store in (True, False):
+        assert sorted(map(tuple, O.midpoint_quantile(df, "v", ps, ["k"], 50, store=store).collect())) == want
+
+
+def test_polygon_holes_and_parts(spark):
+    from meltgrid.operators import spatial as P
+
+    ring = lambda part, at, pts: [("R", part, at + i, x, y) for i, (x, y) in enumerate(pts)]
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    rows = ring(0, 0, square(0.0, 10.0)) + [("R", 0, 4, None, None)] + ring(0, 5, square(4.0, 6.0)) + ring(1, 0, square(4.5, 5.5))
+    poly = spark.createDataFrame(rows, "region string, part int, seq int, x_m double, y_m double")
+    pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 4.2, 5.0), (3, 4.0, 5.0), (4, 1.0, 1.0), (5, 11.0, 1.0)], "id int, x_m double, y_m double")
+    found = {k: {r["id"] for r in P.points_in_polygons(pts, poly, 3.0, ["id"], rings=k).collect()} for k in ("union", "parity")}
+    assert found == {"union": {1, 2, 3, 4}, "parity": {1, 3, 4}}
+
+
+def test_region_cut_by_an_area_counts_twice(spark):
+
+    cells = [(0, c, 1 if c == 0 else 0) for c in range(5)]
+    df = spark.createDataFrame(cells, "ri int, ci int, y int").withColumn("comp_id", F.lit(1))
+    out = {r["region"]: r for r in C.region_stats(df, {"ALL": F.lit(True), "ENDS": F.col("ci") != 2}, 1.0).collect()}
+    assert (out["ALL"]["comps"], out["ENDS"]["comps"], out["ENDS"]["cells"]) == (1, 2, 4)
+    assert out["ENDS"]["pct_wet"] == 50.0 and out["ALL"]["pct_wet"] == 100.0
+
+
+def test_candidates_are_clamped_before_they_are_told_apart(spark):
+    from meltgrid.operators import fields as Y
+
+    cands = spark.createDataFrame([(50.0, -3.0, 0.0), (50.0, -1.0, 0.0), (50.0, 2.0, 0.0)], "mu double, a double, theta double")
+    parts = [p for part in Y._chunks(cands, Y.FieldConfig(nonneg=True)) for p in part]
+    assert sorted(parts) == [(50.0, 0.0, 0.0), (50.0, 2.0, 0.0)]
+    prior = Y.log_prior(cands, nonneg=True, a_range=(0.0, 1.0)).where("a < 0").select("log_prior").distinct()
+    assert prior.count() == 1
