@@ -5,7 +5,7 @@ shingles: two nearly independent samples for one evaluation.  Bands of four such
 similarity 0.85 meets in none of 32 bands with probability 6e-11.  Every link is confirmed on full shingle sets.
 
 Documents with equal sets form one class first.  Documents that share a band, directly or through others, form a
-family; only its members can be linked.  A family of at most ``BLOCK`` shingles is compared in one task: shared
+family; only its members can be linked.  A family of at most ``BLOCK`` shingles (``LEAST`` for a short one) is compared in one task: shared
 shingles of all its pairs are counted at once, exactly, and the links leave the task as a spanning forest, not as
 pairs.  In a larger family each member is first tested against its likeliest partner, which joins most of it to one
 component; the rest is then compared in blocks of bounded size, with itself and with that component.  So no row is
@@ -32,6 +32,8 @@ from meltgrid.session import cut_lineage
 PERMUTATIONS = 64
 BAND_ROWS = 4
 BLOCK = 150_000
+#: A document counts as this many shingles at least, so that a block of short ones stays a small matrix.
+LEAST = 200
 _RARE = 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -246,7 +248,7 @@ def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int
               .where("_head < _hi").select("_bucket", "_head"))
     members = cut_lineage(buckets.join(shared, "_bucket").select("_bucket", "_head", "_doc").distinct())
     family = _roots(members.where("_doc <> _head").select(F.col("_doc").alias("a"), F.col("_head").alias("b")).distinct())
-    sizes = some.groupBy("_doc").agg(F.max("_n").alias("_n"))
+    sizes = some.groupBy("_doc").agg(F.greatest(F.max("_n"), F.lit(LEAST)).alias("_n"))
     family = cut_lineage(family.withColumnRenamed("_root", "_family").join(sizes, "_doc"))
     large = family.groupBy("_family").agg(F.sum("_n").alias("_all")).where(F.col("_all") > block).select("_family")
     texts = cut_lineage(texts.join(family.select("_doc"), "_doc"))
