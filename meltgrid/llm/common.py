@@ -21,6 +21,17 @@ def null_again(col: str) -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores appended until no column of ``df`` has them in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_doc, _tv, _text): the id, a hash of the text that tells rows of one id apart, and the text."""
     return docs.select(id_or_least(id_col).alias("_doc"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_tv"),

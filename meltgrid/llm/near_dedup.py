@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.llm import kernels as K
-from meltgrid.llm.common import id_or_least, null_again, table
+from meltgrid.llm.common import id_or_least, null_again, spare, table
 from meltgrid.operators.components import graph_components
 from meltgrid.session import cut_lineage
 
@@ -280,8 +280,9 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, permuta
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group; of repeated rows with its id, one stays."""
     out = near_links(docs, n, percent, permutations, id_col, text_col).where("_doc = _root").select("_doc").distinct()
-    keyed = docs.withColumn("_doc", id_or_least(id_col))
-    return keyed.join(out, "_doc", "left_semi").dropDuplicates(["_doc"]).drop("_doc")
+    key, = spare(docs, "_doc")
+    keyed = docs.withColumn(key, id_or_least(id_col))
+    return keyed.join(out.toDF(key), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meltgrid.llm.common import table
+from meltgrid.llm.common import spare, table
 from meltgrid.session import cut_lineage
 
 BITS = 60
@@ -87,12 +87,13 @@ def shard_rows(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text
 def write_sharded(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id",
                   text_col: str = "text") -> None:
     """Write ``docs`` as Parquet with one folder for each shard and part; a task writes whole shards."""
-    where = shard_rows(docs, limit, id_col, text_col).groupBy("_h").agg(
-        F.first("shard").alias("shard"), (F.max("part") + 1).alias("_parts"))
-    keyed = docs.drop("shard", "part").withColumn("_h", row_bits(id_col, text_col))
-    nth = F.row_number().over(Window.partitionBy("_h").orderBy(id_col)) - 1  # equal rows only share bits
-    out = keyed.join(where, "_h").withColumns({"part": nth % F.col("_parts"), "shard": F.concat(F.lit("b"), "shard")})
-    (out.drop("_h", "_parts").repartition("shard", "part").write.partitionBy("shard", "part").mode("overwrite")
+    h, parts = spare(docs, "_h", "_parts")
+    where = shard_rows(docs, limit, id_col, text_col).groupBy(F.col("_h").alias(h)).agg(
+        F.first("shard").alias("shard"), (F.max("part") + 1).alias(parts))
+    keyed = docs.drop("shard", "part").withColumn(h, row_bits(id_col, text_col))
+    nth = F.row_number().over(Window.partitionBy(h).orderBy(id_col)) - 1  # equal rows only share bits
+    out = keyed.join(where, h).withColumns({"part": nth % F.col(parts), "shard": F.concat(F.lit("b"), "shard")})
+    (out.drop(h, parts).repartition("shard", "part").write.partitionBy("shard", "part").mode("overwrite")
      .parquet(path))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from meltgrid.llm import kernels as K
 from meltgrid.llm import repeats as R
-from meltgrid.llm.common import id_or_least, keyed, null_again, table
+from meltgrid.llm.common import id_or_least, keyed, null_again, spare, table
 from meltgrid.session import cut_lineage
 
 WINDOW = 13
@@ -113,14 +113,16 @@ def dedup_documents(docs: DataFrame, n: int = WINDOW, k: int = ANCHOR, id_col: s
     """``docs`` with repeated windows cut out of the texts; all columns, untouched rows byte for byte."""
     spans = repeated_windows(docs, n, k, id_col, text_col)
     cols, fields = docs.columns, docs.schema
-    keyed_docs = docs.withColumns({"_doc": id_or_least(id_col), "_tv": F.coalesce(F.xxhash64(text_col), F.lit(0))})
-    joined = keyed_docs.join(spans, ["_doc", "_tv"], "left").select(*cols, "_spans")
+    doc, tv, cut = spare(docs, "_doc", "_tv", "_spans")
+    keyed_docs = docs.withColumns({doc: id_or_least(id_col), tv: F.coalesce(F.xxhash64(text_col), F.lit(0))})
+    spans = spans.toDF(doc, tv, cut)
+    joined = keyed_docs.join(spans, [doc, tv], "left").select(*cols, cut)
     place = cols.index(text_col)
 
     def run(batches):
         for rows, data, off in K.text_slices(batches, text_col):
             texts = rows.column(place).to_pylist()
-            for i, at in enumerate(rows.column("_spans").to_pylist()):
+            for i, at in enumerate(rows.column(len(cols)).to_pylist()):
                 if at:
                     words = data[off[i]:off[i + 1]].tobytes().split()
                     first, count = R.unpack(np.asarray(at, dtype=np.int64))

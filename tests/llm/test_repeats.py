@@ -38,9 +38,11 @@ def test_removed_spans_are_maximal(spark):
 
 def test_documents_keep_their_columns(spark):
     rows = documents(4, 60)
-    df = frame(spark, rows).withColumn("_spans", F.lit("mine")).withColumn("lang", F.lit(None).cast("string"))
-    out = words.dedup_documents(df.withColumnRenamed("_spans", "n_words"))
-    assert out.columns == ["doc_id", "text", "n_words", "lang"] and out.count() == len(rows)
+    clash = {c: F.lit(c) for c in ("_doc", "_tv", "_spans", "n_words")}
+    df = frame(spark, rows).withColumns(clash).withColumn("lang", F.lit(None).cast("string"))
+    out = words.dedup_documents(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    assert out.select(*clash).distinct().collect() == [tuple(clash)]
     gone = {r[0]: r[2] for r in words.brute_windows(rows)}
     kept = [(r["doc_id"], r["text"]) for r in out.collect() if not gone[r["doc_id"]]]
     assert all(x in rows for x in kept)
