@@ -155,7 +155,3 @@ def last_meeting(df: DataFrame, value: str, target: float, at: str, by: Sequence
 
 def sorted_report(df: DataFrame, *cols: str) -> DataFrame:
     return df.orderBy(*cols)
-
-
-def small(df: DataFrame) -> DataFrame:
-    return sized(df)

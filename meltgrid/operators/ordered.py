@@ -238,10 +238,6 @@ def _bracket_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float],
     return spark.createDataFrame(rows, schema)
 
 
-def group_median(df: DataFrame, col: str, by: Sequence[str], name: str = "median") -> DataFrame:
-    return midpoint_quantile(df, col, {name: 0.5}, by).drop("n")
-
-
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
     """Empirical distribution function: one row per (group, value)."""
     keyed, keys = _keyed(df, by)

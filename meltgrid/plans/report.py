@@ -6,14 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from meltgrid.operators.models import metric_vs_center, moving_median
+from meltgrid.operators.models import metric_vs_center
 
 
 def metric_table(gstats: DataFrame, centers: DataFrame, metric: str, excluded: Sequence[str] = ()) -> DataFrame:
     return metric_vs_center(gstats, centers, metric, excluded)
-
-
-def flat_trend(table: DataFrame) -> DataFrame:
-    """Smoothed trend of the flat family in a metric table."""
-    flats = table.filter("is_flat AND good").select("model", "center", "exp")
-    return moving_median(flats, "center", "exp")

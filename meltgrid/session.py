@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+_SCOPES: list[str] = []
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -42,7 +45,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh folder beside the session's checkpoints, which every executor can reach."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+    place = "/".join([spark.sparkContext.getCheckpointDir(), *_SCOPES])
+    return f"{place}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that lineage cuts write inside the scope are removed when it ends.
+
+    Write or collect results before that: frames made inside read these tables.
+    """
+    from pyarrow.fs import FileSystem, FileType
+
+    folder = scratch_path(spark, "scope")
+    _SCOPES.append(folder.rsplit("/", 1)[1])
+    try:
+        yield folder
+    finally:
+        _SCOPES.pop()
+        fs, path = FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        if fs.get_file_info(path).type == FileType.Directory:
+            fs.delete_dir(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

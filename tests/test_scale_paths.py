@@ -228,3 +228,17 @@ def test_candidates_are_clamped_before_they_are_told_apart(spark):
     assert sorted(parts) == [(50.0, 0.0, 0.0), (50.0, 2.0, 0.0)]
     prior = Y.log_prior(cands, nonneg=True, a_range=(0.0, 1.0)).where("a < 0").select("log_prior").distinct()
     assert prior.count() == 1
+
+
+def test_scratch_scope_removes_its_tables(spark, tmp_path):
+    import os
+
+    from meltgrid.session import cut_lineage, scratch_scope
+
+    with scratch_scope(spark) as folder:
+        df = cut_lineage(spark.range(10))
+        local = folder.removeprefix("file:")
+        assert df.count() == 10 and os.listdir(local)
+        df.write.parquet(str(tmp_path / "kept"))
+    assert not os.path.exists(local) and spark.read.parquet(str(tmp_path / "kept")).count() == 10
+    assert cut_lineage(spark.range(3)).count() == 3
