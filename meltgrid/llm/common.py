@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
+#: A word in the SQL that checks queries.
+WORD_SQL = r"'[^\x20\x09-\x0D]+'"
+
+
+def shingle_sql(source: str, id_col: str, text: str, n: int) -> str:
+    """SELECT of the distinct n-word shingles ``s`` of each row; fewer words make one shingle."""
+    return f"""SELECT DISTINCT {id_col}, array_to_string(w[i:i + {n - 1}], ' ') AS s FROM (
+  SELECT {id_col}, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM (
+    SELECT {id_col}, regexp_extract_all({text}, {WORD_SQL}) AS w FROM {source}) WHERE len(w) > 0)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.llm import kernels as K
-from meltgrid.llm.common import table
+from meltgrid.llm.common import shingle_sql, table
 
 WORDS = 5
 PERCENT = 80
@@ -170,6 +170,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLE_SQL = f"""
+WITH d AS ({shingle_sql('documents', 'doc_id', "coalesce(text, '')", WORDS)}),
+b AS ({shingle_sql('benchmark', 'item_id', "coalesce(text, '')", WORDS)}),
+sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_item FROM b)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM d JOIN sized ON d.s = sized.s GROUP BY doc_id, item_id HAVING 100 * count(*) >= {PERCENT} * any_value(n_item)
+"""
+
+
 def brute_contained(docs, items, n: int = WORDS, percent: int = PERCENT):
     """Plain restatement for tests: (doc_id, item_id, shared, size)."""
     def sets(t):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.llm import kernels as K
-from meltgrid.llm.common import id_or_least, null_again, spare, table
+from meltgrid.llm.common import id_or_least, null_again, shingle_sql, spare, table
 from meltgrid.operators.components import graph_components
 from meltgrid.session import cut_lineage
 
@@ -290,6 +290,21 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+sh AS ({shingle_sql('d', 'doc_id', 't', 3)}),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM meet JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)),
+e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+l(doc_id, lab) USING KEY (doc_id) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT e.x, min(o.lab) FROM e JOIN l o ON o.doc_id = e.y JOIN recurring.l m ON m.doc_id = e.x GROUP BY e.x, m.lab HAVING min(o.lab) < m.lab)
+SELECT l.doc_id, coalesce(n.n, 0) AS n_shingles, lab AS component_id, l.doc_id = lab AS kept FROM l LEFT JOIN n ON n.doc_id = l.doc_id
+"""
+
+
 def brute_components(rows, n: int = 3, percent: int = 85):
     """Plain restatement for tests: rows of (doc_id, text) with distinct ids."""
     sets = {}

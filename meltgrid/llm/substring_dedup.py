@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from meltgrid.llm import kernels as K
 from meltgrid.llm import repeats as R
-from meltgrid.llm.common import id_or_least, keyed, null_again, spare, table
+from meltgrid.llm.common import WORD_SQL, id_or_least, keyed, null_again, spare, table
 from meltgrid.session import cut_lineage
 
 WINDOW = 13
@@ -140,6 +140,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD_SQL}) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+least AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM win JOIN least USING (s), (SELECT unnest(range({WINDOW})) AS k) WHERE first < doc_id),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS text, count(*) AS n
+         FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) p
+         ANTI JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def brute_windows(rows, n: int = WINDOW):
     """Plain restatement of the contract for tests: rows of (doc_id, text)."""
     least = {}
