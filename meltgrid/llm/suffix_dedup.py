@@ -307,6 +307,25 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, n, i, md5(b[i:i + {SIZE - 1}]) AS s
+      FROM (SELECT doc_id, b, n, unnest(range(1, n - {SIZE - 2})) AS i FROM d WHERE n >= {SIZE})),
+hit AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+mark AS (SELECT *, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {SIZE}, 0) THEN 1 ELSE 0 END AS head FROM hit),
+run AS (SELECT doc_id, min(i) AS lo, max(i) + {SIZE} AS hi
+        FROM (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM mark) GROUP BY doc_id, g),
+gap AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS lo, lo AS hi FROM run
+        UNION ALL SELECT run.doc_id, max(hi), max(n) + 1 FROM run JOIN d ON d.doc_id = run.doc_id GROUP BY run.doc_id),
+kept AS (SELECT gap.doc_id, string_agg(CASE WHEN gap.hi > gap.lo THEN hex(b[gap.lo:gap.hi - 1]) ELSE '' END, '' ORDER BY gap.lo) AS x
+         FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY gap.doc_id),
+cut AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, cast(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       CASE WHEN spans IS NULL THEN sha256(b) ELSE sha256(from_hex(x)) END AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def brute_strings(rows, size: int = SIZE):
     """Plain restatement of the contract for tests: rows of (doc_id, text)."""
     seen: dict[bytes, int] = {}

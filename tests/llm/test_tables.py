@@ -12,12 +12,13 @@ from meltgrid.llm import decontamination as D
 from meltgrid.llm import near_dedup as N
 from meltgrid.llm import sharding as S
 from meltgrid.llm import substring_dedup as W
+from meltgrid.llm import suffix_dedup as X
 from meltgrid.llm import url_filter as U
 from meltgrid.llm.registry import load
 
 
 @pytest.mark.parametrize("module, name", [(S, "op3_sharding"), (C, "op7_chat_format"), (D, "op2_decontamination"),
-                                          (N, "op8_near_dedup"), (W, "op10_substring_dedup")])
+                                          (N, "op8_near_dedup"), (W, "op10_substring_dedup"), (X, "op5_suffix_dedup")])
 def test_equal_to_sql(spark, module, name):
     for sf in (SF, SF.replace("0.001", "0.01")):
         assert compare(getattr(module, name)(spark, sf), connect(sf), module.ORACLE_SQL) == ""
