@@ -246,7 +246,8 @@ def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int
                .select("_doc", F.explode(F.array_distinct("_bands")).alias("_bucket")))
     shared = (buckets.groupBy("_bucket").agg(F.min("_doc").alias("_head"), F.max("_doc").alias("_hi"))
               .where("_head < _hi").select("_bucket", "_head"))
-    members = cut_lineage(buckets.join(shared, "_bucket").select("_bucket", "_head", "_doc").distinct())
+    # Nothing above this join needs a bucket's rows together, so Spark may split a hot bucket.
+    members = cut_lineage(buckets.join(shared, "_bucket").select("_bucket", "_head", "_doc"))
     family = _roots(members.where("_doc <> _head").select(F.col("_doc").alias("a"), F.col("_head").alias("b")).distinct())
     sizes = some.groupBy("_doc").agg(F.greatest(F.max("_n"), F.lit(LEAST)).alias("_n"))
     family = cut_lineage(family.withColumnRenamed("_root", "_family").join(sizes, "_doc"))
