@@ -46,6 +46,7 @@ def test_substrings_of_near_duplicates(stages):
     for d, text in pairs(stages[3]):
         n, removed = gone[d]
         assert (text == before[d]) if not removed else len(text.encode().split()) == n - removed
+    assert all(r["n_chars"] == len(r["text"]) for r in stages[3])
 
 
 def test_decontamination_of_substrings(stages, spark):
