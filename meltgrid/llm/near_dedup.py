@@ -205,8 +205,7 @@ def _rooted(df: DataFrame, links: DataFrame) -> DataFrame:
 
 def _likeliest(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) of documents to the bucket heads with which they share most buckets."""
-    head = members.groupBy("_bucket").agg(F.min("_doc").alias("b"))
-    shared = (members.join(head, "_bucket").where("_doc <> b").groupBy(F.col("_doc").alias("a"), "b")
+    shared = (members.where("_doc <> _head").groupBy(F.col("_doc").alias("a"), F.col("_head").alias("b"))
               .agg(F.count("*").alias("_c")))
     best = shared.groupBy("a").agg(F.min(F.struct((-F.col("_c")).alias("_c"), "b")).alias("_x")).select("a", "_x.b")
     ta = texts.select(F.col("_doc").alias("a"), F.col("_text").alias("_ta"))
@@ -254,7 +253,7 @@ def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int
     large = family.groupBy("_family").agg(F.sum("_n").alias("_all")).where(F.col("_all") > block).select("_family")
     texts = cut_lineage(texts.join(family.select("_doc"), "_doc"))
     large_docs = cut_lineage(family.join(large, "_family"))
-    first = cut_lineage(_likeliest(members.join(large_docs.select("_doc"), "_doc", "left_semi").select("_bucket", "_doc"),
+    first = cut_lineage(_likeliest(members.join(large_docs.select("_doc"), "_doc", "left_semi"),
                                    texts.join(large_docs.select("_doc"), "_doc", "left_semi"), n, percent))
     rooted = cut_lineage(_rooted(large_docs, first))
     main = (rooted.groupBy("_family", "_root").agg(F.sum("_n").alias("_c")).groupBy("_family")
