@@ -39,7 +39,7 @@ from meltgrid.session import cut_lineage
 SIZE = 200
 ANCHOR = 64
 FINE_ANCHOR = 184
-HOT = 5_000
+HOT = 1_000
 BATCH = 20_000
 _ANCHOR_SYMBOL, _END = 256, 257
 
