@@ -239,7 +239,7 @@ def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int
     some = sketch.where("_n > 0")
     same = ["_n", "_h1", "_h2"]
     least = some.groupBy(*same).agg(F.min("_doc").alias("b"))
-    copies = some.join(least, same).where("_doc <> b").select(F.col("_doc").alias("a"), "b").distinct()
+    copies = some.join(least, same).where("_doc <> b").select(F.col("_doc").alias("a"), "b")
     # A class is looked up under its smallest id only.
     buckets = (some.join(least, same).where("_doc = b")
                .select("_doc", F.explode(F.array_distinct("_bands")).alias("_bucket")))
