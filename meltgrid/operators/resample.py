@@ -241,13 +241,13 @@ def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig,
 def _component_base(df: DataFrame, cfg: BootConfig, block: str, order: Sequence[str]) -> DataFrame:
     place = [c for c in (block, *order) if c in df.columns]
     base = usable(df)
-    return cut_lineage(base.select("model", "comp_id", "cell_id", *dict.fromkeys(place), *_needed(base, cfg)))
+    return base.select("model", "comp_id", "cell_id", *dict.fromkeys(place), *_needed(base, cfg))
 
 
 def bootstrap_components(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",)) -> DataFrame:
     """Resample ``round(mfrac nC)`` regions with replacement; all cells of a drawn region enter,
     each copy with its own prediction draw.  Models without any region fall back to cells."""
-    base = _component_base(df, cfg, block, order)
+    base = cut_lineage(_component_base(df, cfg, block, order))
     comps = cut_lineage(component_table(base))
     drawn, members = _drawn_components(base, comps, cfg)
     copies = drawn.join(members, ["model", "comp_id", "_part"])

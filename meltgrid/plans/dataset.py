@@ -50,18 +50,32 @@ def with_minimum(cells: DataFrame, spread: dict | None = None) -> DataFrame:
     return cells.withColumns({"gmin": gmin(h, ts, mb), "s_gmin": s})
 
 
-def model_rows(cells: DataFrame, models: DataFrame, flats: tuple[int, int] | None = (20, 80), key: str = "cell_id",
-               topo_applied: bool = False) -> DataFrame:
-    """(cell, model) rows with the margin ``gdiff``; flat models are generated, never stored."""
-    rows = cells.join(models, key)
-    if flats is not None:
-        flat = with_flat_fields(cells, *flats)
-        for c in ("bmin", "bmax"):
-            if c in models.columns:
-                flat = flat.withColumn(c, F.lit(None).cast("double"))
-        rows = rows.unionByName(flat.select(*rows.columns))
+def _with_margin(rows: DataFrame, topo_applied: bool) -> DataFrame:
     g = F.col("g")
-    if "delta" in cells.columns:
+    if "delta" in rows.columns:
         g = topo_correct(g, F.col("delta"), topo_applied)
-    adv = F.col("adv") if "adv" in cells.columns else None
+    adv = F.col("adv") if "adv" in rows.columns else None
     return rows.withColumn("gdiff", gdiff(g, F.col("gmin"), adv))
+
+
+def listed_rows(cells: DataFrame, models: DataFrame, key: str = "cell_id", topo_applied: bool = False) -> DataFrame:
+    """(cell, model) rows of stored model fields with the margin ``gdiff``."""
+    return _with_margin(cells.join(models, key), topo_applied)
+
+
+def flat_rows(cells: DataFrame, models: DataFrame, flats: tuple[int, int], topo_applied: bool = False) -> DataFrame:
+    """The same rows of the flat family; they are made inside the tasks that read the cells."""
+    flat = with_flat_fields(cells, *flats)
+    for c in ("bmin", "bmax"):
+        if c in models.columns:
+            flat = flat.withColumn(c, F.lit(None).cast("double"))
+    return _with_margin(flat, topo_applied)
+
+
+def model_rows(cells: DataFrame, models: DataFrame, flats: tuple[int, int] | None = (20, 80), key: str = "cell_id",
+               topo_applied: bool = False) -> DataFrame:
+    """(cell, model) rows of stored and flat models with the margin ``gdiff``."""
+    rows = listed_rows(cells, models, key, topo_applied)
+    if flats is None:
+        return rows
+    return rows.unionByName(flat_rows(cells, models, flats, topo_applied).select(*rows.columns))

@@ -15,7 +15,7 @@ from meltgrid.operators.components import connected_components
 from meltgrid.operators.masks import MaskConfig, with_masks
 from meltgrid.operators.models import flat_models, model_center, rank_compare, union_runs
 from meltgrid.operators.summaries import calibrate_logistic, coverage_report, summarize, weight_diagnostics
-from meltgrid.plans.dataset import clean_layers, model_rows, with_advection, with_minimum
+from meltgrid.plans.dataset import clean_layers, flat_rows, listed_rows, with_advection, with_minimum
 from meltgrid.session import cut_lineage
 
 
@@ -69,14 +69,25 @@ def label_cells(cells: DataFrame, cfg: EvalConfig) -> DataFrame:
                               "w": truth_weight(F.col("q"), mode, t0=cfg.t0, tmid=tmid, k=k, p=cfg.p)})
 
 
+CELL_COLUMNS = ("cell_id", "ri", "ci", "q", "ispb", "ospb", "sink", "comp_id", "y", "w", "gmin", "s_gmin", "delta", "adv")
 ROW_COLUMNS = ("model", "cell_id", "ri", "ci", "q", "ispb", "ospb", "sink", "comp_id", "y", "w", "gdiff", "s_model", "s_gmin")
 
 
 def scored_rows(cells: DataFrame, models: DataFrame, cfg: EvalConfig) -> DataFrame:
-    """Narrow (cell, model) rows of the scored area, written once because every later stage
-    reads them."""
-    rows = M.with_sigma(model_rows(cells.filter("roi"), models, cfg.flats))
-    return cut_lineage(rows.select(*[c for c in ROW_COLUMNS if c in rows.columns]))
+    """Narrow (cell, model) rows of the scored area.
+
+    The scored cells and the rows of stored models are written once, because every later stage
+    reads them.  Rows of flat models are never written: each stage makes them from the cells.
+    """
+    kept = [c for c in CELL_COLUMNS if c in cells.columns]
+    scored = cut_lineage(cells.filter("roi").select(*kept))
+
+    def narrow(rows: DataFrame) -> DataFrame:
+        rows = M.with_sigma(rows)
+        return rows.select(*[c for c in ROW_COLUMNS if c in rows.columns])
+
+    rows = cut_lineage(narrow(listed_rows(scored, models)))
+    return rows if cfg.flats is None else rows.unionByName(narrow(flat_rows(scored, models, cfg.flats)))
 
 
 def with_regions(rows: DataFrame, cells: DataFrame, cfg: EvalConfig) -> DataFrame:
