@@ -13,8 +13,9 @@ made for each pair, no task holds more than two blocks, and every pair of a fami
 full sets.
 
 Defined results: null, empty or blank texts have an empty set and no links; fewer than ``n`` words make one shingle;
-rows with equal ids are one document whose links are joined; a null id is a document that stands before all others
-and comes back null; empty tables give empty results; only the two named columns are read.
+in ``near_duplicates`` rows with equal ids are one document whose links are joined, and a null id is a document that
+stands before all others and comes back null; ``drop_near_duplicates`` works on rows, and only exact copies of one id
+and text are one document; empty tables give empty results; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.llm import kernels as K
-from meltgrid.llm.common import id_or_least, null_again, shingle_sql, spare, table
+from meltgrid.llm.common import id_or_least, keyed, null_again, shingle_sql, spare, table
 from meltgrid.operators.components import graph_components
 from meltgrid.session import cut_lineage
 
@@ -89,9 +90,10 @@ def _sketch(n: int, permutations: int):
                 keys = K.signed(band_keys(min_max(values, start, permutations), BAND_ROWS))
                 for i, x in zip(full.tolist(), keys):
                     bands[i] = x
+            own = [c for c in rows.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("_doc"), pa.array(size), pa.array(K.signed(two[0])), pa.array(K.signed(two[1])),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["_doc", "_n", "_h1", "_h2", "_bands"])
+                [*map(rows.column, own), pa.array(size), pa.array(K.signed(two[0])), pa.array(K.signed(two[1])),
+                 pa.array(bands, pa.list_(pa.int64()))], names=[*own, "_n", "_h1", "_h2", "_bands"])
     return run
 
 
@@ -231,11 +233,20 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 
 
 def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int = PERMUTATIONS,
-               id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(_doc, _n, _root): set size of every row and the smallest id its document reaches."""
-    texts = docs.select(id_or_least(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
+               id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, by_row: bool = False) -> DataFrame:
+    """(_doc, _n, _root): set size of every row and the smallest id its document reaches.
+
+    With ``by_row`` each distinct (id, text hash) is a document of its own, (_id, _tv), and ``_doc`` its number in
+    that order.
+    """
+    own = ["_id", "_tv"] if by_row else ["_doc"]
+    texts = (keyed(docs, id_col, text_col).withColumnRenamed("_doc", "_id") if by_row else
+             docs.select(id_or_least(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")))
     sketch = cut_lineage(texts.mapInArrow(
-        _sketch(n, permutations), "_doc long, _n long, _h1 long, _h2 long, _bands array<long>"))
+        _sketch(n, permutations), "".join(f"{c} long, " for c in own) + "_n long, _h1 long, _h2 long, _bands array<long>"))
+    if by_row:
+        number = cut_lineage(sketch.select(own).distinct().sort(own).withColumn("_doc", F.monotonically_increasing_id()))
+        sketch = cut_lineage(sketch.join(number, own))
     some = sketch.where("_n > 0")
     same = ["_n", "_h1", "_h2"]
     least = some.groupBy(*same).agg(F.min("_doc").alias("b"))
@@ -251,7 +262,8 @@ def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int
     sizes = some.groupBy("_doc").agg(F.greatest(F.max("_n"), F.lit(LEAST)).alias("_n"))
     family = cut_lineage(family.withColumnRenamed("_root", "_family").join(sizes, "_doc"))
     large = family.groupBy("_family").agg(F.sum("_n").alias("_all")).where(F.col("_all") > block).select("_family")
-    texts = cut_lineage(texts.join(family.select("_doc"), "_doc"))
+    wanted = number.join(family.select("_doc"), "_doc") if by_row else family.select("_doc")
+    texts = cut_lineage(texts.join(wanted, own).select("_doc", "_text"))
     large_docs = cut_lineage(family.join(large, "_family"))
     first = cut_lineage(_likeliest(members.join(large_docs.select("_doc"), "_doc", "left_semi"),
                                    texts.join(large_docs.select("_doc"), "_doc", "left_semi"), n, percent))
@@ -265,7 +277,8 @@ def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int
     found = cut_lineage(_blocks(small.unionByName(parted), block).join(texts, "_doc").repartition(*group)
                         .sortWithinPartitions(*group).select(*group, "_doc", "_text")
                         .mapInArrow(_compare(n, percent), "a long, b long"))
-    return _rooted(sketch.select("_doc", "_n"), copies.unionByName(first).unionByName(found))
+    ids = ["_doc", *own] if by_row else own
+    return _rooted(sketch.select(*ids, "_n"), copies.unionByName(first).unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int = PERMUTATIONS,
@@ -278,11 +291,13 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, permutations
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, permutations: int = PERMUTATIONS,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group; of repeated rows with its id, one stays."""
-    out = near_links(docs, n, percent, permutations, id_col, text_col).where("_doc = _root").select("_doc").distinct()
-    key, = spare(docs, "_doc")
-    keyed = docs.withColumn(key, id_or_least(id_col))
-    return keyed.join(out.toDF(key), key, "left_semi").dropDuplicates([key]).drop(key)
+    """``docs`` with one row of each group of linked texts, the one with the smallest id; a row whose text is linked to
+    no other stays whatever its id is, and of exact copies of one id and text one stays."""
+    out = near_links(docs, n, percent, permutations, id_col, text_col, by_row=True)
+    key = spare(docs, "_doc", "_tv")
+    rows = docs.withColumns(dict(zip(key, (id_or_least(id_col), F.coalesce(F.xxhash64(text_col), F.lit(0))))))
+    out = out.where("_doc = _root").select("_id", "_tv").distinct().toDF(*key)
+    return rows.join(out, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
