@@ -52,15 +52,17 @@ class TokenCoder:
 
     A unit is a run of white space and the word behind it.  A byte-level vocabulary splits texts by a pattern whose
     matches hold white space only at their start, so no match crosses the end of a unit and units are encoded by
-    themselves.  At most ``keep`` units are kept, in sorted arrays under their 64-bit hashes.
+    themselves.  Added tokens are found before that; none may hold or strip white space, so each lies within a unit
+    and cuts it as it cuts the whole text; with other added tokens texts go through the library whole.  At most ``keep`` units are kept, in sorted arrays under their 64-bit hashes.
     """
 
     def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"\s", t.content) for t in added)
         self.keep = keep
         self._forget()
 
@@ -112,7 +114,7 @@ class TokenCoder:
         total = np.append(np.cumsum(size), 0)[bounds - 1] if len(size) else np.zeros(len(off), dtype=np.int64)
         total[bounds == 0] = 0
         count = np.diff(total)
-        odd = [i for i, t in enumerate(texts) if OTHER_SPACE.search(t)]
+        odd = [i for i, t in enumerate(texts) if self.whole or OTHER_SPACE.search(t)]
         if odd:
             parts = np.split(ids, total[1:-1])
             for i in odd:
