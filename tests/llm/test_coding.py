@@ -25,7 +25,6 @@ def encoded(rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(B.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
