@@ -65,7 +65,7 @@ def test_preferences(spark):
 
 def test_registered_names():
     queries, sql = load()
-    assert sorted(int(q[2:].split("_")[0]) for q in queries) == list(range(1, 11)) and set(sql) < set(queries)
+    assert sorted(int(q[2:].split("_")[0]) for q in queries) == list(range(1, 1 + len(queries))) and set(sql) < set(queries)
 
 
 URLS = [(1, None), (2, "nohost"), (3, "http://A.Example.ORG/es/1?x#y"), (4, "x://org"), (5, "http://org/"),
