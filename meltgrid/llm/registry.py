@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("binary_output", "decontamination", "sharding", "quality_rules", "piece_coding", "suffix_dedup", "chat_format",
-           "near_dedup", "url_filter", "substring_dedup", "merkle_manifest", "license_scan")
+           "near_dedup", "url_filter", "substring_dedup", "lexical_search", "merkle_manifest", "license_scan")
 
 
 def load():
