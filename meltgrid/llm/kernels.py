@@ -2,7 +2,8 @@
 
 A record batch is walked in slices of about ``SLICE`` bytes of text (one longer text is a slice of its own), so
 a task holds a few dozen bytes per byte of a slice whatever its partition holds.  Null texts count as empty.
-Hashes are 64-bit polynomial sums over scrambled symbols, finished by an avalanche step.
+Hashes are polynomial sums over scrambled symbols modulo the prime 2^61 - 1, finished by an avalanche step; two
+different strings of n symbols agree for at most n - 1 of the 2^61 bases.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ SLICE = 1 << 20
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BYTE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
+PRIME = np.uint64((1 << 61) - 1)
+_BYTE = np.random.default_rng(20).permutation(1 << 20)[:256].astype(np.uint64) + np.uint64(1 << 20)
+_BASE = int(np.random.default_rng(61).integers(1 << 60, (1 << 61) - 1))
 _UP = np.ones(1, dtype=np.uint64)
 _DOWN = np.ones(1, dtype=np.uint64)
+_LOW, _MID = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_S61, _S31, _S30 = np.uint64(61), np.uint64(31), np.uint64(30)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,13 +33,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduced(t: np.ndarray) -> np.ndarray:
+    """Values below 2^64 modulo the prime."""
+    t = (t & PRIME) + (t >> _S61)
+    return np.where(t >= PRIME, t - PRIME, t)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of values below 2^61, in halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _S31, a & _LOW, b >> _S31, b & _LOW
+    mid = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (mid >> _S30) + ((mid & _MID) << _S31) + a0 * b0)
+
+
+def _times_small(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for ``a`` below 2^21: one half has no upper part."""
+    mid = a * (b >> _S31)
+    return _reduced((mid >> _S30) + ((mid & _MID) << _S31) + a * (b & _LOW))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _UP, _DOWN
     if len(_UP) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 2**64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _UP, _DOWN = np.cumprod(up), np.cumprod(down)
+        inverse = pow(_BASE, -1, int(PRIME))
+        while len(_UP) < max(n, 1 << 16):
+            k = len(_UP)
+            _UP, _DOWN = (np.concatenate([x, _times(x, np.full(k, pow(g, k, int(PRIME)), dtype=np.uint64))])
+                          for x, g in ((_UP, _BASE), (_DOWN, inverse)))
     return _UP, _DOWN
 
 
@@ -61,15 +85,23 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE
 
 def prefix(symbols: np.ndarray) -> np.ndarray:
     """Running polynomial sums over scrambled symbols; see ``span_hash``."""
-    out = np.zeros(len(symbols) + 1, dtype=np.uint64)
-    np.cumsum(symbols * _powers(len(symbols) + 1)[0][:len(symbols)], out=out[1:])
+    n = len(symbols)
+    up = _powers(n + 1)[0][:n]
+    small = n > 0 and int(symbols.max()) < 1 << 21
+    term = _times_small(symbols, up) if small else _times(symbols & PRIME, up)
+    out = np.zeros(n + 1, dtype=np.uint64)
+    # Both halves are summed for themselves, so that sums of many terms stay below 2^64.
+    high = np.cumsum(term >> _S31)
+    low = np.cumsum(term & _LOW)
+    out[1:] = _reduced((high >> _S30) + ((high & _MID) << _S31) + low)
     return out
 
 
 def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the symbols start..end-1; equal spans have equal hashes wherever they stand."""
     down = _powers(len(pre))[1]
-    return mix((pre[end] - pre[start]) * down[start] + (end - start).astype(np.uint64))
+    value = _times(_reduced(pre[end] + (PRIME - pre[start])), down[start])
+    return mix(value + (end - start).astype(np.uint64))
 
 
 def byte_symbols(data: np.ndarray) -> np.ndarray:
