@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltgrid.llm.common import id_or_least, null_again, table
+from meltgrid.llm.common import NO_ID, id_or_least, null_again, table
 
 HEAD, TAIL = "<|{}|>\n", "<|end|>\n"
 TRAINED = "assistant"
@@ -68,16 +68,17 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, id_col: str = "pa
 
 def swapped_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs made of a plain conversation table: each conversation is chosen as it stands, and rejected with its last
-    assistant turn replaced by that of its neighbour (ids 2k and 2k + 1), or by nothing if there is none."""
-    rows = conversations.where(F.col("conv_id").isNotNull()).select(
-        F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    answers = rows.where(F.col("role") == TRAINED).groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("_a"))
-    other = answers.select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("_a.text").alias("_new"))
-    rejected = (rows.join(answers.select("pair_id", F.col("_a.turn").alias("_at")), "pair_id", "left")
-                .join(other, "pair_id", "left")
-                .select("pair_id", "turn", "role", F.when((F.col("role") == TRAINED) & (F.col("turn") == F.col("_at")),
-                                                          F.coalesce("_new", F.lit(""))).otherwise(F.col("text")).alias("text")))
-    return rows, rejected
+    assistant turn replaced by that of its neighbour (ids 2k and 2k + 1), or by nothing if there is none; the one
+    without an id has no neighbour."""
+    rows = conversations.select(id_or_least("conv_id").alias("_pair"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    answers = rows.where(F.col("role") == TRAINED).groupBy("_pair").agg(F.max(F.struct("turn", "text")).alias("_a"))
+    other = answers.where(F.col("_pair") != NO_ID).select(
+        F.col("_pair").bitwiseXOR(F.lit(1).cast("long")).alias("_pair"), F.col("_a.text").alias("_new"))
+    rejected = (rows.join(answers.select("_pair", F.col("_a.turn").alias("_at")), "_pair", "left")
+                .join(other.where(F.col("_pair") != NO_ID), "_pair", "left")
+                .select("_pair", "turn", "role", F.when((F.col("role") == TRAINED) & F.col("turn").eqNullSafe(F.col("_at")),
+                                                        F.coalesce("_new", F.lit(""))).otherwise(F.col("text")).alias("text")))
+    return tuple(side.withColumn("pair_id", null_again("_pair")).drop("_pair") for side in (rows, rejected))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,16 +92,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH c AS (
-  SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
-  FROM conversations WHERE conv_id IS NOT NULL),
+  SELECT coalesce(conv_id, -9223372036854775808) AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations),
 last AS (
   SELECT pair_id, max(turn) AS at, arg_max(text, struct_pack(t := turn, x := text)) AS answer
   FROM c WHERE role = 'assistant' GROUP BY 1),
 r AS (
   SELECT c.pair_id, c.pos, c.turn, c.role,
          CASE WHEN c.role = 'assistant' AND c.turn = last.at THEN coalesce(o.answer, '') ELSE c.text END AS text
-  FROM c LEFT JOIN last USING (pair_id) LEFT JOIN last o ON o.pair_id = xor(c.pair_id, 1)),
+  FROM c LEFT JOIN last USING (pair_id)
+  LEFT JOIN last o ON o.pair_id = xor(c.pair_id, 1) AND -9223372036854775808 NOT IN (o.pair_id, c.pair_id)),
 common AS (
   SELECT c.pair_id, coalesce(min(CASE WHEN c.text <> r.text THEN c.pos END) - 1, max(c.pos)) AS n_common
   FROM c JOIN r ON c.pair_id = r.pair_id AND c.pos = r.pos GROUP BY 1),
@@ -117,7 +119,7 @@ parts AS (
          coalesce(string_agg(CAST(stop - length(text) - 8 AS BIGINT) || '-' || CAST(stop - 1 AS BIGINT), ',' ORDER BY pos)
                   FILTER (pos > n_common AND role = 'assistant'), '') AS spans
   FROM placed GROUP BY 1, 2)
-SELECT a.pair_id, CAST(a.n_common AS BIGINT) AS n_common, a.head AS prompt, a.tail AS chosen, b.tail AS rejected,
+SELECT nullif(a.pair_id, -9223372036854775808) AS pair_id, CAST(a.n_common AS BIGINT) AS n_common, a.head AS prompt, a.tail AS chosen, b.tail AS rejected,
        a.spans AS chosen_spans, b.spans AS rejected_spans
 FROM parts a JOIN parts b ON a.pair_id = b.pair_id AND a.side = 'c' AND b.side = 'r'
 """

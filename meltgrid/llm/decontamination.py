@@ -13,9 +13,12 @@ whole document, so nothing false is reported.
 Items are taken from the driver in blocks of at most ``ITEM_SHINGLES`` shingles, one pass over the documents for each
 block, so what is shipped to the tasks is bounded whatever the number of items.  Documents are not shuffled.
 
-Defined results: null and blank texts have no shingles, match nothing and as items are never contained; a text of
-fewer than ``n`` words is one shingle; repeated rows answer for themselves; null ids come back null; empty tables
-give no rows; other columns are not read (``drop_contaminated`` passes them through).
+An item of fewer than ``n`` words is contained where its words stand consecutively: its hash is looked up among the
+windows of its own length.
+
+Defined results: null and blank texts have no shingles, match nothing and as items are never contained; repeated rows
+answer for themselves; null ids come back null; empty tables give no rows; other columns are not read
+(``drop_contaminated`` passes them through).
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.llm import kernels as K
-from meltgrid.llm.common import shingle_sql, table
+from meltgrid.llm.common import WORD_SQL, shingle_sql, table
 
 WORDS = 5
 PERCENT = 80
@@ -48,9 +51,15 @@ def _scramble(short: np.ndarray, odd: np.uint32, add: np.uint32) -> np.ndarray:
 
 
 class ItemIndex:
-    """Minima of a bounded block of items, by size partition and hash function."""
-
-    def __init__(self, items: list[tuple[int | None, np.ndarray]], hashes: int):
+    """Minima of a bounded block of items, by size partition and hash function; short items by their words."""
+
+    def __init__(self, items: list[tuple[int | None, np.ndarray, int]], n: int, hashes: int):
+        """``items`` have an id, their distinct shingle hashes and their number of words."""
+        self.short: dict[int, list[tuple[int | None, np.uint64]]] = {}
+        for i, s, words in items:
+            if words < n:
+                self.short.setdefault(words, []).append((i, s[0]))
+        items = [(i, s) for i, s, words in items if words >= n]
         self.ids = [i for i, _ in items]
         self.sets = [s for _, s in items]
         self.odd, self.add = _functions(hashes)
@@ -68,6 +77,21 @@ class ItemIndex:
                 of.append((least[order], members[order], seen))
             self.parts[1 << int(part)] = of
 
+    def short_hits(self, words: K.Words) -> set[tuple[int, int | None]]:
+        """(row, item id) of the short items whose words stand in a row."""
+        out: set[tuple[int, int | None]] = set()
+        pre = K.prefix(words.hash) if self.short else None
+        for length, known in self.short.items():
+            at = K.window_starts(words.bounds, length)
+            value = K.span_hash(pre, at, at + length)
+            near = np.flatnonzero(np.isin(value, np.array([h for _, h in known], dtype=np.uint64)))
+            row = (np.searchsorted(words.bounds, at[near], "right") - 1).tolist()
+            of: dict[int, list[int | None]] = {}
+            for i, h in known:
+                of.setdefault(int(h), []).append(i)
+            out.update((r, i) for r, h in zip(row, value[near].tolist()) for i in of[h])
+        return out
+
     def candidates(self, value: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) pairs with equal minima."""
         out: set[tuple[int, int]] = set()
@@ -97,28 +121,31 @@ class ItemIndex:
 
 def _search(index: ItemIndex, n: int, percent: int):
     def hits(data, off):
-        value, row = K.shingles(K.Words(data, off), n)
+        """(row, item id, shingles shared, shingles of the item)."""
+        words = K.Words(data, off)
+        value, row = K.shingles(words, n)
         bounds = np.searchsorted(row, np.arange(len(off)))
         for r, item in sorted(index.candidates(value, bounds)):
             both = int(np.isin(index.sets[item], value[bounds[r]:bounds[r + 1]]).sum())
             if 100 * both >= percent * len(index.sets[item]):
-                yield r, item, both
+                yield r, index.ids[item], both, len(index.sets[item])
+        for r, item in index.short_hits(words):
+            yield r, item, 1, 1
 
     def run(batches):
         for rows, data, off in K.text_slices(batches, "_text"):
             found = list(hits(data, off))
             if found:
-                r, item, both = zip(*found)
+                r, item, both, size = zip(*found)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("_id").take(pa.array(r)), pa.array([index.ids[i] for i in item], pa.int64()),
-                     pa.array(both, pa.int64()), pa.array([len(index.sets[i]) for i in item], pa.int64())],
-                    names=["_id", "_item", "n_shared", "n_item"])
+                    [rows.column("_id").take(pa.array(r)), pa.array(item, pa.int64()), pa.array(both, pa.int64()),
+                     pa.array(size, pa.int64())], names=["_id", "_item", "n_shared", "n_item"])
 
     def keep(text_col):
         def go(batches):
             for rows, data, off in K.text_slices(batches, text_col):
                 clean = np.ones(rows.num_rows, dtype=bool)
-                clean[[r for r, _, _ in hits(data, off)]] = False
+                clean[[r for r, *_ in hits(data, off)]] = False
                 if clean.any():
                     yield rows.filter(pa.array(clean))
         return go
@@ -133,16 +160,17 @@ def item_blocks(items: DataFrame, n: int, hashes: int, item_col: str, text_col:
         data = np.frombuffer((r["t"] or "").encode(), dtype=np.uint8)
         if not len(data):
             continue
-        value = np.unique(K.shingles(K.Words(data, np.array([0, len(data)])), n)[0])
+        words = K.Words(data, np.array([0, len(data)]))
+        value = np.unique(K.shingles(words, n)[0])
         if not len(value):
             continue
         if block and held + len(value) > most:
-            yield ItemIndex(block, hashes)
+            yield ItemIndex(block, n, hashes)
             block, held = [], 0
-        block.append((r["i"], value))
+        block.append((r["i"], value, len(words.start)))
         held += len(value)
     if block:
-        yield ItemIndex(block, hashes)
+        yield ItemIndex(block, n, hashes)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = WORDS, percent: int = PERCENT, hashes: int = HASHES,
@@ -171,22 +199,34 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH d AS ({shingle_sql('documents', 'doc_id', "coalesce(text, '')", WORDS)}),
-b AS ({shingle_sql('benchmark', 'item_id', "coalesce(text, '')", WORDS)}),
-sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_item FROM b)
+WITH iw AS (SELECT item_id, text, regexp_extract_all(coalesce(text, ''), {WORD_SQL}) AS w FROM benchmark),
+dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD_SQL}) AS w FROM documents),
+long AS (SELECT * FROM iw WHERE len(w) >= {WORDS}),
+short AS (SELECT item_id, len(w) AS l, array_to_string(w, ' ') AS s FROM iw WHERE len(w) BETWEEN 1 AND {WORDS - 1}),
+d AS ({shingle_sql('documents', 'doc_id', "coalesce(text, '')", WORDS)}),
+b AS ({shingle_sql('long', 'item_id', "text", WORDS)}),
+sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_item FROM b),
+few AS (SELECT DISTINCT doc_id, l, array_to_string(w[i:i + l - 1], ' ') AS s FROM (
+  SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, (SELECT DISTINCT l FROM short) WHERE len(w) >= l))
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
 FROM d JOIN sized ON d.s = sized.s GROUP BY doc_id, item_id HAVING 100 * count(*) >= {PERCENT} * any_value(n_item)
+UNION ALL
+SELECT doc_id, item_id, 1, 1, 1.0 FROM few JOIN short ON few.l = short.l AND few.s = short.s
 """
 
 
 def brute_contained(docs, items, n: int = WORDS, percent: int = PERCENT):
     """Plain restatement for tests: (doc_id, item_id, shared, size)."""
-    def sets(t):
-        w = (t or "").encode().split()
-        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
-    known = [(i, s) for i, s in ((i, sets(t)) for i, t in items) if s]
+    def windows(w, n):
+        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+    words = lambda t: (t or "").encode().split()
     out = []
     for d, t in docs:
-        have = sets(t)
-        out += [(d, i, len(s & have), len(s)) for i, s in known if 100 * len(s & have) >= percent * len(s)]
+        have = words(t)
+        for i, item in items:
+            w = words(item)
+            known = windows(w, min(n, len(w))) if w else set()
+            both = len(known & windows(have, min(n, len(w)))) if known else 0
+            if known and 100 * both >= percent * len(known):
+                out.append((d, i, both, len(known)))
     return out

@@ -8,8 +8,8 @@ forward states of the current path, and a word reuses those of the prefix that i
 The model is a merge (BPE) model.  Its scores order merges; a path of the largest total score, as for a unigram
 model, would give other pieces than the library.  So the forward state of a prefix is not a score but the last
 piece of the prefix's only valid segmentation: a piece may follow another if merging their joint text gives these
-two pieces again, and a segmentation is the library's if and only if all its neighbours may follow each other.
-Unigram models are not handled and are refused.
+two pieces again, and a segmentation is the library's if and only if all its neighbours may follow each other.  No score
+is summed; unigram models, whose best path needs summed scores, are refused.
 
 Encoded words are kept per Python worker, at most ``KEEP`` of them; texts are not shuffled.
 
@@ -26,7 +26,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meltgrid.llm import kernels as K
@@ -204,25 +203,20 @@ def decode_pieces(coded: DataFrame, model: str | None = None, ids_col: str = "pi
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
-def code_digest(docs: DataFrame, model: str | None = None, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """(id, n_pieces, ids_crc32, round_trip): ids encoded, then decoded again, without keeping either."""
-    path = model or default_model()
-
-    def run(batches):
-        for rows, _, _ in K.text_slices(batches, "_text"):
-            texts = [t or "" for t in rows.column("_text").to_pylist()]
-            coded = coder(path).encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("_id"), pa.array([len(c) // 4 for c in coded], pa.int64()),
-                 pa.array([zlib.crc32(c) for c in coded], pa.int64()),
-                 pa.array([coder(path).decode(c) == t.replace(MARK, " ") for c, t in zip(coded, texts)])],
-                names=["_id", "n_pieces", "ids_crc32", "round_trip"])
-    return (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-            .mapInArrow(run, "_id long, n_pieces long, ids_crc32 long, round_trip boolean")
-            .withColumnRenamed("_id", id_col))
+def _digest(batches):
+    """(doc_id, n_pieces, ids_crc32, round_trip) of rows (doc_id, text, piece_ids, decoded)."""
+    for rows in batches:
+        doc, text, ids, decoded = rows.columns
+        off = ids.offsets.to_numpy()
+        raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+        crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+        same = [d == (t or "").replace(MARK, " ") for t, d in zip(text.to_pylist(), decoded.to_pylist())]
+        yield pa.RecordBatch.from_arrays([doc, pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)],
+                                         names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
 
 def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of documents encoded and decoded: pieces, checksum of the ids, whether the text came back."""
-    return code_digest(table(spark, sf_dir, "documents"))
+    """Every whole text of documents encoded and decoded: pieces, checksum of the ids as little-endian unsigned 32-bit
+    integers, whether the text came back."""
+    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.mapInArrow(_digest, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
