@@ -1,14 +1,16 @@
 """Connected regions of a mask and tables per region.
 
-Cells are first joined into horizontal runs, which shrinks the graph by the mean run length;
-only runs take part in the iteration.  Each round hooks every region to its smallest
-neighbouring region, flattens the hooks by pointer jumping and contracts the edges, so the edge
-table shrinks geometrically.  Between rounds the lineage is cut by a written table.
+The grid is cut into square tiles.  A task labels the regions inside a tile; only regions that touch
+a tile border take part in the graph rounds, and only touching border cells of two tiles are edges,
+so the graph grows with the borders and not with the cells.  Each round hooks every region to its
+smallest neighbouring region, flattens the hooks by pointer jumping and contracts the edges, so the
+edge table shrinks geometrically.  Between rounds the lineage is cut by a written table.  Cells meet
+the result through the region of their own tile, so no key holds more than a tile's runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meltgrid.functions.nulls import finite
@@ -16,44 +18,88 @@ from meltgrid.operators.masks import flag
 from meltgrid.operators.ordered import GROUP_ROWS, midpoint_quantile, prefix_sums
 from meltgrid.session import cut_lineage, sized
 
-BLOCK = 64
+#: Cells along the side of a tile.
+TILE = 512
 _SHIFT = 31
 _AREA_SHIFT = 55
+_LOCAL = "area int, ri int, start int, stop int, region long, wet boolean, border boolean"
 
 
-def mask_runs(mask: DataFrame, area: str | None = None) -> DataFrame:
-    """Maximal horizontal runs ``(ri, start, stop, run)`` of the true cells ``(ri, ci)``.
+def _hooked(n: int, a, b):
+    """Smallest node that each of n nodes reaches through the edges a-b."""
+    import numpy as np
 
-    ``area`` names a small whole number that keeps masks of several areas apart; it leads the run
-    ids, so one graph holds them all.
-    """
-    lead = [area] if area else []
-    w = Window.partitionBy(*lead, "ri").orderBy("ci")
-    islands = mask.select(*lead, "ri", "ci", (F.col("ci") - F.row_number().over(w)).alias("_k"))
-    runs = islands.groupBy(*lead, "ri", "_k").agg(F.min("ci").alias("start"), F.max("ci").alias("stop")).drop("_k")
-    run = F.shiftleft(F.col("start").cast("long"), _SHIFT) + F.col("ri")
-    return runs.withColumn("run", run + F.shiftleft(F.col(area).cast("long"), _AREA_SHIFT) if area else run)
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
 
 
-def run_edges(runs: DataFrame, conn: int = 8, area: str | None = None) -> DataFrame:
-    """Touching runs of adjacent rows, each pair once.
+def tile_regions(cells: DataFrame, conn: int = 8, tile: int = TILE) -> DataFrame:
+    """Horizontal runs of the cells ``(area, ri, ci, wet)`` of every tile, with their region inside the tile.
 
-    Runs meet through the column blocks they cover; a pair is kept in the block where its overlap
-    begins.  A block holds at most ``BLOCK / 2`` runs of a row, so no key grows with the data.
+    A region's number is that of its first cell by column and row, led by the area; ``wet`` tells whether a run holds
+    a wet cell and ``border`` whether it touches the tile's border.
     """
     reach = {4: 0, 8: 1}[conn]
 
-    def blocks(lo: Column, hi: Column) -> Column:
-        return F.explode(F.sequence(F.floor(lo / BLOCK), F.floor(hi / BLOCK)))
-
-    lo, hi = F.col("start") - reach, F.col("stop") + reach
-    lead = [area] if area else []
-    upper = runs.select(*lead, F.col("run").alias("a"), (F.col("ri") + 1).alias("ri"), lo.alias("_lo"), hi.alias("_hi"),
-                        blocks(lo, hi).alias("_b"))
-    lower = runs.select(*lead, F.col("run").alias("b"), "ri", "start", "stop", blocks(F.col("start"), F.col("stop")).alias("_b"))
-    begin = F.greatest("_lo", "start")
-    meet = (begin <= F.least("_hi", "stop")) & (F.floor(begin / BLOCK) == F.col("_b"))
-    return upper.join(lower, [*lead, "ri", "_b"]).filter(meet).select("a", "b")
+    def label(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        area, top, left = (k.as_py() for k in key)
+        ri, ci = (table.column(c).to_numpy().astype("int64") for c in ("ri", "ci"))
+        wet = table.column("wet").to_numpy()
+        width = tile + 4
+        place, where = np.unique((ri - top * tile) * width + ci - left * tile + 2, return_inverse=True)
+        hit = np.zeros(len(place), dtype=bool)
+        np.logical_or.at(hit, where, wet)
+        head = np.flatnonzero(np.append(True, np.diff(place) != 1))
+        start, stop = place[head], place[np.append(head[1:], len(place)) - 1]
+        # Runs of the next row that overlap, by the row's own stretch of places.
+        low = np.searchsorted(stop, start + width - reach)
+        high = np.searchsorted(start, stop + width + reach, "right")
+        count = np.maximum(high - low, 0)
+        a = np.repeat(np.arange(len(head)), count)
+        b = low[a] + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        row, first, last = start // width + top * tile, start % width - 2 + left * tile, stop % width - 2 + left * tile
+        root = _hooked(len(head), a, b)
+        number = (first << _SHIFT) + row + (area << _AREA_SHIFT)
+        least = np.full(len(head), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, number)
+        edge = ((row == top * tile) | (row == (top + 1) * tile - 1) | (first == left * tile)
+                | (last == (left + 1) * tile - 1))
+        return pa.table({"area": pa.array(np.full(len(head), area), pa.int32()), "ri": pa.array(row, pa.int32()),
+                         "start": pa.array(first, pa.int32()), "stop": pa.array(last, pa.int32()), "region": least[root],
+                         "wet": np.logical_or.reduceat(hit, head), "border": edge})
+
+    at = [F.floor(F.col(c) / tile).cast("long").alias(n) for c, n in (("ri", "_top"), ("ci", "_left"))]
+    return cells.select("area", "ri", "ci", "wet", *at).groupBy("area", "_top", "_left").applyInArrow(label, _LOCAL)
+
+
+def border_edges(runs: DataFrame, conn: int = 8, tile: int = TILE) -> DataFrame:
+    """Touching regions ``(a, b)`` of neighbouring tiles."""
+    cells = runs.filter("border").select("area", "ri", F.explode(F.sequence("start", "stop")).alias("ci"), "region")
+    r, c = F.pmod(F.col("ri"), F.lit(tile)), F.pmod(F.col("ci"), F.lit(tile))
+    cells = cells.filter((r == 0) | (r == tile - 1) | (c == 0) | (c == tile - 1))
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if conn == 8 else [])
+    near = F.explode(F.array(*[F.struct((F.col("ri") + i).alias("ri"), (F.col("ci") + j).alias("ci")) for i, j in steps]))
+    reach = cells.select("area", F.col("region").alias("a"), "ri", "ci", near.alias("n"))
+
+    def tile_of(ri: str, ci: str) -> Column:
+        return F.struct(F.floor(F.col(ri) / tile), F.floor(F.col(ci) / tile))
+
+    other = reach.filter(tile_of("ri", "ci") != tile_of("n.ri", "n.ci")).select("area", "a", "n.ri", "n.ci")
+    return other.join(cells.withColumnRenamed("region", "b"), ["area", "ri", "ci"]).select("a", "b").distinct()
 
 
 def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,22 +131,28 @@ def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def connected_components(mask: DataFrame, conn: int = 8, min_size: int = 1,
-                         group_rows: int = GROUP_ROWS) -> DataFrame:
+def _regions(cells: DataFrame, conn: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of the cells, and ``(region, root, cells, wet)`` of the regions inside tiles."""
+    runs = cut_lineage(tile_regions(cells, conn, tile))
+    local = runs.groupBy("region").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("cells"), F.bool_or("wet").alias("wet"))
+    edges = cut_lineage(border_edges(runs, conn, tile))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    roots = cut_lineage(graph_components(ends, edges).withColumnRenamed("node", "region"))
+    return runs, cut_lineage(local.join(roots, "region", "left").withColumn("root", F.coalesce("root", "region")))
+
+
+def connected_components(mask: DataFrame, conn: int = 8, min_size: int = 1, group_rows: int = GROUP_ROWS,
+                         tile: int = TILE) -> DataFrame:
     """``(ri, ci, comp_id)`` of the true cells in regions of at least ``min_size`` cells.
 
     Regions are numbered from 1 in column-major order of their first cell, among those kept.
     """
-    runs = cut_lineage(mask_runs(mask))
-    roots = cut_lineage(graph_components(runs.select(F.col("run").alias("node")), run_edges(runs, conn)))
-    tagged = runs.join(roots.withColumnRenamed("node", "run"), "run")
-    # A run id orders by column, then row, so the smallest run of a region starts at its first cell.
-    sizes = tagged.groupBy("root").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("cells"),
-                                       F.min("run").alias("first"))
-    kept = sizes.filter(F.col("cells") >= min_size).withColumn("one", F.lit(1))
-    ids = prefix_sums(kept, [], "first", ["one"], group_rows).select("root", F.col("cum_one").alias("comp_id"))
-    return tagged.join(sized(ids), "root").select(
-        "ri", F.explode(F.sequence("start", "stop")).alias("ci"), F.col("comp_id").cast("long").alias("comp_id"))
+    runs, local = _regions(mask.select(F.lit(0).alias("area"), "ri", "ci", F.lit(False).alias("wet")), conn, tile)
+    # The root is the smallest number of a region's parts, so that of its first cell.
+    kept = local.groupBy("root").agg(F.sum("cells").alias("cells")).filter(F.col("cells") >= min_size)
+    ids = prefix_sums(kept.withColumn("one", F.lit(1)), [], "root", ["one"], group_rows)
+    ids = local.join(ids.select("root", F.col("cum_one").cast("long").alias("comp_id")), "root").select("region", "comp_id")
+    return runs.join(sized(cut_lineage(ids)), "region").select("ri", F.explode(F.sequence("start", "stop")).alias("ci"), "comp_id")
 
 
 def component_sizes(members: DataFrame, warn_below: int = 50) -> DataFrame:
@@ -128,25 +180,19 @@ def component_records(members: DataFrame, cell_km2: float, step: float, label: s
 
 
 def region_stats(members: DataFrame, regions: dict[str, Column], cell_km2: float, label: str = "y",
-                 conn: int = 8) -> DataFrame:
+                 conn: int = 8, tile: int = TILE) -> DataFrame:
     """Cells, regions, mean area and wet share per (overlapping) report area.
 
     Regions are labelled again inside each area, so one that an area's border cuts in two counts
-    twice there.  All areas share one graph whose keys start with the area.
+    twice there.  All areas share one graph whose region numbers start with the area; runs carry the counts.
     """
     areas = list(regions)
     tags = F.array_compact(F.array(*[F.when(flag(m), F.lit(i)) for i, m in enumerate(regions.values())]))
     cells = members.filter(finite(F.col(label).cast("double"))).select(
-        "ri", "ci", (F.col(label) == 1).alias("_wet"), F.explode(tags).alias("_area"))
-    cells = cut_lineage(cells)
-    runs = cut_lineage(mask_runs(cells, "_area"))
-    roots = graph_components(runs.select(F.col("run").alias("node")), run_edges(runs, conn, "_area"))
-    # Wet cells meet their run through the run's columns; runs carry the counts.
-    spread = runs.select("_area", "ri", "run", F.explode(F.sequence("start", "stop")).alias("ci"))
-    wet = cells.filter("_wet").join(spread, ["_area", "ri", "ci"]).select("run").distinct().withColumn("_wet", F.lit(True))
-    tagged = runs.join(roots.withColumnRenamed("node", "run"), "run").join(wet, "run", "left")
-    comps = tagged.groupBy("_area", "root").agg(
-        F.sum(F.col("stop") - F.col("start") + 1).alias("_n"), F.coalesce(F.bool_or("_wet"), F.lit(False)).alias("_wet"))
+        F.explode(tags).alias("area"), "ri", "ci", (F.col(label) == 1).alias("wet"))
+    _, local = _regions(cells, conn, tile)
+    area = F.shiftright("root", _AREA_SHIFT).cast("int").alias("_area")
+    comps = local.groupBy(area, "root").agg(F.sum("cells").alias("_n"), F.bool_or("wet").alias("_wet"))
     name = F.element_at(F.array(*[F.lit(a) for a in areas]), F.col("_area") + 1).alias("region")
     out = comps.groupBy(name).agg(
         F.sum("_n").cast("long").alias("cells"), F.count(F.lit(1)).alias("comps"), (F.avg("_n") * cell_km2).alias("mean_km2"),

@@ -3,7 +3,9 @@
 A plain window puts a whole group into one task, which is right for reports and wrong for a
 group that holds a third of a large table.  Every operator here first counts the rows per group
 (one aggregate with map-side combine).  Groups up to ``GROUP_ROWS`` use the window; larger ones
-are cut into value ranges and only range totals are combined.
+are cut by splitters that a sample suggests, so that parts are of nearly equal rank however the
+values are spread.  Running totals combine range totals; quantiles count the rows around their
+splitters, which proves the rank range before anything is sorted.  No arithmetic is done on values.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from meltgrid.functions.nulls import finite
 from meltgrid.session import cut_lineage, sized
 
 GROUP_ROWS = 4_000_000
-RANGES = 1024
+#: Sampled rows from which splitters of a large group are taken.
+SAMPLE_ROWS = 20_000
 _ONE = "_all"
 
 
@@ -61,31 +64,23 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         out = keyed.withColumns({f"cum_{c}": F.sum(c).over(w) for c in cols})
     else:
-        out = _ranged_prefix_sums(cut_lineage(keyed), keys, order, cols)
+        out = _ranged_prefix_sums(cut_lineage(keyed), keys, order, cols, group_rows)
     return out if by else out.drop(_ONE)
 
 
-def _ranged_prefix_sums(df: DataFrame, keys: list[str], order: str, cols: Sequence[str]) -> DataFrame:
-    """Two rounds of equal-width ranges, the second inside the first, so an uneven value
-    distribution still splits; then one window per range plus the totals of earlier ranges."""
-    level_keys = list(keys)
-    for level in ("_r0", "_r1"):
-        span = df.groupBy(*level_keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        o, lo, hi = (F.col(c).cast("double") for c in (order, "_lo", "_hi"))
-        cell = F.floor((o - lo) / (hi - lo) * RANGES).cast("int")
-        df = (df.join(sized(span), level_keys)
-              .withColumn(level, F.when(hi > lo, F.least(cell, F.lit(RANGES - 1))).otherwise(0))
-              .drop("_lo", "_hi"))
-        level_keys.append(level)
-    totals = df.groupBy(*level_keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    before = (Window.partitionBy(*keys).orderBy("_r0", "_r1")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        *level_keys, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in cols])
-    inside = Window.partitionBy(*level_keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in cols}).join(sized(offsets), level_keys)
+def _ranged_prefix_sums(df: DataFrame, keys: list[str], order: str, cols: Sequence[str], group_rows: int) -> DataFrame:
+    """Ranges of rows from sampled splitters; a window per range plus the totals of earlier ranges."""
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.count() // group_rows)
+    df = cut_lineage(df.repartitionByRange(ranges, *keys, order).withColumn("_part", F.spark_partition_id()))
+    inside = [*keys, "_part"]
+    totals = df.groupBy(*inside).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(totals.select(
+        *inside, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in cols]))
+    run = Window.partitionBy(*inside).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"cum_{c}": F.sum(c).over(run) for c in cols}).join(sized(offsets), inside)
     out = out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_b_{c}") for c in cols})
-    return out.drop("_r0", "_r1", *[f"_b_{c}" for c in cols])
+    return out.drop("_part", *[f"_b_{c}" for c in cols])
 
 
 def dense_index(df: DataFrame, block: str, order: Sequence[str], by: Sequence[str] = (), name: str = "idx",
@@ -97,7 +92,7 @@ def dense_index(df: DataFrame, block: str, order: Sequence[str], by: Sequence[st
     starts = run.select(*by, block, (F.col("cum__n") - F.col("_n")).alias("_start"))
     w = Window.partitionBy(*by, block).orderBy(*order)
     return (df.withColumn("_rn", F.row_number().over(w))
-            .join(sized(starts), [*by, block])
+            .join(sized(cut_lineage(starts)), [*by, block])
             .withColumn(name, F.col("_start") + F.col("_rn") - 1)
             .drop("_start", "_rn"))
 
@@ -165,67 +160,100 @@ def _position(n: Column, p: Column) -> Column:
 
 def _bracket_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float], hot: list,
                       group_rows: int) -> DataFrame:
-    """Narrow each wanted rank to a value range by repeated histograms.
+    """Exact order statistics of large groups.
 
-    A round reads the data once; the counts of a range are cumulated in Spark and one row for each
-    wanted rank comes back.  The last ranges hold few enough rows to be sorted.
+    A wanted rank starts with its whole group as an open interval of values.  A round samples the rows of the interval
+    and takes two splitters a few standard errors around the rank, then counts the rows below, at, between and at the
+    other splitter.  These counts settle the rank on a splitter or prove the narrower open interval it stands in,
+    which always excludes at least one value; ties at splitters never enter again.  Intervals of at most
+    ``group_rows`` rows are sorted.  One row for each wanted rank reaches the driver.
     """
     spark = src.sparkSession
-    wanted, open_ranges, found = {}, [], {}
+    wanted, found, todo = {}, {}, []
     for gi, row in enumerate(hot):
         n = row["n"]
         for name, p in ps.items():
             pos = min(max(n * p + 0.5, 1.0), float(n))
             k0 = int(math.floor(pos))
             wanted[gi, name] = (k0, min(k0 + 1, n), pos - k0)
-        ranks = sorted({k for (g, _), (a, b, _f) in wanted.items() if g == gi for k in (a, b)})
-        open_ranges.append((gi, row["lo"], row["hi"], 0, n, ranks))
-    key_schema = [src.schema[k] for k in keys]
+        for k in sorted({k for (g, _), (a, b, _f) in wanted.items() if g == gi for k in (a, b)}):
+            todo.append((gi, k, None, None, 0, n))
     range_schema = T.StructType([
-        *key_schema, T.StructField("_id", T.IntegerType()), T.StructField("_lo", T.DoubleType()),
-        T.StructField("_hi", T.DoubleType())])
-
-    def ranged(rs):
-        rows = [(*[hot[r[0]][k] for k in keys], i, r[1], r[2]) for i, r in enumerate(rs)]
-        side = F.broadcast(spark.createDataFrame(rows, range_schema))
-        return src.join(side, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-
-    small = []
-    while open_ranges:
-        nxt = []
-        for r in open_ranges:
-            if r[1] == r[2]:
-                found.update({(r[0], k): r[1] for k in r[5]})
-            elif r[4] <= group_rows:
-                small.append(r)
-            else:
-                nxt.append(r)
-        open_ranges = nxt
-        if not open_ranges:
+        *[src.schema[k] for k in keys], T.StructField("_id", T.IntegerType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi", "_a", "_b", "_share")]])
+    v = F.col("_v")
+
+    def inside(lo: str, hi: str) -> Column:
+        return (F.col(lo).isNull() | (v > F.col(lo))) & (F.col(hi).isNull() | (v < F.col(hi)))
+
+    def ranged(rows: list[tuple]) -> DataFrame:
+        """Rows of the open intervals (group, lo, hi, a, b, share), with the interval's number."""
+        side = [(*[hot[g][k] for k in keys], i, *rest) for i, (g, *rest) in enumerate(rows)]
+        return src.join(F.broadcast(spark.createDataFrame(side, range_schema)), keys).filter(inside("_lo", "_hi"))
+
+    def numbered(ranks: list[tuple]) -> tuple[list[tuple], list[int]]:
+        """Distinct intervals of some ranks, and which one each rank has."""
+        where = {}
+        at = [where.setdefault((g, lo, hi), len(where)) for g, _, lo, hi, _, _ in ranks]
+        return list(where), at
+
+    seed, small = 0, []
+    while True:
+        small += [r for r in todo if r[5] <= group_rows]
+        todo = [r for r in todo if r[5] > group_rows]
+        if not todo:
             break
-        cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES),
-                       F.lit(RANGES - 1))
-        hist = (ranged(open_ranges).groupBy("_id", cell.alias("_cell"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
-        upto = Window.partitionBy("_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-        asked = spark.createDataFrame([(i, k - r[3], k) for i, r in enumerate(open_ranges) for k in r[5]],
-                                      "_id int, _rank long, _k long")
-        runs = hist.withColumn("_cum", F.sum("n").over(upto)).join(F.broadcast(asked), "_id")
-        hits = runs.filter((F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("n"))).collect()
-        cells = {}
-        for h in hits:
-            cells.setdefault((h["_id"], h["lo"], h["hi"], h["_cum"] - h["n"], h["n"]), []).append(h["_k"])
-        open_ranges = [(open_ranges[i][0], lo, hi, open_ranges[i][3] + before, n, ranks)
-                       for (i, lo, hi, before, n), ranks in cells.items()]
+        seed += 1
+        spans, at = numbered(todo)
+        share = {i: min(1.0, SAMPLE_ROWS / r[5]) for r, i in zip(todo, at)}
+        sample = (ranged([(*s, None, None, share[i]) for i, s in enumerate(spans)])
+                  .filter(F.rand(seed) < F.col("_share")).select("_id", "_v"))
+        w = Window.partitionBy("_id")
+        placed = sample.withColumns({"_r": F.row_number().over(w.orderBy("_v")), "_s": F.count(F.lit(1)).over(w)})
+        asked = spark.createDataFrame([(i, j, (r[1] - r[4]) / r[5], share[i] == 1.0) for j, (r, i) in enumerate(zip(todo, at))],
+                                      "_id int, _j int, _x double, _whole boolean")
+        q = F.col("_x") * F.col("_s")
+        # A sample of all rows has the wanted one itself as both splitters.
+        width = F.when(F.col("_whole"), -0.5).otherwise(
+            4.0 * F.sqrt(F.greatest(q * (1.0 - F.col("_x")), F.lit(0.0))) + 4.0)
+        around = placed.join(F.broadcast(asked), "_id").groupBy("_j").agg(
+            F.max(F.when(F.col("_r") <= q - width, v)).alias("a"), F.min(F.when(F.col("_r") >= q + width, v)).alias("b"),
+            F.min(v).alias("least"))
+        cuts = {r["_j"]: (r["a"], r["b"], r["least"]) for r in around.collect()}
+        # Without a splitter on either side (a sample too small) the least sampled value still divides the interval.
+        cuts = {j: (a, b) if a is not None or b is not None else (least, None) for j, (a, b, least) in cuts.items()}
+        tried = [(j, todo[j]) for j in sorted(cuts)]
+        counts = (ranged([(g, lo, hi, *cuts[j], None) for j, (g, _, lo, hi, _, _) in tried]).groupBy("_id").agg(
+            F.count_if(v < F.col("_a")).alias("below"), F.count_if(v == F.col("_a")).alias("at_a"),
+            F.count_if(inside("_a", "_b")).alias("mid"),
+            F.count_if((v == F.col("_b")) & ~v.eqNullSafe(F.col("_a"))).alias("at_b"), F.count(F.lit(1)).alias("all")))
+        counts = {r["_id"]: r for r in counts.collect()}
+        nxt = [r for j, r in enumerate(todo) if j not in cuts]  # an empty sample: another one
+        for i, (j, (g, k, lo, hi, before, _)) in enumerate(tried):
+            c, (a, b) = counts[i], cuts[j]
+            rest = k - before
+            edges = [(c["below"], lo, a), (c["at_a"], a, a), (c["mid"], a if a is not None else lo, b if b is not None else hi),
+                     (c["at_b"], b, b), (c["all"] - c["below"] - c["at_a"] - c["mid"] - c["at_b"], b, hi)]
+            done = 0
+            for step, (rows, low, high) in enumerate(edges):
+                if rest <= done + rows:
+                    if step in (1, 3):
+                        found[g, k] = low
+                    else:
+                        nxt.append((g, k, low, high, before + done, rows))
+                    break
+                done += rows
+        todo = nxt
     if small:
-        w = Window.partitionBy("_id").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        runs = value_counts(ranged(small), ["_id"], "_v").withColumn("_cum", F.sum("n").over(w))
-        ask = spark.createDataFrame([(i, k - r[3], k) for i, r in enumerate(small) for k in r[5]],
-                                    "_id int, _rank long, _k long")
+        spans, at = numbered(small)
+        run = Window.partitionBy("_id").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        runs = value_counts(ranged([(*s, None, None, None) for s in spans]), ["_id"], "_v").withColumn("_cum", F.sum("n").over(run))
+        ask = spark.createDataFrame([(i, r[1] - r[4], j) for j, (r, i) in enumerate(zip(small, at))],
+                                    "_id int, _rank long, _j int")
         hits = (runs.join(F.broadcast(ask), "_id")
                 .filter((F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("n"))))
-        for h in hits.select("_id", "_k", "_v").collect():
-            found[small[h["_id"]][0], h["_k"]] = h["_v"]
+        for h in hits.select("_j", "_v").collect():
+            found[small[h["_j"]][:2]] = h["_v"]
     rows = []
     for gi, row in enumerate(hot):
         vals = []
@@ -233,7 +261,7 @@ def _bracket_quantile(src: DataFrame, keys: list[str], ps: Mapping[str, float],
             k0, k1, frac = wanted[gi, name]
             vals += [found[gi, k0], found[gi, k1], frac]
         rows.append((*[row[k] for k in keys], row["n"], *vals))
-    schema = T.StructType([*key_schema, T.StructField("n", T.LongType()),
+    schema = T.StructType([*[src.schema[k] for k in keys], T.StructField("n", T.LongType()),
                            *[T.StructField(f"_{s}_{m}", T.DoubleType()) for m in ps for s in ("a", "b", "f")]])
     return spark.createDataFrame(rows, schema)
 
@@ -244,7 +272,7 @@ def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), group_rows: int = GROU
     counts = value_counts(keyed.filter(finite(F.col(col))), keys, col)
     run = prefix_sums(counts, keys, col, ["n"], group_rows)
     total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return (run.join(sized(total), keys)
+    return (run.join(sized(cut_lineage(total)), keys)
             .withColumn("f", F.col("cum_n") / F.col("total"))
             .select(*by, col, "n", "cum_n", "f"))
 
@@ -255,7 +283,7 @@ def avg_rank(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "avg_r
     src = df.filter(finite(F.col(col)))
     run = prefix_sums(value_counts(src, by, col), by, col, ["n"], group_rows)
     ranks = run.select(*by, col, (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
-    return src.join(sized(ranks), [*by, col])
+    return src.join(sized(cut_lineage(ranks)), [*by, col])
 
 
 def cum_weight(df: DataFrame, weight: str, order: str, by: Sequence[str] = (), name: str = "cum_w",
@@ -271,7 +299,7 @@ def trim_central(df: DataFrame, col: str, keep: float = 0.95, by: Sequence[str]
     cuts = midpoint_quantile(df, col, {"_lo": tail, "_hi": 1.0 - tail}, by).drop("n")
     keyed, keys = _keyed(df, by)
     keyed_cuts, _ = _keyed(cuts, by)
-    out = keyed.join(sized(keyed_cuts), keys, "left")
+    out = keyed.join(sized(cut_lineage(keyed_cuts)), keys, "left")
     outside = (F.col(col) < F.col("_lo")) | (F.col(col) > F.col("_hi"))
     return (out.withColumn("trimmed", F.coalesce(outside, F.lit(False)))
             .withColumn(col, F.when(~F.col("trimmed"), F.col(col)))

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from meltgrid.functions.nulls import finite
 from meltgrid.operators.fields import log_prior
-from meltgrid.operators.ordered import GROUP_ROWS, RANGES, _keyed, largest_group, midpoint_quantile, prefix_sums
+from meltgrid.operators.ordered import GROUP_ROWS, _keyed, largest_group, midpoint_quantile, prefix_sums
 from meltgrid.session import cut_lineage, sized
 
 PARAMS = ("mu", "a", "theta_deg")
 RANK_BLOCK = 64
+#: Ranges that a long chain is cut into.
+RANGES = 1024
 
 
 def chain_table(chain: DataFrame, beta: float = 6.0) -> DataFrame:

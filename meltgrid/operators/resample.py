@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meltgrid.functions.mathx import EPS, normal_draw, uniform
+from meltgrid.operators.labelled import PASSED, Labels
 from meltgrid.operators.masks import flag
 from meltgrid.operators.metrics import regional_sums, soft_counts, with_regional, with_scores
 from meltgrid.operators.ordered import dense_index, midpoint_quantile, prefix_sums
 from meltgrid.session import cut_lineage, sized
 
 METRICS = ("spec", "rec", "prec", "acc", "f1", "g_mean", "rec_in_wet", "rec_out_dry", "g_regional")
-SUMS = ("tp", "fp", "tn", "fn", "_wn", "_wd", "_dn", "_dd")
 REGION_CHUNK = 100_000
+#: Cells of a tile, cells x replicates that a task draws at once, and draw counts that meet a bundle of regions.
+TILE, DRAWS, COUNT_ROWS = 50_000, 1_000_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,8 @@ class BootConfig:
     joined: bool = False
 
 
-def usable(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("pw").isNotNull() & F.col("y").isNotNull())
+def usable(df: DataFrame, label: str = "y") -> DataFrame:
+    return df.filter(F.col("pw").isNotNull() & F.col(label).isNotNull())
 
 
 def _cell_uniform(key: Sequence[int], ids, copy: int, which: int = 0):
@@ -76,7 +78,7 @@ def _replicate_table(copies: DataFrame, wet: Column) -> DataFrame:
 
 def _needed(df: DataFrame, cfg: BootConfig) -> list[str]:
     extra = ["gdiff", "margin", "s_total"] if cfg.pred == "noisy" else []
-    return [c for c in ("pw", "y", "ispb", "ospb", *extra) if c in df.columns]
+    return [c for c in ("pw", "y", PASSED, "ispb", "ospb", *extra) if c in df.columns]
 
 
 def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",)) -> DataFrame:
@@ -133,63 +135,106 @@ def _block_shares(key: Sequence[int], start: int, size: int, total: int, n_boot:
         todo += [(lo, mid, left), (mid, hi, k - left)]
 
 
-def bootstrap_cells_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",)) -> DataFrame:
+def with_strata(base: DataFrame, cfg: BootConfig, labels: Labels = Labels()) -> DataFrame:
+    """Add ``_s``: with ``balance`` and both hard classes present the class, else -1 for all rows of a model."""
+    if not cfg.balance:
+        return base.withColumn("_s", F.lit(-1))
+    if labels.thresholds:
+        raise ValueError("balanced draws need one label a cell")
+    hard = (F.col("y") == 0) | (F.col("y") == 1)
+    kinds = base.groupBy("model").agg(
+        ((F.count_if(F.col("y") == 1) > 0) & (F.count_if(F.col("y") == 0) > 0) & F.every(hard)).alias("_split"))
+    return base.join(sized(cut_lineage(kinds)), "model").withColumn(
+        "_s", F.when(F.col("_split"), F.col("y").cast("int")).otherwise(-1)).drop("_split")
+
+
+def with_tiles(base: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+    """Add ``_tile``, ``_first`` (first rank of the row's block) and ``_total`` (rows of its key).
+
+    Consecutive blocks ``_b`` form tiles of about ``tile`` rows, so a task gets neither a handful of cells nor a
+    number that grows with the grid.
+    """
+    sizes = cut_lineage(base.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    run = prefix_sums(sizes, list(keys), "_b", ["n"])
+    place = run.join(total, list(keys)).select(*keys, "_b", (F.col("cum_n") - F.col("n")).alias("_first"), "_total")
+    place = place.withColumn("_tile", F.floor(F.col("_first") / tile).cast("long"))
+    return base.join(sized(cut_lineage(place)), [*keys, "_b"])
+
+
+def draw_tile(seeds: Sequence[int], start: int, size: int, total: int, n_boot: int, wet, add) -> None:
+    """Draw the share of every replicate that falls on ranks start..start + size - 1.
+
+    ``wet(rng, cells)`` says which draws of these cells are predicted wet (None: not asked).  ``add(first replicate,
+    draws, wet draws, low, high)`` takes the counts, replicates by cells low..high - 1 of the tile, for a bounded
+    number of cells and replicates at a time.
+    """
+    import numpy as np
+
+    for lo, hi, k in _block_shares(seeds, start, size, total, n_boot):
+        rng = np.random.default_rng([*seeds, lo, hi, 1])
+        n, low = hi - lo, lo - start
+        step = max(1, DRAWS // n)
+        for at in range(0, n_boot, step):
+            times = k[at:at + step]
+            rep = np.repeat(np.arange(len(times)), times)
+            i = rng.integers(0, n, len(rep))
+            place, cells = rep * n + i, (len(times), n)
+            drawn = np.bincount(place, minlength=len(times) * n).reshape(cells).astype("float64")
+            hit = None
+            if wet is not None:
+                hit = np.bincount(place[wet(rng, low + i)], minlength=len(times) * n).reshape(cells).astype("float64")
+            add(at, drawn, hit, low, low + n)
+
+
+def bootstrap_cells_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",),
+                            labels: Labels = Labels(), tile: int = TILE) -> DataFrame:
     """N-of-N resampling that never moves a draw.
 
     Cells are ranked by block (a grid row, say) and place.  The draws of a replicate are uniform
-    over ranks, so a block knows from its first rank, its size and the total how many fall on it
-    (``_block_shares``) and draws from its own cells.  Cells are shuffled once by block; only sums
-    per (model, block, replicate) leave it.
+    over ranks, so a tile of blocks knows from its first rank, its size and the total how many fall
+    on it (``_block_shares``) and draws from its own cells.  A cell's copies meet its label masses
+    as one product.  Cells are shuffled once by tile; only sums per (model, tile, replicate) leave it.
     """
-    base = usable(df)
-    hard = (F.col("y") == 0) | (F.col("y") == 1)
-    if cfg.balance:
-        kinds = base.groupBy("model").agg(
-            ((F.count_if(F.col("y") == 1) > 0) & (F.count_if(F.col("y") == 0) > 0) & F.every(hard)).alias("_split"))
-        base = base.join(sized(kinds), "model").withColumn("_s", F.when(F.col("_split"), F.col("y").cast("int")).otherwise(-1))
-    else:
-        base = base.withColumn("_s", F.lit(-1))
     noisy, seed, noise, n_boot = cfg.pred == "noisy", cfg.seed, cfg.noise, cfg.n_boot
-    keys = ["model", "_s", "_b"]
-    base = base.select("model", "_s", F.col(block).cast("long").alias("_b"), *order, *_needed(base, cfg))
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.groupBy("model", "_s").agg(F.sum("n").alias("_total"))
-    first = prefix_sums(sizes, ["model", "_s"], "_b", ["n"]).join(total, ["model", "_s"]).select(
-        *keys, (F.col("cum_n") - F.col("n")).alias("_first"), "_total")
+    keys = ["model", "_s"]
+    base = with_strata(usable(df, labels.column), cfg, labels)
+    extra = ["gdiff", "margin", "s_total"] if noisy else ["pw"]
+    base = cut_lineage(base.select(*keys, F.col(block).cast("long").alias("_b"), *order, F.col(labels.column).alias("_label"),
+                                   flag(F.col("ispb")).alias("_in"), flag(F.col("ospb")).alias("_out"), *extra))
+    sums = [*labels.sums("a"), *labels.sums("b")]
 
     def draw(key, cells):
         import numpy as np
+        import pyarrow as pa
 
-        model, s, _ = key
-        cells = cells.sort_values(list(order))
-        y = np.clip(cells["y"].to_numpy(dtype="float64"), 0.0, 1.0)
-        inner, outer = (cells[c].fillna(False).to_numpy(dtype=bool) for c in ("ispb", "ospb"))
-        mass = np.stack([y, 1.0 - y, 1.0 - y, y, y * inner, y * inner, (1.0 - y) * outer, (1.0 - y) * outer])
-        on_wet = np.array([True, True, False, False, True, True, False, False])
-        both = np.array([False, False, False, False, False, True, False, True])
+        model, s, _ = (k.as_py() for k in key)
+        cells = cells.sort_by([(c, "ascending") for c in ("_b", *order)])
+        got = {c: cells.column(c).to_numpy() for c in ("_label", "_in", "_out", "_first", "_total", *extra)}
+        masses = labels.matrix(got["_label"], got["_in"], got["_out"])
         if noisy:
-            gap = cells["margin"].to_numpy(dtype="float64") - cells["gdiff"].to_numpy(dtype="float64")
-            spread = noise * np.sqrt(np.maximum(cells["s_total"].to_numpy(dtype="float64") ** 2, EPS))
+            gap = got["margin"].astype("float64") - got["gdiff"].astype("float64")
+            spread = noise * np.sqrt(np.maximum(got["s_total"].astype("float64") ** 2, EPS))
         else:
-            pw = cells["pw"].to_numpy(dtype="float64")
-        start, total = int(cells["_first"].iloc[0]), int(cells["_total"].iloc[0])
-        sums = np.zeros((n_boot, len(SUMS)))
-        seeds = [seed, zlib.crc32(model.encode()), int(s) + 1]
-        for lo, hi, k in _block_shares(seeds, start, len(y), total, n_boot):
-            rng = np.random.default_rng([*seeds, lo, hi, 1])
-            step = max(1, 1_000_000 // (hi - lo))
-            for at in range(0, n_boot, step):
-                rep = np.repeat(np.arange(at, min(at + step, n_boot)), k[at:at + step])
-                i = rng.integers(lo - start, hi - start, len(rep))
-                wet = spread[i] * rng.standard_normal(len(i)) >= gap[i] if noisy else rng.random(len(i)) < pw[i]
-                for c in range(len(SUMS)):
-                    here = mass[c][i] if both[c] else mass[c][i] * (wet == on_wet[c])
-                    sums[:, c] += np.bincount(rep, here, minlength=n_boot)
-        return type(cells)({"model": model, "rep": np.arange(n_boot), **dict(zip(SUMS, sums.T))})
-
-    parts = base.join(first, keys).groupBy(*keys).applyInPandas(
-        draw, "model string, rep int, " + ", ".join(f"{c} double" for c in SUMS))
-    return with_regional(with_scores(parts.groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in SUMS])))
+            pw = got["pw"].astype("float64")
+        out = np.zeros((n_boot, 2, labels.width))
+
+        def wet(rng, i):
+            return spread[i] * rng.standard_normal(len(i)) >= gap[i] if noisy else rng.random(len(i)) < pw[i]
+
+        def add(at, drawn, hit, low, high):
+            out[at:at + len(drawn), 0] += drawn @ masses[low:high]
+            out[at:at + len(drawn), 1] += hit @ masses[low:high]
+
+        draw_tile([seed, zlib.crc32(model.encode()), int(s) + 1], int(got["_first"].min()), len(masses),
+                  int(got["_total"][0]), n_boot, wet, add)
+        flat = out.reshape(n_boot, -1)
+        return pa.table({"model": pa.repeat(model, n_boot), "rep": np.arange(n_boot, dtype="int32"),
+                         **{c: flat[:, j] for j, c in enumerate(sums)}})
+
+    parts = with_tiles(base, keys, tile).groupBy(*keys, "_tile").applyInArrow(
+        draw, "model string, rep int, " + ", ".join(f"{c} double" for c in sums))
+    return labels.scores(parts.groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in sums]), ["model", "rep"])
 
 
 def pick_by_weight(draws: DataFrame, cdf: DataFrame, by: Sequence[str], u: str = "u") -> DataFrame:
@@ -205,21 +250,19 @@ def pick_by_weight(draws: DataFrame, cdf: DataFrame, by: Sequence[str], u: str =
 
 
 def component_table(base: DataFrame) -> DataFrame:
-    """Regions of each model with size, 0-based position and cumulative size share."""
+    """Regions of each model with size, 0-based position, cells before them and cumulative size share."""
     sizes = base.filter("comp_id > 0").groupBy("model", "comp_id").agg(F.count(F.lit(1)).alias("cells"))
     run = prefix_sums(sizes.withColumn("one", F.lit(1)), ["model"], "comp_id", ["one", "cells"])
     tot = sizes.groupBy("model").agg(F.count(F.lit(1)).alias("n_comp"), F.sum("cells").alias("_all"))
     out = run.join(sized(tot), "model")
     return out.select("model", "comp_id", "cells", "n_comp", (F.col("cum_one") - 1).alias("idx"),
+                      (F.col("cum_cells") - F.col("cells")).alias("before"),
                       ((F.col("cum_cells") - F.col("cells")) / F.col("_all")).alias("lo"),
                       (F.col("cum_cells") / F.col("_all")).alias("hi"))
 
 
-def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig,
-                      chunk: int = REGION_CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Drawn regions ``(model, rep, draw, comp_id, _part)`` and the cells ``(..., _part)`` they
-    bring.  A region larger than ``chunk`` cells is cut into parts, so no join key or group
-    holds more than that."""
+def drawn_regions(comps: DataFrame, cfg: BootConfig) -> DataFrame:
+    """Drawn regions ``(model, rep, draw, comp_id, cells)``."""
     take = F.greatest(F.lit(1), F.round(F.lit(cfg.mfrac) * F.col("n_comp")))
     slots = comps.filter(F.col("idx") < take).select(
         "model", "n_comp", F.col("idx").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(cfg.n_boot - 1))).alias("rep"))
@@ -230,17 +273,30 @@ def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig,
     else:
         pick = slots.withColumn("idx", F.least(F.floor(F.col("u") * F.col("n_comp")), F.col("n_comp") - 1))
         drawn = pick.drop("n_comp").join(comps.select("model", "idx", "comp_id", "cells"), ["model", "idx"])
-    parts = F.ceil(F.col("cells") / chunk).cast("int")
-    drawn = drawn.select("model", "rep", "draw", "comp_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return drawn.select("model", "rep", "draw", "comp_id", "cells")
+
+
+def _parts(chunk: int) -> Column:
+    """Parts of at most about ``chunk`` cells that a region is cut into."""
+    return F.ceil(F.col("cells") / chunk).cast("int")
+
+
+def _drawn_components(base: DataFrame, comps: DataFrame, cfg: BootConfig,
+                      chunk: int = REGION_CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Drawn regions ``(model, rep, draw, comp_id, _part)`` and the cells ``(..., _part)`` they
+    bring.  A region larger than ``chunk`` cells is cut into parts, so no join key or group
+    holds more than that."""
+    drawn = drawn_regions(comps, cfg).select(
+        "model", "rep", "draw", "comp_id", F.explode(F.sequence(F.lit(0), _parts(chunk) - 1)).alias("_part"))
     members = base.filter("comp_id > 0").join(
-        sized(comps.select("model", "comp_id", parts.alias("_parts"))), ["model", "comp_id"])
+        sized(comps.select("model", "comp_id", _parts(chunk).alias("_parts"))), ["model", "comp_id"])
     members = members.withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.col("_parts")).cast("int"))
     return drawn, members.select("model", "comp_id", "_part", "cell_id", F.xxhash64("cell_id").alias("_id"), *_needed(base, cfg))
 
 
-def _component_base(df: DataFrame, cfg: BootConfig, block: str, order: Sequence[str]) -> DataFrame:
+def _component_base(df: DataFrame, cfg: BootConfig, block: str, order: Sequence[str], label: str = "y") -> DataFrame:
     place = [c for c in (block, *order) if c in df.columns]
-    base = usable(df)
+    base = usable(df, label)
     return base.select("model", "comp_id", "cell_id", *dict.fromkeys(place), *_needed(base, cfg))
 
 
@@ -256,80 +312,114 @@ def bootstrap_components(df: DataFrame, cfg: BootConfig, block: str = "ri", orde
     return out if bare.isEmpty() else out.unionByName(bootstrap_cells(bare, cfg, block, order))
 
 
-def bootstrap_components_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri",
-                                 order: Sequence[str] = ("ci",), chunk: int = REGION_CHUNK) -> DataFrame:
+def region_bundles(base: DataFrame, comps: DataFrame, cfg: BootConfig, chunk: int = REGION_CHUNK,
+                   count_rows: int = COUNT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Cells and draw counts of bundles of region parts, both keyed by (model, _bundle, _reps).
+
+    A bundle takes about ``chunk`` cells of consecutive regions.  Small regions bring many draw counts, so replicates
+    come in blocks ``_reps``, as many as keep the counts of a bundle within ``count_rows``; the cells enter once for
+    each block.
+    """
+    part = F.explode(F.sequence(F.lit(0), _parts(chunk) - 1)).alias("_part")
+    bundle = F.floor((F.col("before") + F.col("_part") * chunk) / chunk).cast("long").alias("_bundle")
+    parts = cut_lineage(comps.select("model", "comp_id", "before", "cells", part)
+                        .select("model", "comp_id", "_part", bundle, _parts(chunk).alias("_parts")))
+    most = parts.groupBy("model", "_bundle").count().agg(F.max("count").alias("n")).first()["n"] or 1
+    size = min(cfg.n_boot, max(1, count_rows // most))
+    blocks = -(-cfg.n_boot // size)
+    drawn, _ = _drawn_components(base, comps, cfg, chunk)
+    counts = (drawn.groupBy("model", "comp_id", "_part", "rep").agg(F.count(F.lit(1)).cast("int").alias("k"))
+              .join(parts, ["model", "comp_id", "_part"])
+              .select("model", "_bundle", F.floor(F.col("rep") / size).cast("int").alias("_reps"), "comp_id", "_part", "rep", "k"))
+    regions = sized(cut_lineage(comps.select("model", "comp_id", "before", _parts(chunk).alias("_parts"))))
+    cells = base.filter("comp_id > 0").join(regions, ["model", "comp_id"])
+    cells = cells.withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.col("_parts")).cast("int"))
+    cells = cells.select("model", bundle, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_reps"), "comp_id", "_part",
+                         F.xxhash64("cell_id").alias("_id"), *_needed(base, cfg))
+    return cells, counts
+
+
+def bootstrap_components_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",),
+                                 chunk: int = REGION_CHUNK, labels: Labels = Labels(),
+                                 count_rows: int = COUNT_ROWS) -> DataFrame:
     """The same resampling without a row per drawn copy.
 
-    A region drawn ``k`` times gives every one of its cells ``k`` independent predictions.  Region
-    parts are gathered into bundles of about ``chunk`` cells; a bundle meets the draw counts of its
-    parts once and only sums per (model, bundle, replicate) leave it.  A prediction is a hash of
-    (seed, model, replicate, copy, cell), so it does not depend on parts or bundles.
+    A region drawn ``k`` times gives every one of its cells ``k`` independent predictions.  Bundles
+    of region parts meet the draw counts of a block of replicates (``region_bundles``) and only sums
+    per (model, bundle, replicate) leave them.  A prediction is a hash of (seed, model, replicate,
+    copy, cell), so it does not depend on parts, bundles or blocks.
     """
-    base = _component_base(df, cfg, block, order)
+    base = cut_lineage(_component_base(df, cfg, block, order, labels.column))
     comps = cut_lineage(component_table(base))
-    drawn, members = _drawn_components(base, comps, cfg, chunk)
-    bundles = comps.groupBy("model").agg(F.ceil(F.sum("cells") / chunk).alias("_n"))
-    bundle = F.pmod(F.xxhash64("comp_id", "_part"), F.col("_n")).alias("_bundle")
-    keys = ["model", "_bundle"]
-    counts = (drawn.groupBy("model", "comp_id", "_part", "rep").agg(F.count(F.lit(1)).alias("k"))
-              .join(sized(bundles), "model").select("model", bundle, "comp_id", "_part", "rep", "k"))
-    members = members.join(sized(bundles), "model").select(*members.columns, bundle)
+    cells, counts = region_bundles(base, comps, cfg, chunk, count_rows)
+    cells = cells.withColumns({"ispb": flag(F.col("ispb")), "ospb": flag(F.col("ospb"))})
+    keys = ["model", "_bundle", "_reps"]
     noisy, seed, noise = cfg.pred == "noisy", cfg.seed, cfg.noise
+    sums = [*labels.sums("a"), *labels.sums("b")]
 
     def draw(key, cells, times):
         import numpy as np
-        import pandas as pd
-
-        model = key[0]
-        if cells.empty or times.empty:
-            return pd.DataFrame(columns=["model", "rep", *SUMS])
-        y = np.clip(cells["y"].to_numpy(dtype="float64"), 0.0, 1.0)
-        a, o = (cells[c].fillna(False).to_numpy(dtype=bool) for c in ("ispb", "ospb"))
-        ids = cells["_id"].to_numpy(dtype="int64").view("uint64")
-        parts = pd.MultiIndex.from_frame(cells[["comp_id", "_part"]])
-        code, known = parts.factorize()
-        of = known.get_indexer(pd.MultiIndex.from_frame(times[["comp_id", "_part"]]))
+        import pyarrow as pa
+
+        model = key[0].as_py()
+        kind = pa.schema([("model", pa.string()), ("rep", pa.int32()), *[(c, pa.float64()) for c in sums]])
+        if not len(cells) or not len(times):
+            return kind.empty_table()
+        got = {c: cells.column(c).to_numpy() for c in cells.column_names if c != "model"}
+        drawn = {c: times.column(c).to_numpy() for c in ("comp_id", "_part", "rep", "k")}
+        masses, ids = labels.matrix(got[labels.column], got["ispb"], got["ospb"]), got["_id"].view("uint64")
         if noisy:
-            spread = noise * np.sqrt(np.maximum(cells["s_total"].to_numpy(dtype="float64") ** 2, EPS))
-            gap = cells["margin"].to_numpy(dtype="float64") - cells["gdiff"].to_numpy(dtype="float64")
+            spread = noise * np.sqrt(np.maximum(got["s_total"].astype("float64") ** 2, EPS))
+            gap = got["margin"].astype("float64") - got["gdiff"].astype("float64")
         else:
-            pw = cells["pw"].to_numpy(dtype="float64")
-        out = []
-        for rep, at in times.groupby("rep").indices.items():
-            per_part = np.zeros(len(known))
-            per_part[of[at]] = times["k"].to_numpy()[at]
-            k = per_part[code]
-            seeds, wet = [seed, zlib.crc32(model.encode()), int(rep)], np.zeros(len(y))
-            for copy in range(int(k.max())):
-                u = _cell_uniform(seeds, ids, copy)
+            pw = got["pw"].astype("float64")
+        comp, part = (np.concatenate([got[c], drawn[c]]).astype("int64") for c in ("comp_id", "_part"))
+        _, comp = np.unique(comp, return_inverse=True)
+        _, code = np.unique(comp * (int(part.max()) + 1) + part, return_inverse=True)
+        mine, theirs = code[:len(ids)], code[len(ids):]
+        k = np.zeros(int(code.max()) + 1, dtype="int64")
+        order = np.argsort(drawn["rep"], kind="stable")
+        head = np.flatnonzero(np.append(True, np.diff(drawn["rep"][order]) != 0))
+        reps, a, b = [], [], []
+        for at in np.split(order, head[1:]):
+            rep = int(drawn["rep"][at[0]])
+            k[:] = 0
+            k[theirs[at]] = drawn["k"][at]
+            times_of = k[mine]
+            live, seeds, wet = np.flatnonzero(times_of), [seed, zlib.crc32(model.encode()), rep], np.zeros(len(ids))
+            for copy in range(int(times_of.max(initial=0))):
+                live = live[times_of[live] > copy]
+                u = _cell_uniform(seeds, ids[live], copy)
                 if noisy:
                     radius = np.sqrt(-2.0 * np.log(np.maximum(u, 2.0**-53)))
-                    hit = spread * radius * np.cos(2.0 * np.pi * _cell_uniform(seeds, ids, copy, 1)) >= gap
+                    jitter = radius * np.cos(2.0 * np.pi * _cell_uniform(seeds, ids[live], copy, 1))
+                    wet[live] += spread[live] * jitter >= gap[live]
                 else:
-                    hit = u < pw
-                wet += hit & (k > copy)
-            dry = k - wet
-            out.append((model, rep, (wet * y).sum(), (wet * (1 - y)).sum(), (dry * (1 - y)).sum(), (dry * y).sum(),
-                        (wet * y)[a].sum(), (k * y)[a].sum(), (dry * (1 - y))[o].sum(), (k * (1 - y))[o].sum()))
-        return pd.DataFrame(out, columns=["model", "rep", *SUMS])
-
-    sums = members.groupBy(*keys).cogroup(counts.groupBy(*keys)).applyInPandas(
-        draw, "model string, rep int, " + ", ".join(f"{c} double" for c in SUMS))
-    out = with_regional(with_scores(sums.groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in SUMS])))
+                    wet[live] += u < pw[live]
+            reps.append(rep)
+            a.append(times_of @ masses)
+            b.append(wet @ masses)
+        values = np.concatenate([np.array(a), np.array(b)], axis=1)
+        return pa.Table.from_arrays([pa.repeat(model, len(reps)), pa.array(reps, pa.int32()),
+                                     *[pa.array(values[:, j]) for j in range(len(sums))]], schema=kind)
+
+    parts = cells.groupBy(*keys).cogroup(counts.groupBy(*keys)).applyInArrow(
+        draw, "model string, rep int, " + ", ".join(f"{c} double" for c in sums))
+    out = labels.scores(parts.groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in sums]), ["model", "rep"])
     bare = base.join(comps.select("model").distinct(), "model", "left_anti")
-    return out if bare.isEmpty() else out.unionByName(bootstrap_cells_blocked(bare, cfg, block, order))
+    return out if bare.isEmpty() else out.unionByName(bootstrap_cells_blocked(bare, cfg, block, order, labels))
 
 
-def bootstrap_cells_hard(df: DataFrame, cfg: BootConfig) -> DataFrame:
-    """The cell bootstrap for hard labels without resampling a cell.
+def bootstrap_cells_hard(df: DataFrame, cfg: BootConfig, labels: Labels = Labels()) -> DataFrame:
+    """The cell bootstrap for hard labels (or thresholds) without resampling a cell.
 
-    With 0/1 labels a draw lands in (prediction, label, area) with probability equal to the mean
+    With labels of few values a draw lands in (prediction, label, area) with probability equal to the mean
     expected mass of that class, so the counts of a replicate are exactly multinomial.  One
-    aggregate over the cells is enough; replicates are then drawn from at most 16 class masses.
+    aggregate over the cells is enough; replicates are then drawn from a few class masses.
     """
-    base = usable(df)
+    base = usable(df, labels.column)
     area = flag(F.col("ispb")).cast("int") + 2 * flag(F.col("ospb")).cast("int")
-    mass = base.groupBy("model", F.col("y").cast("int").alias("y"), area.alias("area")).agg(
+    mass = base.groupBy("model", F.col(labels.column).cast("int").alias("y"), area.alias("area")).agg(
         F.sum("pw").alias("wet"), F.sum(1.0 - F.col("pw")).alias("dry"), F.count(F.lit(1)).alias("n"))
     classes = mass.groupBy("model").agg(
         F.array_sort(F.collect_list(F.struct("y", "area", "wet", "dry"))).alias("classes"), F.sum("n").alias("n"))
@@ -350,18 +440,11 @@ def bootstrap_cells_hard(df: DataFrame, cfg: BootConfig) -> DataFrame:
 
     counts = slots.select("model", "classes", "n", "rep").mapInPandas(
         draw, "model string, rep int, y int, area int, wet long, dry long")
-    y1, inner, outer = F.col("y") == 1, F.col("area") % 2 == 1, F.col("area") >= 2
-
-    def total(c: str, cond: Column) -> Column:
-        return F.sum(F.when(cond, F.col(c)).otherwise(0)).cast("double")
-
-    both = F.col("wet") + F.col("dry")
-    out = counts.groupBy("model", "rep").agg(
-        total("wet", y1).alias("tp"), total("wet", ~y1).alias("fp"), total("dry", ~y1).alias("tn"),
-        total("dry", y1).alias("fn"), total("wet", y1 & inner).alias("_wn"),
-        F.sum(F.when(y1 & inner, both).otherwise(0)).cast("double").alias("_wd"),
-        total("dry", ~y1 & outer).alias("_dn"), F.sum(F.when(~y1 & outer, both).otherwise(0)).cast("double").alias("_dd"))
-    return with_regional(with_scores(out))
+    masses = labels.masses(F.col("y"), F.col("area") % 2 == 1, F.col("area") >= 2)
+    sums = counts.groupBy("model", "rep").agg(
+        *[F.sum((F.col("wet") + F.col("dry")) * m).alias(f"a{j}") for j, m in enumerate(masses)],
+        *[F.sum(F.col("wet") * m).alias(f"b{j}") for j, m in enumerate(masses)])
+    return labels.scores(sums, ["model", "rep"])
 
 
 # Bands -----------------------------------------------------------------------------------------

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meltgrid.functions.names import FLAT_PREFIX
 from meltgrid.functions.truth import truth_binary, truth_weight
+from meltgrid.operators import flats as L
 from meltgrid.operators import metrics as M
 from meltgrid.operators import resample as R
 from meltgrid.operators.components import connected_components
+from meltgrid.operators.labelled import Labels
 from meltgrid.operators.masks import MaskConfig, with_masks
 from meltgrid.operators.models import flat_models, model_center, rank_compare, union_runs
 from meltgrid.operators.summaries import calibrate_logistic, coverage_report, summarize, weight_diagnostics
@@ -73,21 +76,28 @@ CELL_COLUMNS = ("cell_id", "ri", "ci", "q", "ispb", "ospb", "sink", "comp_id", "
 ROW_COLUMNS = ("model", "cell_id", "ri", "ci", "q", "ispb", "ospb", "sink", "comp_id", "y", "w", "gdiff", "s_model", "s_gmin")
 
 
-def scored_rows(cells: DataFrame, models: DataFrame, cfg: EvalConfig) -> DataFrame:
-    """Narrow (cell, model) rows of the scored area.
+def scored_cells(cells: DataFrame) -> DataFrame:
+    """Narrow cells of the scored area, written once because every later stage reads them."""
+    return cut_lineage(cells.filter("roi").select(*[c for c in CELL_COLUMNS if c in cells.columns]))
 
-    The scored cells and the rows of stored models are written once, because every later stage
-    reads them.  Rows of flat models are never written: each stage makes them from the cells.
-    """
-    kept = [c for c in CELL_COLUMNS if c in cells.columns]
-    scored = cut_lineage(cells.filter("roi").select(*kept))
 
-    def narrow(rows: DataFrame) -> DataFrame:
-        rows = M.with_sigma(rows)
-        return rows.select(*[c for c in ROW_COLUMNS if c in rows.columns])
+def _narrow(rows: DataFrame) -> DataFrame:
+    rows = M.with_sigma(rows)
+    return rows.select(*[c for c in ROW_COLUMNS if c in rows.columns])
+
 
-    rows = cut_lineage(narrow(listed_rows(scored, models)))
-    return rows if cfg.flats is None else rows.unionByName(narrow(flat_rows(scored, models, cfg.flats)))
+def scored_rows(scored: DataFrame, models: DataFrame) -> DataFrame:
+    """Narrow (cell, model) rows of stored models, written once."""
+    return cut_lineage(_narrow(listed_rows(scored, models)))
+
+
+def flats_by_rows(scored: DataFrame, cfg: EvalConfig) -> bool:
+    """Flats need rows of their own for the joined bootstrap, where input spreads blur their predictions, and where a
+    topographic factor is not positive, so that a larger flat can predict dry where a smaller one predicts wet."""
+    if cfg.flats is None:
+        return False
+    turned = "delta" in scored.columns and not scored.filter(F.col("delta") <= -1).isEmpty()
+    return bool(cfg.spread) or cfg.boot.joined or turned
 
 
 def with_regions(rows: DataFrame, cells: DataFrame, cfg: EvalConfig) -> DataFrame:
@@ -96,16 +106,18 @@ def with_regions(rows: DataFrame, cells: DataFrame, cfg: EvalConfig) -> DataFram
     return rows.join(comps, ["ri", "ci"], "left").withColumn("comp_id", F.coalesce("comp_id", F.lit(0)))
 
 
-def replicates(rows: DataFrame, cfg: EvalConfig) -> DataFrame:
+def replicates(rows: DataFrame, cfg: EvalConfig, labels: Labels = Labels()) -> DataFrame:
     """Bootstrap by the cheapest form that is exact for the labels and the mode in use, or by the
     joined form that any SQL engine can repeat where ``cfg.boot.joined`` asks for it."""
     if cfg.mode == "components":
-        return (R.bootstrap_components if cfg.boot.joined else R.bootstrap_components_blocked)(rows, cfg.boot)
+        if cfg.boot.joined:
+            return R.bootstrap_components(rows, cfg.boot)
+        return R.bootstrap_components_blocked(rows, cfg.boot, labels=labels)
     if cfg.boot.joined:
         return R.bootstrap_cells(rows, cfg.boot)
     if cfg.truth == "binary" and cfg.boot.pred == "bernoulli" and not cfg.boot.balance:
-        return R.bootstrap_cells_hard(rows, cfg.boot)
-    return R.bootstrap_cells_blocked(rows, cfg.boot)
+        return R.bootstrap_cells_hard(rows, cfg.boot, labels)
+    return R.bootstrap_cells_blocked(rows, cfg.boot, labels=labels)
 
 
 class Results(Mapping):
@@ -145,22 +157,42 @@ def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()
     base = label_cells(static_cells(cells, cfg), cfg)
     if cfg.mode == "components":
         base = with_regions(base, base, cfg)
-    rows = scored_rows(base, models, cfg)
+    scored = scored_cells(base)
+    rows = scored_rows(scored, models)
     sigma = M.sigma_summary(rows)
-    decided = M.decide(rows, M.margin_table(sigma, cfg.margin_mode, cfg.margin))
-    used = M.with_p_wet(decided).withColumns({
-        "y": F.col("w") if cfg.truth == "weighted" else F.col("y").cast("double"),
-        "s_total": M.margin_sigma(F.col("s_model"), F.col("s_gmin"))})
+    if cfg.flats is not None:
+        sigma = cut_lineage(sigma.unionByName(L.flat_sigma(scored, *cfg.flats)))
+    margins = M.margin_table(sigma, cfg.margin_mode, cfg.margin)
+    labelled = {"y": F.col("w") if cfg.truth == "weighted" else F.col("y").cast("double")}
+
+    def decide(rows: DataFrame) -> DataFrame:
+        return M.decide(rows, margins)
+
+    def with_used(decided: DataFrame) -> DataFrame:
+        return M.with_p_wet(decided).withColumns({**labelled, "s_total": M.margin_sigma(F.col("s_model"), F.col("s_gmin"))})
+
+    decided, slots = decide(rows), None
+    if flats_by_rows(scored, cfg):
+        decided = decided.unionByName(decide(_narrow(flat_rows(scored, models, cfg.flats))))
+    elif cfg.flats is not None:
+        slots = flat_slots(scored, margins, cfg)
+    used = with_used(decided)
+
+    def with_flats(listed: DataFrame, made: Callable[[DataFrame], DataFrame], **columns: Column) -> DataFrame:
+        return listed if slots is None else listed.unionByName(made(slots.withColumns(columns)))
+
     return Results({
         "spec_stats": lambda r: summarize(base, "q", {
             "ROI": F.col("roi"), "VIZ": F.col("viz"), "REG": F.col("reg") & F.col("valid")}),
         "coverage": lambda r: coverage_report(base),
         "sigma": lambda r: sigma,
         "suggested_margin": lambda r: M.suggested_margin(sigma),
-        "binary": lambda r: M.point_metrics(decided, "y"),
-        "weighted": lambda r: M.point_metrics(decided, "w", soft=True),
-        "expected": lambda r: M.expected_metrics(used),
-        "replicates": lambda r: replicates(used, cfg),
+        "binary": lambda r: with_flats(M.point_metrics(decided, "y"), lambda c: L.flat_points(c, *cfg.flats)),
+        "weighted": lambda r: with_flats(M.point_metrics(decided, "w", soft=True),
+                                         lambda c: L.flat_expected(c, *cfg.flats), y=F.col("w")),
+        "expected": lambda r: with_flats(M.expected_metrics(used), lambda c: L.flat_expected(c, *cfg.flats), **labelled),
+        "replicates": lambda r: with_flats(replicates(used, cfg), lambda c: L.replicate_flats(
+            c, cfg.boot, *cfg.flats, cfg.mode, hard=cfg.truth == "binary"), **labelled),
         "gstats": lambda r: R.gstats(r["expected"], r["replicates"]),
         "ci_summary": lambda r: R.ci_summary(r["gstats"]),
         "centers": lambda r: _centers(cells, base, models, cfg),
@@ -169,9 +201,19 @@ def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()
     })
 
 
+def flat_slots(scored: DataFrame, margins: DataFrame, cfg: EvalConfig) -> DataFrame:
+    """Scored cells with their flat slot; all flats have one spread and so one margin."""
+    margin = margins.filter(F.col("model") == f"{FLAT_PREFIX}{cfg.flats[0]}").first()["margin"]
+    return L.with_slots(scored, *cfg.flats, margin)
+
+
 def sweep(cells: DataFrame, models: DataFrame, thresholds: Sequence[float] = (0.10, 0.15, 0.20, 0.25, 0.30),
           cfg: EvalConfig | None = None) -> DataFrame:
-    """``gstats`` for every truth threshold: static rows are built once and only labels change."""
+    """``gstats`` for every truth threshold from one set of rows and draws.
+
+    A row's labels are the number of thresholds its observation exceeds; sums are kept under that number.  Balanced
+    and joined draws depend on the label, so there each threshold has rows of its own.
+    """
     if cfg is None:
         cfg = EvalConfig(truth="binary", mode="components", calibrate=False, masks=MaskConfig(gate_sinks=False),
                          boot=R.BootConfig(n_boot=10))
@@ -179,13 +221,35 @@ def sweep(cells: DataFrame, models: DataFrame, thresholds: Sequence[float] = (0.
     base = label_cells(static_cells(cells, cfg), cfg)
     if cfg.mode == "components":
         base = with_regions(base, base, cfg)
-    rows = scored_rows(base, models, cfg)
+    labels = Labels(tuple(sorted({float(t) for t in thresholds})))
+    scored = labels.mark(scored_cells(base))
+    rows = labels.mark(scored_rows(scored, models))
     sigma = M.sigma_summary(rows)
-    used = M.with_p_wet(M.decide(rows, M.margin_table(sigma, cfg.margin_mode, cfg.margin)))
-    used = used.withColumn("s_total", M.margin_sigma(F.col("s_model"), F.col("s_gmin")))
-    # One pass for all thresholds: the threshold is part of the model's key, so metrics, draws and
-    # bands of every run come from the same jobs.
-    runs = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    if cfg.flats is not None:
+        sigma = cut_lineage(sigma.unionByName(L.flat_sigma(scored, *cfg.flats)))
+    margins = M.margin_table(sigma, cfg.margin_mode, cfg.margin)
+
+    def with_used(rows: DataFrame) -> DataFrame:
+        used = M.with_p_wet(M.decide(rows, margins))
+        return used.withColumn("s_total", M.margin_sigma(F.col("s_model"), F.col("s_gmin")))
+
+    used = with_used(rows)
+    by_label = cfg.boot.joined or cfg.boot.balance
+    by_rows = cfg.flats is not None and (by_label or flats_by_rows(scored, cfg))
+    if by_rows:
+        used = used.unionByName(with_used(labels.mark(_narrow(flat_rows(scored, models, cfg.flats)))))
+    if by_label:
+        return _sweep_by_rows(used, labels.thresholds, cfg)
+    expected, reps = labels.expected(used), replicates(used, cfg, labels)
+    if cfg.flats is not None and not by_rows:
+        slots = flat_slots(scored, margins, cfg)
+        expected = expected.unionByName(L.flat_expected(slots, *cfg.flats, labels))
+        reps = reps.unionByName(L.replicate_flats(slots, cfg.boot, *cfg.flats, cfg.mode, labels=labels))
+    return R.gstats(expected, reps, ["model", "threshold"])
+
+
+def _sweep_by_rows(used: DataFrame, thresholds: Sequence[float], cfg: EvalConfig) -> DataFrame:
+    runs = F.explode(F.array(*[F.lit(t) for t in thresholds]))
     used = used.withColumn("threshold", runs).withColumns({
         "y": truth_binary(F.col("q"), F.col("threshold")),
         "model": F.concat_ws("@", F.col("threshold").cast("string"), "model")})

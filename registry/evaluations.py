@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meltgrid.operators import resample as R
 from meltgrid.plans import candidates as P
 from meltgrid.plans import evaluation as E
 from meltgrid.plans import report
@@ -18,7 +17,7 @@ CM = ("cells", "model_cells")
 
 
 def config(**kw):
-    return E.EvalConfig(margin_mode="auto_median", boot=R.BootConfig(n_boot=10), **kw)
+    return E.EvalConfig(margin_mode="auto_median", **kw)
 
 
 EVAL = MASKED + f""",
