@@ -95,8 +95,7 @@ class TokenCoder:
         cut = np.unique(np.concatenate([words.end, off]))
         start, end = cut[:-1], cut[1:]
         bounds = np.searchsorted(start, off)
-        key, where, unit = np.unique(K.span_hash(K.prefix(K.byte_symbols(data)), start, end),
-                                     return_index=True, return_inverse=True)
+        key, where, unit = np.unique(K.piece_hash(data, end - start), return_index=True, return_inverse=True)
         place = np.searchsorted(self.key, key)
         new = np.flatnonzero(self.key[np.minimum(place, len(self.key) - 1)] != key) if len(self.key) \
             else np.arange(len(key))

@@ -24,6 +24,7 @@ _UP = np.ones(1, dtype=np.uint64)
 _DOWN = np.ones(1, dtype=np.uint64)
 _LOW, _MID = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 _S61, _S31, _S30 = np.uint64(61), np.uint64(31), np.uint64(30)
+_STRETCH, _LONG = 1 << 15, 1 << 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,12 +47,6 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _reduced(((a1 * b1) << np.uint64(1)) + (mid >> _S30) + ((mid & _MID) << _S31) + a0 * b0)
 
 
-def _times_small(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same for ``a`` below 2^21: one half has no upper part."""
-    mid = a * (b >> _S31)
-    return _reduced((mid >> _S30) + ((mid & _MID) << _S31) + a * (b & _LOW))
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _UP, _DOWN
     if len(_UP) < n:
@@ -84,16 +79,39 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE
 
 
 def prefix(symbols: np.ndarray) -> np.ndarray:
-    """Running polynomial sums over scrambled symbols; see ``span_hash``."""
+    """Running polynomial sums over scrambled symbols; see ``span_hash``.
+
+    Symbols are taken in stretches that stay in a processor's cache.
+    """
     n = len(symbols)
-    up = _powers(n + 1)[0][:n]
+    up, out, last = _powers(n + 1)[0], np.zeros(n + 1, dtype=np.uint64), np.uint64(0)
     small = n > 0 and int(symbols.max()) < 1 << 21
-    term = _times_small(symbols, up) if small else _times(symbols & PRIME, up)
-    out = np.zeros(n + 1, dtype=np.uint64)
-    # Both halves are summed for themselves, so that sums of many terms stay below 2^64.
-    high = np.cumsum(term >> _S31)
-    low = np.cumsum(term & _LOW)
-    out[1:] = _reduced((high >> _S30) + ((high & _MID) << _S31) + low)
+    for at in range(0, n, _STRETCH):
+        a, b = symbols[at:at + _STRETCH], up[at:min(at + _STRETCH, n)]
+        if small:  # one half of a product has no upper part
+            mid = a * (b >> _S31)
+            term = a * (b & _LOW)
+            term += mid >> _S30
+            mid &= _MID
+            mid <<= _S31
+            term += mid
+        else:
+            term = _times(a & PRIME, b)
+        # Both halves are summed for themselves, so that sums of many terms stay below 2^64.
+        high = np.cumsum(term >> _S31)
+        term &= _LOW
+        total = np.cumsum(term)
+        total += high >> _S30
+        high &= _MID
+        high <<= _S31
+        total += high
+        total += last
+        part = out[at + 1:at + 1 + len(a)]
+        np.bitwise_and(total, PRIME, out=part)
+        total >>= _S61
+        part += total
+        part -= PRIME * (part >= PRIME)
+        last = part[-1]
     return out
 
 
@@ -104,6 +122,38 @@ def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(value + (end - start).astype(np.uint64))
 
 
+def piece_hash(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``span_hash`` of consecutive pieces of bytes, given by their lengths (above 0).
+
+    No running sums are needed: terms are summed piece by piece, in two halves that hold ``_LONG`` of them.
+    """
+    out = np.zeros(len(length), dtype=np.uint64)
+    end = np.cumsum(length)
+    up = _powers(_LONG)[0][:_LONG]
+    power_high, power_low = up >> _S31, up & _LOW
+    at = 0
+    while at < len(length):
+        low = int(end[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(end, low + _STRETCH, "right")))
+        if length[at] > _LONG:
+            pre = prefix(_BYTE[data[low:int(end[at])]])
+            out[at] = pre[-1]
+            at += 1
+            continue
+        if int(length[at:to].max()) > _LONG:
+            to = at + int(np.argmax(length[at:to] > _LONG))
+        size = length[at:to]
+        head = end[at:to] - size - low
+        symbols = _BYTE[data[low:int(end[to - 1])]]
+        place = np.arange(len(symbols))
+        place -= np.repeat(head, size)
+        high = np.add.reduceat(symbols * power_high[place], head)
+        rest = np.add.reduceat(symbols * power_low[place], head)
+        out[at:to] = _reduced((high >> _S30) + ((high & _MID) << _S31) + (rest & PRIME) + (rest >> _S61))
+        at = to
+    return mix(out + length.astype(np.uint64))
+
+
 def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
@@ -129,7 +179,7 @@ class Words:
 
     @property
     def hash(self) -> np.ndarray:
-        return span_hash(prefix(byte_symbols(self.data)), self.start, self.end)
+        return piece_hash(self.data[~WHITE[self.data]], self.end - self.start)
 
     def rows(self) -> np.ndarray:
         """Row of every word."""

@@ -29,12 +29,11 @@ def test_products_and_sums_modulo_the_prime():
     b = [rng.randrange(PRIME) for _ in range(2000)] + [PRIME - 1, PRIME - 1, PRIME - 1, 0]
     u = lambda x: np.array(x, dtype=np.uint64)
     assert K._times(u(a), u(b)).tolist() == [x * y % PRIME for x, y in zip(a, b)]
-    small = [x % (1 << 21) for x in a]
-    assert K._times_small(u(small), u(b)).tolist() == [x * y % PRIME for x, y in zip(small, b)]
-    total = [0]
-    for i, x in enumerate(a):
-        total.append((total[-1] + x * pow(K._BASE, i, PRIME)) % PRIME)
-    assert K.prefix(u(a)).tolist() == total
+    for symbols in (a * 17, [x % (1 << 21) for x in a * 17]):
+        total = [0]
+        for i, x in enumerate(symbols):
+            total.append((total[-1] + x * pow(K._BASE, i, PRIME)) % PRIME)
+        assert K.prefix(u(symbols)).tolist() == total and len(symbols) > K._STRETCH
 
 
 def test_equal_spans_have_equal_hashes():
@@ -49,6 +48,15 @@ def test_equal_spans_have_equal_hashes():
     assert len(set(known.values())) == len(known)
 
 
+def test_pieces_have_the_hashes_of_spans():
+    rng = np.random.default_rng(4)
+    length = np.concatenate([rng.integers(1, 9, 9000), [K._LONG, K._LONG + 1, 3 * K._STRETCH, 2], rng.integers(1, 5000, 30)])
+    data = rng.integers(0, 256, length.sum()).astype(np.uint8)
+    end = np.cumsum(length)
+    assert (K.piece_hash(data, length) == K.span_hash(K.prefix(K.byte_symbols(data)), end - length, end)).all()
+    assert len(K.piece_hash(data[:0], length[:0])) == 0
+
+
 @pytest.mark.parametrize("n", [8, 64, 256, 1024, 2048, 4096])
 def test_cancelling_words_are_told_apart(n):
     a, b = (np.frombuffer(w.encode(), dtype=np.uint8) for w in parity_words(n))
