@@ -10,6 +10,9 @@ an anchor in a third of all documents sends a row per slice (some 600 documents)
 settled already are dealt out evenly.  The judge streams over sorted rows and carries one row between batches.
 
 Two rules.  ``min``: a run is repeated if a smaller id has it.  ``any``: if it starts anywhere else as well.
+
+``judged`` answers ``any`` by streaming over sorted rows; ``counted`` answers ``min`` by Spark aggregates, where a hot
+anchor is combined on the map side and its rows meet the answer in a join that Spark may split.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meltgrid.llm.kernels import mix, signed
+from meltgrid.session import cut_lineage
 
 SETTLED, OPEN, SETTLED_OPEN = 1, 2, 3
 _ASK, _TWICE, _MANY = 0, 4, 8
@@ -127,6 +132,27 @@ def judge_stream(rule: str):
     return judge
 
 
+def counted(asked: DataFrame) -> DataFrame:
+    """(_doc, _tv, _at, _kind) of every run that a smaller id has too or that stays open, counted in Spark."""
+    done = (F.col("_kind") > 0) & (F.col("_kind") < _TWICE)
+    many = F.col("_kind").bitwiseAND(F.lit(_MANY).cast("byte")) > 0
+    # Anchors that occur once drop out here; of the others the smallest id suffices where all runs are equal.
+    keys = asked.where(~done).groupBy("_key").agg(
+        F.min("_run").alias("_r0"), F.max("_run").alias("_r1"), F.min("_doc").alias("_least"), F.max("_doc").alias("_most"),
+        F.bool_or(many).alias("_open"))
+    differ = F.col("_open") | (F.col("_r0") != F.col("_r1"))
+    keys = cut_lineage(keys.where(differ | (F.col("_least") < F.col("_most"))).select("_key", "_least", differ.alias("_differ")))
+    met = cut_lineage(asked.join(keys, "_key", "left").where(done | F.col("_least").isNotNull()))
+    told = met.where(done).select("_doc", "_tv", "_at", "_kind")
+    equal = met.where(~done & ~F.col("_differ") & (F.col("_doc") > F.col("_least"))).select(
+        "_doc", "_tv", "_at", F.lit(SETTLED).cast("byte").alias("_kind"))
+    mixed = met.where(~done & F.col("_differ")).drop("_least")
+    first = mixed.groupBy("_key", "_run").agg(F.min("_doc").alias("_least"))
+    kind = F.when(F.col("_doc") > F.col("_least"), SETTLED).otherwise(OPEN).cast("byte")
+    split = mixed.join(first, ["_key", "_run"]).select("_doc", "_tv", "_at", kind.alias("_kind"))
+    return told.unionByName(equal).unionByName(split)
+
+
 def judged(asked: DataFrame, rule: str) -> DataFrame:
     """(_doc, _tv, _at, _kind) of every run that is repeated or stays open."""
     return (asked.repartition("_key").sortWithinPartitions("_key", "_run", "_doc", "_at")

@@ -1,11 +1,14 @@
 """Substring dedup: repeated fixed-length word windows, merged into maximal removal intervals.
 
-Rabin-Karp hashes of every window of n consecutive words are compared across all documents.  A word goes if a
-window over it also starts in a document with a smaller id; windows are judged on the input.
+A word goes if a window of n consecutive words over it also starts in a document with a smaller id; windows are judged
+on the input.  Rabin-Karp hashes are counted by Spark aggregates in two steps (``repeats``): windows that choose the
+same anchor of k words are counted as one run, by the hash of the anchor and of the whole run; where runs of one
+anchor differ, each of their windows is counted by its own hash.  Repeated windows merge into maximal intervals.
 
 Defined results: a null text has no words; a document of fewer than n words loses nothing; rows with equal ids
 never remove words from each other; a null id counts as the smallest and comes back null; empty tables give empty
-results; other columns pass through ``dedup_windows`` unchanged.  One text is held in memory by its task.
+results; ``dedup_windows`` reads the two named columns only, ``dedup_documents`` passes all others through.  One text
+is held in memory by its task.
 """
 
 from __future__ import annotations
@@ -59,11 +62,11 @@ def repeated_windows(docs: DataFrame, n: int = WINDOW, k: int = ANCHOR, id_col:
                      text_col: str = "text") -> DataFrame:
     """(_doc, _tv, _spans): packed runs of windows that a smaller id has too, for rows that have any."""
     texts = keyed(docs, id_col, text_col)
-    found = cut_lineage(R.judged(texts.mapInArrow(_ask_runs(n, k), R.ROWS_SQL), "min"))
+    found = cut_lineage(R.counted(texts.mapInArrow(_ask_runs(n, k), R.ROWS_SQL)))
     still = (found.where(F.col("_kind") != R.SETTLED).groupBy("_doc", "_tv")
              .agg(F.array_sort(F.collect_set("_at")).alias("_spans")))
     asked = texts.join(still, ["_doc", "_tv"]).select("_doc", "_tv", "_text", "_spans")
-    finer = R.judged(asked.mapInArrow(_ask_windows(n), R.ROWS_SQL), "min")
+    finer = R.counted(asked.mapInArrow(_ask_windows(n), R.ROWS_SQL))
     every = found.unionByName(finer).where(F.col("_kind") == R.SETTLED)
     return every.groupBy("_doc", "_tv").agg(F.array_sort(F.collect_set("_at")).alias("_spans"))
 
@@ -104,8 +107,7 @@ def dedup_windows(docs: DataFrame, n: int = WINDOW, k: int = ANCHOR, id_col: str
            .mapInArrow(_apply(n), "_doc long, _tv long, _kept string, _words long, _removed long, "
                                   "_cuts array<array<long>>"))
     return out.select(null_again("_doc").alias(id_col), F.col("_kept").alias(text_col),
-                      F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"),
-                      F.col("_cuts").alias("removed"), "_tv")
+                      F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_cuts").alias("removed"))
 
 
 def dedup_documents(docs: DataFrame, n: int = WINDOW, k: int = ANCHOR, id_col: str = "doc_id",
