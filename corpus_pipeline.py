@@ -1,4 +1,10 @@
-"""Corpus preparation: each stage is written as Parquet and read again as the next one's documents."""
+"""Corpus preparation: each stage is written as Parquet and read again as the next one's documents.
+
+Defined results: a null or empty text fails the quality limits and goes; rows are judged by id and text, so a null or
+repeated id costs no row whose text differs, and of exact copies of one id and text one stays; of linked texts the
+one with the smallest id stays, null first; an empty table passes all stages; the columns of documents keep their
+order and any others pass through.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from pyspark.sql import functions as F
 from meltgrid.llm.common import table
 from meltgrid.llm.decontamination import drop_contaminated
 from meltgrid.llm.near_dedup import drop_near_duplicates
-from meltgrid.llm.piece_coding import encode_pieces
+from meltgrid.llm.piece_coding import MARK, decode_pieces, encode_pieces
 from meltgrid.llm.quality_rules import keep_quality
 from meltgrid.llm.substring_dedup import dedup_documents
 from meltgrid.session import cut_lineage
@@ -39,8 +45,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each text, beside the columns of documents."""
-    return encode_pieces(docs)
+    """The piece ids of each text and whether they decode to it, beside the columns of documents."""
+    back, text = F.col("decoded"), F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
+    return decode_pieces(encode_pieces(docs)).withColumn("round_trip", back == text).drop("decoded")
 
 
 STAGES: list[tuple[str, Stage]] = [
