@@ -32,7 +32,8 @@ def test_stages_return_documents(stages):
     assert [n for n, _ in P.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "pieces"]
     for rows in stages[:-1]:
         assert list(rows[0].asDict()) == COLUMNS
-    assert list(stages[-1][0].asDict()) == [*COLUMNS, "piece_ids"]
+    assert list(stages[-1][0].asDict()) == [*COLUMNS, "piece_ids", "round_trip"]
+    assert all(r["round_trip"] for r in stages[-1])
 
 
 def test_near_duplicates_of_quality(stages):

@@ -56,6 +56,33 @@ def test_forest_scores_follow_path_lengths():
     assert s.argmax() == 400 and 0 < s.min() < s.max() < 1
 
 
+def test_scores_and_threshold_equal_plain_ones(spark):
+    """Path lengths walked node by node, and the threshold found by trying every cell."""
+    counts = Q.count_rules(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).cache()
+    labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
+    forest, limit = Q.fit(counts, labels)
+    good = {r["doc_id"]: r["quality"] > 0 for r in labels.collect()}
+    scores = []
+    for r in Q.judge(counts, forest, limit).collect():
+        x = Q.features({c: np.array([r[c]]) for c in Q.COUNTS})[0]
+        total = 0.0
+        for column, split, ways, path, _ in forest.trees:
+            node = 0
+            while path[node] < 0:
+                node = ways[node][int(x[column[node]] >= split[node])]
+            total += path[node]
+        expected = 2 * (np.log(forest.rows - 1) + np.euler_gamma) - 2 * (forest.rows - 1) / forest.rows
+        assert abs(r["score"] - 2 ** (-total / len(forest.trees) / expected)) < 1e-12
+        assert r["kept"] == (not r["base_failed"] and r["score"] < limit)
+        if r["doc_id"] in good and not r["base_failed"]:
+            scores.append((r["score"], good[r["doc_id"]]))
+    gains = []
+    for cell in range(Q.CELLS + 1):
+        lost = [np.mean([int(s * Q.CELLS) >= cell for s, g in scores if g == kind]) for kind in (False, True)]
+        gains.append(lost[0] - lost[1] if lost[1] <= Q.CLEAN_LOSS else -1.0)
+    assert limit == int(np.argmax(gains)) / Q.CELLS and max(gains) > 0
+
+
 def test_without_labels_only_base_limits_reject(spark):
     rows = documents(7, 40)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -69,5 +96,8 @@ def test_without_labels_only_base_limits_reject(spark):
 
 def test_labels_with_nulls_and_ties(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
-    out = Q.keep_quality(frame(spark, documents(8, 30)).withColumn("score", F.lit(1)), labels)
-    assert out.columns == ["doc_id", "text", "score"] and out.count() >= 0
+    rows = documents(8, 30)
+    out = Q.keep_quality(frame(spark, rows).withColumn("score", F.lit(1)), labels)
+    # One labelled row, a bad one: nothing to calibrate on, so only the base limits reject.
+    want = [(*r, 1) for r, b in zip(rows, brute(rows)) if b[1] >= 50 and 100 * b[5] <= 50 * b[1]]
+    assert out.columns == ["doc_id", "text", "score"] and want and same(out.collect(), want)
