@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from meltgrid.functions.mathx import EPS, clamp
 from meltgrid.functions.nulls import at_least, finite
 from meltgrid.operators.masks import flag
-from meltgrid.operators.ordered import constants, midpoint_quantile
+from meltgrid.operators.ordered import constants, midpoint_quantile, prefix_sums, value_counts
 
-CHUNK = 1000
+#: Candidates of one pass: as rows of every cell, and as positions in a lattice.
+CHUNK, LATTICE = 1000, 50_000
+#: Means of one amplitude and azimuth, on average, from which a search replaces a row for each.
+MEANS = 4
 RANK_ROWS = 4096
 
 
@@ -109,34 +112,31 @@ def gate_field(df: DataFrame, col: str, lo: float | None, hi: float | None, mu:
     return df.withColumn(col, gated)
 
 
-def clamp_exact_mean(df: DataFrame, col: str, mu: float, lo: float, hi: float, tol: float = 1e-6,
-                     points: int = 64, max_passes: int = 12) -> DataFrame:
+def clamp_exact_mean(df: DataFrame, col: str, mu: float, lo: float, hi: float) -> DataFrame:
     """Limit to [lo, hi] after adding the offset that makes the mean equal ``mu``.
 
-    The mean is non-decreasing in the offset, so each pass evaluates it at ``points`` offsets in
-    one aggregate and keeps the step that holds the target; a straight line inside the last step
-    finishes.
+    The sum of limited values is piecewise linear in the offset: a value starts to rise at ``lo - v`` and stops at
+    ``hi - v``.  Running totals over these breaks give slope and height at every break, so the offset follows from the
+    last break below the target, in a fixed number of passes.  Equal breaks collapse before they are sorted.
     """
     if mu <= lo or mu >= hi:
         edge = lo if mu <= lo else hi
         return df.withColumn(col, F.when(F.col(col).isNotNull(), F.lit(float(edge))))
-    ends = df.agg(F.min(col).alias("a"), F.max(col).alias("b")).first()
-    if ends["a"] is None:
+    known = df.filter(F.col(col).isNotNull())
+    e = known.agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mid")).first()
+    if not e["n"]:
         return df
-    b0, b1 = lo - ends["b"], hi - ends["a"]
-    f0, f1 = lo, hi
-    for _ in range(max_passes):
-        offs = [b0 + (b1 - b0) * i / (points - 1) for i in range(points)]
-        shifted = df.select(F.col(col).alias("_v"), F.posexplode(F.array(*[F.lit(b) for b in offs])).alias("_i", "_b"))
-        mean = shifted.groupBy("_i").agg(F.avg(clamp(F.col("_v") + F.col("_b"), lo, hi)).alias("f")).collect()
-        fs = [m["f"] for m in sorted(mean, key=lambda m: m["_i"])]
-        j = max(i for i in range(points) if fs[i] <= mu or i == 0)
-        k = min(j + 1, points - 1)
-        b0, b1, f0, f1 = offs[j], offs[k], fs[j], fs[k]
-        if f1 - f0 <= tol or b1 - b0 <= 1e-12:
-            break
-    b = b0 if f1 == f0 else b0 + (b1 - b0) * (mu - f0) / (f1 - f0)
-    return df.withColumn(col, clamp(F.col(col) + b, lo, hi))
+    # Breaks are counted from the offset that would move the plain mean, which keeps the sums small.
+    base = mu - e["mid"]
+    breaks = F.explode(F.array(F.struct((lo - F.col(col) - base).alias("b"), F.lit(1).alias("d")),
+                               F.struct((hi - F.col(col) - base).alias("b"), F.lit(-1).alias("d"))))
+    steps = value_counts(known.select(breaks.alias("s")).select("s.b", "s.d"), [], "b", {"d": F.col("d")})
+    run = prefix_sums(steps.withColumn("m", F.col("d") * F.col("b")), [], "b", ["d", "m"])
+    height = F.col("b") * F.col("cum_d") - F.col("cum_m")
+    last = (run.withColumn("h", height).filter(F.col("h") <= (mu - lo) * e["n"])
+            .agg(F.max(F.struct("b", "h", "cum_d")).alias("x")).first()["x"])
+    offset = base + last["b"] + (((mu - lo) * e["n"] - last["h"]) / last["cum_d"] if last["cum_d"] else 0.0)
+    return df.withColumn(col, clamp(F.col(col) + offset, lo, hi))
 
 
 # Candidate tables ------------------------------------------------------------------------------
@@ -195,13 +195,23 @@ def log_prior(df: DataFrame, kind: str = "softbox", *, mu_range=(20.0, 150.0), a
 
 # Scoring ---------------------------------------------------------------------------------------
 
-def _chunks(cands: DataFrame, cfg: FieldConfig) -> Iterator[list[tuple[float, float, float]]]:
+def _chunks(cands: DataFrame, cfg: FieldConfig, size: int | None = None) -> Iterator[list[tuple[float, float, float]]]:
+    """Distinct candidates, those of one amplitude and azimuth together, in chunks of bounded size."""
     a = F.greatest("a", F.lit(0.0)) if cfg.nonneg else F.col("a")
-    rows = cands.select("mu", a.alias("a"), "theta").distinct().toLocalIterator()
-    while part := [tuple(r) for r in islice(rows, CHUNK)]:
+    rows = cands.select("mu", a.alias("a"), "theta").distinct().orderBy("theta", "a", "mu").toLocalIterator()
+    while part := [tuple(r) for r in islice(rows, size or CHUNK)]:
         yield part
 
 
+def _passes(cands: DataFrame, cfg: FieldConfig, delta: str | None) -> Iterator[tuple[list[tuple[float, float, float]], bool]]:
+    """Candidates of one pass, and whether their means form lattices that repay a search."""
+    for part in _chunks(cands, cfg, LATTICE):
+        if delta is None and len(part) >= MEANS * len({p[1:] for p in part}):
+            yield part, True
+        else:
+            yield from ((part[i:i + CHUNK], False) for i in range(0, len(part), CHUNK))
+
+
 def _add_ramps(known: dict[float, Ramp], cells: DataFrame, part, delta: str | None) -> None:
     """Constants of the azimuths that no earlier chunk had."""
     fresh = sorted({p[2] for p in part} - known.keys())
@@ -296,27 +306,117 @@ def _medians(cells: DataFrame, part, ramps, cfg: FieldConfig, delta: str | None,
     return out
 
 
+def _lattice(part, ramps: dict[float, Ramp], cfg: FieldConfig) -> list[dict]:
+    """Candidates by (amplitude, azimuth): ascending means, their positions in ``part``, and the ramp's constants."""
+    by: dict[tuple[float, float], list[tuple[float, int]]] = {}
+    for i, (mu, a, th) in enumerate(part):
+        by.setdefault((a, th), []).append((mu, i))
+    out = []
+    for (a, th), means in by.items():
+        r, means = ramps[th], sorted(means)
+        moved = a * r.mean_ramp if cfg.enforce_mean else 0.0
+        floor, cap = -math.inf if cfg.floor is None else cfg.floor, math.inf if cfg.cap is None else cfg.cap
+        # Both limits and the move between them are one limit of mu + a u - moved.
+        low = min(max(floor - moved, floor), cap)
+        out.append({"a": a, "nx": r.nx, "ny": r.ny, "mid": r.mid, "span": r.span or 1.0, "on": 0.0 if r.span == 0.0 else 2.0,
+                    "mu": [m for m, _ in means], "id": [i for _, i in means], "moved": moved, "low": low,
+                    "high": max(min(cap - moved, cap), low), "shift": [m * r.mean_factor + a * r.mean_ramp for m, _ in means]})
+    return out
+
+
+def _lattice_sums(cells: DataFrame, part, ramps: dict[float, Ramp], cfg: FieldConfig, label: str) -> DataFrame:
+    """(id, tp, fn, fp, tn, total, n): confusion masses, field sum and cells of every candidate without topography.
+
+    For one amplitude and azimuth a cell's field rises with the mean.  So the cell is wet from one mean of the lattice
+    on, found by a search and settled by the field's own arithmetic, and at its limits up to one mean and from another
+    on.  Counts under these positions, summed up along the lattice, give all means: a task does a few searches for
+    each (cell, amplitude, azimuth), whatever the number of means.
+    """
+    r0, lattice, size = next(iter(ramps.values())), _lattice(part, ramps, cfg), len(part)
+    floor, cap, margin, move = cfg.floor, cfg.cap, cfg.margin, cfg.enforce_mean
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def lim(v):
+            v = v if floor is None else np.maximum(v, floor)
+            return v if cap is None else np.minimum(v, cap)
+
+        sums = np.zeros((6, size))
+        for b in batches:
+            got = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(b.schema.names)}
+            dx, dy, used = got["x_m"] - r0.xm, got["y_m"] - r0.ym, got["used"]
+            gmin, y = got["gmin"][used], got["y"][used]
+            for d in lattice:
+                mu, shift, n, at = np.array(d["mu"]), np.array(d["shift"]), len(d["mu"]), d["id"]
+                u = d["on"] * (dx * d["nx"] + dy * d["ny"] - d["mid"]) / d["span"]
+                au = d["a"] * u
+                mine = au[used]
+
+                def wet(j):
+                    g = lim(mu[j] + mine)
+                    return (lim(g - shift[j] + mu[j]) if move else g) - gmin >= margin
+
+                need = gmin + margin
+                from_mean = np.where(need <= d["low"], -np.inf, np.where(need > d["high"], np.inf, need + d["moved"] - mine))
+                j = np.searchsorted(mu, from_mean)
+                for _ in range(2):  # rounding moves a cell by a step at most
+                    j = np.where((j > 0) & wet(np.maximum(j - 1, 0)), j - 1, j)
+                    j = np.where((j < n) & ~wet(np.minimum(j, n - 1)), j + 1, j)
+                w, v = (np.bincount(j, x, n + 1) for x in (y, 1.0 - y))
+                hit, false = np.cumsum(w)[:n], np.cumsum(v)[:n]
+                sums[0, at] += hit
+                sums[1, at] += w.sum() - hit
+                sums[2, at] += false
+                sums[3, at] += v.sum() - false
+                rest = au - d["moved"]
+                rises, stops = np.searchsorted(mu, d["low"] - rest), np.searchsorted(mu, d["high"] - rest, "right")
+                begun, ended = (np.cumsum(np.bincount(x, minlength=n + 1))[:n] for x in (rises, stops))
+                free = np.cumsum(np.bincount(rises, rest, n + 1) - np.bincount(stops, rest, n + 1))[:n]
+                low, high = (x if np.isfinite(x) else 0.0 for x in (d["low"], d["high"]))
+                sums[4, at] += (len(au) - begun) * low + ended * high + (begun - ended) * mu + free
+                sums[5, at] += len(au)
+        yield pa.RecordBatch.from_pydict({"id": np.arange(size, dtype="int32"),
+                                          **dict(zip(("tp", "fn", "fp", "tn", "total", "n"), sums))})
+
+    used = flag(F.col("roi")) & finite(F.col("gmin")) & F.col(label).isNotNull()
+    rows = cells.filter(F.col("x_m").isNotNull() & F.col("y_m").isNotNull()).select(
+        F.col("x_m").cast("double").alias("x_m"), F.col("y_m").cast("double").alias("y_m"), used.alias("used"),
+        F.coalesce(F.col("gmin").cast("double"), F.lit(0.0)).alias("gmin"), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("y"))
+    names = ("tp", "fn", "fp", "tn", "total", "n")
+    parts = rows.mapInArrow(run, "id int, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _row_sums(cells: DataFrame, part, ramps: dict[float, Ramp], cfg: FieldConfig, label: str, delta: str | None) -> DataFrame:
+    """The same from one value for each (cell, candidate); with topography a field may fall while its mean rises."""
+    rows = _field_rows(cells, part, ramps, cfg, ["gmin", "roi", label], delta)
+    used = flag(F.col("roi")) & F.col("g").isNotNull() & finite(F.col("gmin")) & F.col(label).isNotNull()
+    wet = at_least(F.col("g") - F.col("gmin"), cfg.margin)
+    y = F.col(label).cast("double")
+    mass = {"tp": (wet, y), "fn": (~wet, y), "fp": (wet, 1.0 - y), "tn": (~wet, 1.0 - y)}
+    return rows.groupBy(F.col("c.id").alias("id")).agg(
+        F.sum("g").alias("total"), F.count("g").cast("double").alias("n"),
+        *[F.coalesce(F.sum(F.when(used & k, v)), F.lit(0.0)).alias(n) for n, (k, v) in mass.items()])
+
+
 def score_candidates(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = FieldConfig(),
                      delta: str | None = None) -> DataFrame:
     """Recall, specificity and geometric mean of every candidate field.
 
     ``cells``: ``x_m, y_m, gmin, roi, spec_valid`` and the label ``y`` (binary) or ``w``
     (weighted).  Candidates are parameters: they travel as constants in chunks of bounded size,
-    and their ramp constants come from one small aggregate.
+    and their ramp constants come from one small aggregate.  Without a topographic factor a lattice
+    of means at one amplitude and azimuth is served by one search per cell.
     """
     label = {"binary": "y", "weighted": "w"}[cfg.truth]
     out, ramps, middle = None, {}, {}
-    for part in _chunks(cands, cfg):
+    for part, lattice in _passes(cands, cfg, delta):
         _add_ramps(ramps, cells, part, delta)
         med = _medians(cells.filter(flag(F.col("spec_valid"))), part, ramps, cfg, delta, middle)
-        rows = _field_rows(cells, part, ramps, cfg, ["gmin", "roi", label], delta)
-        used = flag(F.col("roi")) & F.col("g").isNotNull() & finite(F.col("gmin")) & F.col(label).isNotNull()
-        wet = at_least(F.col("g") - F.col("gmin"), cfg.margin)
-        y = F.col(label).cast("double")
-        mass = {"tp": (wet, y), "fn": (~wet, y), "fp": (wet, 1.0 - y), "tn": (~wet, 1.0 - y)}
-        sums = rows.groupBy(F.col("c.id").alias("id")).agg(
-            F.avg("g").alias("mu_grid"),
-            *[F.coalesce(F.sum(F.when(used & k, v)), F.lit(0.0)).alias(n) for n, (k, v) in mass.items()])
+        sums = (_lattice_sums(cells, part, ramps, cfg, label) if lattice
+                else _row_sums(cells, part, ramps, cfg, label, delta))
         names = [(i, *p, m) for i, (p, m) in enumerate(zip(part, med))]
         side = cells.sparkSession.createDataFrame(names, "id int, mu double, a double, theta double, med_spec double")
         scored = sums.join(F.broadcast(side), "id").drop("id")
@@ -325,6 +425,7 @@ def score_candidates(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = Fiel
     pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
     live = (pos > 0) & (neg > 0)
     out = out.withColumns({
+        "mu_grid": F.col("total") / F.nullif(F.col("n"), F.lit(0.0)),
         "rec": F.when(live, F.col("tp") / F.greatest(pos, F.lit(floor))).otherwise(0.0),
         "spec": F.when(live, F.col("tn") / F.greatest(neg, F.lit(floor))).otherwise(0.0)})
     return out.withColumn("g_mean", F.sqrt(F.col("rec") * F.col("spec"))).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meltgrid.functions.nulls import NODATA, finite
+from meltgrid.session import ensure_checkpoint_dir
 
 
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -84,17 +86,78 @@ def threshold_dir(base: str, threshold: float) -> str:
     return f"{base}/spec_{threshold:.2f}"
 
 
+def input_fingerprint(df: DataFrame) -> list[str]:
+    """What a plan reads: path, length and time of each file; of scratch tables, whose names and times are new in every
+    run, the rows themselves (count, sum and exclusive or of row hashes, whatever their order)."""
+    spark, files = df.sparkSession, df.inputFiles()
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir().split(":", 1)[-1].rstrip("/")
+    scratch = [f for f in files if f"{root}/" in f]
+    out, given = [], sorted(set(files) - set(scratch))
+    if given:
+        seen = spark.read.format("binaryFile").load(given).select("path", "length", "modificationTime")
+        out += [f"{r['path']}|{r['length']}|{r['modificationTime']}" for r in seen.collect()]
+    for folder in sorted({f.rsplit("/", 1)[0] for f in scratch}):
+        rows = spark.read.parquet(folder)
+        h = F.xxhash64(*rows.columns)
+        r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
+        out.append(f"{rows.dtypes}|{r['n']}|{r['s']}|{r['x']}")
+    return sorted(out)
+
+
 def cache_gdiff(df: DataFrame, path: str, config: Mapping[str, object] | None = None, model: str = "model") -> DataFrame:
-    """Per-model heat-flow margins, written once and reused while complete.
+    """Per-model heat-flow margins, written once and reused while nothing they depend on has changed.
 
-    The folder's name holds a digest of ``config``, the columns and the input files, so other
-    inputs never meet a stale table.  A one-row table written last marks it as complete, whatever
-    the committer in use leaves behind.
+    The key is a digest of ``config``, the columns and ``input_fingerprint``, so a file that is rewritten in place
+    misses and a plan built again on scratch tables with the same rows hits.  A table is written under a name of its
+    own and then published by one manifest row; readers take the earliest row of a key, so of two writers one serves
+    everybody and an unfinished table serves nobody.
     """
     spark = df.sparkSession
-    what = json.dumps([dict(config or {}), df.dtypes, sorted(df.inputFiles())], sort_keys=True, default=str)
-    place = f"{path}/{hashlib.md5(what.encode()).hexdigest()}"
-    if table_or_none(spark, f"{place}-complete") is None:
-        df.write.mode("overwrite").partitionBy(model).parquet(place)
-        spark.range(1).write.mode("overwrite").parquet(f"{place}-complete")
+    what = json.dumps([dict(config or {}), df.dtypes, input_fingerprint(df)], sort_keys=True, default=str)
+    key = hashlib.md5(what.encode()).hexdigest()
+
+    def published() -> str | None:
+        rows = table_or_none(spark, f"{path}/manifest/{key}-*")
+        return None if rows is None else rows.agg(F.min(F.struct("at", "place")).alias("m")).first()["m"]["place"]
+
+    place = published()
+    if place is None:
+        name = uuid.uuid4().hex[:12]
+        df.write.partitionBy(model).parquet(f"{path}/tables/{key}-{name}")
+        row = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(f"{path}/tables/{key}-{name}").alias("place"))
+        row.write.parquet(f"{path}/manifest/{key}-{name}")
+        place = published()
     return spark.read.parquet(place)
+
+
+# Layers stored for joins --------------------------------------------------------------------------
+
+def _layer_name(path: str) -> str:
+    return f"meltgrid_layer_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+
+
+def store_layer(df: DataFrame, path: str, keys: Sequence[str] = ("ri", "ci"), buckets: int = 64) -> DataFrame:
+    """Write a layer bucketed and sorted by its cell, one file for each bucket, and return it.
+
+    Layers stored with the same keys and number of buckets are joined on these keys without moving a row.  The layout
+    is written last, beside the layer, so ``stored_layer`` finds finished layers only.
+    """
+    name = _layer_name(path)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite")
+     .format("parquet").saveAsTable(name))
+    layout = [(df.schema.toDDL(), ", ".join(keys), buckets)]
+    df.sparkSession.createDataFrame(layout, "fields string, keys string, buckets int").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}-layout")
+    return stored_layer(df.sparkSession, path)
+
+
+def stored_layer(spark: SparkSession, path: str) -> DataFrame:
+    """A layer that ``store_layer`` has written, in this session or another."""
+    layout = spark.read.parquet(f"{path}-layout").first()
+    name, place = _layer_name(path), path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({layout['fields']}) USING parquet CLUSTERED BY ({layout['keys']}) "
+              f"SORTED BY ({layout['keys']}) INTO {layout['buckets']} BUCKETS LOCATION '{place}'")
+    return spark.table(name)

@@ -61,7 +61,7 @@ off AS (SELECT max(b + (target - before) / slope) AS b FROM area, need WHERE slo
 SELECT cell_id, {r('least(greatest(ci * 5e-1 + custkey % 40 + b, 2e1), 45e0)', 5)} AS g FROM cells, off""")
 def _(t):
     df = t.cells.select("cell_id", (F.col("ci") * 0.5 + F.col("custkey") % 40).alias("g"))
-    return rnd(Y.clamp_exact_mean(df, "g", 33.0, 20.0, 45.0, tol=1e-9), 5)
+    return rnd(Y.clamp_exact_mean(df, "g", 33.0, 20.0, 45.0), 5)
 
 
 @query("candidate_priors", "P30", tables=("chain",), ctes="""wide AS (SELECT iter, 2 * mu - 40e0 AS mu, 15e-1 * a AS a, 3 * theta_deg AS theta FROM chain),

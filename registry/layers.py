@@ -55,6 +55,15 @@ def _(t):
     return rnd(G.align(a, b, transposed=True).select("ri", "ci", (F.col("h") - F.col("h2")).alias("dh")))
 
 
+@query("layers_stored_aligned", "J1 S2", tables=("cells", "model_cells"), sql=f"""
+SELECT a.ri, a.ci, {r('a.h')} AS h, {r('m.g - a.q')} AS gq FROM cells a JOIN model_cells m ON m.cell_id = a.cell_id WHERE m.model = 'A'""")
+def _(t):
+    """Two layers stored by cell and joined bucket by bucket."""
+    first = S.store_layer(t.cells.select("cell_id", "ri", "ci", "h", "q"), scratch_path(t.spark, "layer"), ["cell_id"], 8)
+    second = S.store_layer(t.model_cells.filter("model = 'A'").select("cell_id", "g"), scratch_path(t.spark, "layer"), ["cell_id"], 8)
+    return rnd(first.join(second, "cell_id").select("ri", "ci", "h", (F.col("g") - F.col("q")).alias("gq")))
+
+
 @query("points_scanned", "S4 P2", tables=("points",), sql=f"""
 SELECT source, count(*) AS n, {r('sum(x_m)')} AS sx, {r('sum(y_m)')} AS sy, {r('sum(z) * 1e3')} AS sz
 FROM (SELECT *, 'survey' AS source FROM points) GROUP BY source""")

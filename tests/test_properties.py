@@ -1,6 +1,7 @@
 """Properties the evaluation must keep, and tiny grids checked by hand."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -262,6 +263,7 @@ def test_candidates_in_several_chunks(spark, monkeypatch):
     cands = spark.createDataFrame([(40.0 + i, 5.0 * i, 10.0 * i) for i in range(7)], "mu double, a double, theta double")
     want = sorted(map(tuple, Y.score_candidates(cells, cands).collect()))
     monkeypatch.setattr(Y, "CHUNK", 2)
+    monkeypatch.setattr(Y, "LATTICE", 2)
     got = sorted(map(tuple, Y.score_candidates(cells, cands).collect()))
     assert [pytest.approx(w, abs=1e-9) for w in want] == got and len(got) == 7
 
@@ -297,3 +299,78 @@ def test_cached_margins_are_not_rebuilt(spark, tmp_path):
     one = spark.createDataFrame([("A", 1, 2.0)], "model string, cell_id int, gdiff double")
     S.cache_gdiff(one, path)
     assert S.cache_gdiff(one.withColumn("gdiff", F.lit(9.0)), path).first()["gdiff"] == 2.0
+
+
+def test_cached_margins_follow_their_inputs(spark, tmp_path):
+    """A file rewritten in place misses; a plan built again on a scratch table with the same rows hits."""
+    from meltgrid.session import cut_lineage
+
+    path, source = str(tmp_path / "g"), str(tmp_path / "in")
+    rows = spark.createDataFrame([("A", i, float(i)) for i in range(40)], "model string, cell_id int, gdiff double")
+    for add in (0.0, 5.0):
+        rows.withColumn("gdiff", F.col("gdiff") + add).write.mode("overwrite").parquet(source)
+        assert S.cache_gdiff(spark.read.parquet(source), path).agg(F.min("gdiff")).first()[0] == add
+    again = lambda n: cut_lineage(rows.repartition(n)).withColumn("gdiff", F.col("gdiff") * 2)
+    one = S.cache_gdiff(again(3), path).inputFiles()
+    assert sorted(S.cache_gdiff(again(4), path).inputFiles()) == sorted(one)
+    other = cut_lineage(rows.filter("cell_id > 0")).withColumn("gdiff", F.col("gdiff") * 2)
+    assert sorted(S.cache_gdiff(other, path).inputFiles()) != sorted(one)
+
+
+def test_two_writers_and_an_unfinished_table(spark, tmp_path):
+    """The earliest manifest row of a key serves everybody; a table without one serves nobody."""
+    import os
+
+    path, other = str(tmp_path / "g"), str(tmp_path / "h")
+    rows = spark.createDataFrame([("A", 1, 2.0)], "model string, cell_id int, gdiff double")
+    first = S.cache_gdiff(rows, path).inputFiles()
+    (row,) = os.listdir(f"{path}/manifest")
+    key = row.split("-")[0]
+    rows.withColumn("gdiff", F.lit(3.0)).write.partitionBy("model").parquet(f"{path}/tables/{key}-late")
+    spark.range(1).select(F.current_timestamp().alias("at"), F.lit(f"{path}/tables/{key}-late").alias("place")).write.parquet(
+        f"{path}/manifest/{key}-late")
+    assert S.cache_gdiff(rows, path).inputFiles() == first
+    rows.withColumn("gdiff", F.lit(3.0)).write.partitionBy("model").parquet(f"{other}/tables/{key}-torn")
+    assert S.cache_gdiff(rows, other).first()["gdiff"] == 2.0 and len(os.listdir(f"{other}/tables")) == 2
+
+
+def test_stored_layers_join_without_an_exchange(spark, tmp_path):
+    cells = G.cell_grid(spark, 0, 2900, 0, 1900, 100)
+    layers = {"a": cells.select("ri", "ci", (F.col("ri") * 0.5).alias("a")), "b": cells.select("ri", "ci", (F.col("ci") * 2.0).alias("b")).filter("ri > 3")}
+    for name, df in layers.items():
+        S.store_layer(df, str(tmp_path / name), buckets=5)
+    stored = {name: S.stored_layer(spark, str(tmp_path / name)) for name in layers}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined, plain = G.align(stored["a"], stored["b"]), G.align(layers["a"], layers["b"])
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (joined, plain)]
+        assert "Exchange" not in plans[0] and "Exchange" in plans[1]
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect())) and joined.count() == 480
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([f for f in stored["a"].inputFiles()]) == 5
+
+
+def test_exact_mean_meets_a_plain_search(spark):
+    rng = random.Random(3)
+    for values in ([rng.choice([0.0, 10.0, 100.0]) for _ in range(50)], [rng.gauss(50, 40) for _ in range(80)] + [None], [7.0] * 5):
+        df = spark.createDataFrame([(v,) for v in values], "g double")
+        known = [v for v in values if v is not None]
+        for mu in (21.0, 40.0, 59.5):
+            got = [r["g"] for r in Y.clamp_exact_mean(df, "g", mu, 20.0, 60.0).collect()]
+            assert sum(v for v in got if v is not None) / len(known) == pytest.approx(mu, abs=1e-9) and got.count(None) == values.count(None)
+
+
+@pytest.mark.parametrize("kw", [{}, {"enforce_mean": False}, {"floor": None, "cap": None}, {"floor": 44.0, "cap": 47.0, "margin": 1.0, "truth": "binary"}])
+def test_candidates_by_lattice_equal_one_value_per_cell(spark, kw):
+    """A topographic factor of one takes the form with a row for each cell and candidate."""
+    cells = G.cell_grid(spark, 0, 1900, 0, 1400, 100).withColumns({
+        "gmin": F.when(F.col("cell_id") % 17 > 0, (30 + F.col("cell_id") % 29).cast("double")), "roi": F.col("ci") > 2, "spec_valid": F.col("ri") < 9,
+        "y": (F.col("cell_id") % 3 == 0).cast("int"), "w": F.when(F.col("cell_id") % 13 > 0, F.col("ri") / 14), "delta": F.lit(0.0)})
+    rows = [(float(mu), a, th) for mu in (20, 31, 40, 44, 45, 60, 101) for a, th in ((0.0, 0.0), (12.0, 30.0), (-25.0, 75.0), (60.0, 120.0))]
+    cands = spark.createDataFrame(rows + [(47.5, 12.0, 30.0)], "mu double, a double, theta double")
+    cfg = Y.FieldConfig(**kw)
+    fast, slow = ({(r["mu"], r["a"], r["theta"]): r for r in Y.score_candidates(cells, cands, cfg, delta=d).collect()} for d in (None, "delta"))
+    assert fast.keys() == slow.keys() and len(fast) == 29
+    for k, r in fast.items():
+        assert all(r[c] == pytest.approx(slow[k][c], abs=1e-9) for c in ("rec", "spec", "mu_grid", "med_spec")), k
