@@ -147,7 +147,8 @@ def counted(asked: DataFrame) -> DataFrame:
     equal = met.where(~done & ~F.col("_differ") & (F.col("_doc") > F.col("_least"))).select(
         "_doc", "_tv", "_at", F.lit(SETTLED).cast("byte").alias("_kind"))
     mixed = met.where(~done & F.col("_differ")).drop("_least")
-    first = mixed.groupBy("_key", "_run").agg(F.min("_doc").alias("_least"))
+    # Written first: with an aggregate below it Spark could not split a hot run in the join.
+    first = cut_lineage(mixed.groupBy("_key", "_run").agg(F.min("_doc").alias("_least")))
     kind = F.when(F.col("_doc") > F.col("_least"), SETTLED).otherwise(OPEN).cast("byte")
     split = mixed.join(first, ["_key", "_run"]).select("_doc", "_tv", "_at", kind.alias("_kind"))
     return told.unionByName(equal).unionByName(split)
