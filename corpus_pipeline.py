@@ -19,7 +19,7 @@ from meltgrid.llm.near_dedup import drop_near_duplicates
 from meltgrid.llm.piece_coding import MARK, decode_pieces, encode_pieces
 from meltgrid.llm.quality_rules import keep_quality
 from meltgrid.llm.substring_dedup import dedup_documents
-from meltgrid.session import cut_lineage
+from meltgrid.session import settled
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows as a table of their own; what a stage wrote on its way is removed when it ends."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
