@@ -9,9 +9,10 @@ this round to another.  Two suffixes share ``size`` bytes if and only if neighbo
 Over whole documents this takes as many rounds as the longest has bytes, each over everything, in one place.  So
 Spark first cuts the suffixes into collections that cannot share a string with each other (``repeats``): runs of
 windows under one 64-byte anchor, then, where those differ, under one 184-byte anchor.  Runs that are equal as a
-whole enter as one document with its count.  The documents of a collection are what is left of a run: at most 16
-bytes, the anchor (one symbol that weighs 184 bytes), at most 16 bytes; 33 rounds build it.  Many collections go
-through the rounds side by side.
+whole and have no other run under their anchor share all their strings and nothing else, so their hash settles them;
+the construction decides what the two rounds leave open, the surroundings of edits and the ends of passages.  The
+documents of a collection are what is left of a run: at most 16 bytes, the anchor (one symbol that weighs 184 bytes),
+at most 16 bytes; 33 rounds build it.  Many collections go through the rounds side by side.
 
 A collection of more than ``HOT`` documents is not held by one task: the at most 17 strings of each of its documents
 are counted by their hashes instead, with equal ones of a slice joined before they are shuffled.
