@@ -166,7 +166,7 @@ def component_sizes(members: DataFrame, warn_below: int = 50) -> DataFrame:
 def component_wet(members: DataFrame, label: str = "y") -> DataFrame:
     """Cells of regions holding at least one wet cell are marked wet."""
     wet = members.groupBy("comp_id").agg(F.coalesce(F.bool_or(F.col(label) == 1), F.lit(False)).alias("wet_comp"))
-    return members.join(sized(wet), "comp_id")
+    return members.join(sized(cut_lineage(wet)), "comp_id")
 
 
 def component_records(members: DataFrame, cell_km2: float, step: float, label: str = "y") -> DataFrame:

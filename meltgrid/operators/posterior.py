@@ -62,7 +62,7 @@ def running_best(chain: DataFrame, order: str = "iter", col: str = "gmean", grou
     before = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     tops = df.groupBy("_r").agg(F.max(col).alias("_t")).select("_r", F.max("_t").over(before).alias("_before"))
     w = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("best", F.max(col).over(w)).join(sized(tops), "_r")
+    out = df.withColumn("best", F.max(col).over(w)).join(sized(cut_lineage(tops)), "_r")
     return out.withColumn("best", F.greatest("best", "_before")).drop("_r", "_before")
 
 
@@ -99,7 +99,7 @@ def mcse(chain: DataFrame, col: str, order: str = "iter", by: Sequence[str] = ()
     pos = prefix_sums(src, keys, order, ["one"], group_rows)
     n = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     batches = F.greatest(F.lit(10), F.floor(F.sqrt("_n")))
-    df = pos.join(sized(n), keys).withColumn("_k", batches).withColumn("_b", F.floor(F.col("_n") / F.col("_k")))
+    df = pos.join(sized(cut_lineage(n)), keys).withColumn("_k", batches).withColumn("_b", F.floor(F.col("_n") / F.col("_k")))
     df = df.filter((F.col("_b") >= 2) & (F.col("cum_one") <= F.col("_b") * F.col("_k")))
     df = df.withColumn("_batch", F.floor((F.col("cum_one") - 1) / F.col("_b")))
     # Sums of one batch are enough for both the batch mean and the overall variance.
@@ -122,7 +122,7 @@ def hpd(chain: DataFrame, col: str, alpha: float = 0.05, by: Sequence[str] = (),
     keyed, keys = _keyed(chain.filter(finite(F.col(col))), by)
     counts = keyed.groupBy(*keys, F.col(col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    runs = prefix_sums(counts, keys, "_x", ["n"], group_rows).join(sized(total), keys)
+    runs = prefix_sums(counts, keys, "_x", ["n"], group_rows).join(sized(cut_lineage(total)), keys)
     runs = runs.withColumns({"_m": F.floor(F.col("_n") * (1.0 - alpha)), "_first": F.col("cum_n") - F.col("n") + 1,
                              "_size": F.lit(RANK_BLOCK)}).filter("_m >= 1")
     starts = runs.withColumn("_want", F.col("_first") + F.col("_m")).filter(F.col("_want") <= F.col("_n"))

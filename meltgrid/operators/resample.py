@@ -93,7 +93,7 @@ def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Se
         kinds = base.groupBy("model").agg(F.count_if(F.col("y") == 1).alias("_p"), F.count_if(F.col("y") == 0).alias("_q"),
                                           F.count(F.lit(1)).alias("_n"))
         split = (F.col("_p") > 0) & (F.col("_q") > 0) & (F.col("_p") + F.col("_q") == F.col("_n"))
-        base = base.join(sized(kinds.select("model", split.alias("_split"))), "model")
+        base = base.join(sized(cut_lineage(kinds.select("model", split.alias("_split")))), "model")
         base = base.withColumn("_s", F.when(F.col("_split"), F.col("y").cast("int")).otherwise(-1)).drop("_split")
     else:
         base = base.withColumn("_s", F.lit(-1))
@@ -102,7 +102,7 @@ def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Se
     base = cut_lineage(base.select(*keys, block, *[c for c in order if c != block], *_needed(base, cfg)))
     base = dense_index(base, block, order, keys)
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    slots = base.select(*keys, F.col("idx").alias("draw")).join(sized(n), keys)
+    slots = base.select(*keys, F.col("idx").alias("draw")).join(sized(cut_lineage(n)), keys)
     slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_boot - 1))))
     stratum = [F.col("_s")] if cfg.balance else []
     u = uniform(F.lit(cfg.seed), F.col("model"), F.col("rep"), *stratum, F.col("draw"), kind=cfg.draws)
@@ -254,7 +254,7 @@ def component_table(base: DataFrame) -> DataFrame:
     sizes = base.filter("comp_id > 0").groupBy("model", "comp_id").agg(F.count(F.lit(1)).alias("cells"))
     run = prefix_sums(sizes.withColumn("one", F.lit(1)), ["model"], "comp_id", ["one", "cells"])
     tot = sizes.groupBy("model").agg(F.count(F.lit(1)).alias("n_comp"), F.sum("cells").alias("_all"))
-    out = run.join(sized(tot), "model")
+    out = run.join(sized(cut_lineage(tot)), "model")
     return out.select("model", "comp_id", "cells", "n_comp", (F.col("cum_one") - 1).alias("idx"),
                       (F.col("cum_cells") - F.col("cells")).alias("before"),
                       ((F.col("cum_cells") - F.col("cells")) / F.col("_all")).alias("lo"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +79,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written as a table; the tables that lineage cuts wrote on the way are removed."""
+    path = scratch_path(spark, "table")
+    with scratch_scope(spark):
+        out = make()
+        out.write.parquet(path)
+        schema = out.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Side of a join that is usually small.
 

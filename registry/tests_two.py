@@ -50,9 +50,12 @@ def _(t):
     return rnd(T2.prob_superiority(observed(t), "q", "sink"))
 
 
+#: Pairs of the estimate, replicates, and pairs of a replicate.
+N_PAIRS, N_REPS, N_EACH = 1_000_000, 30, 50_000
 PAIRS = OBS + f""",
 ix AS (SELECT m, q, row_number() OVER (PARTITION BY m ORDER BY ri, ci) - 1 AS i, count(*) OVER (PARTITION BY m) AS n FROM v),
-dr AS (SELECT cast(CASE WHEN j < 20000 THEN 0 ELSE (j - 20000) // 5000 + 1 END AS bigint) AS rep, cast(CASE WHEN j < 20000 THEN j ELSE (j - 20000) % 5000 END AS bigint) AS draw FROM range(0, 70000) AS g(j)),
+dr AS (SELECT cast(CASE WHEN j < {N_PAIRS} THEN 0 ELSE (j - {N_PAIRS}) // {N_EACH} + 1 END AS bigint) AS rep, cast(CASE WHEN j < {N_PAIRS} THEN j ELSE (j - {N_PAIRS}) % {N_EACH} END AS bigint) AS draw
+ FROM range(0, {N_PAIRS + N_REPS * N_EACH}) AS g(j)),
 pk AS (SELECT rep, cast(floor({uniform_sql("'1|in|' || rep || '|' || draw")} * (SELECT max(n) FROM ix WHERE m)) AS bigint) AS a,
  cast(floor({uniform_sql("'1|out|' || rep || '|' || draw")} * (SELECT max(n) FROM ix WHERE NOT m)) AS bigint) AS b FROM dr),
 rp AS (SELECT rep, avg(CASE WHEN x.q > y.q THEN 1e0 WHEN x.q = y.q THEN 5e-1 ELSE 0e0 END) AS ps FROM pk JOIN ix x ON x.m AND x.i = a JOIN ix y ON NOT y.m AND y.i = b GROUP BY rep)"""
@@ -61,7 +64,7 @@ rp AS (SELECT rep, avg(CASE WHEN x.q > y.q THEN 1e0 WHEN x.q = y.q THEN 5e-1 ELS
 @query("superiority_paired_draws", "B13", tables=CELLS, ctes=PAIRS + f", qq AS ({quantile_sql('(SELECT ps FROM rp WHERE rep > 0)', 'ps', {'lo95': 0.025, 'hi95': 0.975})})",
        sql=f"SELECT {r('(SELECT ps FROM rp WHERE rep = 0)')} AS ps, {sel('lo95', 'hi95')}, n AS n_boot FROM qq")
 def _(t):
-    return rnd(T2.prob_superiority_mc(observed(t), "q", "sink", 20000, 10, 5000, draws="md5"))
+    return rnd(T2.prob_superiority_mc(observed(t), "q", "sink", N_PAIRS, N_REPS, N_EACH, draws="md5"))
 
 
 @query("side_medians", "B15", tables=CELLS, ctes=OBS, sql=f"""

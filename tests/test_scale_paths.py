@@ -230,6 +230,17 @@ def test_candidates_are_clamped_before_they_are_told_apart(spark):
     assert prior.count() == 1
 
 
+def test_settled_results_outlive_their_scratch_tables(spark):
+    import glob
+
+    from meltgrid.session import cut_lineage, scratch_path, settled
+
+    root = scratch_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0]
+    before = len(glob.glob(f"{root}/**/*.parquet", recursive=True))
+    out = settled(spark, lambda: cut_lineage(cut_lineage(spark.range(9).repartition(1)).filter("id > 2")))
+    assert out.count() == 6 and len(glob.glob(f"{root}/**/*.parquet", recursive=True)) == before + len(out.inputFiles())
+
+
 def test_scratch_scope_removes_its_tables(spark, tmp_path):
     import os
 
