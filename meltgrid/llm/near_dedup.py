@@ -293,7 +293,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, permuta
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked texts, the one with the smallest id; a row whose text is linked to
     no other stays whatever its id is, and of exact copies of one id and text one stays."""
-    out = near_links(docs, n, percent, permutations, id_col, text_col, by_row=True)
+    # Workers of a pipeline keep what earlier stages loaded, so blocks are smaller here.
+    out = near_links(docs, n, percent, permutations, id_col, text_col, block=BLOCK // 2, by_row=True)
     key = spare(docs, "_doc", "_tv")
     rows = docs.withColumns(dict(zip(key, (id_or_least(id_col), F.coalesce(F.xxhash64(text_col), F.lit(0))))))
     out = out.where("_doc = _root").select("_id", "_tv").distinct().toDF(*key)
