@@ -35,6 +35,7 @@ MARK = "▁"
 KEEP = 300_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _coders: dict[str, PieceCoder] = {}
+_bytes: dict[str, list[bytes]] = {}
 
 
 def default_model() -> str:
@@ -63,13 +64,6 @@ class PieceCoder:
         if any(s != int(s) or s > 0 for s in self.score.values()):
             raise ValueError("only merge models are handled")
         self.unknown = model.unk_id()
-        raw = [b""] * size
-        for i in plain:
-            raw[i] = text[i].replace(MARK, " ").encode()
-        for b, i in self.byte.items():
-            raw[i] = bytes([b])
-        raw[self.unknown] = " ⁇ ".encode()
-        self.raw = raw
         self.keep = keep
         self.words: dict[str, bytes] = {}
         self.pairs = 0
@@ -152,10 +146,25 @@ class PieceCoder:
         get = self.words.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
-    def decode(self, ids: bytes) -> str:
-        raw = self.raw
-        out = b"".join([raw[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+
+def piece_bytes(path: str) -> list[bytes]:
+    """What each id decodes to; once per worker and model, without what encoding needs."""
+    if path not in _bytes:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        raw = []
+        for i in range(model.vocab_size()):
+            text = model.id_to_piece(i)
+            raw.append(bytes([int(text[1:-1], 16)]) if model.is_byte(i) else " ⁇ ".encode() if model.is_unknown(i)
+                       else b"" if model.is_control(i) or model.is_unused(i) else text.replace(MARK, " ").encode())
+        _bytes[path] = raw
+    return _bytes[path]
+
+
+def decode_ids(raw: list[bytes], ids: list[int]) -> str:
+    out = b"".join([raw[i] for i in ids])
+    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
 def coder(path: str) -> PieceCoder:
@@ -194,12 +203,12 @@ def decode_pieces(coded: DataFrame, model: str | None = None, ids_col: str = "pi
     names = [*coded.columns, text_col]
 
     def run(batches):
+        raw = piece_bytes(path)
         for rows in batches:
             for at in range(0, rows.num_rows, 500):
                 part = rows.slice(at, 500)
-                ids = [np.asarray(x or [], dtype="<u4").tobytes() for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([coder(path).decode(x) for x in ids], pa.string())], names=names)
+                texts = [decode_ids(raw, x or []) for x in part.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
