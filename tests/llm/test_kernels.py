@@ -68,7 +68,7 @@ def test_cancelling_words_are_told_apart(n):
     assert one[0] != two[0]
 
 
-@pytest.mark.parametrize("n", [256, 1024, 4096])
+@pytest.mark.parametrize("n", [1024])
 def test_operators_tell_cancelling_words_apart(spark, n):
     a, b = parity_words(n)
     rest = " ".join(f"w{i}" for i in range(12))
