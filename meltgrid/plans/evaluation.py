@@ -203,8 +203,8 @@ def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()
 
 def flat_slots(scored: DataFrame, margins: DataFrame, cfg: EvalConfig) -> DataFrame:
     """Scored cells with their flat slot; all flats have one spread and so one margin."""
-    margin = margins.filter(F.col("model") == f"{FLAT_PREFIX}{cfg.flats[0]}").first()["margin"]
-    return L.with_slots(scored, *cfg.flats, margin)
+    known = margins.filter(F.col("model") == f"{FLAT_PREFIX}{cfg.flats[0]}").first()
+    return L.with_slots(scored, *cfg.flats, cfg.margin if known is None else known["margin"])
 
 
 def sweep(cells: DataFrame, models: DataFrame, thresholds: Sequence[float] = (0.10, 0.15, 0.20, 0.25, 0.30),
