@@ -207,7 +207,11 @@ def decode_pieces(coded: DataFrame, model: str | None = None, ids_col: str = "pi
         for rows in batches:
             for at in range(0, rows.num_rows, 500):
                 part = rows.slice(at, 500)
-                texts = [decode_ids(raw, x or []) for x in part.column(place).to_pylist()]
+                col = part.column(place)
+                flat, off = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+                known = col.is_valid().to_numpy(zero_copy_only=False).tolist()
+                texts = [decode_ids(raw, flat[a:b].tolist() if k else [])
+                         for a, b, k in zip(off[:-1].tolist(), off[1:].tolist(), known)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(text_col, T.StringType())]))
 
