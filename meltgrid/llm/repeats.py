@@ -33,16 +33,16 @@ ROWS = pa.schema([("_key", pa.int64()), ("_run", pa.int64()), ("_doc", pa.int64(
 ROWS_SQL = "_key long, _run long, _doc long, _tv long, _at long, _kind byte"
 FOUND = pa.schema([("_doc", pa.int64()), ("_tv", pa.int64()), ("_at", pa.int64()), ("_kind", pa.int8())])
 FOUND_SQL = "_doc long, _tv long, _at long, _kind byte"
-_COUNT_BITS = 20
+COUNT_BITS = 20
 
 
 def pack(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """First window and number of windows of a run in one value."""
-    return (first.astype(np.int64) << _COUNT_BITS) | count
+    return (first.astype(np.int64) << COUNT_BITS) | count
 
 
 def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return at >> _COUNT_BITS, at & ((1 << _COUNT_BITS) - 1)
+    return at >> COUNT_BITS, at & ((1 << COUNT_BITS) - 1)
 
 
 def questions(key, run, doc, tv, at, rule: str) -> pa.RecordBatch:

@@ -14,8 +14,10 @@ the construction decides what the two rounds leave open, the surroundings of edi
 documents of a collection are what is left of a run: at most 16 bytes, the anchor (one symbol that weighs 184 bytes),
 at most 16 bytes; 33 rounds build it.  Many collections go through the rounds side by side.
 
-A collection of more than ``HOT`` documents is not held by one task: the at most 17 strings of each of its documents
-are counted by their hashes instead, with equal ones of a slice joined before they are shuffled.
+Equal documents of a collection enter once, with their count: such a document shares its whole suffixes with its copy.
+A collection of more than ``HOT`` different documents is split before it is built: the anchor grows by half of what
+surrounds it, to the left for the strings that reach that far and to the right for the others, so each string goes to
+one of two longer anchors.  Equal parts are counted again; after at most five splits a string is its own anchor.
 
 Defined results: a null text is empty and stays empty; texts shorter than ``size`` lose nothing; repeated rows count
 as two documents, whatever their ids; a null id comes back null; empty tables give no rows; other columns are not
@@ -96,8 +98,12 @@ class Columns:
             f.close()
 
 
-def shared_starts(strings: list[bytes], anchor: np.ndarray, group: np.ndarray, size: int, k: int):
-    """(document, offset) of every start from which ``size`` bytes also start in another string of the group."""
+def shared_starts(strings: list[bytes], anchor: np.ndarray, group: np.ndarray, size: int, k: int,
+                  copies: np.ndarray | None = None):
+    """(document, offset) of every start from which ``size`` bytes also start in another string of the group.
+
+    A document that stands for several ``copies`` has one of them as neighbour, which shares all of each suffix.
+    """
     n = len(strings)
     left = anchor.astype(np.int64)
     right = np.array([len(s) for s in strings], dtype=np.int64) - left - k
@@ -117,6 +123,8 @@ def shared_starts(strings: list[bytes], anchor: np.ndarray, group: np.ndarray, s
     doc, length, common = columns.read()
     columns.close()
     best = np.maximum(common, np.append(common[1:], 0))
+    if copies is not None:
+        best = np.where(copies[doc] > 1, length + np.where(length > right[doc], k - 1, 0), best)
     hit = np.flatnonzero(best >= size)
     return doc[hit], (lengths[doc[hit]] - length[hit])
 
@@ -202,16 +210,22 @@ def _strings(size: int, k: int):
     return run
 
 
-def _construct(size: int, k: int):
-    """Shared starts of sorted (_key, ...) rows; whole collections are gathered up to about BATCH documents."""
-    def settle(t: pa.Table):
+def _construct(size: int):
+    """(_piece, _at): shared starts of sorted pieces; whole collections are gathered up to about BATCH pieces."""
+    def heads(t: pa.Table):
         key = t.column("_key").to_numpy()
-        group = np.cumsum(np.r_[0, key[1:] != key[:-1]])
-        doc, offset = shared_starts(t.column("_string").to_pylist(), t.column("_anchor").to_numpy(), group, size, k)
-        at = R.pack(t.column("_start").to_numpy()[doc] + offset, np.ones(len(doc), dtype=np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(t.column("_doc").to_numpy()[doc]), pa.array(t.column("_tv").to_numpy()[doc]), pa.array(at),
-             pa.array(np.full(len(doc), R.SETTLED, dtype=np.int8))], schema=R.FOUND)
+        split = np.array(t.column("_split").to_pylist() + [None], dtype=object)[:-1]
+        return np.r_[True, (key[1:] != key[:-1]) | (split[1:] != split[:-1])]
+
+    def settle(t: pa.Table):
+        group = np.cumsum(heads(t)) - 1
+        length, anchor, copies, piece = (t.column(c).to_numpy() for c in ("_k", "_anchor", "_count", "_piece"))
+        strings = t.column("_string").to_pylist()
+        for k in np.unique(length).tolist():
+            own = np.flatnonzero(length == k)
+            doc, offset = shared_starts([strings[i] for i in own.tolist()], anchor[own], group[own], size, k, copies[own])
+            yield pa.RecordBatch.from_arrays([pa.array(piece[own[doc]]), pa.array(offset, pa.int64())],
+                                             names=["_piece", "_at"])
 
     def run(batches):
         held, rows = [], 0
@@ -221,31 +235,80 @@ def _construct(size: int, k: int):
             if rows < BATCH:
                 continue
             t = pa.Table.from_batches(held)
-            key = t.column("_key").to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+            cut = int(np.flatnonzero(heads(t))[-1])
             if cut:
-                yield settle(t.slice(0, cut))
+                yield from settle(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
                 rows = t.num_rows - cut
         if rows:
-            yield settle(pa.Table.from_batches(held))
+            yield from settle(pa.Table.from_batches(held))
     return run
 
 
-def _ask_strings(size: int):
-    """Every string of the documents of a hot collection, asked by its own hash."""
+def halves(string: bytes, anchor: int, k: int, size: int):
+    """(offset, part, anchor, its length, what it grew by) of the two parts of a document under longer anchors.
+
+    A string of ``size`` bytes with ``middle`` bytes or more before its anchor lies in the first part, any other in
+    the second; either may have none.
+    """
+    free = size - k
+    middle = (free + 1) // 2
+    last = len(string) - size
+    if anchor >= middle:
+        yield (0, string[:min(anchor - middle, last) + size], anchor - middle, k + middle,
+               b"<" + string[anchor - middle:anchor])
+    first = max(0, anchor - middle + 1)
+    if first <= last:
+        grow = free - middle + 1
+        yield first, string[first:], anchor - first, k + grow, b">" + string[anchor + k:anchor + k + grow]
+
+
+_PART = ["_key", "_split", "_k", "_anchor", "_string"]
+_HALVES_SQL = "_from long, _by long, _key long, _split binary, _k int, _anchor long, _string binary, _count long"
+
+
+def _split_pieces(size: int):
     def run(batches):
+        names = ["_piece", *_PART, "_count"]
         for rows in _few(batches, 2000):
-            strings = rows.column("_string").to_pylist()
-            off = np.cumsum([0] + [len(s) for s in strings])
-            at = K.window_starts(off, size)
-            row = np.searchsorted(off, at, "right") - 1
-            key = K.span_hash(K.prefix(K.byte_symbols(np.frombuffer(b"".join(strings), dtype=np.uint8))), at, at + size)
-            doc, tv, start = (rows.column(c).to_numpy()[row] for c in ("_doc", "_tv", "_start"))
-            yield R.questions(key, key, doc, tv, R.pack(start + at - off[row], np.ones_like(at)), "any")
+            out = [(piece, by, key, split + grown, longer, at, part, count)
+                   for piece, key, split, k, anchor, string, count in zip(*(rows.column(c).to_pylist() for c in names))
+                   for by, part, at, longer, grown in halves(string, anchor, k, size)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)],
+                                             names=["_from", "_by", *_PART, "_count"])
     return run
 
 
+def built_starts(strings: DataFrame, size: int, k: int, hot: int) -> DataFrame:
+    """(_doc, _tv, _at, _kind) of the starts in ``strings`` that the construction finds shared."""
+    number = F.monotonically_increasing_id()
+    same = ["_key", "_anchor", "_string"]
+    classes = cut_lineage(strings.groupBy(*same).agg(F.count("*").alias("_count")).withColumn("_class", number))
+    pieces = classes.select(F.col("_class").alias("_piece"), "_key", F.expr("X''").alias("_split"),
+                            F.lit(k).cast("int").alias("_k"), "_anchor", "_string", "_count")
+    owners = classes.select(F.col("_class").alias("_piece"), "_class", F.lit(0).cast("long").alias("_off"))
+    group, found = ["_key", "_split"], []
+    while True:
+        large = cut_lineage(pieces.groupBy(*group).agg(F.count("*").alias("_c")).where(F.col("_c") > hot).select(*group))
+        built = (pieces.join(large, group, "left_anti").repartition(*group).sortWithinPartitions(*group)
+                 .mapInArrow(_construct(size), "_piece long, _at long"))
+        found.append(cut_lineage(built.join(owners, "_piece").select("_class", (F.col("_at") + F.col("_off")).alias("_at"))))
+        if large.isEmpty():
+            break
+        parts = cut_lineage(pieces.join(large, group, "left_semi").mapInArrow(_split_pieces(size), _HALVES_SQL))
+        pieces = cut_lineage(parts.groupBy(*_PART).agg(F.sum("_count").alias("_count")).withColumn("_piece", number))
+        above = owners.select(F.col("_piece").alias("_from"), "_class", "_off")
+        owners = cut_lineage(parts.drop("_count").join(pieces.drop("_count"), _PART).join(above, "_from")
+                             .select("_piece", "_class", (F.col("_off") + F.col("_by")).alias("_off")))
+    starts = found[0]
+    for more in found[1:]:
+        starts = starts.unionByName(more)
+    at = F.shiftleft(F.col("_start") + F.col("_at"), R.COUNT_BITS).bitwiseOR(F.lit(1).cast("long"))
+    return (strings.join(classes.drop("_count"), same).join(starts, "_class")
+            .select("_doc", "_tv", at.alias("_at"), F.lit(R.SETTLED).cast("byte").alias("_kind")))
+
+
 def repeated_strings(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, fine: int = FINE_ANCHOR,
                      hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_doc, _tv, _spans): packed runs of starts whose strings also start elsewhere, for rows that have any."""
@@ -261,11 +324,8 @@ def repeated_strings(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, fi
     strings = cut_lineage(segments.join(left, ["_doc", "_tv"]).select("_doc", "_tv", "_spans", "_bytes", "_still")
                           .mapInArrow(_strings(size, fine), "_key long, _doc long, _tv long, _start long, "
                                                             "_anchor long, _string binary"))
-    many = cut_lineage(strings.groupBy("_key").agg(F.count("*").alias("_c")).where(F.col("_c") > hot).select("_key"))
-    built = (strings.join(many, "_key", "left_anti").repartition("_key").sortWithinPartitions("_key")
-             .mapInArrow(_construct(size, fine), R.FOUND_SQL))
-    counted = R.judged(strings.join(many, "_key", "left_semi").mapInArrow(_ask_strings(size), R.ROWS_SQL), "any")
-    every = (runs.unionByName(finer).where(F.col("_kind") != R.OPEN).unionByName(built).unionByName(counted))
+    every = (runs.unionByName(finer).where(F.col("_kind") != R.OPEN)
+             .unionByName(built_starts(strings, size, fine, hot)))
     return per_row(every, "_spans")
 
 

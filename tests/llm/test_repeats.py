@@ -48,12 +48,37 @@ def test_documents_keep_their_columns(spark):
     assert all(x in rows for x in kept)
 
 
-@pytest.mark.parametrize("hot", [5000, 3])
+@pytest.mark.parametrize("hot", [5000, 3, 1])
 def test_byte_strings_equal_brute_force(spark, hot):
     rows = documents(5, 120)
     assert same(byte_digest(strings.dedup_strings(frame(spark, rows), hot=hot)), strings.brute_strings(rows))
 
 
+def test_hot_collections_are_split_until_they_fit(spark):
+    """One passage of 186 bytes among 60 different surroundings: no collection is left to hashes."""
+    import random
+
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, left, right = letters(190), [letters(12) for _ in range(9)], [letters(12) for _ in range(7)]
+    rows = [(i, letters(60) + rng.choice(left) + passage + rng.choice(right) + letters(60)) for i in range(60)]
+    want = strings.brute_strings(rows)
+    assert any(0 < r[2] for r in want)
+    for hot in (1, 4, 1000):
+        assert same(byte_digest(strings.dedup_strings(frame(spark, rows), hot=hot)), want)
+
+
+def test_halves_cover_every_string_once():
+    text = bytes(range(97, 123)) * 2
+    for k in range(4, 12):
+        for anchor in range(0, 12 - k + 1):
+            for n in range(12, 12 + anchor + 1):
+                got = sorted(by + i for by, part, at, longer, _ in strings.halves(text[:n], anchor, k, 12)
+                             for i in range(len(part) - 12 + 1)
+                             if 0 <= at - i and at - i + longer <= 12)
+                assert k == 12 or got == list(range(n - 12 + 1))
+
+
 def test_construction_orders_all_suffixes():
     import numpy as np
 
