@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from meltgrid.functions.truth import truth_binary
 from meltgrid.operators import components as C
 from meltgrid.operators import spatial as P
+from meltgrid.operators.scanlines import cells_in_spans
+from meltgrid.operators.triangles import linear_points
 from registry.base import query, r, rnd
 from registry.frames import MASKED, STEP, quantile_sql, roi
 
@@ -34,6 +36,16 @@ def _(t):
     return P.points_in_polygons(t.cells, t.polygons, 500.0, ["cell_id"], rings="parity")
 
 
+@query("cells_in_polygon_spans", "J5", tables=("cells", "polygons"), ctes=_rings("part, ring"), sql="SELECT cell_id, region FROM inside")
+def _(t):
+    return cells_in_spans(t.cells, t.polygons, band=500.0, tile=2000.0, key=["cell_id"])
+
+
+@query("cells_in_polygon_spans_with_holes", "J5", tables=("cells", "polygons"), ctes=_rings("part"), sql="SELECT cell_id, region FROM inside")
+def _(t):
+    return cells_in_spans(t.cells, t.polygons, band=500.0, tile=2000.0, key=["cell_id"], rings="parity")
+
+
 @query("polygon_region_columns", "J5 T7", tables=("cells", "polygons"), ctes=_rings("part"), sql="""
 SELECT c.cell_id, coalesce(bool_or(region = 'ISPB'), false) AS in_ispb, coalesce(bool_or(region = 'OSPB'), false) AS in_ospb
 FROM cells c LEFT JOIN inside i ON i.cell_id = c.cell_id GROUP BY c.cell_id""")
@@ -62,6 +74,13 @@ def _(t):
     return rnd(out.select("cell_id", "z_interp", "n_near"))
 
 
+@query("points_linear", "J4", tables=("cells", "points"))
+def _(t):
+    """Without SQL: a triangulation is too slow there; brute force checks the operator."""
+    return rnd(linear_points(t.points, t.cells.select("cell_id", "x_m", "y_m"), tile=4000.0, rim=3000.0)
+               .select("cell_id", "z_linear"))
+
+
 def _labels(min_size: int) -> str:
     """Smallest reachable cell per cell by repeated relaxation, then column-major numbering."""
     return f"""m AS (SELECT ri, ci, cast(ci AS bigint) * 1000000 + ri AS n FROM masked WHERE slow AND coalesce(sink, false)),
