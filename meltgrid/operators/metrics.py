@@ -17,7 +17,7 @@ from meltgrid.functions.nulls import at_least
 from meltgrid.functions.truth import p_wet
 from meltgrid.operators.masks import flag
 from meltgrid.operators.ordered import midpoint_quantile
-from meltgrid.session import sized
+from meltgrid.session import cut_lineage, sized
 
 SCORES = ("acc", "prec", "spec", "rec", "f1", "g_mean", "g_prod")
 
@@ -130,11 +130,11 @@ def margin_sigma(s_model: Column, s_gmin: Column) -> Column:
 
 
 def sigma_summary(df: DataFrame, by: Sequence[str] = ("model",), s_gmin: str | None = "s_gmin") -> DataFrame:
-    """Mean and median margin sigma per model."""
+    """Mean and median margin sigma per model; both read spreads that are written once."""
     sg = F.col(s_gmin) if s_gmin else F.lit(0.0)
-    src = df.select(*by, margin_sigma(F.col("s_model"), sg).alias("_s"))
+    src = cut_lineage(df.select(*by, margin_sigma(F.col("s_model"), sg).alias("_s")))
     mean = src.groupBy(*by).agg(F.avg("_s").alias("sigma_mean"))
-    med = midpoint_quantile(src, "_s", {"sigma_median": 0.5}, by).drop("n")
+    med = midpoint_quantile(src, "_s", {"sigma_median": 0.5}, by, store=False).drop("n")
     return mean.join(med, list(by), "left")
 
 

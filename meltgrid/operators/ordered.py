@@ -106,19 +106,18 @@ def midpoint_quantile(df: DataFrame, col: str, ps: Mapping[str, float], by: Sequ
     each.  Built-in percentiles use ``(n - 1) p + 1`` and keep every distinct value of
     a group in one hash map, hence this form.
 
-    Large groups take several passes over keys and values, which are written once.  ``store=False``
-    computes them again in every pass instead: right for rows that a map task multiplies, where
-    only counts should leave the task.
+    Several passes run over keys and values (one counts the groups), so these are written once before the first: what
+    lies behind them, a bootstrap say, is computed once.  ``store=False`` reads them again in every pass instead: right
+    for a stored table, and for rows that a map task multiplies, where only counts should leave the task.
     """
     keyed, keys = _keyed(df, by)
     src = keyed.select(*keys, F.col(col).cast("double").alias("_v")).filter(finite(F.col("_v")))
+    src = cut_lineage(src) if store else src
     groups = src.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     hot = groups.filter(F.col("n") > group_rows).collect()
     if not hot:
         return _interpolated(_window_quantile(src, keys, ps), keys, ps, pairs)
-    # Several passes follow: keep only the keys and the value, written once.
-    src = cut_lineage(src) if store else src
     hot_df = src.sparkSession.createDataFrame(hot, groups.schema)
     done = _bracket_quantile(src, keys, ps, hot, group_rows)
     cold = src.join(F.broadcast(hot_df.select(*keys)), keys, "left_anti")

@@ -84,6 +84,17 @@ CROSS JOIN (VALUES (-40e0), (0e0), (40e0)) AS h(a)
 CROSS JOIN (VALUES (-60e0), (0e0), (60e0)) AS t(theta)
 """
 
+#: ``MODEL_CELLS`` as rows of each cell, so that Spark derives the cells once and not for every model; only what the
+#: fields need is sent by cell, in front of the join on cells that nearly every query makes.
+MODEL_CELLS_ROWS = """
+SELECT model, cell_id, g, sigma, bmin, bmax FROM (
+  SELECT /*+ REPARTITION(cell_id) */ cell_id, custkey, ci, mean_qty FROM cells)
+LATERAL VIEW inline(array(
+  named_struct('model', 'A', 'g', 3e1 + mean_qty, 'sigma', 5e0 + cell_id % 7, 'bmin', cast(NULL AS double), 'bmax', cast(NULL AS double)),
+  named_struct('model', 'B', 'g', 35e0 + custkey % 40, 'sigma', cast(NULL AS double), 'bmin', 27e0 + custkey % 40, 'bmax', 41e0 + custkey % 40),
+  named_struct('model', 'C', 'g', 3e1 + 4e1 * ci / 124e0, 'sigma', cast(NULL AS double), 'bmin', cast(NULL AS double), 'bmax', cast(NULL AS double)))) f
+"""
+
 TEXTS = {"cells": CELLS, "model_cells": MODEL_CELLS, "points": POINTS, "raster": RASTER,
          "polygons": POLYGONS, "chain": CHAIN, "candidates": CANDIDATES}
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -117,7 +128,7 @@ class Tables:
             frames = {n: getattr(self, n) if n in TEXTS else self.read(n) for n in sources}
             for n, df in frames.items():
                 df.createOrReplaceTempView(n)
-            return self.spark.sql(TEXTS[name])
+            return self.spark.sql(MODEL_CELLS_ROWS if name == "model_cells" else TEXTS[name])
 
         return self._kept(name, build)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltgrid.functions.physics import gmin
@@ -10,6 +13,7 @@ from meltgrid.operators import metrics as M
 from meltgrid.operators.masks import MaskConfig
 from meltgrid.operators.models import with_flat_fields
 from meltgrid.operators.sweeps import flat_confusion
+from meltgrid.session import cut_lineage
 from registry.base import query, r, rnd, sel
 from registry.frames import (HARD, LABELLED, MASKED, MASS_COLS, REG_COLS, REGIONAL_SUMS, SCORE_COLS, SCORED,
                              SOFT, clean_cells, gmin_sql, labelled, phi_sql, quantile_sql, regional_sql, score_sql,
@@ -138,15 +142,14 @@ def _(t):
 SELECT mode, s.model, count(*) AS n, count(*) FILTER (gdiff >= margin) AS n_wet, {r('max(margin)')} AS margin
 FROM scored s JOIN m ON s.model = m.model GROUP BY mode, s.model""")
 def _(t):
-    df = scored(t)
-    sigma = M.sigma_summary(df)
-    out = None
-    for mode in M.MARGIN_MODES:
-        part = M.decide(df, M.margin_table(sigma, mode, 2.0)).groupBy("model").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("pred").alias("n_wet"), F.max("margin").alias("margin"))
-        part = part.withColumn("mode", F.lit(mode))
-        out = part if out is None else out.unionByName(part)
-    return rnd(out)
+    """The scored rows are written once; all modes meet them in one pass."""
+    df = cut_lineage(scored(t).select("model", "gdiff", "s_model", "s_gmin"))
+    sigma = cut_lineage(M.sigma_summary(df))
+    margins = reduce(DataFrame.unionByName, [
+        M.margin_table(sigma, mode, 2.0).withColumn("mode", F.lit(mode)) for mode in M.MARGIN_MODES])
+    return rnd(M.decide(df.select("model", "gdiff"), margins).groupBy("mode", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("pred").alias("n_wet"), F.max("margin").alias("margin"))
+        .select("model", "n", "n_wet", "margin", "mode"))
 
 
 @query("flat_family_confusion", "P8 A1", tables=("cells",), ctes=LABELLED + f"""
