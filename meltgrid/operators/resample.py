@@ -100,7 +100,8 @@ def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Se
     keys = ["model", "_s"]
     # The rows are read several times below; upstream joins run once.
     base = cut_lineage(base.select(*keys, block, *[c for c in order if c != block], *_needed(base, cfg)))
-    base = dense_index(base, block, order, keys)
+    # Counts, slots and drawn cells read the same ranks, so these are written as well.
+    base = cut_lineage(dense_index(base, block, order, keys))
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     slots = base.select(*keys, F.col("idx").alias("draw")).join(sized(cut_lineage(n)), keys)
     slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_boot - 1))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meltgrid.operators import metrics as M
 from meltgrid.operators import models as D
 from meltgrid.operators import resample as R
+from meltgrid.session import cut_lineage
 from registry.base import query, r, rnd, sel
 from registry.frames import (HARD, MASS_COLS, REG_COLS, REGIONAL_SUMS, SCORE_COLS, SCORED, SOFT, quantile_sql,
                              regional_sql, score_sql, scored, uniform_sql)
@@ -217,7 +218,7 @@ gs AS (SELECT el.model, el.metric, exp, lo95, hi95, lo50, hi50 FROM el LEFT JOIN
 
 
 def cell_gstats(t):
-    rows = weighted_rows(t)
+    rows = cut_lineage(weighted_rows(t).select("model", "ri", "ci", "pw", "y", "ispb", "ospb"))
     return R.gstats(M.expected_metrics(rows), R.bootstrap_cells(rows, _cfg()))
 
 
