@@ -197,12 +197,14 @@ FROM c JOIN ce ON ce.model = c.model AND ce.rep = c.rep""")
 def _(t):
     """Block form: the drawn regions, and so sizes and label mass, are those of the joined form; hits lie within the
     spread of their predictions."""
-    rows = _with_components(t)
-    reps = R.bootstrap_components_blocked(rows, _cfg())
-    base = R._component_base(rows, _cfg(), "ri", ("ci",))
-    drawn, cells = R._drawn_components(base, R.component_table(base), _cfg())
-    exact = drawn.join(cells, ["model", "comp_id", "_part"]).groupBy("model", "rep").agg(
-        F.sum(F.col("pw") * F.col("y")).alias("tp_exp"), F.sum(F.col("y") * F.col("y") * F.col("pw") * (1.0 - F.col("pw"))).alias("_v"))
+    base = cut_lineage(R._component_base(_with_components(t), _cfg(), "ri", ("ci",)))
+    reps = R.bootstrap_components_blocked(base, _cfg())
+    drawn, cells = R._drawn_components(base, cut_lineage(R.component_table(base)), _cfg())
+    # Every copy of a region brings the same expected mass, so cells are summed by region before the copies meet them.
+    keys = ["model", "comp_id", "_part"]
+    mass = cells.groupBy(*keys).agg(
+        F.sum(F.col("pw") * F.col("y")).alias("_e"), F.sum(F.col("y") * F.col("y") * F.col("pw") * (1.0 - F.col("pw"))).alias("_s"))
+    exact = drawn.join(mass, keys).groupBy("model", "rep").agg(F.sum("_e").alias("tp_exp"), F.sum("_s").alias("_v"))
     near = F.abs(F.col("tp") - F.col("tp_exp")) <= 6.0 * F.sqrt("_v") + 1e-6
     return rnd(reps.join(exact, ["model", "rep"]).select(
         "model", "rep", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("cells"),
