@@ -15,7 +15,7 @@ from meltgrid.functions.truth import logistic_anchors
 from meltgrid.operators.grid import extents, regrid_bilinear
 from meltgrid.operators.masks import flag
 from meltgrid.operators.ordered import midpoint_quantile
-from meltgrid.session import sized
+from meltgrid.session import cut_lineage, sized
 
 LEVELS = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90,
           "p95": 0.95, "p99": 0.99}
@@ -77,10 +77,10 @@ def weight_diagnostics(df: DataFrame, label: str = "y", weight: str = "w") -> Da
 
 
 def change_stats(df: DataFrame, before: str, after: str, by: Sequence[str]) -> DataFrame:
-    """Absolute and percent change of a corrected field, per model."""
+    """Absolute and percent change of a corrected field, per model; the changes are written once for all passes."""
     b, a = F.col(before), F.col(after)
-    src = df.filter(finite(b) & finite(a) & (b != 0)).select(
-        *by, (a - b).alias("abs"), (100.0 * (a - b) / b).alias("pct"))
+    src = cut_lineage(df.filter(finite(b) & finite(a) & (b != 0)).select(
+        *by, (a - b).alias("abs"), (100.0 * (a - b) / b).alias("pct")))
     share = {f"frac_gt_{n}": F.avg((F.abs(F.col("pct") / 100.0) > x).cast("double"))
              for n, x in (("05", 0.05), ("10", 0.10), ("25", 0.25))}
     out = src.groupBy(*by).agg(
@@ -88,7 +88,7 @@ def change_stats(df: DataFrame, before: str, after: str, by: Sequence[str]) -> D
                                         for s, f in (("mean", F.avg), ("std", F.stddev_samp))],
         *[e.alias(n) for n, e in share.items()])
     for c in ("abs", "pct"):
-        q = midpoint_quantile(src, c, {f"{c}_p05": 0.05, f"{c}_median": 0.5, f"{c}_p95": 0.95}, by).drop("n")
+        q = midpoint_quantile(src, c, {f"{c}_p05": 0.05, f"{c}_median": 0.5, f"{c}_p95": 0.95}, by, store=False).drop("n")
         out = out.join(q, list(by))
     return out
 
