@@ -15,12 +15,14 @@ from meltgrid.functions.mathx import EPS, clamp
 from meltgrid.functions.nulls import at_least, finite
 from meltgrid.operators.masks import flag
 from meltgrid.operators.ordered import constants, midpoint_quantile, prefix_sums, value_counts
+from meltgrid.session import cut_lineage
 
 #: Candidates of one pass: as rows of every cell, and as positions in a lattice.
 CHUNK, LATTICE = 1000, 50_000
 #: Means of one amplitude and azimuth, on average, from which a search replaces a row for each.
 MEANS = 4
-RANK_ROWS = 4096
+#: Rows of one candidate, and of all in a pass, that are sorted for a median.
+RANK_ROWS, SORTED_ROWS = 4096, 4_096_000
 
 
 @dataclass(frozen=True)
@@ -264,6 +266,17 @@ def _field_rows(cells: DataFrame, part, ramps, cfg: FieldConfig, keep: Sequence[
     return rows.withColumn("g", _gated(c["mu"], c["a"], u, c["shift"], cfg, factor))
 
 
+def _rank_rows(groups: int) -> int:
+    """Rows of a group that may be sorted: few groups may have more, which saves rounds over all cells."""
+    return max(RANK_ROWS, SORTED_ROWS // groups)
+
+
+def field_cells(cells: DataFrame, delta: str | None = None) -> DataFrame:
+    """What candidate fields need of the cells, written once: every pass over the candidates reads it."""
+    names = ("x_m", "y_m", "gmin", "roi", "spec_valid", "y", "w", delta)
+    return cut_lineage(cells.select(*[c for c in dict.fromkeys(names) if c in cells.columns]))
+
+
 def _middle_ramps(cells: DataFrame, ramps: dict[float, Ramp]) -> dict[float, tuple[int, float, float]]:
     """Per azimuth: number of cells and the two middle projections.
 
@@ -275,7 +288,7 @@ def _middle_ramps(cells: DataFrame, ramps: dict[float, Ramp]) -> dict[float, tup
     rows = cells.select((F.col("x_m") - r0.xm).alias("_dx"), (F.col("y_m") - r0.ym).alias("_dy"), dirs.alias("d"))
     rows = rows.select(F.col("d.theta").alias("theta"),
                        (F.col("_dx") * F.col("d.nx") + F.col("_dy") * F.col("d.ny")).alias("p"))
-    mid = midpoint_quantile(rows, "p", {"m": 0.5}, ["theta"], RANK_ROWS, pairs=True, store=False).collect()
+    mid = midpoint_quantile(rows, "p", {"m": 0.5}, ["theta"], _rank_rows(len(ramps)), pairs=True, store=False).collect()
     return {r["theta"]: (r["n"], r["m_lo"], r["m_hi"] if r["n"] % 2 == 0 else r["m_lo"]) for r in mid}
 
 
@@ -288,7 +301,7 @@ def _medians(cells: DataFrame, part, ramps, cfg: FieldConfig, delta: str | None,
     """
     if delta is not None:
         rows = _field_rows(cells, part, ramps, cfg, [], delta).select(F.col("c.id").alias("id"), "g")
-        found = {r["id"]: r["m"] for r in midpoint_quantile(rows, "g", {"m": 0.5}, ["id"], RANK_ROWS, store=False).collect()}
+        found = {r["id"]: r["m"] for r in midpoint_quantile(rows, "g", {"m": 0.5}, ["id"], _rank_rows(len(part)), store=False).collect()}
         return [found.get(i) for i in range(len(part))]
     fresh = {th: ramps[th] for th in {p[2] for p in part} if th not in middle}
     if fresh:
@@ -402,14 +415,16 @@ def _row_sums(cells: DataFrame, part, ramps: dict[float, Ramp], cfg: FieldConfig
 
 
 def score_candidates(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = FieldConfig(),
-                     delta: str | None = None) -> DataFrame:
+                     delta: str | None = None, store: bool = True) -> DataFrame:
     """Recall, specificity and geometric mean of every candidate field.
 
     ``cells``: ``x_m, y_m, gmin, roi, spec_valid`` and the label ``y`` (binary) or ``w``
     (weighted).  Candidates are parameters: they travel as constants in chunks of bounded size,
     and their ramp constants come from one small aggregate.  Without a topographic factor a lattice
-    of means at one amplitude and azimuth is served by one search per cell.
+    of means at one amplitude and azimuth is served by one search per cell.  ``store=False`` is for cells that are a
+    stored table already.
     """
+    cells = field_cells(cells, delta) if store else cells
     label = {"binary": "y", "weighted": "w"}[cfg.truth]
     out, ramps, middle = None, {}, {}
     for part, lattice in _passes(cands, cfg, delta):
@@ -433,9 +448,10 @@ def score_candidates(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = Fiel
 
 
 def proxy_score(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = FieldConfig(),
-                delta: str | None = None) -> DataFrame:
+                delta: str | None = None, store: bool = True) -> DataFrame:
     """Cheap gate: each field is split at its own median over the scored cells and compared with
     the hard label, ignoring the melt minimum."""
+    cells = field_cells(cells, delta) if store else cells
     roi = cells.filter(flag(F.col("roi")))
     out, ramps, middle = None, {}, {}
     for part in _chunks(cands, cfg):
@@ -457,8 +473,9 @@ def proxy_score(cells: DataFrame, cands: DataFrame, cfg: FieldConfig = FieldConf
 
 
 def posterior_grid(scores: DataFrame, beta: float = 6.0) -> DataFrame:
-    """Posterior weight over a candidate lattice: ``beta clamp01(G) + log prior``, normalised."""
-    post = scores.withColumn("posterior", beta * clamp(F.col("g_mean"), 0.0, 1.0) + F.col("log_prior"))
+    """Posterior weight over a candidate lattice: ``beta clamp01(G) + log prior``, normalised.
+    The scores are written, as top and total read them before the result does."""
+    post = cut_lineage(scores.withColumn("posterior", beta * clamp(F.col("g_mean"), 0.0, 1.0) + F.col("log_prior")))
     top = post.agg(F.max("posterior")).first()[0]
     weight = F.exp(F.col("posterior") - F.lit(top))
     total = post.agg(F.sum(weight)).first()[0]
