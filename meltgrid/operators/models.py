@@ -72,9 +72,10 @@ def exclude_table(df: DataFrame, listed: DataFrame, col: str = "model") -> DataF
     return df.withColumn("_k", name_key(F.col(col))).join(keys, "_k", "left_anti").drop("_k")
 
 
-def model_center(df: DataFrame, value: str = "g") -> DataFrame:
-    """Median over the given cells; a flat model's name carries its value."""
-    med = midpoint_quantile(df.filter(~is_flat(F.col("model"))), value, {"center": 0.5}, ["model"])
+def model_center(df: DataFrame, value: str = "g", store: bool = True) -> DataFrame:
+    """Median over the given cells; a flat model's name carries its value.  The rows are read for the medians and for
+    the flats, so what makes them should be written before; ``store=False`` is right for such a table."""
+    med = midpoint_quantile(df.filter(~is_flat(F.col("model"))), value, {"center": 0.5}, ["model"], store=store)
     flats = df.filter(is_flat(F.col("model"))).groupBy("model").agg(F.count(value).alias("n"))
     flats = flats.withColumn("center", flat_value(F.col("model")))
     return med.unionByName(flats).select("model", "n", "center")

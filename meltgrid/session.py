@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
 _SCOPES: list[str] = []
@@ -99,4 +100,20 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(_local(df.sparkSession, rows, df.schema))
+
+
+#: Types that Arrow carries as they are.
+PLAIN = (T.BooleanType, T.IntegerType, T.LongType, T.DoubleType, T.StringType)
+
+
+def _local(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """Rows as a local relation; plain columns go as Arrow, which takes no Python worker to read them back."""
+    if not rows or not all(isinstance(f.dataType, PLAIN) for f in schema.fields):
+        return spark.createDataFrame(rows, schema)
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
+    columns = [pa.array(values, kind.type) for values, kind in zip(zip(*rows), kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=kinds.names), schema)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meltgrid.session import cut_lineage
+
 CELLS = """
 WITH agg AS (
   SELECT l_orderkey AS k, count(*) AS n,
@@ -111,14 +113,21 @@ class Tables:
     once.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, frames: dict[tuple[str, str, str], DataFrame] | None = None):
         self.spark, self.sf_dir = spark, sf_dir
+        self._frames = _FRAMES if frames is None else frames
+
+    def written(self) -> Tables:
+        """The same tables for one query that reads the cells several times: they are derived and written once."""
+        out = Tables(self.spark, self.sf_dir, {})
+        out._kept("cells", lambda: cut_lineage(self.cells))
+        return out
 
     def _kept(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _FRAMES:
-            _FRAMES[key] = build()
-        return _FRAMES[key]
+        if key not in self._frames:
+            self._frames[key] = build()
+        return self._frames[key]
 
     def read(self, name: str) -> DataFrame:
         return self._kept(name, lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))

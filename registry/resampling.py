@@ -246,7 +246,7 @@ CENTER = f"""ctr AS ({quantile_sql("(SELECT model, g FROM masked c JOIN model_ce
 def _(t):
     from registry.frames import masked
     viz = masked(t).filter("viz").select("cell_id")
-    rows = viz.join(t.model_cells, "cell_id").select("model", "g")
+    rows = cut_lineage(viz.join(t.model_cells, "cell_id").select("model", "g"))
     flats = D.with_flat_fields(viz, 20, 80).select("model", "g")
     return rnd(D.model_center(rows.unionByName(flats)))
 
@@ -256,8 +256,9 @@ SELECT gs.model, {sel('center', 'exp', 'lo95', 'hi95', 'lo50', 'hi50')}, false A
 WHERE metric = 'g_mean' AND gs.model <> 'B'""")
 def _(t):
     from registry.frames import masked
-    rows = masked(t).filter("viz").select("cell_id").join(t.model_cells, "cell_id").select("model", "g")
-    return rnd(D.metric_vs_center(cell_gstats(t), D.model_center(rows), "g_mean", [" b "]))
+    t = t.written()
+    rows = cut_lineage(masked(t).filter("viz").select("cell_id").join(t.model_cells, "cell_id").select("model", "g"))
+    return rnd(D.metric_vs_center(cell_gstats(t), D.model_center(rows, store=False), "g_mean", [" b "]))
 
 
 P0 = SCORED + ", p AS (SELECT *, coalesce(gdiff >= 0, false) AS pred FROM scored)"

@@ -11,6 +11,7 @@ from meltgrid.operators.metrics import sigma_summary
 from meltgrid.operators.ordered import midpoint_quantile
 from meltgrid.operators.summaries import change_stats
 from meltgrid.plans import candidates as P
+from meltgrid.session import sized
 from registry.base import QUERIES
 from registry.fixtures import MODEL_CELLS, Tables
 
@@ -92,3 +93,40 @@ def test_model_rows(spark, tmp_path):
     want = spark.sql(MODEL_CELLS)
     assert made.dtypes == want.dtypes and made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty()
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+@pytest.fixture
+def grid(spark, tmp_path):
+    """Folder whose cells count how often they are derived."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    cells = spark.range(N).selectExpr(
+        "id AS cell_id", "cast(id DIV 20 AS int) AS ri", "cast(id % 20 AS int) AS ci", "1e2 * (id % 20) AS x_m",
+        "1e2 * (id DIV 20) AS y_m", "2e3 + id AS h", "if(id % 31 = 0, 9999e0, (id % 10) / 2e1) AS q", "213e0 + id % 9 AS ts",
+        "2e-2 + (id % 60) / 1e3 AS mb", "1e0 * (id % 21) AS icevel", "1e0 AS vx", "1e0 AS vy", "2e1 + id % 17 AS mean_qty",
+        "id % 4 < 2 AS ispb", "id % 4 >= 2 AS ospb", "id % 20 < 12 AS sink", "id % 90 AS custkey")
+    Tables(spark, str(tmp_path))._kept("cells", lambda: cells.mapInArrow(count, cells.schema))
+    return str(tmp_path), made
+
+
+def test_metric_against_center(spark, grid):
+    path, made = grid
+    out = {r["model"]: r for r in QUERIES["metric_against_center"](spark, path).collect()}
+    seen = sorted(30.0 + 40.0 * (i % 20) / 124.0 for i in range(N) if i % 31 and i % 21 <= 10)
+    middle = (seen[(len(seen) - 1) // 2] + seen[len(seen) // 2]) / 2.0
+    assert made.value == N and set(out) == {"A", "C"} and out["C"]["center"] == round(middle, 6)
+
+
+def test_sized_side_is_local(spark):
+    df = spark.range(40).selectExpr("id", "cast(id AS int) AS i", "if(id = 3, NULL, id / 7e0) AS d", "if(id = 4, NULL, 'x') AS s",
+                                    "if(id = 5, NULL, id > 7) AS b", "if(id = 6, cast('NaN' AS double), 0e0) AS n")
+    side = sized(df)
+    assert side.schema == df.schema and side.exceptAll(df).isEmpty() and df.exceptAll(side).isEmpty()
+    assert "LocalRelation" in side._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in sized(df, 39)._jdf.queryExecution().optimizedPlan().toString()
+    assert sized(df.select(F.array("id").alias("a"))).count() == 40 and sized(df.filter("id < 0")).isEmpty()
