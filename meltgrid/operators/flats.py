@@ -75,9 +75,7 @@ def flat_expected(cells: DataFrame, lo: int, hi: int, labels: Labels = Labels())
     For a family without spread these are the expected metrics as well as those of its predictions.
     """
     kept = cells.filter(F.col(labels.column).isNotNull())
-    sums = kept.groupBy("slot").agg(F.count(F.lit(1)).alias("n_roi"),
-                                    *[F.sum(m).alias(f"a{j}") for j, m in enumerate(labels.masses())])
-    made = _running(sums, [], lo, hi, labels, ["n_roi"]).filter(F.col("n_roi") > 0)
+    made = _running(labels.totals(kept, ["slot"]), [], lo, hi, labels, ["n_roi"]).filter(F.col("n_roi") > 0)
     return labels.scores(made, ["model", "n_roi"])
 
 

@@ -106,8 +106,21 @@ class Labels:
     def expected(self, rows: DataFrame, by: Sequence[str] = ("model",), pw: str = "pw") -> DataFrame:
         """Expected metrics under the wet probability; rows without one are left out."""
         kept = rows.filter(F.col(pw).isNotNull() & F.col(self.column).isNotNull())
-        masses = self.masses()
-        sums = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n_roi"),
-                                     *[F.sum(m).alias(f"a{j}") for j, m in enumerate(masses)],
-                                     *[F.sum(F.col(pw) * m).alias(f"b{j}") for j, m in enumerate(masses)])
-        return self.scores(sums, [*by, "n_roi"])
+        return self.scores(self.totals(kept, by, pw), [*by, "n_roi"])
+
+    def totals(self, rows: DataFrame, by: Sequence[str], pw: str | None = None) -> DataFrame:
+        """Number of rows ``n_roi`` and the sums ``a`` per ``by``, with a wet probability also the sums ``b``.
+
+        Labels of thresholds are few, so their rows are counted by label and area, and masses are made of the counts.
+        """
+        if not self.thresholds:
+            wet, one, masses = None if pw is None else F.col(pw), F.lit(1.0), self.masses()
+            number = F.count(F.lit(1))
+        else:
+            inner, outer = (flag(F.col(c)) for c in ("ispb", "ospb"))
+            rows = rows.groupBy(*by, F.col(self.column).alias("_k"), inner.alias("_in"), outer.alias("_out")).agg(
+                F.count(F.lit(1)).alias("_n"), *([] if pw is None else [F.sum(pw).alias("_p")]))
+            wet, one, masses = None if pw is None else F.col("_p"), F.col("_n"), self.masses(F.col("_k"), F.col("_in"), F.col("_out"))
+            number = F.sum("_n")
+        return rows.groupBy(*by).agg(number.alias("n_roi"), *[F.sum(one * m).alias(f"a{j}") for j, m in enumerate(masses)],
+                                     *([] if wet is None else [F.sum(wet * m).alias(f"b{j}") for j, m in enumerate(masses)]))

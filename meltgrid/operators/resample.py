@@ -342,15 +342,17 @@ def region_bundles(base: DataFrame, comps: DataFrame, cfg: BootConfig, chunk: in
 
 def bootstrap_components_blocked(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Sequence[str] = ("ci",),
                                  chunk: int = REGION_CHUNK, labels: Labels = Labels(),
-                                 count_rows: int = COUNT_ROWS) -> DataFrame:
+                                 count_rows: int = COUNT_ROWS, store: bool = True) -> DataFrame:
     """The same resampling without a row per drawn copy.
 
     A region drawn ``k`` times gives every one of its cells ``k`` independent predictions.  Bundles
     of region parts meet the draw counts of a block of replicates (``region_bundles``) and only sums
     per (model, bundle, replicate) leave them.  A prediction is a hash of (seed, model, replicate,
-    copy, cell), so it does not depend on parts, bundles or blocks.
+    copy, cell), so it does not depend on parts, bundles or blocks.  The rows are written before the first of several
+    passes; ``store=False`` reads them as they are: right for a stored table.
     """
-    base = cut_lineage(_component_base(df, cfg, block, order, labels.column))
+    base = _component_base(df, cfg, block, order, labels.column)
+    base = cut_lineage(base) if store else base
     comps = cut_lineage(component_table(base))
     cells, counts = region_bundles(base, comps, cfg, chunk, count_rows)
     cells = cells.withColumns({"ispb": flag(F.col("ispb")), "ospb": flag(F.col("ospb"))})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,7 @@ def label_cells(cells: DataFrame, cfg: EvalConfig) -> DataFrame:
 
 
 CELL_COLUMNS = ("cell_id", "ri", "ci", "q", "ispb", "ospb", "sink", "comp_id", "y", "w", "gmin", "s_gmin", "delta", "adv")
+USED_COLUMNS = ("model", "cell_id", "ri", "ci", "comp_id", "y", "passed", "pw", "ispb", "ospb", "gdiff", "margin", "s_total")
 ROW_COLUMNS = ("model", "cell_id", "ri", "ci", "q", "ispb", "ospb", "sink", "comp_id", "y", "w", "gdiff", "s_model", "s_gmin")
 
 
@@ -91,6 +93,12 @@ def scored_rows(scored: DataFrame, models: DataFrame) -> DataFrame:
     return cut_lineage(_narrow(listed_rows(scored, models)))
 
 
+def used_rows(used: DataFrame) -> DataFrame:
+    """Rows with their wet probability, written once: expected metrics and replicates filter by it, and a filter of an
+    expression is computed apart from its column."""
+    return cut_lineage(used.select(*[c for c in USED_COLUMNS if c in used.columns]))
+
+
 def flats_by_rows(scored: DataFrame, cfg: EvalConfig) -> bool:
     """Flats need rows of their own for the joined bootstrap, where input spreads blur their predictions, and where a
     topographic factor is not positive, so that a larger flat can predict dry where a smaller one predicts wet."""
@@ -106,13 +114,14 @@ def with_regions(rows: DataFrame, cells: DataFrame, cfg: EvalConfig) -> DataFram
     return rows.join(comps, ["ri", "ci"], "left").withColumn("comp_id", F.coalesce("comp_id", F.lit(0)))
 
 
-def replicates(rows: DataFrame, cfg: EvalConfig, labels: Labels = Labels()) -> DataFrame:
+def replicates(rows: DataFrame, cfg: EvalConfig, labels: Labels = Labels(), store: bool = True) -> DataFrame:
     """Bootstrap by the cheapest form that is exact for the labels and the mode in use, or by the
-    joined form that any SQL engine can repeat where ``cfg.boot.joined`` asks for it."""
+    joined form that any SQL engine can repeat where ``cfg.boot.joined`` asks for it.  ``store=False``
+    is right for rows of a stored table."""
     if cfg.mode == "components":
         if cfg.boot.joined:
             return R.bootstrap_components(rows, cfg.boot)
-        return R.bootstrap_components_blocked(rows, cfg.boot, labels=labels)
+        return R.bootstrap_components_blocked(rows, cfg.boot, labels=labels, store=store)
     if cfg.boot.joined:
         return R.bootstrap_cells(rows, cfg.boot)
     if cfg.truth == "binary" and cfg.boot.pred == "bernoulli" and not cfg.boot.balance:
@@ -141,7 +150,7 @@ class Results(Mapping):
 
 def _centers(cells: DataFrame, base: DataFrame, models: DataFrame, cfg: EvalConfig) -> DataFrame:
     viz = base.filter("viz").select("cell_id").join(models.select("cell_id", "model", "g"), "cell_id")
-    centers = model_center(viz)
+    centers = model_center(cut_lineage(viz.select("model", "g")), store=False)
     if cfg.flats is None:
         return centers
     flats = flat_models(cells.sparkSession, *cfg.flats)
@@ -172,11 +181,16 @@ def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()
         return M.with_p_wet(decided).withColumns({**labelled, "s_total": M.margin_sigma(F.col("s_model"), F.col("s_gmin"))})
 
     decided, slots = decide(rows), None
-    if flats_by_rows(scored, cfg):
+    by_rows = flats_by_rows(scored, cfg)
+    if by_rows:
         decided = decided.unionByName(decide(_narrow(flat_rows(scored, models, cfg.flats))))
     elif cfg.flats is not None:
         slots = flat_slots(scored, margins, cfg)
-    used = with_used(decided)
+
+    @cache
+    def used() -> DataFrame:
+        # Rows of flats are made inside the tasks that read the cells and are not worth a table.
+        return with_used(decided) if by_rows else used_rows(with_used(decided))
 
     def with_flats(listed: DataFrame, made: Callable[[DataFrame], DataFrame], **columns: Column) -> DataFrame:
         return listed if slots is None else listed.unionByName(made(slots.withColumns(columns)))
@@ -190,8 +204,8 @@ def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()
         "binary": lambda r: with_flats(M.point_metrics(decided, "y"), lambda c: L.flat_points(c, *cfg.flats)),
         "weighted": lambda r: with_flats(M.point_metrics(decided, "w", soft=True),
                                          lambda c: L.flat_expected(c, *cfg.flats), y=F.col("w")),
-        "expected": lambda r: with_flats(M.expected_metrics(used), lambda c: L.flat_expected(c, *cfg.flats), **labelled),
-        "replicates": lambda r: with_flats(replicates(used, cfg), lambda c: L.replicate_flats(
+        "expected": lambda r: with_flats(M.expected_metrics(used()), lambda c: L.flat_expected(c, *cfg.flats), **labelled),
+        "replicates": lambda r: with_flats(replicates(used(), cfg, store=by_rows), lambda c: L.replicate_flats(
             c, cfg.boot, *cfg.flats, cfg.mode, hard=cfg.truth == "binary"), **labelled),
         "gstats": lambda r: R.gstats(r["expected"], r["replicates"]),
         "ci_summary": lambda r: R.ci_summary(r["gstats"]),
@@ -202,9 +216,9 @@ def evaluate(cells: DataFrame, models: DataFrame, cfg: EvalConfig = EvalConfig()
 
 
 def flat_slots(scored: DataFrame, margins: DataFrame, cfg: EvalConfig) -> DataFrame:
-    """Scored cells with their flat slot; all flats have one spread and so one margin."""
+    """Scored cells with their flat slot, written once; all flats have one spread and so one margin."""
     known = margins.filter(F.col("model") == f"{FLAT_PREFIX}{cfg.flats[0]}").first()
-    return L.with_slots(scored, *cfg.flats, cfg.margin if known is None else known["margin"])
+    return cut_lineage(L.with_slots(scored, *cfg.flats, cfg.margin if known is None else known["margin"]))
 
 
 def sweep(cells: DataFrame, models: DataFrame, thresholds: Sequence[float] = (0.10, 0.15, 0.20, 0.25, 0.30),
@@ -240,7 +254,8 @@ def sweep(cells: DataFrame, models: DataFrame, thresholds: Sequence[float] = (0.
         used = used.unionByName(with_used(labels.mark(_narrow(flat_rows(scored, models, cfg.flats)))))
     if by_label:
         return _sweep_by_rows(used, labels.thresholds, cfg)
-    expected, reps = labels.expected(used), replicates(used, cfg, labels)
+    used = used if by_rows else used_rows(used)
+    expected, reps = labels.expected(used), replicates(used, cfg, labels, store=by_rows)
     if cfg.flats is not None and not by_rows:
         slots = flat_slots(scored, margins, cfg)
         expected = expected.unionByName(L.flat_expected(slots, *cfg.flats, labels))

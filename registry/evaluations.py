@@ -81,6 +81,7 @@ pr AS (SELECT *, CASE WHEN s = 0 THEN CASE WHEN gdiff >= 0 THEN 1e0 ELSE 0e0 END
 c AS (SELECT model, threshold, {SOFT.format(p='pw', y='(CASE WHEN q > threshold THEN 1e0 ELSE 0e0 END)')} FROM pr, (SELECT unnest([1e-1, 15e-2, 2e-1, 25e-2, 3e-1]) AS threshold) WHERE pw IS NOT NULL GROUP BY model, threshold)""",
        sql=f"SELECT model, threshold, {r('g_mean')} AS exp, true AS ordered FROM ({score_sql('c')})")
 def _(t):
+    t = t.written()
     out = E.sweep(t.cells, t.model_cells).filter("metric = 'g_mean'")
     ordered = (F.col("lo95") <= F.col("lo50")) & (F.col("lo50") <= F.col("hi50")) & (F.col("hi50") <= F.col("hi95"))
     return rnd(out.select("model", "threshold", "exp", ordered.alias("ordered")))

@@ -3,14 +3,17 @@
 import pytest
 from pyspark.sql import functions as F
 
+import registry.evaluations  # noqa: F401
 import registry.resampling as resampling
 import registry.scores as scores
 from meltgrid.operators import fields as Y
 from meltgrid.operators import resample as R
+from meltgrid.operators.labelled import PASSED, Labels
 from meltgrid.operators.metrics import sigma_summary
 from meltgrid.operators.ordered import midpoint_quantile
 from meltgrid.operators.summaries import change_stats
 from meltgrid.plans import candidates as P
+from meltgrid.plans import evaluation as E
 from meltgrid.session import sized
 from registry.base import QUERIES
 from registry.fixtures import MODEL_CELLS, Tables
@@ -122,6 +125,32 @@ def test_metric_against_center(spark, grid):
     assert made.value == N and set(out) == {"A", "C"} and out["C"]["center"] == round(middle, 6)
 
 
+def test_threshold_runs(spark, grid, monkeypatch):
+    path, made = grid
+    plans = []
+    gstats = R.gstats
+    monkeypatch.setattr(E.R, "gstats", lambda expected, reps, by: (
+        plans.append(expected._jdf.queryExecution().optimizedPlan().toString()), gstats(expected, reps, by))[1])
+    out = QUERIES["evaluation_threshold_runs"](spark, path).collect()
+    assert made.value == N and len(out) == 5 * (3 + 61)
+    assert len(plans) == 1 and "EXP(" not in plans[0]  # a stored probability is filtered, not its expression
+
+
+def test_label_totals(spark):
+    """Masses made of counts are those summed over rows."""
+    labels = Labels((0.1, 0.3))
+    df = spark.range(90).selectExpr(
+        "cast(id % 2 AS string) AS model", f"cast(id % 3 AS int) AS {PASSED}", "(id % 8) / 8e0 AS pw",
+        "if(id % 5 = 0, NULL, id % 4 = 0) AS ispb", "id % 7 = 0 AS ospb")
+    want = df.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_roi"), *[F.sum(m).alias(f"a{j}") for j, m in enumerate(labels.masses())],
+        *[F.sum(F.col("pw") * m).alias(f"b{j}") for j, m in enumerate(labels.masses())])
+    got = labels.totals(df, ["model"], "pw")
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
+
+
 def test_sized_side_is_local(spark):
     df = spark.range(40).selectExpr("id", "cast(id AS int) AS i", "if(id = 3, NULL, id / 7e0) AS d", "if(id = 4, NULL, 'x') AS s",
                                     "if(id = 5, NULL, id > 7) AS b", "if(id = 6, cast('NaN' AS double), 0e0) AS n")
