@@ -228,8 +228,13 @@ def _digest(batches):
                                          names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
 
-def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of documents encoded and decoded: pieces, checksum of the ids as little-endian unsigned 32-bit
+def code_digest(docs: DataFrame) -> DataFrame:
+    """Texts ``(doc_id, text)`` encoded and decoded: pieces, checksum of the ids as little-endian unsigned 32-bit
     integers, whether the text came back."""
-    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = decode_pieces(encode_pieces(docs.select("doc_id", "text")))
     return coded.mapInArrow(_digest, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+
+
+def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every whole text of documents."""
+    return code_digest(table(spark, sf_dir, "documents"))
