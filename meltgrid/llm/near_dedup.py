@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from meltgrid.llm import kernels as K
 from meltgrid.llm.common import id_or_least, keyed, null_again, shingle_sql, spare, table
 from meltgrid.operators.components import graph_components
-from meltgrid.session import cut_lineage
+from meltgrid.session import cut_lineage, sized, spread
 
 PERMUTATIONS = 64
 BAND_ROWS = 4
@@ -202,7 +202,7 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _rooted(df: DataFrame, links: DataFrame) -> DataFrame:
-    return df.join(_roots(links), "_doc", "left").withColumn("_root", F.coalesce("_root", "_doc"))
+    return df.join(spread(_roots(links)), "_doc", "left").withColumn("_root", F.coalesce("_root", "_doc"))
 
 
 def _likeliest(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _likeliest(members: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     best = shared.groupBy("a").agg(F.min(F.struct((-F.col("_c")).alias("_c"), "b")).alias("_x")).select("a", "_x.b")
     ta = texts.select(F.col("_doc").alias("a"), F.col("_text").alias("_ta"))
     tb = texts.select(F.col("_doc").alias("b"), F.col("_text").alias("_tb"))
-    return best.join(ta, "a").join(tb, "b").select("a", "b", "_ta", "_tb").mapInArrow(
+    return best.join(spread(ta), "a").join(spread(tb), "b").select("a", "b", "_ta", "_tb").mapInArrow(
         _confirm(n, percent), "a long, b long")
 
 
@@ -224,7 +224,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     part = lambda main: F.ceil(F.sum(F.when(F.col("_main") == main, F.col("_n"))) / block)
     many = members.groupBy("_family").agg(F.coalesce(part(False), F.lit(0)).alias("_s"),
                                           F.coalesce(part(True), F.lit(0)).alias("_g")).where("_s > 0")
-    at = members.join(many, "_family").withColumn(
+    at = members.join(sized(many), "_family").withColumn(
         "_b", F.when(F.col("_main"), F.expr("_s + pmod(xxhash64(_doc), greatest(_g, 1))"))
         .otherwise(F.expr("pmod(xxhash64(_doc), _s)")))
     other = F.explode(F.expr("sequence(0L, if(_main, _s, _s + _g) - 1)")).alias("_p")
@@ -246,35 +246,39 @@ def near_links(docs: DataFrame, n: int = 3, percent: int = 85, permutations: int
         _sketch(n, permutations), "".join(f"{c} long, " for c in own) + "_n long, _h1 long, _h2 long, _bands array<long>"))
     if by_row:
         number = cut_lineage(sketch.select(own).distinct().sort(own).withColumn("_doc", F.monotonically_increasing_id()))
-        sketch = cut_lineage(sketch.join(number, own))
+        sketch = cut_lineage(sketch.join(spread(number), own))
     some = sketch.where("_n > 0")
     same = ["_n", "_h1", "_h2"]
     least = some.groupBy(*same).agg(F.min("_doc").alias("b"))
-    copies = some.join(least, same).where("_doc <> b").select(F.col("_doc").alias("a"), "b")
+    copies = some.join(spread(least), same).where("_doc <> b").select(F.col("_doc").alias("a"), "b")
     # A class is looked up under its smallest id only.
-    buckets = (some.join(least, same).where("_doc = b")
+    buckets = (some.join(spread(least), same).where("_doc = b")
                .select("_doc", F.explode(F.array_distinct("_bands")).alias("_bucket")))
     shared = (buckets.groupBy("_bucket").agg(F.min("_doc").alias("_head"), F.max("_doc").alias("_hi"))
               .where("_head < _hi").select("_bucket", "_head"))
     # Nothing above this join needs a bucket's rows together, so Spark may split a hot bucket.
-    members = cut_lineage(buckets.join(shared, "_bucket").select("_bucket", "_head", "_doc"))
+    members = cut_lineage(buckets.join(spread(shared), "_bucket").select("_bucket", "_head", "_doc"))
     family = _roots(members.where("_doc <> _head").select(F.col("_doc").alias("a"), F.col("_head").alias("b")).distinct())
     sizes = some.groupBy("_doc").agg(F.greatest(F.max("_n"), F.lit(LEAST)).alias("_n"))
-    family = cut_lineage(family.withColumnRenamed("_root", "_family").join(sizes, "_doc"))
-    large = family.groupBy("_family").agg(F.sum("_n").alias("_all")).where(F.col("_all") > block).select("_family")
-    wanted = number.join(family.select("_doc"), "_doc") if by_row else family.select("_doc")
-    texts = cut_lineage(texts.join(wanted, own).select("_doc", "_text"))
+    family = cut_lineage(family.withColumnRenamed("_root", "_family").join(spread(sizes), "_doc"))
+    # A large family takes over ``block`` shingles, so these and their tables are few beside documents.
+    large = sized(family.groupBy("_family").agg(F.sum("_n").alias("_all")).where(F.col("_all") > block).select("_family"))
+    wanted = number.join(spread(family.select("_doc")), "_doc") if by_row else family.select("_doc")
+    # Few members are looked up where the texts are.
+    texts = cut_lineage(texts.join(spread(wanted, family.count()), own).select("_doc", "_text"))
     large_docs = cut_lineage(family.join(large, "_family"))
-    first = cut_lineage(_likeliest(members.join(large_docs.select("_doc"), "_doc", "left_semi"),
-                                   texts.join(large_docs.select("_doc"), "_doc", "left_semi"), n, percent))
+    first = cut_lineage(_likeliest(members.join(spread(large_docs.select("_doc")), "_doc", "left_semi"),
+                                   texts.join(spread(large_docs.select("_doc")), "_doc", "left_semi"), n, percent))
     rooted = cut_lineage(_rooted(large_docs, first))
     main = (rooted.groupBy("_family", "_root").agg(F.sum("_n").alias("_c")).groupBy("_family")
             .agg(F.max(F.struct("_c", "_root")).alias("_x")).select("_family", F.col("_x._root").alias("_m")))
-    parted = rooted.join(main, "_family").select("_family", "_doc", "_n", (F.col("_root") == F.col("_m")).alias("_main"))
-    small = family.join(large, "_family", "left_anti").select("_family", "_doc", "_n", F.lit(False).alias("_main"))
+    parted = rooted.join(sized(main), "_family").select("_family", "_doc", "_n", (F.col("_root") == F.col("_m")).alias("_main"))
+    # A small family is one block of its own.
+    alone = F.lit(0).cast("long")
+    small = family.join(large, "_family", "left_anti").select("_family", alone.alias("_lo"), alone.alias("_hi"), "_doc")
     # Small families by their first id, large ones block by block; rows of one group follow each other.
     group = ["_family", "_lo", "_hi"]
-    found = cut_lineage(_blocks(small.unionByName(parted), block).join(texts, "_doc").repartition(*group)
+    found = cut_lineage(_blocks(parted, block).unionByName(small).join(spread(texts), "_doc").repartition(*group)
                         .sortWithinPartitions(*group).select(*group, "_doc", "_text")
                         .mapInArrow(_compare(n, percent), "a long, b long"))
     ids = ["_doc", *own] if by_row else own
@@ -298,7 +302,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, permuta
     key = spare(docs, "_doc", "_tv")
     rows = docs.withColumns(dict(zip(key, (id_or_least(id_col), F.coalesce(F.xxhash64(text_col), F.lit(0))))))
     out = out.where("_doc = _root").select("_id", "_tv").distinct().toDF(*key)
-    return rows.join(out, key, "left_semi").dropDuplicates(key).drop(*key)
+    return rows.join(spread(out), key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

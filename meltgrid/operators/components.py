@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meltgrid.functions.nulls import finite
 from meltgrid.operators.masks import flag
 from meltgrid.operators.ordered import GROUP_ROWS, midpoint_quantile, prefix_sums
-from meltgrid.session import cut_lineage, sized
+from meltgrid.session import cut_lineage, sized, spread
 
 #: Cells along the side of a tile.
 TILE = 512
@@ -103,30 +103,33 @@ def border_edges(runs: DataFrame, conn: int = 8, tile: int = TILE) -> DataFrame:
 
 
 def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, root)`` with the smallest node of each region as root.  ``edges(a, b)``."""
+    """``(node, root)`` with the smallest node of each region as root.  ``edges(a, b)``.
+
+    A round of many edges is joined by shuffle, so that the driver never holds its nodes.
+    """
     def tidy(e: DataFrame) -> DataFrame:
         big, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         return e.filter("a <> b").select(big, low).distinct()
 
     e = cut_lineage(tidy(edges))
     maps = []
-    while not e.isEmpty():  # every round hooks each region that has a smaller neighbour, so the edges run out
+    while rows := e.count():  # every round hooks each region that has a smaller neighbour, so the edges run out
         hook = cut_lineage(e.groupBy("a").agg(F.min("b").alias("p")))
         while True:
-            up = hook.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+            up = spread(hook.select(F.col("a").alias("p"), F.col("p").alias("pp")), rows)
             jump = cut_lineage(hook.join(up, "p", "left").select("a", "p", F.coalesce("pp", "p").alias("np")))
             moved = not jump.filter("p <> np").isEmpty()
             hook = jump.select("a", F.col("np").alias("p"))
             if not moved:
                 break
-        maps.append(hook)
-        ma, mb = hook.withColumnRenamed("p", "pa"), hook.select(F.col("a").alias("b"), F.col("p").alias("pb"))
+        maps.append(spread(hook.select(F.col("a").alias("root"), F.col("p").alias("_p")), rows))
+        ma = spread(hook.withColumnRenamed("p", "pa"), rows)
+        mb = spread(hook.select(F.col("a").alias("b"), F.col("p").alias("pb")), rows)
         e = e.join(ma, "a", "left").join(mb, "b", "left").select(
             F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
         e = cut_lineage(tidy(e))
     out = nodes.select("node", F.col("node").alias("root"))
-    for m in maps:
-        step = m.select(F.col("a").alias("root"), F.col("p").alias("_p"))
+    for step in maps:
         out = out.join(step, "root", "left").select("node", F.coalesce("_p", "root").alias("root"))
     return out
 

@@ -1,6 +1,8 @@
 """Near-duplicate components against brute force over all pairs."""
 
 import random
+import re
+from functools import partial
 
 import numpy as np
 import pytest
@@ -8,6 +10,8 @@ from corpus import SF, empty, frame, same, stored
 from pyspark.sql import functions as F
 
 from meltgrid.llm import near_dedup as N
+from meltgrid.operators import components as C
+from meltgrid.session import spread
 
 
 def families(seed=1, groups=40):
@@ -59,3 +63,23 @@ def test_registered_query_and_empty_table(spark):
     assert same(N.op8_near_dedup(spark, SF).collect(), N.brute_components(stored()))
     assert N.near_duplicates(empty(spark)).count() == 0
     assert N.drop_near_duplicates(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("block", [150_000, 400])
+def test_no_table_of_documents_reaches_the_driver(spark, monkeypatch, block):
+    """Only rows fetched within a limit are broadcast, however small the stored tables are."""
+    plans, cut = [], N.cut_lineage
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(N, "cut_lineage", kept)
+    monkeypatch.setattr(C, "cut_lineage", kept)
+    for module in (N, C):
+        monkeypatch.setattr(module, "spread", partial(spread, max_rows=0))
+    rows = families(4)
+    out = N.near_links(frame(spark, rows), block=block)
+    assert same([(r["_doc"], r["_n"], r["_root"]) for r in kept(out).collect()], [w[:3] for w in N.brute_components(rows)])
+    leaves = [re.search(r"FileScan|Exchange|LocalTableScan|ExistingRDD", side)[0] for x in plans for side in x.split("BroadcastExchange")[1:]]
+    assert len(plans) > 10 and set(leaves) <= {"LocalTableScan", "ExistingRDD"}
