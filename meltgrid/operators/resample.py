@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meltgrid.functions.draws import NumberedKeys, numbered_spans
 from meltgrid.functions.mathx import EPS, normal_draw, uniform
 from meltgrid.operators.labelled import PASSED, Labels
 from meltgrid.operators.masks import flag
@@ -25,6 +26,8 @@ METRICS = ("spec", "rec", "prec", "acc", "f1", "g_mean", "rec_in_wet", "rec_out_
 REGION_CHUNK = 100_000
 #: Cells of a tile, cells x replicates that a task draws at once, and draw counts that meet a bundle of regions.
 TILE, DRAWS, COUNT_ROWS = 50_000, 1_000_000, 1_000_000
+#: Cells that a task looks up draws in, replicates it makes, and keys it hashes at once.
+TABLE_ROWS, TABLE_REPS, KEYS = 4_000_000, 100, 32_768
 
 
 @dataclass(frozen=True)
@@ -86,7 +89,8 @@ def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Se
 
     Each cell row also serves as one draw slot, so the draws are spread as the data are and no
     list of draws is ever built.  With ``balance`` and both hard classes present, each class is
-    resampled within itself.
+    resampled within itself.  Plain md5 draws are made beside the cells (``_table_sums``) and meet
+    them without a row of their own.
     """
     base = usable(df)
     if cfg.balance:
@@ -102,8 +106,16 @@ def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Se
     base = cut_lineage(base.select(*keys, block, *[c for c in order if c != block], *_needed(base, cfg)))
     # Counts, slots and drawn cells read the same ranks, so these are written as well.
     base = cut_lineage(dense_index(base, block, order, keys))
-    n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    slots = base.select(*keys, F.col("idx").alias("draw")).join(sized(cut_lineage(n)), keys)
+    n = sized(cut_lineage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))))
+    if cfg.pred == "bernoulli" and cfg.draws == "md5":
+        return with_regional(with_scores(_table_sums(base, n, cfg)))
+    return _joined_replicates(base, n, cfg)
+
+
+def _joined_replicates(base: DataFrame, n: DataFrame, cfg: BootConfig) -> DataFrame:
+    """Replicates with a row for every draw, which is joined to its cell."""
+    keys = ["model", "_s"]
+    slots = base.select(*keys, F.col("idx").alias("draw")).join(n, keys)
     slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_boot - 1))))
     stratum = [F.col("_s")] if cfg.balance else []
     u = uniform(F.lit(cfg.seed), F.col("model"), F.col("rep"), *stratum, F.col("draw"), kind=cfg.draws)
@@ -112,6 +124,60 @@ def bootstrap_cells(df: DataFrame, cfg: BootConfig, block: str = "ri", order: Se
     return _replicate_table(copies, _wet(cfg, F.col("model"), F.col("rep"), *stratum, F.col("draw")))
 
 
+def _table_sums(base: DataFrame, n: DataFrame, cfg: BootConfig, rows: int = TABLE_ROWS, reps: int = TABLE_REPS) -> DataFrame:
+    """Confusion sums per (model, rep) of the draws of ``_joined_replicates``, without a row for a draw.
+
+    A task holds up to ``rows`` cells of a group as a table, makes the draws of ``reps`` replicates and looks up those
+    that fall on its cells.  Cells are shuffled once for every ``reps`` replicates; only sums leave a task.  The draws of
+    a group of more cells are made again beside each of its tables.
+    """
+    keys = ["model", "_s", "_tile", "_reps"]
+    blocks = -(-cfg.n_boot // reps)
+    y = F.col("y").cast("double")
+    cells = base.join(n, ["model", "_s"]).select(
+        "model", "_s", F.floor(F.col("idx") / rows).cast("int").alias("_tile"), "_n", "idx", F.col("pw").cast("double").alias("pw"),
+        y.alias("_raw"), F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)).alias("y"), flag(F.col("ispb")).alias("_in"),
+        flag(F.col("ospb")).alias("_out"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_reps"))
+    tasks = blocks * (n.agg(F.sum(F.ceil(F.col("_n") / rows))).first()[0] or 1)
+    seed, n_boot, balance = cfg.seed, cfg.n_boot, cfg.balance
+    sums = ["tp", "fp", "tn", "fn", "_wn", "_wd", "_dn", "_dd"]
+
+    def draw(key, cells):
+        import numpy as np
+        import pyarrow as pa
+
+        model, s, tile, at = (k.as_py() for k in key)
+        got = {c: cells.column(c).to_numpy() for c in ("idx", "_n", "pw", "_raw", "y", "_in", "_out")}
+        total, low, size = int(got["_n"][0]), tile * rows, len(cells)
+        table = np.empty((size, 5))
+        # Spark holds NaN for larger than any number.
+        table[got["idx"] - low] = np.stack([
+            np.where(np.isnan(got["pw"]), np.inf, got["pw"]), got["y"], 1.0 - got["y"], np.where(got["_in"], got["_raw"], 0.0),
+            np.where(got["_out"], 1.0 - got["_raw"], 0.0)], axis=1)
+        numbers = range(at * reps, min(n_boot, (at + 1) * reps))
+        heads = [f"{seed}|{model}|{rep}|{f'{s}|' if balance else ''}".encode() for rep in numbers]
+        wet, dry = np.zeros((len(heads), 4)), np.zeros((len(heads), 4))
+        for length in sorted({len(h) for h in heads}):
+            for first, count in numbered_spans(total, length + 2, KEYS):
+                picks, states = NumberedKeys(length, first, count), NumberedKeys(length, first, count, b"|p")
+                for i, head in ((i, h) for i, h in enumerate(heads) if len(h) == length):
+                    pick = np.minimum(np.floor(picks.uniform(head, count) * total).astype("int64"), total - 1) - low
+                    mine, own = states, count
+                    if size < total:
+                        here = np.flatnonzero((pick >= 0) & (pick < size))
+                        pick, mine, own = pick[here], states.kept(here), len(here)
+                    cell = table.take(pick, axis=0)
+                    hit = mine.uniform(head, own) < cell[:, 0]
+                    wet[i] += hit.astype("float64") @ cell[:, 1:]
+                    dry[i] += (~hit).astype("float64") @ cell[:, 1:]
+        out = [wet[:, 0], wet[:, 1], dry[:, 1], dry[:, 0], wet[:, 2], wet[:, 2] + dry[:, 2], dry[:, 3], wet[:, 3] + dry[:, 3]]
+        return pa.table({"model": pa.repeat(model, len(heads)), "rep": np.array(numbers, dtype="int32"), **dict(zip(sums, out))})
+
+    parts = cells.repartition(tasks, *keys).groupBy(*keys).applyInArrow(
+        draw, "model string, rep int, " + ", ".join(f"{c} double" for c in sums))
+    return parts.groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def _block_shares(key: Sequence[int], start: int, size: int, total: int, n_boot: int) -> Iterator:
     """Rank ranges ``(lo, hi)`` that make up one block, with the draws every replicate puts there.
 

@@ -17,6 +17,8 @@ from meltgrid.operators.sweeps import threshold_sweep
 
 CM = ("cells", "model_cells")
 REPS = 5
+#: Replicates behind bands; the limits of a 95 % band need many.
+BAND_REPS = R.BootConfig().n_boot
 
 
 def weighted_rows(t, label: str = "w"):
@@ -25,8 +27,8 @@ def weighted_rows(t, label: str = "w"):
     return df.withColumns({"y": F.col(label), "s_total": M.margin_sigma(F.col("s_model"), F.col("s_gmin"))})
 
 
-def _cfg(**kw):
-    return R.BootConfig(n_boot=REPS, seed=42, draws="md5", **kw)
+def _cfg(n_boot: int = REPS, **kw):
+    return R.BootConfig(n_boot=n_boot, seed=42, draws="md5", **kw)
 
 
 def _rep_sql(src: str) -> str:
@@ -37,14 +39,14 @@ def _agg(y: str) -> str:
     return f"{SOFT.format(p='wet', y=y)}, {REGIONAL_SUMS.format(p='wet', y=y)}"
 
 
-def _cell_ctes(y: str, wet: str, balance: bool = False) -> str:
+def _cell_ctes(y: str, wet: str, balance: bool = False, reps: int = REPS) -> str:
     part = "model, s" if balance else "model"
     stratum = f"cast({y} AS int)" if balance else "-1"
     key = "'42|' || model || '|' || rep || '|' || s || '|' || idx" if balance else "'42|' || model || '|' || rep || '|' || idx"
     return PW + f""",
 b AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY ri, ci) - 1 AS idx, count(*) OVER (PARTITION BY {part}) AS n
  FROM (SELECT *, {stratum} AS s, sqrt(s_model * s_model + s_gmin * s_gmin) AS s_total FROM p WHERE pw IS NOT NULL)),
-dr AS (SELECT model, s, rep, idx AS draw, {key} AS k, cast(floor({uniform_sql(key)} * n) AS bigint) AS pick FROM b, range(0, {REPS}) AS g(rep)),
+dr AS (SELECT model, s, rep, idx AS draw, {key} AS k, cast(floor({uniform_sql(key)} * n) AS bigint) AS pick FROM b, range(0, {reps}) AS g(rep)),
 cp AS (SELECT dr.model, dr.rep, {wet} AS wet, b.y, b.w, b.ispb, b.ospb FROM dr JOIN b ON b.model = dr.model AND b.s = dr.s AND b.idx = dr.pick),
 c AS (SELECT model, rep, {_agg(y)} FROM cp GROUP BY model, rep)"""
 
@@ -211,7 +213,8 @@ def _(t):
         (F.col("tp") + F.col("fn")).alias("wet_mass"), F.round("tp_exp", 4).alias("tp_exp"), near.alias("near")))
 
 
-BANDS = _cell_ctes("w", BERNOULLI) + f""",
+def _band_ctes(reps: int) -> str:
+    return _cell_ctes("w", BERNOULLI, reps=reps) + f""",
 lg AS (UNPIVOT (SELECT model, rep, {', '.join(R.METRICS)} FROM ({regional_sql('(' + score_sql('c') + ')')})) ON {', '.join(R.METRICS)} INTO NAME metric VALUE value),
 bd AS ({quantile_sql('lg', 'value', {'lo95': 0.025, 'hi95': 0.975, 'lo50': 0.25, 'hi50': 0.75}, 'model, metric')}),
 ec AS (SELECT model, {SOFT.format(p='pw', y='w')}, {REGIONAL_SUMS.format(p='pw', y='w')} FROM p WHERE pw IS NOT NULL GROUP BY model),
@@ -219,14 +222,17 @@ el AS (UNPIVOT (SELECT model, {', '.join(R.METRICS)} FROM ({regional_sql('(' + s
 gs AS (SELECT el.model, el.metric, exp, lo95, hi95, lo50, hi50 FROM el LEFT JOIN bd ON bd.model = el.model AND bd.metric = el.metric)"""
 
 
-def cell_gstats(t):
+BANDS = _band_ctes(REPS)
+
+
+def cell_gstats(t, n_boot: int = REPS):
     rows = cut_lineage(weighted_rows(t).select("model", "ri", "ci", "pw", "y", "ispb", "ospb"))
-    return R.gstats(M.expected_metrics(rows), R.bootstrap_cells(rows, _cfg()))
+    return R.gstats(M.expected_metrics(rows), R.bootstrap_cells(rows, _cfg(n_boot)))
 
 
-@query("bootstrap_bands", "B6", tables=CM, ctes=BANDS, sql=f"SELECT model, metric, {sel('exp', 'lo95', 'hi95', 'lo50', 'hi50')} FROM gs")
+@query("bootstrap_bands", "B6", tables=CM, ctes=_band_ctes(BAND_REPS), sql=f"SELECT model, metric, {sel('exp', 'lo95', 'hi95', 'lo50', 'hi50')} FROM gs")
 def _(t):
-    return rnd(cell_gstats(t))
+    return rnd(cell_gstats(t, BAND_REPS))
 
 
 _WIDE = ", ".join(f"{r(f'max(CASE WHEN metric = {m!r} THEN {c} END)')} AS {m}{s}" for m in R.METRICS for c, s in (("exp", ""), ("lo95", "_lo"), ("hi95", "_hi")))
