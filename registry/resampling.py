@@ -257,14 +257,14 @@ def _(t):
     return rnd(D.model_center(rows.unionByName(flats)))
 
 
-@query("metric_against_center", "A29 T4 J14", tables=CM, ctes=BANDS + ", " + CENTER, sql=f"""
+@query("metric_against_center", "A29 T4 J14", tables=CM, ctes=_band_ctes(BAND_REPS) + ", " + CENTER, sql=f"""
 SELECT gs.model, {sel('center', 'exp', 'lo95', 'hi95', 'lo50', 'hi50')}, false AS is_flat, true AS good FROM gs JOIN ctr ON ctr.model = gs.model
 WHERE metric = 'g_mean' AND gs.model <> 'B'""")
 def _(t):
     from registry.frames import masked
     t = t.written()
     rows = cut_lineage(masked(t).filter("viz").select("cell_id").join(t.model_cells, "cell_id").select("model", "g"))
-    return rnd(D.metric_vs_center(cell_gstats(t), D.model_center(rows, store=False), "g_mean", [" b "]))
+    return rnd(D.metric_vs_center(cell_gstats(t, BAND_REPS), D.model_center(rows, store=False), "g_mean", [" b "]))
 
 
 P0 = SCORED + ", p AS (SELECT *, coalesce(gdiff >= 0, false) AS pred FROM scored)"

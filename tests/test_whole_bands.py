@@ -9,6 +9,7 @@ import registry.resampling as resampling
 from meltgrid.functions.draws import NumberedKeys, numbered_spans
 from meltgrid.operators import resample as R
 from registry.base import QUERIES
+from registry.fixtures import Tables
 
 N = 260
 NAN = "cast('NaN' AS double)"
@@ -78,3 +79,19 @@ def test_bands_rest_on_all_replicates(spark, rows, monkeypatch):
     for model, mine in reps.groupby("model"):
         v = np.sort(mine["rec"].to_numpy())
         assert got[model, "rec"]["lo95"] == round((v[24] + v[25]) / 2, 6) and got[model, "rec"]["hi50"] == round((v[749] + v[750]) / 2, 6)
+
+
+def test_bands_against_center_rest_on_all_replicates(spark, rows, monkeypatch, tmp_path):
+    query, seen = bands_of("metric_against_center", spark, rows, monkeypatch)
+    cells = spark.range(N).selectExpr(
+        "id AS cell_id", "cast(id DIV 20 AS int) AS ri", "cast(id % 20 AS int) AS ci", "1e2 * (id % 20) AS x_m",
+        "1e2 * (id DIV 20) AS y_m", "2e3 + id AS h", "(id % 10) / 2e1 AS q", "213e0 AS ts", "2e-2 AS mb", "1e0 AS icevel",
+        "1e0 AS vx", "1e0 AS vy", "2e1 + id % 17 AS mean_qty", "id % 4 < 2 AS ispb", "id % 4 >= 2 AS ospb", "true AS sink",
+        "id % 90 AS custkey")
+    Tables(spark, str(tmp_path))._kept("cells", lambda: cells)
+    got = {r["model"]: r for r in query(spark, str(tmp_path)).collect()}
+    reps = seen[0].toPandas()
+    assert set(got) == {"A", "C"} and sorted(reps["rep"]) == sorted([*range(1000)] * 2)
+    for model, mine in reps.groupby("model"):
+        v = np.sort(mine["g_mean"].to_numpy())
+        assert got[model]["lo95"] == round((v[24] + v[25]) / 2, 6) and got[model]["hi95"] == round((v[974] + v[975]) / 2, 6)
